@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidex.functions import text as tx
+from evidex.functions.identity import canonical_doc_id, chunk_key, normalize_document_id, resource_key
 from evidex.operators.ingest import preview
-from evidex.operators.rank import hit_order, hit_score
+from evidex.operators.rank import hit_order, hit_score, near_duplicate, offsets_overlap, source_reference
 
 EXCERPT_LIMIT = 800
 
@@ -20,4 +22,293 @@ def number_sources(hits: DataFrame) -> DataFrame:
         "*", number.cast("bigint").alias("number"),
         preview("text", EXCERPT_LIMIT).alias("excerpt"),
         F.bround(hit_score(), 4).alias("relevance"),
+    ).withColumn("source_id", F.concat(F.lit("source-"), F.col("number").cast("string")))
+
+
+def build_sources(hits: DataFrame) -> DataFrame:
+    """Numbered sources with the names and references shown to a reader."""
+    names = [F.nullif(F.col(c), F.lit("")) for c in ("display_name", "filename", "title", "law_name", "document_type")]
+    return number_sources(hits).withColumns({
+        "source_type": F.coalesce("source_type", F.lit("legal")),
+        "document_id": canonical_doc_id("document_id", F.coalesce("chunk_id", "id")),
+        "document_name": F.coalesce(*names),
+        "source_reference": source_reference(),
+    })
+
+
+# --- display and resource cuts ------------------------------------------------------
+
+DISPLAY_RATIO, DISPLAY_GAP, DISPLAY_MAX, DISPLAY_FALLBACK = 0.72, 0.18, 3, 2
+RESOURCE_RATIO, RESOURCE_GAP, RESOURCE_MAX = 0.90, 0.10, 3
+
+
+def display_sources(sources: DataFrame, used: DataFrame) -> DataFrame:
+    """Cited sources, else the few that score close to the best one.
+
+    ``used(query_id, sources_used array<bigint>)``.
+    """
+    everything = Window.partitionBy("query_id")
+    ranked = F.row_number().over(everything.orderBy(F.desc("relevance"), "number"))
+    top = F.max("relevance").over(everything)
+    close = F.greatest(top * F.lit(DISPLAY_RATIO), top - F.lit(DISPLAY_GAP))
+    cited = F.coalesce(F.array_contains("sources_used", F.col("number")), F.lit(False))
+    return (
+        sources.join(used.select("query_id", "sources_used"), "query_id", "left")
+        .withColumn("_cited", cited)
+        .withColumns({"_any": F.bool_or("_cited").over(everything), "_n": ranked, "_top": top, "_close": close})
+        .filter(
+            F.when(F.col("_any"), F.col("_cited"))
+            .when(F.col("_top") <= 0, F.col("_n") <= DISPLAY_FALLBACK)
+            .otherwise((F.col("relevance") >= F.col("_close")) & (F.col("_n") <= DISPLAY_MAX))
+        )
+        .select(*sources.columns)
+    )
+
+
+def mentions_section(section: Column) -> Column:
+    """The source names the section in any spelling."""
+    filled = [F.coalesce(F.col(c), F.lit("")) for c in ("text", "excerpt", "section")]
+    names = [F.coalesce(F.col(c), F.lit("")) for c in ("law_name", "filename", "document_name", "source_reference")]
+    sections = F.concat_ws(" ", F.coalesce("sections", F.array().cast("array<string>")))
+    blob = F.lower(tx.normalize_hyphens(F.concat_ws(" ", *filled, sections, *names)))
+    bare = F.replace(blob, F.lit("-"), F.lit(""))
+    return F.exists(
+        tx.section_needles(section),
+        lambda n: F.contains(blob, n) | F.contains(bare, F.replace(n, F.lit("-"), F.lit(""))),
+    )
+
+
+def resource_sources(sources: DataFrame, hints: DataFrame) -> DataFrame:
+    """All evidence of the few documents whose best source scores close to the top.
+
+    ``hints(query_id, section)`` narrows to sources naming the section when any does.
+    """
+    pool = (
+        sources.filter(F.coalesce("source_type", F.lit("")) != "web")
+        .join(hints.select("query_id", F.col("section").alias("_hint")), "query_id", "left")
+        .withColumn("_doc", F.coalesce(normalize_document_id("document_id"), F.nullif("filename", F.lit("")), F.col("source_id")))
+        .withColumn("_match", F.coalesce(mentions_section(F.col("_hint")), F.lit(False)))
+        .withColumn("_any", F.bool_or("_match").over(Window.partitionBy("query_id")))
+        .filter(F.col("_match") | ~F.col("_any"))
+    )
+    docs = pool.groupBy("query_id", "_doc").agg(F.max("relevance").alias("_best"), F.min("number").alias("_first"))
+    w = Window.partitionBy("query_id")
+    close = F.when(F.col("_top") <= 0, 0.0).otherwise(
+        F.greatest(F.col("_top") * F.lit(RESOURCE_RATIO), F.col("_top") - F.lit(RESOURCE_GAP))
+    )
+    kept = (
+        docs.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_best"), "_first")))
+        .withColumn("_top", F.max("_best").over(w))
+        .filter((F.col("_best") >= close) & (F.col("_rank") <= RESOURCE_MAX))
+    )
+    place = F.row_number().over(w.orderBy("_rank", F.desc("relevance"), "number"))
+    return (
+        pool.join(kept.select("query_id", "_doc", "_rank"), ["query_id", "_doc"])
+        .withColumn("position", place.cast("bigint")).select(*sources.columns, "position")
+    )
+
+
+# --- resources ----------------------------------------------------------------------
+
+def build_resources(sources: DataFrame) -> DataFrame:
+    """One row per document of an answer: its best source leads, the rest is merged into one text.
+
+    Runs on the sources selected for an answer, a list the limits bound.  Copies of a
+    chunk are removed first; the passages of one document are then folded in place.
+    """
+    ident = chunk_key("document_id", "chunk_id", "chunk_index", "source_id")
+    key = resource_key("document_id", "chunk_id", "source_id")
+    copies = (
+        sources.withColumn("_key", key).groupBy("query_id", "_key", ident.alias("_chunk"))
+        .agg(F.max_by(F.struct(*[c for c in sources.columns if c != "query_id"]),
+                      F.struct("relevance", -F.col("number"))).alias("r"),
+             F.min("number").alias("_first"))
+    )
+    body = F.coalesce(F.nullif("r.text", F.lit("")), F.col("r.excerpt"))
+    norm = tx.passage_norm(body)
+    item = F.struct(
+        (-F.col("r.relevance")).alias("neg"), F.col("_first").alias("first"),
+        F.col("r.start_offset").cast("bigint").alias("s"), F.col("r.end_offset").cast("bigint").alias("e"),
+        norm.alias("n"), tx.passage_tokens(norm).alias("t"), F.col("r").alias("row"),
+    )
+    lists = copies.groupBy("query_id", "_key").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def repeats(x: Column, y: Column) -> Column:
+        return offsets_overlap(y["s"], y["e"], x["s"], x["e"]) | near_duplicate(y["n"], x["n"], y["t"], x["t"])
+
+    def keep_new(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda y: repeats(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+
+    distinct = lists.withColumn("kept", F.aggregate("items", F.slice("items", 1, 0), keep_new))
+    texts = F.filter(
+        F.transform("kept", lambda k: tx.strip(F.coalesce(F.nullif(k["row"]["excerpt"], F.lit("")), k["row"]["text"], F.lit("")))),
+        lambda s: s != "",
+    )
+    best = F.get(F.col("kept"), F.lit(0))["row"]
+    doc = canonical_doc_id(best["document_id"], best["chunk_id"])
+    top = F.max("relevance").over(Window.partitionBy("query_id"))
+    rows = distinct.select(
+        "query_id", F.coalesce(F.concat(F.lit("resource-"), doc), F.concat(F.lit("resource-"), F.col("_key"))).alias("resource_id"),
+        doc.alias("document_id"),
+        F.coalesce(F.nullif(best["display_name"], F.lit("")), best["document_name"]).alias("display_name"),
+        best["filename"].alias("filename"), best["source_type"].alias("source_type"),
+        best["source_id"].alias("source_id"), best["number"].alias("source_number"),
+        merge_passages(texts).alias("excerpt"), F.size("kept").cast("bigint").alias("passages"),
+        best["relevance"].alias("relevance"),
+    )
+    return rows.withColumn("relevance_percent", relevance_percent(F.col("relevance"), top))
+
+
+def relevance_percent(value: Column, top: Column) -> Column:
+    """Share of the answer's best relevance in whole percent."""
+    return F.when(top > 0, F.bround(value / F.nullif(top, F.lit(0.0)) * 100, 0)).otherwise(0).cast("bigint")
+
+
+def merge_passages(texts: Column) -> Column:
+    """Passages joined with blank lines; of two that repeat each other the longer stays in place."""
+    def same(x: Column, y: Column) -> Column:
+        xn, yn = tx.passage_norm(x), tx.passage_norm(y)
+        near = near_duplicate(yn, xn, tx.passage_tokens(yn), tx.passage_tokens(xn))
+        return F.contains(x, y) | F.contains(y, x) | near
+
+    def step(parts: Column, x: Column) -> Column:
+        hit = F.filter(F.transform(parts, lambda p, i: F.when(same(x, p), i)), lambda i: i.isNotNull())
+        at = F.get(hit, F.lit(0))
+        longer = F.transform(parts, lambda p, i: F.when((i == at) & (F.length(x) > F.length(p)), x).otherwise(p))
+        return F.when(F.size(hit) > 0, longer).otherwise(F.concat(parts, F.array(x)))
+
+    return F.array_join(F.aggregate(texts, F.array().cast("array<string>"), step), "\n\n")
+
+
+# --- citations ----------------------------------------------------------------------
+
+# Fields a citation takes from the first chunk that fills them.
+CITATION_FIELDS = (
+    "document_id", "filename", "heading", "law_name", "document_type", "court", "year", "summary", "source_type",
+    "display_name",
+)
+CITATION_KEYWORDS = 12
+
+
+def citation_key() -> Column:
+    doc = canonical_doc_id("document_id", F.coalesce("chunk_id", "id"))
+    cid = F.nullif(F.col("chunk_id"), F.lit(""))
+    law = F.when(F.size("sections") > 0, F.concat(F.lit("law:"), F.nullif("law_name", F.lit("")), F.lit(":"), F.array_join("sections", ",")))
+    return F.coalesce(
+        F.concat(F.lit("doc:"), doc, F.lit(":"), F.col("chunk_index").cast("string")),
+        F.concat(F.lit("doc:"), doc, F.lit(":chunk:"), cid),
+        F.concat(F.lit("doc:"), doc), law,
+        F.concat(F.lit("chunk:"), F.coalesce(F.nullif("id", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 40))),
+    )
+
+
+def unique_values(values: Column) -> Column:
+    """Distinct ignoring case and outer blanks, first spelling kept."""
+    keyed = F.transform(F.filter(values, lambda v: v.isNotNull() & (tx.strip(v) != "")),
+                        lambda v: F.struct(F.lower(tx.strip(v)).alias("k"), v.alias("v")))
+    return F.aggregate(
+        keyed, F.array().cast("array<struct<k:string,v:string>>"),
+        lambda acc, x: F.when(F.exists(acc, lambda y: y["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x))),
+        lambda acc: F.transform(acc, lambda y: y["v"]),
+    )
+
+
+def build_citations(hits: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """Citation cards of an answer; ``hits`` carries the source ``number``.
+
+    With ``used`` only the cited sources count, when any of them exists.
+    """
+    if used is not None:
+        w = Window.partitionBy("query_id")
+        cited = F.coalesce(F.array_contains("sources_used", F.col("number")), F.lit(False))
+        hits = (
+            hits.join(used.select("query_id", "sources_used"), "query_id", "left").withColumn("_cited", cited)
+            .withColumn("_any", F.bool_or("_cited").over(w)).filter(F.col("_cited") | ~F.col("_any"))
+            .drop("_cited", "_any", "sources_used")
+        )
+    empty = F.array().cast("array<string>")
+
+    def first_filled(value: Column) -> Column:
+        return F.min_by(value, F.when(value.cast("string") != "", F.col("number")))
+
+    def ordered(value: Column) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(F.col("number"), value.alias("v")))), lambda s: s["v"])
+
+    first = F.row_number().over(Window.partitionBy("query_id", "_key").orderBy("number")) == 1
+    title = F.when(F.col("_lead"), F.coalesce(F.nullif("display_name", F.lit("")), F.col("title"))).otherwise(F.col("title"))
+    cards = (
+        hits.withColumn("_key", citation_key()).withColumn("_lead", first)
+        .withColumn("_excerpt", preview("text", EXCERPT_LIMIT))
+        .withColumn("_score", F.bround(hit_score(), 4)).withColumn("_cid", F.coalesce("chunk_id", "id"))
+        .groupBy("query_id", "_key").agg(
+            F.max_by("_cid", F.struct("_score", -F.col("number"))).alias("citation_id"),
+            F.max("_score").alias("score"), first_filled(title).alias("title"),
+            *[first_filled(F.col(c)).alias(c) for c in CITATION_FIELDS],
+            F.min_by("_cid", "number").alias("chunk_id"), F.min_by("page_number", "number").alias("page"),
+            F.min_by("source_reference", "number").alias("source_reference"),
+            ordered(F.coalesce("sections", empty)).alias("_sections"), ordered(F.coalesce("keywords", empty)).alias("_keywords"),
+            F.array_distinct(F.filter(ordered(F.col("_excerpt")), lambda e: e.isNotNull())).alias("_parts"),
+            F.count("*").alias("_n"),
+        )
+    )
+    # A card of one chunk keeps its lists as they are; merging removes repeats.
+    sections = F.when(F.col("_n") > 1, unique_values(F.flatten("_sections"))).otherwise(F.flatten("_sections"))
+    capped = F.transform("_keywords", lambda k: F.slice(k, 1, CITATION_KEYWORDS))
+    keywords = F.when(F.col("_n") > 1, F.slice(unique_values(F.flatten(F.concat(F.slice(capped, 1, 1), F.slice("_keywords", 2, 2**30)))), 1, CITATION_KEYWORDS)).otherwise(F.flatten(capped))
+    excerpt = F.when(F.size("_parts") <= 1, F.get("_parts", F.lit(0))).otherwise(preview(F.array_join("_parts", " … "), EXCERPT_LIMIT))
+    return cards.select(
+        "query_id", "citation_id", "title", *CITATION_FIELDS, "chunk_id", "page", "source_reference",
+        sections.alias("sections"), keywords.alias("keywords"), excerpt.alias("excerpt"), "score",
+    )
+
+
+# --- flat source lists ----------------------------------------------------------------
+
+def flat_sources(hits: DataFrame) -> DataFrame:
+    """Best hit per filename, title, law and sections; copies collapse before the shuffle."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("filename", "title", "law_name")],
+                      F.array_join(F.coalesce("sections", F.array().cast("array<string>")), ","))
+    others = [c for c in hits.columns if c != "query_id"]
+    best = F.max_by(F.struct(*others), F.struct(F.coalesce("score", F.lit(0.0)), -F.col("ordinal")))
+    excerpt = F.nullif(F.substring(tx.strip("text"), 1, EXCERPT_LIMIT), F.lit(""))
+    return (
+        hits.groupBy("query_id", key.alias("_key")).agg(best.alias("r")).select("query_id", "r.*")
+        .withColumn("excerpt", excerpt).withColumn("score", F.bround("score", 4))
+    )
+
+
+def citation_label() -> Column:
+    def filled(c: str) -> Column:
+        return F.nullif(F.col(c).cast("string"), F.lit(""))
+
+    name = F.coalesce(filled("title"), filled("law_name"), filled("filename"))
+    sections = F.when(F.size("sections") > 0, F.concat(F.lit("Sections: "), F.array_join("sections", ", ")))
+    return F.concat_ws(" | ", name, sections, filled("court"), F.when(F.col("year") != 0, F.col("year").cast("string")))
+
+
+def inline_citations(hits: DataFrame) -> DataFrame:
+    """Distinct citation labels of a query in order of first use.
+
+    Labels are made distinct before they are collected.
+    """
+    labels = (
+        hits.withColumn("_label", citation_label()).filter(F.col("_label") != "")
+        .groupBy("query_id", "_label").agg(F.min("ordinal").alias("_at"))
+    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_label"))), lambda s: s["_label"])
+    return labels.groupBy("query_id").agg(F.array_join(ordered, "; ").alias("citations"))
+
+
+def top_sources(hits: DataFrame, limit: int = 5) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal"))
+    return hits.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= limit)
+
+
+def used_source_counts(used: DataFrame, sources: DataFrame) -> DataFrame:
+    """How many used source numbers point at each kind of source (repeats count)."""
+    numbers = used.select("query_id", F.explode("sources_used").alias("number"))
+    found = numbers.join(sources.select("query_id", "number", "source_type"), ["query_id", "number"])
+    counts = found.groupBy("query_id").agg(
+        *[F.count_if(F.col("source_type") == k).alias(f"{k}_used") for k in ("legal", "conversation", "matter", "web")]
     )
+    return used.select("query_id").join(counts, "query_id", "left").fillna(0)
