@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidex.functions.text import as_col, strip
+from evidex.functions.text import as_col, const_map, contains_any, strip
 from evidex.rules import authority as r
 
 
-def contains_any(value: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(value, F.lit(w)) for w in words])
-
-
 def classify_authority(source_type="source_type", document_type="document_type", law_name="law_name",
                        court="court", filename="filename", display_name="display_name") -> Column:
     def clean(c) -> Column:
@@ -47,8 +41,7 @@ def classify_authority(source_type="source_type", document_type="document_type",
 
 
 def _lookup(authority: Column | str, position: int) -> Column:
-    pairs = [F.lit(x) for name, values in r.AUTHORITIES.items() for x in (name, values[position])]
-    return F.element_at(F.create_map(*pairs), as_col(authority))
+    return F.element_at(const_map({k: str(v[position]) for k, v in r.AUTHORITIES.items()}), as_col(authority))
 
 
 def authority_rank(authority: Column | str) -> Column:

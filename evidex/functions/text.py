@@ -6,6 +6,9 @@ whole-stage code generation and can be pushed next to the scan.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +31,21 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def const_list(words) -> Column:
+    """A constant array as one literal, however long: plans stay small."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
+def const_map(pairs: dict, value_type: str = "string") -> Column:
+    """A constant map as one literal."""
+    return F.from_json(F.lit(json.dumps(pairs)), f"map<string,{value_type}>")
+
+
+def contains_any(value: Column, words) -> Column:
+    """Whether any of the words occurs as written."""
+    return value.rlike("|".join(re.escape(w) for w in words))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every Unicode white-space character, not only blanks."""
     return F.trim(as_col(c), F.lit(SPACE_CHARS))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
-from evidex.functions.authority import authority_rank, classify_authority, contains_any
+from evidex.functions.authority import authority_rank, classify_authority
+from evidex.functions.text import contains_any
 from evidex.rules import evidence as r
 
 _CITED = rf"(?i){tx.BOUNDARY_BEFORE}(?:section|article|u/s)[{tx.SPACE}]+([0-9A-Za-z\-]+)"
@@ -31,13 +32,13 @@ def question_concepts(question: Column | str) -> Column:
     cited = F.transform(
         F.regexp_extract_all(q, F.lit(_CITED), F.lit(1)), lambda s: F.concat(F.lit("section "), F.lower(s))
     )
-    words = F.filter(F.array(*map(F.lit, r.CONCEPTS)), lambda w: F.contains(F.lower(q), w))
+    words = F.filter(tx.const_list(r.CONCEPTS), lambda w: F.contains(F.lower(q), w))
     return F.array_distinct(F.concat(cited, words))
 
 
 def question_terms(question: Column | str) -> Column:
     words = F.regexp_extract_all(F.lower(tx.as_col(question)), F.lit(r"[a-z0-9\-]+"), F.lit(0))
-    stop = F.array(*map(F.lit, r.QUESTION_STOPWORDS))
+    stop = tx.const_list(r.QUESTION_STOPWORDS)
     return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
 
 

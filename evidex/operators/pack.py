@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.fold import let
 from evidex.functions.authority import authority_rank, classify_authority
 from evidex.operators.rank import hit_score, remove_duplicate_evidence
 from evidex.operators.safety import redact_injections
@@ -213,31 +214,31 @@ def pack_evidence(hits: DataFrame, budgets: DataFrame, mode: str = "scaled") ->
     )
 
     def step(acc: Column, x: Column) -> Column:
-        left = F.element_at(acc["room"], x["slot"])
-        tokens = tokens_of(x["n"], mode)
-        sentences, words = _fit(x["sentences"], left, mode), _fit(x["words"], left, mode)
-        n_sentences, n_words = sentences["kept"], words["kept"]
-        whole = tokens <= left
-        new_document = x["doc"].isNotNull() & ~F.array_contains(acc["docs"], F.coalesce(x["doc"], F.lit("")))
-        must_keep = new_document & (-x["neg"] >= KEEP_SCORE)
-        cut = (must_keep | (tokens <= left * F.lit(SKIP_RATIO))) & ((n_sentences > 0) | (n_words > 0))
-        used = (
-            F.when(whole, tokens)
-            .when(n_sentences > 0, tokens_of(sentences["total"], mode))
-            .otherwise(tokens_of(words["total"], mode))
+        room_left = F.element_at(acc["room"], x["slot"])
+        facts = F.struct(
+            room_left.alias("left"), tokens_of(x["n"], mode).alias("tokens"),
+            _fit(x["sentences"], room_left, mode).alias("s"), _fit(x["words"], room_left, mode).alias("w"),
+        )
+        return let(facts, lambda f: decide(acc, x, f))
+
+    def decide(acc: Column, x: Column, f: Column) -> Column:
+        whole, new_doc = f["tokens"] <= f["left"], x["doc"].isNotNull() & ~F.array_contains(acc["docs"], F.coalesce(x["doc"], F.lit("")))
+        must_keep = new_doc & (-x["neg"] >= KEEP_SCORE)
+        cut = (must_keep | (f["tokens"] <= f["left"] * F.lit(SKIP_RATIO))) & ((f["s"]["kept"] > 0) | (f["w"]["kept"] > 0))
+        used = F.when(whole, f["tokens"]).otherwise(
+            tokens_of(F.when(f["s"]["kept"] > 0, f["s"]["total"]).otherwise(f["w"]["total"]), mode)
         )
         kept = F.struct(
             x["ordinal"].alias("ordinal"), used.alias("tokens"),
-            F.when(whole, F.lit(-1)).otherwise(n_sentences).alias("sentences"),
-            F.when(whole, F.lit(-1)).otherwise(n_words).alias("words"),
+            F.when(whole, F.lit(-1)).otherwise(f["s"]["kept"]).alias("sentences"),
+            F.when(whole, F.lit(-1)).otherwise(f["w"]["kept"]).alias("words"),
         ).cast(decision)
-        slots = F.transform(acc["room"], lambda v, i: F.when(i + 1 == x["slot"], v - used).otherwise(v))
-        grown = F.struct(
-            slots.alias("room"),
+        grown = let(kept, lambda k: F.struct(
+            F.transform(acc["room"], lambda v, i: F.when(i + 1 == x["slot"], v - k["tokens"]).otherwise(v)).alias("room"),
             F.when(x["doc"].isNotNull(), F.array_union(acc["docs"], F.array(x["doc"]))).otherwise(acc["docs"]).alias("docs"),
-            F.concat(acc["out"], F.array(kept)).alias("out"),
-        )
-        return F.when((left > 0) & (whole | cut), grown).otherwise(acc)
+            F.concat(acc["out"], F.array(k)).alias("out"),
+        ))
+        return F.when((f["left"] > 0) & (whole | cut), grown).otherwise(acc)
 
     packed = F.aggregate("items", start, step)["out"]
     kept = lists.select("query_id", F.explode(packed).alias("k")).select(
@@ -515,7 +516,7 @@ def assemble_context(hits: DataFrame) -> DataFrame:
     )
     tier = F.when(kind.isin(*SOURCES), kind).otherwise("legal")
     order = F.expr("CASE _tier WHEN 'legal' THEN 0 WHEN 'conversation' THEN 1 WHEN 'matter' THEN 2 ELSE 3 END")
-    titles = F.create_map(*[F.lit(x) for kv in CONTEXT_TITLES.items() for x in kv])
+    titles = tx.const_map(CONTEXT_TITLES)
     blocks = F.transform(F.sort_array(F.collect_list(F.struct("position", "_block"))), lambda s: s["_block"])
     sections = hits.withColumn("_tier", tier).withColumn("_block", block).groupBy("query_id", "_tier").agg(
         F.array_join(blocks, "\n").alias("_blocks")

@@ -65,7 +65,7 @@ def rerank(hits: DataFrame, queries: DataFrame) -> DataFrame:
     )
     court_hit = (F.col("_court") != "") & F.contains(F.lower("court"), F.col("_court"))
     year_hit = F.col("_year") == F.col("year").cast("string")
-    stop = F.array(*map(F.lit, TOPIC_STOPWORDS))
+    stop = tx.const_list(TOPIC_STOPWORDS)
     long_hit = F.exists("_qt", lambda t: (F.length(t) >= 5) & F.contains(b, t))
     topic_hit = F.exists("_qt", lambda t: (F.length(t) >= 4) & ~F.array_contains(stop, t) & F.contains(b, t))
     source = F.coalesce("source_type", F.lit("legal"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.fold import unique_values
 from evidex.functions.identity import canonical_doc_id, chunk_key, normalize_document_id, resource_key
 from evidex.operators.ingest import preview
 from evidex.operators.rank import hit_order, hit_score, near_duplicate, offsets_overlap, source_reference
@@ -202,17 +203,6 @@ def citation_key() -> Column:
     )
 
 
-def unique_values(values: Column) -> Column:
-    """Distinct ignoring case and outer blanks, first spelling kept."""
-    keyed = F.transform(F.filter(values, lambda v: v.isNotNull() & (tx.strip(v) != "")),
-                        lambda v: F.struct(F.lower(tx.strip(v)).alias("k"), v.alias("v")))
-    return F.aggregate(
-        keyed, F.array().cast("array<struct<k:string,v:string>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: y["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x))),
-        lambda acc: F.transform(acc, lambda y: y["v"]),
-    )
-
-
 def build_citations(hits: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """Citation cards of an answer; ``hits`` carries the source ``number``.
 

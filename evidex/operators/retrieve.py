@@ -229,7 +229,7 @@ def targets_uploads(question: Column | str) -> Column:
 def question_terms(question: Column | str) -> tuple[Column, Column]:
     """Topic words of a question, and those of them that are specific."""
     words = F.regexp_extract_all(F.lower(F.coalesce(tx.as_col(question), F.lit(""))), F.lit(r"[a-z0-9\-]{3,}"), F.lit(0))
-    common, generic = F.array(*map(F.lit, COMMON_TERMS)), F.array(*map(F.lit, GENERIC_TERMS))
+    common, generic = tx.const_list(COMMON_TERMS), tx.const_list(GENERIC_TERMS)
     terms = F.filter(words, lambda w: ~F.array_contains(common, w))
     return terms, F.filter(terms, lambda w: ~F.array_contains(generic, w))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
-from evidex.functions.authority import contains_any
+from evidex.functions.text import contains_any
 from evidex.rules import safety as r
 
 # Unicode-aware word boundaries and white space, case ignored.
@@ -192,24 +192,25 @@ def _redacted(value):
     return [_redacted(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
-def _redact_json(payloads: pd.Series) -> pd.Series:
-    def one(text):
-        if text is None:
-            return None
-        try:
-            return json.dumps(_redacted(json.loads(text)), ensure_ascii=False)
-        except ValueError:
-            return text
+def _redacted_text(text):
+    if text is None:
+        return None
+    try:
+        return json.dumps(_redacted(json.loads(text)), ensure_ascii=False)
+    except ValueError:
+        return text
 
-    return payloads.map(one, na_action="ignore")
+
+def _redact_series(payloads: pd.Series) -> pd.Series:
+    return payloads.map(_redacted_text)
 
 
 def redact_json(payload: Column | str) -> Column:
     """JSON text of any depth.  Only rows naming a sensitive key travel to Python; the rest stay as they are."""
     p = tx.as_col(payload)
     suspect = p.rlike(r.SENSITIVE_KEYS)
-    return F.when(suspect, _redact_json(F.when(suspect, p))).otherwise(p)
+    redact = F.pandas_udf(_redact_series, "string")
+    return F.when(suspect, redact(F.when(suspect, p))).otherwise(p)
 
 
 def truncate_payload(payload: Column | str, max_bytes: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("ingest", "visibility", "retrieval", "grading", "packing")
+_MODULES = ("ingest", "visibility", "retrieval", "grading", "packing", "questions")
 
 
 def _merge(attribute: str) -> dict:

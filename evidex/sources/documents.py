@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.functions.text import const_map
 from evidex.operators.ingest import base_name, file_suffix
 
 TEXT_SUFFIXES = (".txt", ".md", ".csv")
@@ -30,8 +31,7 @@ def decode_utf8(content: Column) -> Column:
 def from_binary_files(files: DataFrame) -> DataFrame:
     """Batch or streaming ``binaryFile`` rows to ``path,name,mime,text,bytes``."""
     suffix = file_suffix("path")
-    mimes = F.create_map(*[F.lit(x) for kv in MIME_BY_SUFFIX.items() for x in kv])
-    mime = F.coalesce(F.get(F.array(mimes[suffix]), F.lit(0)), F.lit("application/octet-stream"))
+    mime = F.coalesce(F.element_at(const_map(MIME_BY_SUFFIX), suffix), F.lit("application/octet-stream"))
     readable = F.startswith(mime, F.lit("text/")) | suffix.isin(*TEXT_SUFFIXES)
     return files.select(
         "path",

@@ -49,8 +49,22 @@ EVENTS = {
 }
 
 
+# Tables whose rows carry text: the work per row is high.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a small file gives fewer scan partitions than there are cores.
+
+    Large tables have far more splits than cores and are left as scanned, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
