@@ -269,6 +269,8 @@ def _has(words) -> str:
     return "(" + " OR ".join(f"contains({_UA}, {lit(x)})" for x in words) + ")"
 
 
+DEVICE = f"""CASE WHEN user_agent = '' THEN 'unknown' WHEN {_has(lg.BOT_WORDS)} THEN 'bot' WHEN {_has(lg.MOBILE_WORDS)} THEN 'mobile'
+  WHEN {_has(lg.TABLET_WORDS)} THEN 'tablet' ELSE 'desktop' END"""
 _HOSTS = "|".join(h.replace(".", r"\.") for h in w.OFFICIAL_HOSTS)
 _OFFICIAL = f"regexp_matches(regexp_replace(lower(regexp_extract({{}}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)', 1)), '^www\\.', ''), '^(?:.*\\.)?(?:{_HOSTS})$')"
 
@@ -292,8 +294,7 @@ ORACLE = {
     "activity_log_count": _R + "SELECT count(*) AS total FROM requests WHERE action = 'click' AND user_id = 'u8'",
     "log_lookup": _R + "SELECT id, request_id, path FROM requests WHERE id = 77 OR request_id = 'r78'",
     "logged_failures": _R + "SELECT id, error_type <> 'HTTPException' OR response_status >= 500 OR response_status IN (401, 403, 409, 422) AS logged FROM requests",
-    "device_info": _R + f"""SELECT id, CASE WHEN user_agent = '' THEN 'unknown' WHEN {_has(lg.BOT_WORDS)} THEN 'bot' WHEN {_has(lg.MOBILE_WORDS)} THEN 'mobile'
-  WHEN {_has(lg.TABLET_WORDS)} THEN 'tablet' ELSE 'desktop' END AS device_type,
+    "device_info": _R + f"""SELECT id, {DEVICE} AS device_type,
   CASE {' '.join(f"WHEN {_has(ws)} THEN {lit(n)}" for ws, n in lg.OS_WORDS)} END AS device_os,
   CASE {' '.join(f"WHEN contains({_UA}, {lit(m)}) THEN {lit(n)}" for m, n in lg.BROWSERS)} ELSE nullif(regexp_extract(user_agent, '([a-zA-Z]+)/[0-9.]+', 1), '') END AS device_browser FROM requests""",
     "client_addresses": _R + "SELECT id, coalesce(trim(string_split(nullif(forwarded_for, ''), ',')[1]), real_ip, peer) AS ip_address FROM requests",
