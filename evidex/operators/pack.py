@@ -196,11 +196,12 @@ def pack_evidence(hits: DataFrame, budgets: DataFrame, mode: str = "scaled") ->
     source = F.lower(F.coalesce("source_type", F.lit("legal")))
     slot = F.when(source == "conversation", 2).when(source == "matter", 3).when(source == "web", 4).otherwise(1)
     unique = remove_duplicate_evidence(hits).withColumn("_score", packing_score())
+    text = F.coalesce("text", F.lit(""))
     item = F.struct(
         (-F.col("_score")).alias("neg"), F.col("ordinal").alias("ordinal"), slot.alias("slot"),
         F.nullif("document_id", F.lit("")).alias("doc"), pieces(F.col("text"), mode).cast("bigint").alias("n"),
-        _counts(_sentences(F.coalesce("text", F.lit(""))), mode).alias("sentences"),
-        _counts(_words(F.coalesce("text", F.lit(""))), mode).alias("words"),
+        _counts(_sentences(text), mode).alias("sentences"), _counts(_words(text), mode).alias("words"),
+        F.struct(*hits.columns, "removed_count").alias("row"),
     )
     room = F.array(*[F.greatest(F.lit(0), F.col(f"{s}_budget")).cast("bigint") for s in SOURCES])
     lists = (
@@ -240,20 +241,22 @@ def pack_evidence(hits: DataFrame, budgets: DataFrame, mode: str = "scaled") ->
         ))
         return F.when((f["left"] > 0) & (whole | cut), grown).otherwise(acc)
 
-    packed = F.aggregate("items", start, step)["out"]
-    kept = lists.select("query_id", F.explode(packed).alias("k")).select(
-        "query_id", F.col("k.ordinal").alias("ordinal"), F.col("k.tokens").alias("packed_tokens"),
-        F.col("k.sentences").alias("_s"), F.col("k.words").alias("_w"),
+    def decided(x: Column) -> Column:
+        return F.get(F.filter("out", lambda o: o["ordinal"] == x["ordinal"]), F.lit(0))
+
+    rows = (
+        lists.withColumn("out", F.aggregate("items", start, step)["out"])
+        .select(F.explode(F.transform("items", lambda x: F.struct(x["row"].alias("row"), decided(x).alias("k")))).alias("x"))
+        .filter(F.col("x.k").isNotNull())
+        .select("x.row.*", F.col("x.k.tokens").alias("packed_tokens"), F.col("x.k.sentences").alias("_s"), F.col("x.k.words").alias("_w"))
     )
-    text = (
+    kept_text = (
         F.when(F.col("_s") < 0, F.col("text"))
         .when(F.col("_s") > 0, tx.strip(F.array_join(F.slice(_sentences(F.col("text")), 1, F.greatest("_s", F.lit(1))), " ")))
         .otherwise(F.array_join(F.slice(_words(F.col("text")), 1, F.greatest("_w", F.lit(1))), " "))
     )
-    return (
-        unique.join(kept, ["query_id", "ordinal"])
-        .withColumn("packed_text", text).withColumn("truncated", F.col("_s") >= 0)
-        .select(*hits.columns, "packed_text", "packed_tokens", "truncated", "removed_count")
+    return rows.withColumn("packed_text", kept_text).withColumn("truncated", F.col("_s") >= 0).select(
+        *hits.columns, "packed_text", "packed_tokens", "truncated", "removed_count"
     )
 
 

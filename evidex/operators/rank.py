@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -191,38 +193,52 @@ def _same_document(x: Column, y: Column) -> Column:
     return by_id | F.coalesce((x["file"] == y["file"]) & (x["file"] != ""), F.lit(False))
 
 
-def near_duplicate_survivors(hits: DataFrame, by: list[str]) -> DataFrame:
-    """Greedy suppression inside each (already cut) result list.
-
-    Visits hits by score and drops one that repeats a kept hit of the same
-    document.  Result lists are bounded by the retrieval limits, so the list is
-    folded in place with ``aggregate``: no pairs are emitted and no Python runs.
-    Callers must cut first; see :func:`select_evidence`.
-    """
+def _item(hits: DataFrame, key: Column) -> Column:
+    """What the folds look at of a hit, in the order of a sort by score; ``row`` is the hit itself."""
     norm = tx.passage_norm("text")
-    item = F.struct(
-        (-hit_score()).alias("neg"), F.col("ordinal").alias("ordinal"),
+    return F.struct(
+        (-hit_score()).alias("neg"), F.col("ordinal").alias("ordinal"), key.alias("key"),
         canonical_doc_id("document_id", F.coalesce("chunk_id", "id")).alias("doc"),
         F.lower(tx.strip("filename")).alias("file"),
         F.col("start_offset").cast("bigint").alias("s"), F.col("end_offset").cast("bigint").alias("e"),
         norm.alias("n"), tx.passage_tokens(norm).alias("t"), F.struct(*hits.columns).alias("row"),
     )
-    lists = hits.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
-    def repeats(x: Column, y: Column) -> Column:
-        return _same_document(x, y) & (
-            offsets_overlap(y["s"], y["e"], x["s"], x["e"]) | near_duplicate(y["n"], x["n"], y["t"], x["t"])
-        )
 
+def _repeats(x: Column, y: Column) -> Column:
+    return _same_document(x, y) & (
+        offsets_overlap(y["s"], y["e"], x["s"], x["e"]) | near_duplicate(y["n"], x["n"], y["t"], x["t"])
+    )
+
+
+def greedy(items: Column, repeats: Callable[[Column, Column], Column] = _repeats) -> Column:
+    """Items kept in order: one that repeats an already kept item is dropped."""
     def step(kept: Column, x: Column) -> Column:
         return F.when(F.exists(kept, lambda y: repeats(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.aggregate("items", F.slice("items", 1, 0), step)
-    return lists.select(F.explode(kept).alias("k")).select("k.row.*")
+    return F.aggregate(items, F.slice(items, 1, 0), step)
+
+
+def first_of_key(items: Column) -> Column:
+    """The first item of every key."""
+    keys = F.transform(items, lambda x: x["key"])
+    return F.filter(items, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
 
 
 def suppress_near_duplicates(hits: DataFrame) -> DataFrame:
-    return near_duplicate_survivors(hits, ["query_id"])
+    """Greedy suppression inside each (already cut) result list.
+
+    Visits hits by score and drops one that repeats a kept hit of the same
+    document.  Result lists are bounded by the retrieval limits, so the list is
+    folded in place: no pairs are emitted and no Python runs.  Callers must cut
+    first; see :func:`select_evidence`.
+    """
+    items = F.sort_array(F.collect_list(_item(hits, F.lit(None).cast("string"))))
+    lists = hits.groupBy("query_id").agg(items.alias("items"))
+    return lists.select(F.explode(greedy(F.col("items"))).alias("k")).select("k.row.*")
+
+
+PRE_CUT_SALTS = 16
 
 
 def select_evidence(hits: DataFrame, limits: DataFrame) -> DataFrame:
@@ -230,6 +246,10 @@ def select_evidence(hits: DataFrame, limits: DataFrame) -> DataFrame:
 
     ``limits(query_id, total_limit, legal_limit, conversation_limit, matter_limit)``.
     Output position follows legal, conversation, matter, web and the score within each.
+
+    The first cut runs on salted parts of each query, so a query holding a large share
+    of all hits is trimmed by many tasks; after it every list has at most 2k rows per
+    tier and the folds work on those.
     """
     tier = F.when(F.col("source_type").isin("conversation", "matter", "web"), F.col("source_type")).otherwise("legal")
     spare = F.greatest(F.lit(0), F.least(F.lit(4), F.col("total_limit") - F.col("legal_limit")))
@@ -240,45 +260,49 @@ def select_evidence(hits: DataFrame, limits: DataFrame) -> DataFrame:
         .otherwise(F.when(spare > 0, spare).otherwise(3))
     )
     order = F.expr("CASE _tier WHEN 'legal' THEN 0 WHEN 'conversation' THEN 1 WHEN 'matter' THEN 2 ELSE 3 END")
-    in_tier = Window.partitionBy("query_id", "_tier").orderBy(*hit_order())
-    across = Window.partitionBy("query_id").orderBy("_order", *hit_order())
-    cut = (
-        hits.withColumn("_tier", tier)
-        .withColumn("_n", F.row_number().over(in_tier))
+
+    def cut(df: DataFrame, *by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*hit_order()))
+        return df.withColumn("_n", place).filter(F.col("_n") <= F.col("_cap") * 2).drop("_n")
+
+    rows = (
+        hits.withColumn("_tier", tier).withColumn("_salt", F.pmod(F.xxhash64("ordinal"), F.lit(PRE_CUT_SALTS)))
         .join(limits.select("query_id", "total_limit", "legal_limit", "conversation_limit", "matter_limit"), "query_id")
-        .withColumn("_cap", cap).withColumn("_order", order)
-        .filter(F.col("_n") <= F.col("_cap") * 2)
-        .drop("legal_limit", "conversation_limit", "matter_limit")
+        .withColumn("_cap", cap)
     )
-    tiered = near_duplicate_survivors(_dedupe_within(cut, "_tier"), ["query_id", "_tier"])
-    tiered = tiered.withColumn("_n", F.row_number().over(in_tier)).filter(F.col("_n") <= F.col("_cap"))
-    merged = near_duplicate_survivors(_dedupe_within(tiered, None), ["query_id"])
-    return (
-        merged.withColumn("position", F.row_number().over(across).cast("bigint"))
-        .filter(F.col("position") <= F.col("total_limit"))
-        .select(*hits.columns, "position")
+    best = cut(cut(rows, "query_id", "_tier", "_salt"), "query_id", "_tier")
+    item = _item(hits, hit_key("document_id", "chunk_id", "chunk_index", "id"))
+    tiered = (
+        best.groupBy("query_id", "_tier", "_cap", "total_limit").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        .select("query_id", "total_limit", order.alias("_order"),
+                F.slice(greedy(first_of_key(F.col("items"))), 1, F.col("_cap").cast("int")).alias("kept"))
+    )
+    # A copy found in several tiers is shown once, in its first tier, with its best score.
+    ranked = F.sort_array(F.flatten(F.collect_list(F.transform("kept", lambda k: F.struct(
+        k["neg"].alias("neg"), F.col("_order").alias("order"), k["ordinal"].alias("ordinal"), k["key"].alias("key"),
+        k["doc"].alias("doc"), k["file"].alias("file"), k["s"].alias("s"), k["e"].alias("e"), k["n"].alias("n"),
+        k["t"].alias("t"), k["row"].alias("row"),
+    )))))
+    merged = tiered.groupBy("query_id", "total_limit").agg(ranked.alias("items")).withColumn(
+        "kept", greedy(first_of_key(F.col("items")))
     )
 
+    def first_tier(k: Column) -> Column:
+        return F.array_min(F.transform(F.filter("items", lambda x: x["key"] == k["key"]), lambda x: x["order"]))
 
-def _dedupe_within(hits: DataFrame, column: str | None) -> DataFrame:
-    """Exact dedupe of bounded lists; across tiers the copy keeps the place of its first tier."""
-    key = hit_key("document_id", "chunk_id", "chunk_index", "id")
-    keys = ["query_id", "_key"] + ([column] if column else [])
-    best = F.max_by(
-        F.struct(*[c for c in hits.columns if c not in keys and c != "_order"]),
-        F.struct(hit_score(), -F.col("_order"), -F.col("ordinal")),
-    )
-    return (
-        hits.withColumn("_key", key).groupBy(*keys).agg(best.alias("_r"), F.min("_order").alias("_order"))
-        .drop("_key").select(*[k for k in keys if k != "_key"], "_r.*", "_order").select(*hits.columns)
+    shown = F.slice(
+        F.sort_array(F.transform("kept", lambda k: F.struct(
+            first_tier(k).alias("order"), k["neg"].alias("neg"), k["ordinal"].alias("ordinal"), k["row"].alias("row")
+        ))), 1, F.col("total_limit").cast("int"),
     )
+    return merged.select(F.posexplode(shown).alias("p", "k")).select("k.row.*", (F.col("p") + 1).cast("bigint").alias("position"))
 
 
 def remove_duplicate_evidence(hits: DataFrame) -> DataFrame:
     """Packing-time dedupe of a selected (bounded) list; adds ``removed_count`` per query.
 
     Key: document and chunk, else document and offsets, else document, index and text.
-    Earlier hits win here, then the greedy score pass runs.
+    Earlier hits win here, then the greedy score pass runs; both fold the same list.
     """
     doc, cid = F.nullif(F.col("document_id"), F.lit("")), F.nullif(F.coalesce("chunk_id", "id"), F.lit(""))
     text = F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 240))
@@ -289,24 +313,19 @@ def remove_duplicate_evidence(hits: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws(":", F.lit("i"), F.coalesce("document_id", F.lit("")),
                                F.coalesce(F.col("chunk_index").cast("string"), F.lit("")), text))
     )
-    norm = tx.passage_norm("text")
-    item = F.struct(
-        F.col("ordinal").alias("ordinal"), key.alias("key"), doc.alias("doc"),
-        norm.alias("n"), tx.passage_tokens(norm).alias("t"), F.struct(*hits.columns).alias("row"),
-    )
-    lists = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    in_order = F.sort_array(F.collect_list(F.struct(F.col("ordinal").alias("at"), doc.alias("own"), _item(hits, key).alias("i"))))
+    lists = hits.groupBy("query_id").agg(in_order.alias("items"))
 
     def repeats(x: Column, y: Column) -> Column:
-        same = F.coalesce(x["doc"] == y["doc"], F.lit(False))
-        return (x["key"] == y["key"]) | (same & near_duplicate(y["n"], x["n"], y["t"], x["t"]))
-
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda y: repeats(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
-
-    unique = lists.select(
-        F.size("items").cast("bigint").alias("_before"),
-        F.explode(F.aggregate("items", F.slice("items", 1, 0), step)).alias("k"),
-    ).select("_before", "k.row.*")
-    final = near_duplicate_survivors(unique, ["query_id"])
-    after = F.count("*").over(Window.partitionBy("query_id"))
-    return final.withColumn("removed_count", F.col("_before") - after).select(*hits.columns, "removed_count")
+        same = F.coalesce(x["own"] == y["own"], F.lit(False))
+        a, b = x["i"], y["i"]
+        return (a["key"] == b["key"]) | (same & near_duplicate(b["n"], a["n"], b["t"], a["t"]))
+
+    by_score = F.sort_array(F.transform("unique", lambda u: u["i"]))
+    final = (
+        lists.withColumn("unique", greedy(F.col("items"), repeats)).withColumn("ranked", by_score)
+        .withColumn("final", greedy(F.col("ranked")))
+    )
+    return final.select(
+        (F.size("items") - F.size("final")).cast("bigint").alias("removed_count"), F.explode("final").alias("k")
+    ).select("k.row.*", "removed_count")

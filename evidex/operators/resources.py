@@ -10,7 +10,9 @@ from evidex.functions import text as tx
 from evidex.functions.fold import unique_values
 from evidex.functions.identity import canonical_doc_id, chunk_key, normalize_document_id, resource_key
 from evidex.operators.ingest import preview
-from evidex.operators.rank import hit_order, hit_score, near_duplicate, offsets_overlap, source_reference
+from evidex.operators.rank import (
+    first_of_key, greedy, hit_order, hit_score, near_duplicate, offsets_overlap, source_reference,
+)
 
 EXCERPT_LIMIT = 800
 
@@ -119,28 +121,28 @@ def build_resources(sources: DataFrame) -> DataFrame:
     """
     ident = chunk_key("document_id", "chunk_id", "chunk_index", "source_id")
     key = resource_key("document_id", "chunk_id", "source_id")
-    copies = (
-        sources.withColumn("_key", key).groupBy("query_id", "_key", ident.alias("_chunk"))
-        .agg(F.max_by(F.struct(*[c for c in sources.columns if c != "query_id"]),
-                      F.struct("relevance", -F.col("number"))).alias("r"),
-             F.min("number").alias("_first"))
-    )
-    body = F.coalesce(F.nullif("r.text", F.lit("")), F.col("r.excerpt"))
-    norm = tx.passage_norm(body)
+    norm = tx.passage_norm(F.coalesce(F.nullif("text", F.lit("")), F.col("excerpt")))
     item = F.struct(
-        (-F.col("r.relevance")).alias("neg"), F.col("_first").alias("first"),
-        F.col("r.start_offset").cast("bigint").alias("s"), F.col("r.end_offset").cast("bigint").alias("e"),
-        norm.alias("n"), tx.passage_tokens(norm).alias("t"), F.col("r").alias("row"),
+        (-F.col("relevance")).alias("neg"), F.col("number").alias("number"), ident.alias("key"),
+        F.col("start_offset").cast("bigint").alias("s"), F.col("end_offset").cast("bigint").alias("e"),
+        norm.alias("n"), tx.passage_tokens(norm).alias("t"),
+        F.struct(*[c for c in sources.columns if c != "query_id"]).alias("row"),
     )
-    lists = copies.groupBy("query_id", "_key").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    lists = sources.groupBy("query_id", key.alias("_key")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def first_place(x: Column) -> Column:
+        return F.array_min(F.transform(F.filter("items", lambda y: y["key"] == x["key"]), lambda y: y["number"]))
+
+    # Equal relevance: the chunk mentioned first leads, whichever of its copies is best.
+    ranked = F.sort_array(F.transform(first_of_key(F.col("items")), lambda x: F.struct(
+        x["neg"].alias("neg"), first_place(x).alias("first"), x["s"].alias("s"), x["e"].alias("e"),
+        x["n"].alias("n"), x["t"].alias("t"), x["row"].alias("row"),
+    )))
 
     def repeats(x: Column, y: Column) -> Column:
         return offsets_overlap(y["s"], y["e"], x["s"], x["e"]) | near_duplicate(y["n"], x["n"], y["t"], x["t"])
 
-    def keep_new(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda y: repeats(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
-
-    distinct = lists.withColumn("kept", F.aggregate("items", F.slice("items", 1, 0), keep_new))
+    distinct = lists.withColumn("ranked", ranked).withColumn("kept", greedy(F.col("ranked"), repeats))
     texts = F.filter(
         F.transform("kept", lambda k: tx.strip(F.coalesce(F.nullif(k["row"]["excerpt"], F.lit("")), k["row"]["text"], F.lit("")))),
         lambda s: s != "",
