@@ -377,9 +377,13 @@ TITLE_LENGTH = 60
 def title_case(text: Column) -> Column:
     """Every run of letters starts with a capital, also after digits and hyphens."""
     runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(
-        F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2**30)))), ""
-    )
+
+    def titled(w: Column) -> Column:
+        # An initial may become two letters; only the first of them stays upper case.
+        first = F.upper(F.substring(w, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 2)), F.lower(F.substring(w, 2, 2**30)))
+
+    return F.array_join(F.transform(runs, titled), "")
 
 
 def conversation_title(message: Column | str) -> Column:

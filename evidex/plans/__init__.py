@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("ingest", "visibility", "retrieval", "grading", "packing", "questions", "answers", "contracts", "logs", "streams")
+_MODULES = ("ingest", "visibility", "retrieval", "grading", "packing", "questions", "answers", "contracts", "logs", "streams", "walks", "checks")
 
 
 def _merge(attribute: str) -> dict:
