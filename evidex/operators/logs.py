@@ -6,9 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.slices import positions
 from evidex.functions.text import contains_any
 
 # Paths that are not logged, and requests per minute by kind of path.
@@ -102,23 +102,24 @@ def loggable(requests: DataFrame) -> DataFrame:
 
 # --- entity listings ------------------------------------------------------------------
 
-def _position(*by: str, order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")
-
-
 def conversations_of_users(conversations: DataFrame) -> DataFrame:
     """Position of every conversation in its owner's list: latest message first, silent ones last."""
     order = [F.desc_nulls_last("last_message_at"), F.desc("updated_at"), F.asc("conversation_id")]
-    return conversations.withColumn("position", _position("user_id", order=order))
+    return positions(conversations, ["user_id"], F.date_trunc("month", "last_message_at"), order)
 
 
 def conversations_of_matters(conversations: DataFrame) -> DataFrame:
     rows = conversations.filter(F.col("matter_id").isNotNull())
-    return rows.withColumn("position", _position("matter_id", order=[F.desc("updated_at"), F.asc("conversation_id")]))
+    return positions(rows, ["matter_id"], F.date_trunc("month", "updated_at"), [F.desc("updated_at"), F.asc("conversation_id")])
+
+
+MESSAGE_BUCKET = 86_400
 
 
 def messages_in_order(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("position", _position("conv_id", order=[F.asc("created_at"), F.asc("turn")]))
+    """``created_at`` in seconds."""
+    bucket = F.floor(F.col("created_at") / MESSAGE_BUCKET)
+    return positions(messages, ["conv_id"], bucket, [F.asc("created_at"), F.asc("turn")], newest_first=False)
 
 
 def latest_messages(messages: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def latest_messages(messages: DataFrame) -> DataFrame:
 
 
 def matters_of_users(matters: DataFrame) -> DataFrame:
-    return matters.withColumn("position", _position("owner_id", order=[F.desc("updated_at"), F.asc("matter_id")]))
+    return positions(matters, ["owner_id"], F.date_trunc("month", "updated_at"), [F.desc("updated_at"), F.asc("matter_id")])
 
 
 def titles_taken(requested: DataFrame, matters: DataFrame) -> DataFrame:

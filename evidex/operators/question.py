@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from evidex.functions import text as tx
 from evidex.functions.text import contains_any
 from evidex.functions.fold import unique_values
+from evidex.functions.slices import sliced
 from evidex.rules import questions as r
 
 _I = "(?iU)"
@@ -264,16 +265,6 @@ def legal_terms(query: Column) -> Column:
 # --- conversation context --------------------------------------------------------------------
 
 CONTEXT_MESSAGES, RECENT_MESSAGES = 10, 6
-SLICE_TURNS = 1024
-
-
-def _sliced(messages: DataFrame, lookback: int) -> DataFrame:
-    """Conversations cut into slices of consecutive turns, each led by the turns it looks back to."""
-    own = F.floor(F.col("turn") / SLICE_TURNS).cast("bigint")
-    late = F.col("turn") % SLICE_TURNS >= SLICE_TURNS - lookback
-    return messages.withColumn("_own", own).withColumn(
-        "_slice", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))
-    )
 
 
 def active_context(messages: DataFrame) -> DataFrame:
@@ -313,7 +304,7 @@ def active_context(messages: DataFrame) -> DataFrame:
         return unique_values(F.flatten(F.collect_list(c).over(context)))
 
     built = (
-        _sliced(parsed, CONTEXT_MESSAGES)
+        sliced(parsed, CONTEXT_MESSAGES)
         .withColumns({
             "statutes": over_context("_statutes"), "cases": over_context("_cases"), "documents": over_context("_documents"),
             "issue": F.first("_issue", ignorenulls=True).over(context),

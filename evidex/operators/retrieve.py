@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
 from evidex.functions.identity import canonical_doc_id
+from evidex.functions.slices import sliced
 from evidex.operators.ingest import derive_author, derive_display_name
 
 # Default result sizes.
@@ -101,10 +102,10 @@ def build_memories(exchanges: DataFrame) -> DataFrame:
 
 def exchanges_from_messages(messages: DataFrame) -> DataFrame:
     """Each assistant turn with the user turn right before it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    w = Window.partitionBy("conv_id", "_slice").orderBy("turn")
     return (
-        messages.withColumn("_role", F.lag("role").over(w)).withColumn("question", F.lag("text").over(w))
-        .filter((F.col("role") == "assistant") & (F.col("_role") == "user"))
+        sliced(messages, 1).withColumn("_role", F.lag("role").over(w)).withColumn("question", F.lag("text").over(w))
+        .filter((F.col("_slice") == F.col("_own")) & (F.col("role") == "assistant") & (F.col("_role") == "user"))
         .select(
             F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("exchange_id"),
             "user_id", "matter_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conversation_id"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.slices import sliced
 from evidex.functions.text import contains_any
 from evidex.rules import safety as r
 
@@ -128,8 +129,6 @@ def screen(messages: DataFrame, in_case: Column | None = None, text_col: str = "
 
 
 CRIME_LOOKBACK, LEGAL_LOOKBACK = 6, 12
-# Turns per slice of a conversation; a slice carries the turns just before it.
-SLICE_TURNS = 1024
 
 
 def screen_conversations(messages: DataFrame, in_case: Column | None = None) -> DataFrame:
@@ -139,16 +138,12 @@ def screen_conversations(messages: DataFrame, in_case: Column | None = None) ->
     consecutive turns, each preceded by a copy of the last twelve of the slice
     before; a conversation of any length spreads over many tasks.
     """
-    slices = F.floor(F.col("turn") / SLICE_TURNS).cast("bigint")
-    late = F.col("turn") % SLICE_TURNS >= SLICE_TURNS - LEGAL_LOOKBACK
     facts = message_facts(messages).withColumn("_case", in_case if in_case is not None else F.lit(False))
-    copies = F.when(late, F.array(slices, slices + 1)).otherwise(F.array(slices))
-    sliced = facts.withColumn("_own", slices).withColumn("_slice", F.explode(copies))
     w = Window.partitionBy("conv_id", "_slice").orderBy("turn")
     last_user = F.last(F.when(F.col("role") == "user", F.col("f_crime")), ignorenulls=True)
     seen_legal = F.bool_or((F.col("norm") != "") & F.col("f_legal"))
     with_history = (
-        sliced.withColumn("_crime", F.coalesce(last_user.over(w.rowsBetween(-CRIME_LOOKBACK, -1)), F.lit(False)))
+        sliced(facts, LEGAL_LOOKBACK).withColumn("_crime", F.coalesce(last_user.over(w.rowsBetween(-CRIME_LOOKBACK, -1)), F.lit(False)))
         .withColumn("_legal", F.coalesce(seen_legal.over(w.rowsBetween(-LEGAL_LOOKBACK, -1)), F.lit(False)))
         .filter((F.col("_slice") == F.col("_own")) & (F.col("role") == "user"))
     )

@@ -8,7 +8,7 @@ only join the windows of one of them.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.operators.ingest import chunk_body
@@ -92,41 +92,48 @@ def best_text(children: list[str], parents: list[str]) -> tuple[str, int]:
     return max(options, key=lambda o: start_rank(o[0]), default=("", 0))
 
 
-def _document_text(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values(["chunk_index", "neg_length", "ordinal"], kind="stable")
-    parents = pdf.sort_values("ordinal").loc[lambda d: d["parent"], "body"].tolist()
-    children = rows.loc[~rows["parent"], "body"].tolist()
-    text, count = best_text(children, parents)
-    return pd.DataFrame(
-        {"document_id": [pdf["document_id"].iloc[0]], "text": [text], "chunk_count": [count]}
-    )
+def _texts_series(children: pd.Series, parents: pd.Series) -> pd.DataFrame:
+    best = [best_text(list(c), list(p)) for c, p in zip(children, parents)]
+    return pd.DataFrame(best, columns=["text", "chunk_count"])
 
 
 def best_document_text(points: DataFrame) -> DataFrame:
     """One row per document: rebuilt text and number of windows used.
 
-    Copies of a window (same chunk id, else same body) are removed before the
-    shuffle into the fold.
+    Copies of a window (same chunk id, else same body) collapse before the shuffle, and
+    a document of one window needs no joining, so it never leaves the JVM.
     """
     body = chunk_body()
     parent = F.coalesce(F.col("is_parent"), F.lit(False)) | (
         F.lower(F.coalesce(F.col("chunk_role"), F.lit(""))) == "parent"
     )
     identity = F.coalesce(F.nullif(F.trim("chunk_id"), F.lit("")), body)
-    rows = (
+    windows = (
         points.select(
-            "document_id", "ordinal", body.alias("body"), parent.alias("parent"),
-            identity.alias("_id"),
+            "document_id", "ordinal", body.alias("body"), parent.alias("parent"), identity.alias("_id"),
             F.coalesce(F.col("chunk_index"), F.lit(0)).cast("bigint").alias("chunk_index"),
         )
         .filter(F.col("body") != "")
         .groupBy("document_id", "_id")
-        .agg(F.min_by(F.struct("body", "parent", "chunk_index"), "ordinal").alias("r"),
-             F.min("ordinal").alias("ordinal"))
-        .select("document_id", "ordinal", "r.*", (-F.length("r.body")).alias("neg_length"))
+        .agg(F.min_by(F.struct("body", "parent", "chunk_index"), "ordinal").alias("r"), F.min("ordinal").alias("ordinal"))
+    )
+
+    def bodies(of_parents: bool, *order: Column) -> Column:
+        item = F.when(F.col("r.parent") == of_parents, F.struct(*order, F.col("r.body").alias("body")))
+        return F.transform(F.sort_array(F.collect_list(item)), lambda s: s["body"])
+
+    lists = windows.groupBy("document_id").agg(
+        bodies(False, F.col("r.chunk_index").alias("i"), (-F.length("r.body")).alias("l"), F.col("ordinal").alias("o")).alias("children"),
+        bodies(True, F.col("ordinal").alias("o")).alias("parents"),
     )
-    return rows.groupBy("document_id").applyInPandas(
-        _document_text, "document_id string, text string, chunk_count bigint"
+    alone = F.size("children") + F.size("parents") == 1
+    join = F.pandas_udf(_texts_series, "text string, chunk_count bigint")
+    empty = F.array().cast("array<string>")
+    joined = join(F.when(alone, empty).otherwise(F.col("children")), F.when(alone, empty).otherwise(F.col("parents")))
+    only = F.get(F.concat("children", "parents"), F.lit(0))
+    return lists.withColumn("_j", joined).select(
+        "document_id", F.when(alone, only).otherwise(F.col("_j.text")).alias("text"),
+        F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("_j.chunk_count")).alias("chunk_count"),
     )
 
 

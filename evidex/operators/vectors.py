@@ -15,6 +15,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,15 +73,23 @@ def _batch_candidates(scores: np.ndarray, ids: np.ndarray, limits: np.ndarray) -
     return pd.concat(parts) if parts else pd.DataFrame({"q": [], "chunk_id": [], "score": []})
 
 
-def _scan(block: QueryBlock, tiers: list[Tier]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _matrix(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """The vectors of an Arrow batch as one matrix, without a Python object per row."""
+    column = batch.column("embedding")
+    if pc.any(pc.not_equal(pc.list_value_length(column), size)).as_py():
+        raise ValueError(f"stored vectors must have {size} numbers; see validate_vectors")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _scan(block: QueryBlock, tiers: list[Tier]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, pd.DataFrame] = {}
         limits = {t.name: t.limit(block.attrs).astype(int) for t in tiers}
-        for rows in batches:
-            if rows.empty:
+        for batch in batches:
+            if not len(batch):
                 continue
-            vectors = _unit(np.vstack(rows["embedding"].to_numpy()).astype(np.float64))
-            scores = np.round(vectors @ block.matrix.T, SCORE_DIGITS)
+            scores = np.round(_unit(_matrix(batch, block.matrix.shape[1])) @ block.matrix.T, SCORE_DIGITS)
+            rows = batch.select([n for n in batch.schema.names if n != "embedding"]).to_pandas()
             ids = rows["chunk_id"].to_numpy()
             for tier in tiers:
                 mask = tier.mask(rows, block.attrs)
@@ -90,10 +100,10 @@ def _scan(block: QueryBlock, tiers: list[Tier]) -> Callable[[Iterator[pd.DataFra
                     kept[tier.name] = _best(pd.concat(pool), dict(enumerate(limits[tier.name])))
         for name, frame in kept.items():
             q = frame["q"].to_numpy(dtype=int)
-            yield pd.DataFrame(
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(
                 {"query_id": block.ids[q], "tier": name, "chunk_id": frame["chunk_id"].to_numpy(),
                  "score": frame["score"].to_numpy(dtype=float), "tier_limit": limits[name][q]}
-            )
+            ), preserve_index=False)
 
     return run
 
@@ -120,7 +130,7 @@ def tiered_topk(queries: DataFrame, chunks: DataFrame, tiers: list[Tier],
     schema = f"query_id {id_type}, tier string, chunk_id {chunk_type}, score double, tier_limit long"
     needed = ["chunk_id", "embedding"] + sorted({c for t in tiers for c in t.columns})
     rows = chunks.filter(F.size("embedding") > 0).select(*needed)
-    parts = [rows.mapInPandas(_scan(block, tiers), schema) for block in _blocks(queries, attrs)]
+    parts = [rows.mapInArrow(_scan(block, tiers), schema) for block in _blocks(queries, attrs)]
     if not parts:
         return rows.sparkSession.createDataFrame([], schema.replace("tier_limit long", "rank long"))
     place = F.row_number().over(

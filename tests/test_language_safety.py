@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from evidex.functions.slices import SLICE_TURNS
 from evidex.operators import language as lang
 from evidex.operators import question as q
 from evidex.operators import safety as s
@@ -49,7 +50,7 @@ def test_history_rules(rows):
 
 
 def test_history_across_slices(rows):
-    n = s.SLICE_TURNS
+    n = SLICE_TURNS
     talk = [(t, "user" if t % 2 == 0 else "assistant", "what is bail" if t == n - 2 else "xyzzy") for t in range(n - 6, n + 14)]
     df = rows([("a", t, r, x) for t, r, x in talk], "conv_id string, turn bigint, role string, text string")
     got = {x["turn"]: x["decision"] for x in s.screen_conversations(df).collect()}
