@@ -66,8 +66,8 @@ def concept_coverage(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """Per question the concepts its evidence covers, those it misses and the ratio."""
     q = questions.select("query_id", question_concepts("question").alias("concepts"))
     found = (
-        hits.join(q.filter(F.size("concepts") > 0), "query_id")
-        .select("query_id", F.explode(F.filter("concepts", lambda c: concept_in(c, _corpus_text()))).alias("concept"))
+        hits.withColumn("_t", _corpus_text()).join(q.filter(F.size("concepts") > 0), "query_id")
+        .select("query_id", F.explode(F.filter("concepts", lambda c: concept_in(c, F.col("_t")))).alias("concept"))
         .groupBy("query_id").agg(F.collect_set("concept").alias("found"))
     )
     present = hits.select("query_id").distinct().withColumn("has_hits", F.lit(True))
@@ -88,12 +88,12 @@ def _with_question(hits: DataFrame, questions: DataFrame) -> DataFrame:
     q = questions.select(
         "query_id", question_concepts("question").alias("_concepts"), question_terms("question").alias("_terms")
     )
-    return hits.join(q, "query_id")
+    # Lower-cased once here; the tests below look into it for every term.
+    return hits.withColumn("_t", F.lower(F.coalesce("text", F.lit("")))).join(q, "query_id")
 
 
 def evidence_relevance(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    text = F.lower(F.coalesce("text", F.lit("")))
-    terms, concepts = F.col("_terms"), F.col("_concepts")
+    text, terms, concepts = F.col("_t"), F.col("_terms"), F.col("_concepts")
     hit_terms = F.size(F.filter(terms, lambda t: F.contains(text, t)))
     hit_concepts = F.size(F.filter(concepts, lambda c: concept_in(c, text)))
     room = F.greatest(F.size(terms), F.lit(1)) + F.greatest(F.size(concepts), F.lit(1))
@@ -240,8 +240,7 @@ def simple_strength(hits: DataFrame, modes: DataFrame) -> DataFrame:
 
 def evidence_items(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """Every hit with authority, support strength, role and its place in the bundle."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    concepts = F.col("_concepts")
+    text, concepts = F.col("_t"), F.col("_concepts")
     covered = F.size(F.filter(concepts, lambda c: F.contains(text, c)))
     share = F.when(F.size(concepts) > 0, covered / F.size(concepts)).otherwise(F.col("relevance"))
     support = F.when(text == "", 0.0).otherwise(

@@ -326,15 +326,15 @@ def active_issue(messages: DataFrame) -> DataFrame:
 
 def compressed_forms(text: Column) -> Column:
     """Ever shorter one-line forms of a message around its legal cue, longest first."""
-    flat = tx.collapse(text)
-    cue = F.regexp_instr(flat, F.lit(ISSUE_PATTERN))
-    body = F.when(cue > 0, F.substring(flat, F.greatest(F.lit(1), cue - CUE_LEAD), F.lit(COMPRESSED_CHARS))).otherwise(
-        F.substring(flat, 1, COMPRESSED_CHARS)
-    )
-    cuts = F.transform(
+    def around_cue(f: Column) -> Column:
+        cue = F.regexp_instr(f, F.lit(ISSUE_PATTERN))
+        return F.substring(f, F.greatest(F.lit(1), cue - CUE_LEAD), F.lit(COMPRESSED_CHARS))
+
+    body = let(tx.collapse(text), around_cue)
+    cuts = let(body, lambda text: F.transform(
         F.sequence(F.lit(0), F.lit(COMPRESSED_CHARS), F.lit(COMPRESS_STEP)),
-        lambda c: F.substring(body, F.lit(1), F.greatest(F.lit(0), F.length(body) - c)),
-    )
+        lambda c: F.substring(text, F.lit(1), F.greatest(F.lit(0), F.length(text) - c)),
+    ))
     return F.transform(F.filter(cuts, lambda s: s != ""), lambda s: F.concat(F.lit(COMPRESS_PREFIX), s))
 
 

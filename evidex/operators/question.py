@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
 from evidex.functions.text import contains_any
-from evidex.functions.fold import unique_values
+from evidex.functions.fold import let, unique_values
 from evidex.functions.slices import sliced
 from evidex.rules import questions as r
 
@@ -135,24 +135,25 @@ def route(questions: DataFrame) -> DataFrame:
 # --- complexity and plan -----------------------------------------------------------------
 
 def complexity(question: Column, task: Column, mixed: Column, document: Column, follow_up: Column) -> Column:
-    lower = F.lower(one_line(question))
-    words = word_count(lower)
-    sections = F.transform(F.regexp_extract_all(lower, F.lit(_I + r.COMPLEXITY_SECTION), F.lit(1)), lambda s: F.lower(s))
-    named = F.filter(tx.const_list(r.COMPLEXITY_CONCEPTS), lambda w: F.contains(lower, w))
-    concepts = F.size(F.array_distinct(sections)) + F.size(named)
-    research = contains_any(lower, r.RESEARCH_MARKERS)
-    simple = lower.rlike(_I + "|".join(r.SIMPLE_PATTERNS))
-    return (
-        F.when(mixed | contains_any(lower, r.COMPLEX_MARKERS), "complex")
-        .when(follow_up & (words <= 12) & contains_any(lower, r.FOLLOW_UP_PHRASES), "research")
-        .when(simple, "simple")
-        .when(document & ~research & (words <= 14), "simple")
-        .when(concepts >= 3, "complex")
-        .when(research | ((concepts >= 2) & F.contains(lower, F.lit("?"))), "research")
-        .when(F.coalesce(task.isin(*r.COMPLEX_TASKS), F.lit(False)), "complex")
-        .when((words <= 10) & (concepts <= 1), "simple")
-        .otherwise("research")
-    )
+    def level(lower: Column) -> Column:
+        words = word_count(lower)
+        sections = F.transform(F.regexp_extract_all(lower, F.lit(_I + r.COMPLEXITY_SECTION), F.lit(1)), lambda s: F.lower(s))
+        named = F.filter(tx.const_list(r.COMPLEXITY_CONCEPTS), lambda w: F.contains(lower, w))
+        concepts = F.size(F.array_distinct(sections)) + F.size(named)
+        research = contains_any(lower, r.RESEARCH_MARKERS)
+        return (
+            F.when(mixed | contains_any(lower, r.COMPLEX_MARKERS), "complex")
+            .when(follow_up & (words <= 12) & contains_any(lower, r.FOLLOW_UP_PHRASES), "research")
+            .when(lower.rlike(_I + "|".join(r.SIMPLE_PATTERNS)), "simple")
+            .when(document & ~research & (words <= 14), "simple")
+            .when(concepts >= 3, "complex")
+            .when(research | ((concepts >= 2) & F.contains(lower, F.lit("?"))), "research")
+            .when(F.coalesce(task.isin(*r.COMPLEX_TASKS), F.lit(False)), "complex")
+            .when((words <= 10) & (concepts <= 1), "simple")
+            .otherwise("research")
+        )
+
+    return let(F.lower(one_line(question)), level)
 
 
 def plan(questions: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def adjacent_duplicate_pairs(chunks: DataFrame) -> DataFrame:
     pairs = rows.withColumn("b", F.lead(me).over(w)).filter(F.col("b").isNotNull())
     offsets = offsets_overlap(F.col("start_offset"), F.col("end_offset"), F.col("b.start_offset"), F.col("b.end_offset"))
     a_tokens, b_tokens = tx.passage_tokens(F.col("n")), tx.passage_tokens(F.col("b.n"))
-    return pairs.withColumn("jaccard", F.bround(tx.jaccard(a_tokens, b_tokens), 6)).withColumn(
+    return pairs.withColumn("jaccard", tx.jaccard(a_tokens, b_tokens)).withColumn(
         "duplicate", offsets | near_duplicate(F.col("n"), F.col("b.n"), a_tokens, b_tokens)
     ).filter("duplicate").select(
         "document_id", F.col("chunk_index").alias("left_index"), F.col("b.chunk_index").alias("right_index"), "jaccard"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
-from evidex.functions.fold import unique_values
+from evidex.functions.fold import let, unique_values
 from evidex.functions.identity import canonical_doc_id, chunk_key, normalize_document_id, resource_key
 from evidex.operators.ingest import preview
 from evidex.operators.rank import (
@@ -74,11 +74,11 @@ def mentions_section(section: Column) -> Column:
     names = [F.coalesce(F.col(c), F.lit("")) for c in ("law_name", "filename", "document_name", "source_reference")]
     sections = F.concat_ws(" ", F.coalesce("sections", F.array().cast("array<string>")))
     blob = F.lower(tx.normalize_hyphens(F.concat_ws(" ", *filled, sections, *names)))
-    bare = F.replace(blob, F.lit("-"), F.lit(""))
-    return F.exists(
+    forms = let(blob, lambda t: F.struct(t.alias("text"), F.replace(t, F.lit("-"), F.lit("")).alias("bare")))
+    return let(forms, lambda f: F.exists(
         tx.section_needles(section),
-        lambda n: F.contains(blob, n) | F.contains(bare, F.replace(n, F.lit("-"), F.lit(""))),
-    )
+        lambda n: F.contains(f["text"], n) | F.contains(f["bare"], F.replace(n, F.lit("-"), F.lit(""))),
+    ))
 
 
 def resource_sources(sources: DataFrame, hints: DataFrame) -> DataFrame:

@@ -268,10 +268,10 @@ def suppress_unrelated_private(hits: DataFrame, questions: DataFrame) -> DataFra
     parts = [F.nullif(F.col(c), F.lit("")) for c in ("text", "filename", "title", "display_name")]
     score = F.coalesce(F.nullif("relevance_score", F.lit(0.0)), F.col("score"), F.lit(0.0))
     private = F.coalesce(F.col("source_type"), F.lit("")).isin("conversation", "matter")
-    marked = hits.join(q, "query_id").select(
-        *[hits[c] for c in hits.columns], "_about_uploads", "_authority", "_pinned",
+    marked = hits.withColumn("_x", F.lower(F.concat_ws(" ", *parts))).join(q, "query_id").select(
+        *hits.columns, "_about_uploads", "_authority", "_pinned",
         private.alias("_private"),
-        (private & matches_question(F.lower(F.concat_ws(" ", *parts)), score, F.col("_terms"), F.col("_specific"))).alias("_match"),
+        (private & matches_question(F.col("_x"), score, F.col("_terms"), F.col("_specific"))).alias("_match"),
     )
     facts = marked.groupBy("query_id").agg(
         F.bool_or(F.coalesce(F.col("source_type"), F.lit("legal")) == "legal").alias("_legal"),

@@ -251,7 +251,7 @@ def passage_similarity(spark, d):
 
 def adjacent_duplicates(spark, d):
     wide = chunks(spark, d).withColumn("end_offset", F.expr("end_offset + CASE WHEN doc_id % 3 = 0 THEN 600 ELSE 0 END"))
-    return r.adjacent_duplicate_pairs(wide).withColumn("jaccard", F.round("jaccard", 6))
+    return r.adjacent_duplicate_pairs(wide).withColumn("jaccard", F.round("jaccard", 10))
 
 
 def _cut(spark, d, k):
@@ -480,7 +480,7 @@ SELECT document_id, chunk_index, md5(n) AS norm_md5, round(jac, 10) AS jaccard F
 ORACLE["adjacent_duplicates"] = with_ctes(ADJACENT_CTE) + """
 , o AS (SELECT *, CASE WHEN length(n) <= length(bn) THEN n ELSE bn END AS sh, CASE WHEN length(n) <= length(bn) THEN bn ELSE n END AS lo,
    least(e1, e2) - greatest(s1, s2) AS shared, least(e1 - s1, e2 - s2) AS span FROM pair)
-SELECT document_id, chunk_index AS left_index, bi AS right_index, round(jac, 6) AS jaccard FROM o
+SELECT document_id, chunk_index AS left_index, bi AS right_index, round(jac, 10) AS jaccard FROM o
 WHERE (shared > 0 AND span > 0 AND CAST(shared AS DOUBLE) / span >= 0.55) OR n = bn
  OR (length(sh) < 60 AND contains(lo, sh))
  OR (length(sh) >= 60 AND jac >= CASE WHEN contains(lo, substring(sh, 1, 180)) THEN 0.82 ELSE 0.9 END)"""
