@@ -75,7 +75,9 @@ def legal_metadata(filters: dict[str, str] | None) -> Column:
     tests = [F.lit(True)]
     year, court = (filters or {}).get("year"), (filters or {}).get("court")
     if year:
-        tests.append(F.col("year").cast("string") == str(year).strip())
+        # A plain comparison with a number is pushed to the scan.
+        text = str(year).strip()
+        tests.append(F.col("year") == int(text) if text.isdigit() else F.col("year").cast("string") == text)
     if court:
         tests.append(F.col("court") == court)
     return reduce(lambda a, b: a & b, tests)

@@ -242,6 +242,11 @@ def prepare_embedding_input(df: DataFrame, task: str = "search_document") -> Dat
     return df.filter(~tx.is_blank("text")).withColumn("embedding_input", prefixed)
 
 
+def embed(df: DataFrame, embed_fn, task: str = "search_document") -> DataFrame:
+    """Rows with ``embedding`` from a caller's vectorised function (a pandas UDF over texts)."""
+    return prepare_embedding_input(df, task).withColumn("embedding", embed_fn(F.col("embedding_input"))).drop("embedding_input")
+
+
 def validate_vectors(df: DataFrame, dim: int) -> DataFrame:
     """Quarantine frame: rows whose vector is missing or of the wrong length."""
     size = F.coalesce(F.size(F.col("embedding")), F.lit(0))

@@ -11,7 +11,8 @@ from evidex.plans import streams as ps
 from evidex.plans.common import DOCS_CTE, QUOTED_SPACE, collapse, lit, strip, with_ctes
 from evidex.plans.hits import HITS_CTE, case
 from evidex.plans.ingest import _LINES, _STEM, _by
-from evidex.plans.packing import CUED_CTE, ISSUE, pieces, scaled
+from evidex.operators.pack import CONTEXT_HEADER
+from evidex.plans.packing import _BLOCK, _REF, _TITLES, CUED_CTE, ISSUE, excerpt, pieces, scaled
 from evidex.plans.walks import SELECTED
 from evidex.rules import answers as ra
 from evidex.rules import language as rl
@@ -318,3 +319,46 @@ ORACLE["result_links"] = """
 SELECT page_id, CAST(0 AS BIGINT) AS position, 'https://www.supremecourt.gov.pk/case/' || page_id AS url, 'Case ' || page_id || ' & more' AS title,
   'On bail <' || page_id || '>' AS snippet, CAST(0.85 AS DOUBLE) AS score, true AS official FROM pages
 UNION ALL SELECT page_id, 1, url, url, 'second', CAST(0.78 AS DOUBLE), false FROM pages"""
+
+# --- guarded answers, contexts, citation cards ---------------------------------------------------------
+ORACLE["guard_answers"] = f"""{SELECTED},
+{GROUNDED_CTE},
+ga AS (SELECT conv_id, turn, count(*) FILTER (status IN ('unsupported', 'contradicted')) AS u, count(*) FILTER (status = 'partial') AS p, count(*) FILTER (status = 'supported') AS s,
+   count(*) FILTER (status = 'contradicted') AS x, list(claim ORDER BY claim_index) FILTER (status IN ('unsupported', 'contradicted') AND {m('claim', ra.CASE)}
+     AND (length(claim) < 80 OR {m('claim', '^(?:' + ra.CASE + ')$')})) AS inv FROM grounded GROUP BY 1, 2),
+gj AS (SELECT a.conv_id, a.turn, answer, document_mode, evidence_strength, coalesce(u, 0) AS u, coalesce(p, 0) AS p, coalesce(s, 0) AS s, coalesce(x, 0) AS x, coalesce(inv, []) AS inv
+   FROM answers a LEFT JOIN ga USING (conv_id, turn)),
+gs AS (SELECT *, CASE WHEN document_mode THEN CASE WHEN u > 0 THEN 'partial' ELSE 'strong' END WHEN u > 0 AND s = 0 AND p = 0 THEN 'insufficient'
+   WHEN u > 0 OR p > 0 THEN 'partial' WHEN evidence_strength = 'weak' THEN 'partial' ELSE 'strong' END AS st FROM gj)
+SELECT conv_id, turn, st AS grounding_status, s AS supported, p AS partial, u AS unsupported, x AS contradicted,
+  md5({strip("CASE WHEN NOT document_mode AND st <> 'strong' AND u > 0 THEN list_reduce(list_prepend(answer, inv), lambda t, c: replace(t, c, '" + ra.UNVERIFIED + "')) ELSE answer END")}) AS answer_md5
+FROM gs"""
+ORACLE["assemble_context"] = f"""{SELECTED},
+bk AS (SELECT query_id, position, coalesce(source_type, 'legal') AS tier, {_BLOCK} AS b FROM shown),
+se AS (SELECT query_id, tier, CASE tier WHEN 'legal' THEN 0 WHEN 'conversation' THEN 1 WHEN 'matter' THEN 2 ELSE 3 END AS o,
+   {_TITLES} || chr(10) || chr(10) || string_agg(b, chr(10) ORDER BY position) AS s FROM bk GROUP BY 1, 2),
+cx AS (SELECT query_id, {lit(CONTEXT_HEADER)} || string_agg(s, chr(10) || chr(10) ORDER BY o) AS c FROM se GROUP BY 1)
+SELECT query_id, md5(c) AS context_md5, CAST(length(c) AS BIGINT) AS size FROM cx"""
+
+
+def _first(x: str) -> str:
+    return f"(list({x} ORDER BY number) FILTER (CAST({x} AS VARCHAR) <> ''))[1]"
+
+
+ORACLE["citation_cards"] = f"""{SELECTED},
+cs AS (SELECT *, position AS number, round_even(coalesce(score, 0), 4) AS rs, {_REF} AS ref, coalesce(chunk_id, id) AS cid, coalesce(source_type, 'legal') AS st,
+   {excerpt('text')} AS ex, CASE WHEN document_id IS NOT NULL THEN 'doc:' || document_id || ':' || chunk_index
+     WHEN law_name IS NOT NULL AND len(sections) > 0 THEN 'law:' || law_name || ':' || sections_csv ELSE 'chunk:' || id END AS ck FROM shown),
+us AS (SELECT *, query_id % 3 > 0 AND number IN (1, query_id % 4) AS cited FROM cs),
+ca AS (SELECT * FROM (SELECT *, bool_or(cited) OVER (PARTITION BY query_id) AS anyc FROM us) WHERE cited OR NOT anyc),
+le AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, ck ORDER BY number) = 1 THEN coalesce(display_name, title) ELSE title END AS ti FROM ca),
+gr AS (SELECT query_id, (list(cid ORDER BY rs DESC, number))[1] AS citation_id, {_first('ti')} AS title,
+   {', '.join(f"{_first(c)} AS {c}" for c in ('document_id', 'filename', 'heading', 'law_name', 'document_type', 'court', 'year', 'summary', 'display_name'))},
+   {_first('st')} AS source_type, (list(cid ORDER BY number))[1] AS chunk_id, (list(page_number ORDER BY number))[1] AS page, (list(ref ORDER BY number))[1] AS source_reference,
+   count(*) AS n, flatten(list(coalesce(sections, []) ORDER BY number)) AS ss, flatten(list(coalesce(keywords, []) ORDER BY number)) AS ks,
+   list(ex ORDER BY number) AS exs, max(rs) AS score FROM le GROUP BY query_id, ck),
+gx AS (SELECT *, list_filter(exs, lambda e, i: list_position(exs, e) = i) AS parts FROM gr),
+gy AS (SELECT *, CASE WHEN len(parts) = 1 THEN parts[1] ELSE array_to_string(parts, ' … ') END AS joined FROM gx)
+SELECT query_id, citation_id, title, document_id, filename, heading, law_name, document_type, court, year, summary, source_type, display_name, chunk_id, page, source_reference,
+  array_to_string(CASE WHEN n > 1 THEN {distinct('ss')} ELSE ss END, '|') AS sections, array_to_string(CASE WHEN n > 1 THEN ({distinct('ks')})[1:12] ELSE ks END, '|') AS keywords,
+  md5(CASE WHEN len(parts) = 1 THEN joined ELSE {excerpt('joined')} END) AS excerpt, score FROM gy"""

@@ -156,11 +156,11 @@ def r_reference():
 
 
 def context_blocks(spark, d):
-    """The context of the first ten hits in storage order, for checking the layout."""
+    """The context of all hits of a question in storage order."""
     from pyspark.sql.window import Window
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal")).cast("bigint")
-    rows = hits(spark, d).withColumn("position", place).filter("position <= 10").withColumns(
+    rows = hits(spark, d).withColumn("position", place).withColumns(
         {"author": F.lit(None).cast("string"), "source_reference": r_reference()}
     )
     return p.assemble_context(rows).select("query_id", F.md5("context").alias("context_md5"))
@@ -422,7 +422,7 @@ _BLOCK = f"""chr(10) || '[Source ' || position || ']' || chr(10) || 'Type: ' ||
   || regexp_replace(text, '(?im)^[ \\t]*(?:ignore (?:all |previous |prior )?(?:instructions|rules).*|you are now .{{0,80}}|reveal (?:your )?(?:system )?prompt.*|developer mode.*|do not follow (?:your )?(?:rules|guidelines).*)', '[instruction omitted from evidence]', 'g') || chr(10)"""
 _TITLES = "CASE tier " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in p.CONTEXT_TITLES.items()) + " END"
 ORACLE["context_layout"] = with_ctes(HITS_CTE) + f"""
-, pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS position FROM hits) WHERE position <= 10),
+, pos AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS position FROM hits),
 bk AS (SELECT query_id, position, coalesce(source_type, 'legal') AS tier, {_BLOCK} AS b FROM pos),
 se AS (SELECT query_id, tier, CASE tier WHEN 'legal' THEN 0 WHEN 'conversation' THEN 1 WHEN 'matter' THEN 2 ELSE 3 END AS o,
    {_TITLES} || chr(10) || chr(10) || string_agg(b, chr(10) ORDER BY position) AS s FROM bk GROUP BY 1, 2)
