@@ -212,7 +212,7 @@ ORACLE["message_languages"] = with_ctes(pq.ASKED_CTE, "keyed AS (SELECT conv_id
 SELECT id // 1000 AS conv_id, id % 1000 AS turn, language, confidence, scr AS script, {_style('language')} AS style, rl AS response_language, rst AS response_style,
   ov > 0 AS explicit_override, {_PHRASE} AS override_phrase FROM detected"""
 ORACLE["document_languages"] = with_ctes(languages("documents", "doc_id")) + """
-SELECT language, scr AS script, count(*) AS texts, round(avg(confidence), 6) AS mean_confidence FROM detected GROUP BY ALL"""
+SELECT language, scr AS script, count(*) AS texts, round(avg(confidence), 10) AS mean_confidence FROM detected GROUP BY ALL"""
 
 # --- conversation context -----------------------------------------------------------------------
 _CASES = f"list_transform(regexp_extract_all(text, '(?i){rq.CASE_PATTERN}'), lambda s: {strip('s')})"

@@ -126,7 +126,7 @@ def languages(spark, d):
 
 def document_languages(spark, d):
     return lang.language_profile(lang.detect(t.docs(spark, d).select("document_id", "text"))).withColumn(
-        "mean_confidence", F.round("mean_confidence", 6)
+        "mean_confidence", F.round("mean_confidence", 10)
     )
 
 
