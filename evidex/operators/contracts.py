@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.fold import let
 from evidex.operators.retrieve import list_for_scope
 from evidex.rules import contracts as r
 
@@ -143,32 +144,50 @@ def quote_in_document(quote: Column, document: Column) -> Column:
 
 
 def clause_cards(rows: DataFrame, documents: DataFrame, fields: Column | None = None) -> DataFrame:
-    """One card per document and field, quotes grounded in the document's text."""
+    """One card per document and field, quotes grounded in the document's text.
+
+    The few rows of a document are grouped and meet its text once; the cards are built
+    inside the row and exploded without the text, which is shuffled once, not per field.
+    """
     wanted = fields if fields is not None else default_fields()
     flat = F.lower(tx.collapse(F.coalesce("text", F.lit(""))))
-    grid = documents.select("doc_id", flat.alias("_text"), F.posexplode(wanted).alias("position", "_f")).select(
-        "doc_id", "_text", F.col("position").cast("bigint").alias("position"), F.col("_f.key").alias("key"), F.col("_f.label").alias("label")
-    )
-    found = rows.withColumn("_row", F.lit(True))
-    quote = _clean(F.col("quote"))
-    cut = F.when(F.length(quote) > QUOTE_CHARS, F.concat(tx.rstrip(F.substring(quote, 1, QUOTE_CHARS)), F.lit("…"))).otherwise(quote)
-    asked = F.lower(tx.strip(F.coalesce("status", F.lit(""))))
-    known = F.when(asked.isin(*r.STATUSES), asked).otherwise("unclear")
-    status = (
-        F.when(F.col("_row").isNull(), "unclear")
-        .when(F.col("value").isNull() & F.col("quote").isNull(), "missing")
-        .when((known == "found") & F.col("value").isNull(), "unclear").otherwise(known)
-    )
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5))))
-    confidence = F.when(F.col("_row").isNull(), 0.0).when(F.col("_status") == "missing", F.least(sure, F.lit(0.4))).otherwise(sure)
-    return (
-        grid.join(found, ["doc_id", "key"], "left")
-        .withColumn("value", _clean(F.col("value"))).withColumn("_quote", cut)
-        .withColumn("quote_grounded", F.coalesce((F.col("_text") != "") & quote_in_document(F.col("_quote"), F.col("_text")), F.lit(False)))
-        .withColumn("quote", F.when(F.col("quote_grounded"), F.col("_quote")))
-        .withColumn("_status", status).withColumn("confidence", confidence)
-        .select("doc_id", "key", "label", F.col("_status").alias("status"), "value", "quote", "quote_grounded", "confidence", "position")
+    extracted = rows.groupBy("doc_id").agg(
+        F.collect_list(F.struct("key", "value", "quote", "status", "confidence")).alias("_rows")
     )
+    joined = documents.select("doc_id", flat.alias("_text")).join(extracted, "doc_id", "left")
+
+    def cleaned(row: Column) -> Column:
+        quote = _clean(row["quote"])
+        cut = F.when(F.length(quote) > QUOTE_CHARS, F.concat(tx.rstrip(F.substring(quote, 1, QUOTE_CHARS)), F.lit("…")))
+        asked = F.lower(tx.strip(F.coalesce(row["status"], F.lit(""))))
+        return F.struct(
+            row.isNotNull().alias("has"), _clean(row["value"]).alias("value"), F.coalesce(cut, quote).alias("quote"),
+            F.when(asked.isin(*r.STATUSES), asked).otherwise("unclear").alias("status"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(row["confidence"], F.lit(0.5)))).alias("sure"),
+        )
+
+    def judged(field: Column, position: Column, c: Column) -> Column:
+        grounded = F.coalesce((F.col("_text") != "") & quote_in_document(c["quote"], F.col("_text")), F.lit(False))
+
+        def finished(ok: Column) -> Column:
+            status = (
+                F.when(~c["has"], "unclear").when(c["value"].isNull() & ~ok, "missing")
+                .when((c["status"] == "found") & c["value"].isNull(), "unclear").otherwise(c["status"])
+            )
+            return F.struct(
+                field["key"].alias("key"), field["label"].alias("label"), status.alias("status"), c["value"].alias("value"),
+                F.when(ok, c["quote"]).alias("quote"), ok.alias("quote_grounded"),
+                F.when(~c["has"], 0.0).when(status == "missing", F.least(c["sure"], F.lit(0.4))).otherwise(c["sure"]).alias("confidence"),
+                position.cast("bigint").alias("position"),
+            )
+
+        return let(grounded, finished)
+
+    def card(field: Column, position: Column) -> Column:
+        row = F.get(F.filter("_rows", lambda x: x["key"] == field["key"]), F.lit(0))
+        return let(cleaned(row), lambda c: judged(field, position, c))
+
+    return joined.select("doc_id", F.explode(F.transform(wanted, card)).alias("c")).select("doc_id", "c.*")
 
 
 def review_table(cards: DataFrame, documents: DataFrame, scopes: DataFrame, keys: list[str] | None = None) -> DataFrame:
