@@ -6,15 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import pii
+from pyspark.sql import functions as F
+
+from evidex.llm import mixing, packing, pii
 from evidex.llm.common import table
 
+# Token shares by language; languages are the domains of the documents.
+SHARES = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 65,536 padded words in 16 length buckets."""
+    return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate for every document, so that the languages reach their shares of the tokens there are."""
+    docs = table(spark, sf_dir, "documents")
+    sample = mixing.labelled_sample(docs, table(spark, sf_dir, "labels"), F.col("lang"))
+    mixed = mixing.mix(docs.select("doc_id", "text"), sample, SHARES)
+    return mixed.select("doc_id", "n_tokens", *[F.col("shares")[d].alias(f"share_{d}") for d in SHARES], "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op4_pii": op4_pii,
+    "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {}
