@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from evidex.llm import mixing, packing, pii
+from evidex.llm import mixing, packing, pii, quality, toxicity
 from evidex.llm.common import table
 
 # Token shares by language; languages are the domains of the documents.
@@ -20,10 +20,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _scored(operator, spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    """Scores of a classifier that learns from the labels outside one fold of the documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.crc32(F.col("doc_id").cast("string")) % folds == held
+    model = operator.fit(docs, labels, ~out)
+    scored = operator.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= operator.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity, spark, sf_dir, 4, 2)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality, spark, sf_dir, 3, 1)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate for every document, so that the languages reach their shares of the tokens there are."""
     docs = table(spark, sf_dir, "documents")
@@ -34,7 +51,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op4_pii": op4_pii,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {}
