@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from evidex.llm import mixing, packing, pii, quality, toxicity
+from evidex.llm import mixing, ngram_join, packing, pii, quality, toxicity
 from evidex.llm.common import table
 
 # Token shares by language; languages are the domains of the documents.
@@ -33,6 +33,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity, spark, sf_dir, 4, 2)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_pii": op4_pii,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
