@@ -50,6 +50,11 @@ _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
 
+def _times(x: np.uint64, y: np.uint64) -> np.uint64:
+    """The product modulo 2 ** 64."""
+    return np.uint64(int(x) * int(y) & 0xFFFFFFFFFFFFFFFF)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S)) * _A
     x = (x ^ (x >> _S)) * _B
@@ -65,7 +70,6 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
-@np.errstate(over="ignore")
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text.
 
@@ -89,18 +93,17 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         elif n:
             value = np.uint64(n)
             for h in hashes[end - n : end]:
-                value = _mix(np.array([value * _B ^ h]))[0]
+                value = _mix(np.array([_times(value, _B) ^ h]))[0]
             sets.append(np.array([value], np.uint64))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
 
 
-@np.errstate(over="ignore")
 def class_id(shingles: np.ndarray) -> int:
     """The identity of a set, as a signed number."""
-    total = np.add.reduce(_mix(shingles ^ _B)) + np.bitwise_xor.reduce(_mix(shingles + _A)) * _B
-    return int(_mix(np.array([total + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+    parts = np.array([np.add.reduce(_mix(shingles ^ _B)), np.bitwise_xor.reduce(_mix(shingles + _A)), len(shingles)], np.uint64)
+    return int(_mix(np.array([np.add.reduce(_mix(parts * _B + np.arange(3, dtype=np.uint64)))])).view(np.int64)[0])
 
 
 def _bands(largest: int = 1 << 31) -> np.ndarray:
@@ -120,7 +123,6 @@ def blocks(upper: int) -> int:
     return apart + 4 + apart // 8
 
 
-@np.errstate(over="ignore")
 def signatures(shingles: np.ndarray) -> np.ndarray:
     """The bucket keys of a set; two sets that link share at least two."""
     n, keys = len(shingles), []
@@ -135,13 +137,13 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         if 5 * n < 4 * lower or (n <= SMALL and band == 1):
             continue
         seed = np.uint64(upper)
-        dealt = _mix(shingles ^ (seed * _B))
+        dealt = _mix(shingles ^ _times(seed, _B))
         block = (dealt % np.uint64(blocks(upper))).astype(np.int64)
         order = np.argsort(block.astype(np.uint16) if blocks(upper) < 65_536 else block, kind="stable")
         at = block[order]
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         folded = np.bitwise_xor.reduceat(shingles[order], starts)
-        keys.append(_mix(folded ^ _mix(seed * _A + at[starts].astype(np.uint64))))
+        keys.append(_mix(folded ^ _mix(_times(seed, _A) + at[starts].astype(np.uint64))))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from evidex.llm import mixing, ngram_join, packing, pii, quality, toxicity
+from evidex.llm import chat, mixing, ngram_join, packing, pii, quality, toxicity
 from evidex.llm.common import table
 
 # Token shares by language; languages are the domains of the documents.
@@ -41,6 +41,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts say a control string."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality, spark, sf_dir, 3, 1)
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_pii": op4_pii,
+    "op6_chat": op6_chat,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
 }
