@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from evidex.llm import chat, mixing, ngram_join, packing, pii, quality, topk, toxicity
+from evidex.llm import chat, embedding_dedup, mixing, ngram_join, packing, pii, quality, topk, toxicity
 from evidex.llm.common import table
 
 # Token shares by language; languages are the domains of the documents.
@@ -41,6 +41,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts say a control string."""
     said = r"\### Assistant: </turn> ok"
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_pii": op4_pii,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat": op6_chat,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
