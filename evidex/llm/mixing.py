@@ -135,8 +135,8 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], floor: float = 0.0,
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floor: float = 0.0, total: float | None = None,
-        text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``shares`` by domain, ``rate``, and ``copies``, the whole number that realises it.
+        text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``n_tokens``, ``shares`` by domain, ``rate``, and ``copies``, the whole number that realises it.
 
     The fraction of a rate becomes one more copy with that probability, decided by a hash of
     the document.  The rates are joined by posterior; there are at most as many as ways to
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floor:
     domains = list(targets)
     model = fit_domains(labelled, domains, text)
     scored = posteriors(docs, model, domains, text)
-    scored = staged(scored if keep_text else scored.drop(text), "mix-shares")
+    scored = staged(scored.drop(text), "mix-shares")
     rates = staged(fit_rates(scored, targets, floor, total), "mix-rates")
     draw = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1_000_003)) / 1_000_003
     bounded = math.comb(HUNDREDTHS + len(domains) - 1, len(domains) - 1) <= 200_000

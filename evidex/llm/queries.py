@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from evidex.llm import chat, embedding_dedup, mixing, ngram_join, packing, pii, quality, topk, toxicity
+from evidex.llm import chat, embedding_dedup, main_text, mixing, ngram_join, packing, pii, quality, topk, toxicity
 from evidex.llm.common import table
 
 # Token shares by language; languages are the domains of the documents.
@@ -53,6 +53,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality, spark, sf_dir, 3, 1)
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat": op6_chat,
+    "op7_main_text": op7_main_text,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
