@@ -120,13 +120,13 @@ UPPERS = _bands()
 def blocks(upper: int) -> int:
     """More blocks than a linked pair of sets up to ``upper`` can differ in, with room for empty ones."""
     apart = 2 * upper // 9
-    return apart + 4 + apart // 8
+    return apart + 4
 
 
 def signatures(shingles: np.ndarray) -> np.ndarray:
     """The bucket keys of a set; two sets that link share at least two."""
     n, keys = len(shingles), []
-    if n <= WORDS - 1:
+    if n < 4:
         return np.zeros(0, np.int64)  # any difference is too much: only equal sets link
     if n <= SMALL:
         keys.append(_mix(np.sort(_mix(shingles))[: n - -(-4 * n // 5) + 2] ^ _A))
@@ -243,11 +243,10 @@ def join(documents: DataFrame, text: str = "text") -> DataFrame:
         "classes",
     )
     keys = docs.mapInArrow(_keys, "key bigint, node bigint, doc bigint").repartition("key")
-    by_key = F.expr("count(*) OVER (PARTITION BY key)").alias("held")
+    least, most = (F.expr(f"{f}(node) OVER (PARTITION BY key)").alias(f) for f in ("min", "max"))
     first = F.expr("min_by(node, doc) OVER (PARTITION BY key)").alias("first")
-    members = staged(
-        keys.groupBy("key", "node").agg(F.min("doc").alias("doc")).select("key", "node", by_key, first).where("held > 1").drop("held"), "members"
-    )
+    shared = keys.select("key", "node", "doc", least, most).where("min <> max").select("key", "node", first)
+    members = staged(shared.dropDuplicates(["key", "node"]), "members")
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("shared")).where("shared > 1")
     stars = staged(stars.select(F.col("first").alias("a"), F.col("node").alias("b")), "stars")
     links = verified(stars, classes, docs)
