@@ -325,10 +325,9 @@ def paragraphs(text: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def _paragraph_pairs(pairs: DataFrame, max_chars: int | None) -> DataFrame:
+def _paragraph_pairs(pairs: DataFrame) -> DataFrame:
     def body(c: str) -> Column:
-        text = F.coalesce(F.col(c), F.lit(""))
-        return F.substring(text, 1, max_chars) if max_chars else text
+        return F.coalesce(F.col(c), F.lit(""))
 
     split = pairs.select(
         F.col("pair_id").cast("string").alias("pair_id"), body("left_text").alias("_l"), body("right_text").alias("_r"),
@@ -340,14 +339,13 @@ def _paragraph_pairs(pairs: DataFrame, max_chars: int | None) -> DataFrame:
     )
 
 
-def document_hunks(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
+def document_hunks(pairs: DataFrame) -> DataFrame:
     """Redline of ``pairs(pair_id, left_text, right_text)``.
 
     Pairs whose paragraphs agree never leave the JVM: they give one ``Document`` hunk of
-    equal text.  Only changed pairs are aligned, each on its own.  ``max_chars`` cuts both
-    texts where a caller wants the shorter service form.
+    equal text.  Only changed pairs are aligned, each on its own.
     """
-    split = _paragraph_pairs(pairs, max_chars)
+    split = _paragraph_pairs(pairs)
     same = F.col("left") == F.col("right")
     equal = split.filter(same).select(
         "pair_id", F.lit(0).cast("bigint").alias("hunk_index"), F.lit("Document").alias("label"),
@@ -358,9 +356,9 @@ def document_hunks(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
     return changed.unionByName(equal)
 
 
-def unchanged_pairs(pairs: DataFrame, max_chars: int | None = None) -> DataFrame:
+def unchanged_pairs(pairs: DataFrame) -> DataFrame:
     """Whether a redline would show no change; needs no alignment."""
-    return _paragraph_pairs(pairs, max_chars).select("pair_id", (F.col("left") == F.col("right")).alias("unchanged"))
+    return _paragraph_pairs(pairs).select("pair_id", (F.col("left") == F.col("right")).alias("unchanged"))
 
 
 def _spans_series(left: pd.Series, right: pd.Series) -> pd.Series:

@@ -150,24 +150,45 @@ def near_duplicate(a: Column, b: Column, a_tokens: Column, b_tokens: Column) ->
     )
 
 
-def adjacent_duplicate_pairs(chunks: DataFrame) -> DataFrame:
-    """Neighbouring windows of a document that repeat each other.
+SPAN_BUCKET = 1200
 
-    Windows only share text with their neighbours, so each chunk meets exactly one
-    partner: a lead over the document instead of a self-join.
+
+def duplicate_pairs(chunks: DataFrame) -> DataFrame:
+    """Windows of a document that repeat each other, wherever in it they are.
+
+    Candidates come from equi-joins inside a document that leave no duplicate out: spans that
+    overlap meet in a bucket of offsets; token sets with a Jaccard of at least ``NEAR_JACCARD``
+    meet in a token of the share any partner must hold (the first by hash); passages too short
+    for that are met by every window of their document, which has one such window at most
+    unless it is cut by hand.  Only key columns and candidate texts move.
     """
-    w = Window.partitionBy("document_id").orderBy("chunk_index")
     norm = tx.passage_norm("text")
-    rows = chunks.select("document_id", "chunk_index", "start_offset", "end_offset", norm.alias("n"))
-    me = F.struct("chunk_index", "start_offset", "end_offset", "n")
-    pairs = rows.withColumn("b", F.lead(me).over(w)).filter(F.col("b").isNotNull())
-    offsets = offsets_overlap(F.col("start_offset"), F.col("end_offset"), F.col("b.start_offset"), F.col("b.end_offset"))
-    a_tokens, b_tokens = tx.passage_tokens(F.col("n")), tx.passage_tokens(F.col("b.n"))
-    return pairs.withColumn("jaccard", tx.jaccard(a_tokens, b_tokens)).withColumn(
-        "duplicate", offsets | near_duplicate(F.col("n"), F.col("b.n"), a_tokens, b_tokens)
-    ).filter("duplicate").select(
-        "document_id", F.col("chunk_index").alias("left_index"), F.col("b.chunk_index").alias("right_index"), "jaccard"
+    rows = chunks.select(
+        "document_id", "chunk_index", "start_offset", "end_offset", norm.alias("n")
+    ).withColumn("t", tx.passage_tokens(F.col("n")))
+    key = rows.select("document_id", "chunk_index", "start_offset", "end_offset", F.length("n").alias("size"), "t")
+    bucket = lambda c: F.floor(F.col(c) / SPAN_BUCKET).cast("bigint")
+    spans = key.filter("end_offset > start_offset").select(
+        "document_id", "chunk_index", F.explode(F.sequence(bucket("start_offset"), F.floor((F.col("end_offset") - 1) / SPAN_BUCKET).cast("bigint"))).alias("meet")
     )
+    hashed = F.sort_array(F.transform("t", lambda t: F.xxhash64(t)))
+    share = F.size("t") - F.ceil(F.size("t") * NEAR_JACCARD - 1e-9).cast("int") + 1
+    tokens = key.filter(F.size("t") > 0).select("document_id", "chunk_index", F.explode(F.slice(hashed, F.lit(1), share)).alias("meet"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.withColumnRenamed("chunk_index", "_other")
+        on = [c for c in ("document_id", "meet") if c in left.columns]
+        both = left.join(other, on).filter("chunk_index <> _other")
+        return both.select("document_id", F.least("chunk_index", "_other").alias("left_index"), F.greatest("chunk_index", "_other").alias("right_index"))
+
+    short = key.filter((F.col("size") < SHORT_PASSAGE) & (F.col("size") > 0)).select("document_id", "chunk_index")
+    pairs = meet(spans, spans).union(meet(tokens, tokens)).union(meet(short, key.select("document_id", "chunk_index"))).distinct()
+    side = lambda name: rows.select("document_id", *[F.col(c).alias(f"{name}_{c}") for c in rows.columns[1:]])
+    both = pairs.join(side("a").withColumnRenamed("a_chunk_index", "left_index"), ["document_id", "left_index"])
+    both = both.join(side("b").withColumnRenamed("b_chunk_index", "right_index"), ["document_id", "right_index"])
+    offsets = offsets_overlap(*(F.col(f"{x}_{c}") for x in "ab" for c in ("start_offset", "end_offset")))
+    repeats = offsets | near_duplicate(F.col("a_n"), F.col("b_n"), F.col("a_t"), F.col("b_t"))
+    return both.filter(repeats).select("document_id", "left_index", "right_index", tx.jaccard(F.col("a_t"), F.col("b_t")).alias("jaccard"))
 
 
 def hit_order(*extra: str) -> list[Column]:
@@ -225,19 +246,35 @@ def first_of_key(items: Column) -> Column:
     return F.filter(items, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
 
 
+def _origin(hits: DataFrame) -> Column:
+    """What two hits must share to be of the same document: the file, else the document.
+
+    A document id belongs to one file name, as it does in the index; hits of it that come
+    without the name are given it.
+    """
+    file = F.nullif(F.lower(tx.strip("filename")), F.lit(""))
+    doc = canonical_doc_id("document_id", F.coalesce("chunk_id", "id"))
+    by_doc = Window.partitionBy("query_id", doc)
+    known = F.when(doc.isNotNull(), F.max(file).over(by_doc)).otherwise(file)
+    alone = F.coalesce("chunk_id", "id", F.col("ordinal").cast("string"))
+    return F.coalesce(F.concat(F.lit("f:"), known), F.concat(F.lit("d:"), doc), F.concat(F.lit("h:"), alone))
+
+
 def suppress_near_duplicates(hits: DataFrame) -> DataFrame:
-    """Greedy suppression inside each (already cut) result list.
+    """Greedy suppression: by score, a hit goes if it repeats a kept hit of the same document.
 
-    Visits hits by score and drops one that repeats a kept hit of the same
-    document.  Result lists are bounded by the retrieval limits, so the list is
-    folded in place: no pairs are emitted and no Python runs.  Callers must cut
-    first; see :func:`select_evidence`.
+    Hits of different documents never meet, so each document's hits of a query are folded on
+    their own, however many hits the query has; a group is no larger than a document has
+    windows.  No pairs are emitted and no Python runs.
     """
-    items = F.sort_array(F.collect_list(_item(hits, F.lit(None).cast("string"))))
-    lists = hits.groupBy("query_id").agg(items.alias("items"))
+    lists = _by_origin(hits).groupBy("query_id", "_origin").agg(F.sort_array(F.collect_list("_item")).alias("items"))
     return lists.select(F.explode(greedy(F.col("items"))).alias("k")).select("k.row.*")
 
 
+def _by_origin(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", _origin(hits).alias("_origin"), _item(hits, F.lit(None).cast("string")).alias("_item"))
+
+
 PRE_CUT_SALTS = 16
 
 
@@ -299,10 +336,12 @@ def select_evidence(hits: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def remove_duplicate_evidence(hits: DataFrame) -> DataFrame:
-    """Packing-time dedupe of a selected (bounded) list; adds ``removed_count`` per query.
+    """Packing-time dedupe; adds ``removed_count`` per query.
 
     Key: document and chunk, else document and offsets, else document, index and text.
-    Earlier hits win here, then the greedy score pass runs; both fold the same list.
+    Earlier hits win here, then the greedy score pass runs.  The first pass meets hits of one
+    document (or, without one, of one key), the second those of one document or file, so both
+    fold per document; the counts are sums over the groups.
     """
     doc, cid = F.nullif(F.col("document_id"), F.lit("")), F.nullif(F.coalesce("chunk_id", "id"), F.lit(""))
     text = F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 240))
@@ -313,19 +352,17 @@ def remove_duplicate_evidence(hits: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws(":", F.lit("i"), F.coalesce("document_id", F.lit("")),
                                F.coalesce(F.col("chunk_index").cast("string"), F.lit("")), text))
     )
-    in_order = F.sort_array(F.collect_list(F.struct(F.col("ordinal").alias("at"), doc.alias("own"), _item(hits, key).alias("i"))))
-    lists = hits.groupBy("query_id").agg(in_order.alias("items"))
 
     def repeats(x: Column, y: Column) -> Column:
         same = F.coalesce(x["own"] == y["own"], F.lit(False))
         a, b = x["i"], y["i"]
         return (a["key"] == b["key"]) | (same & near_duplicate(b["n"], a["n"], b["t"], a["t"]))
 
-    by_score = F.sort_array(F.transform("unique", lambda u: u["i"]))
-    final = (
-        lists.withColumn("unique", greedy(F.col("items"), repeats)).withColumn("ranked", by_score)
-        .withColumn("final", greedy(F.col("ranked")))
-    )
-    return final.select(
-        (F.size("items") - F.size("final")).cast("bigint").alias("removed_count"), F.explode("final").alias("k")
-    ).select("k.row.*", "removed_count")
+    in_order = F.sort_array(F.collect_list(F.struct(F.col("ordinal").alias("at"), doc.alias("own"), _item(hits, key).alias("i"))))
+    first = hits.groupBy("query_id", F.coalesce(doc, key).alias("_own")).agg(in_order.alias("items"))
+    unique = first.select(F.explode(greedy(F.col("items"), repeats)).alias("k")).select("k.i.row.*")
+    final = suppress_near_duplicates(unique)
+    before = hits.groupBy("query_id").agg(F.count("*").alias("_before"))
+    after = final.groupBy("query_id").agg(F.count("*").alias("_after"))
+    removed = before.join(after, "query_id").select("query_id", (F.col("_before") - F.col("_after")).alias("removed_count"))
+    return final.join(removed, "query_id").select(*hits.columns, "removed_count")

@@ -251,19 +251,11 @@ def passage_similarity(spark, d):
 
 def adjacent_duplicates(spark, d):
     wide = chunks(spark, d).withColumn("end_offset", F.expr("end_offset + CASE WHEN doc_id % 3 = 0 THEN 600 ELSE 0 END"))
-    return r.adjacent_duplicate_pairs(wide).withColumn("jaccard", F.round("jaccard", 10))
-
-
-def _cut(spark, d, k):
-    """The best k distinct hits of each question."""
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*r.hit_order()))
-    return r.dedupe_hits(merged_hits(spark, d)).withColumn("n", place).filter(F.col("n") <= k).drop("n")
+    return r.duplicate_pairs(wide).withColumn("jaccard", F.round("jaccard", 10))
 
 
 def near_duplicates(spark, d):
-    return r.suppress_near_duplicates(_cut(spark, d, 20)).select("query_id", "ordinal", "score")
+    return r.suppress_near_duplicates(r.dedupe_hits(merged_hits(spark, d))).select("query_id", "ordinal", "score")
 
 
 def selection(spark, d):
@@ -272,7 +264,7 @@ def selection(spark, d):
 
 
 def duplicate_removal(spark, d):
-    return r.remove_duplicate_evidence(_cut(spark, d, 20)).select("query_id", "ordinal", "removed_count")
+    return r.remove_duplicate_evidence(r.dedupe_hits(merged_hits(spark, d))).select("query_id", "ordinal", "removed_count")
 
 
 def flagship(spark, d):
@@ -280,10 +272,12 @@ def flagship(spark, d):
     from evidex.operators.resources import number_sources
 
     search = searches(spark, d)
-    first = chunks(spark, d).filter("chunk_index = 0").withColumn("vec_id", F.col("doc_id"))
-    index = first.join(t.load(spark, d, "embeddings"), "vec_id").withColumn("year", F.expr("2000 + doc_id % 4"))
+    vectors = t.load(spark, d, "embeddings")
+    given = vectors.agg(F.max("vec_id")).first()[0] + 1
+    every = chunks(spark, d).withColumn("vec_id", (F.col("doc_id") + 31 * F.col("chunk_index")) % given)
+    index = every.join(vectors, "vec_id").withColumn("year", F.expr("2000 + doc_id % 4"))
     found = v.vector_topk(search, index, 20, F.col("year") >= 2001)
-    payload = t.project(first.select("*"), HITS_OF_FIRST)
+    payload = t.project(every, HIT_OF_CHUNK)
     hits_ = found.drop("rank").join(payload, "chunk_id").withColumn("sections", F.array().cast("array<string>"))
     hits_ = hits_.withColumn("keywords", F.array("lang"))
     asked = search.join(questions(spark, d).select("query_id", "question", "section"), "query_id").selectExpr(
@@ -295,12 +289,13 @@ def flagship(spark, d):
     )
 
 
-HITS_OF_FIRST = {
+HIT_OF_CHUNK = {
     "chunk_id": "chunk_id", "id": "point_id", "document_id": "document_id", "chunk_index": "chunk_index", "text": "text",
     "lang": "lang", "filename": "concat(source, '-', doc_id, '.txt')", "display_name": "CAST(NULL AS STRING)",
     "source_type": "'legal'", "court": "CAST(NULL AS STRING)", "year": "CAST(NULL AS BIGINT)", "law_name": "CAST(NULL AS STRING)",
     "title": "CAST(NULL AS STRING)", "heading": "CAST(NULL AS STRING)", "summary": "CAST(NULL AS STRING)",
-    "relevance_score": "CAST(NULL AS DOUBLE)", "start_offset": "start_offset", "end_offset": "end_offset", "ordinal": "doc_id",
+    "relevance_score": "CAST(NULL AS DOUBLE)", "start_offset": "start_offset", "end_offset": "end_offset",
+    "ordinal": "doc_id * 100000 + chunk_index",
 }
 
 QUERIES = {
@@ -474,9 +469,9 @@ tok AS (SELECT *, list_distinct(string_split(n, ' ')) AS tk FROM normed),
 pair AS (SELECT a.document_id, a.chunk_index, b.chunk_index AS bi, a.n, b.n AS bn, a.start_offset AS s1, a.end_offset AS e1,
    b.start_offset AS s2, b.end_offset AS e2,
    CAST(len(list_intersect(a.tk, b.tk)) AS DOUBLE) / len(list_distinct(list_concat(a.tk, b.tk))) AS jac
-   FROM tok a JOIN tok b ON a.document_id = b.document_id AND b.chunk_index = a.chunk_index + 1)"""
+   FROM tok a JOIN tok b ON a.document_id = b.document_id AND b.chunk_index > a.chunk_index)"""
 ORACLE["passage_similarity"] = with_ctes(ADJACENT_CTE) + """
-SELECT document_id, chunk_index, md5(n) AS norm_md5, round(jac, 10) AS jaccard FROM pair"""
+SELECT document_id, chunk_index, md5(n) AS norm_md5, round(jac, 10) AS jaccard FROM pair WHERE bi = chunk_index + 1"""
 ORACLE["adjacent_duplicates"] = with_ctes(ADJACENT_CTE) + """
 , o AS (SELECT *, CASE WHEN length(n) <= length(bn) THEN n ELSE bn END AS sh, CASE WHEN length(n) <= length(bn) THEN bn ELSE n END AS lo,
    least(e1, e2) - greatest(s1, s2) AS shared, least(e1 - s1, e2 - s2) AS span FROM pair)

@@ -52,14 +52,14 @@ def walk(name: str, source: str, test: str, columns: str) -> str:
 
 _BEST = f"""
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {_KEY} ORDER BY score DESC, ordinal) AS k FROM merged) WHERE k = 1),
-cut AS (SELECT *, {norm('text')} AS nrm FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_SC} DESC, ordinal) AS place FROM best) WHERE place <= 20)"""
+cut AS (SELECT *, {norm('text')} AS nrm FROM best)"""
 _HEAD = f"WITH RECURSIVE {MERGED_CTE},{_BEST},"
 
 ORACLE = {}
 ORACLE["suppress_near_duplicates"] = f"""{_HEAD}
-lst AS (SELECT query_id AS grp, place AS n, {ITEM} AS it, ordinal, score FROM cut),
-{walk('walk', 'lst', repeats('y', 'l.it'), 'ordinal, score')}
-SELECT grp AS query_id, ordinal, score FROM walk WHERE ok"""
+lst AS (SELECT query_id || filename AS grp, row_number() OVER (PARTITION BY query_id, filename ORDER BY {_SC} DESC, ordinal) AS n, {ITEM} AS it, query_id, ordinal, score FROM cut),
+{walk('walk', 'lst', repeats('y', 'l.it'), 'query_id, ordinal, score')}
+SELECT query_id, ordinal, score FROM walk WHERE ok"""
 
 _OWN = "coalesce(y.own = l.it.own, false)"
 _PACKKEY = """CASE WHEN document_id IS NOT NULL THEN 'c:' || document_id || ':' || coalesce(chunk_id, id)
@@ -78,8 +78,15 @@ survivors AS (SELECT grp AS query_id, ordinal, (SELECT count(*) FROM la WHERE la
    - count(*) OVER (PARTITION BY grp) AS removed_count FROM wb WHERE ok)"""
 
 
-ORACLE["remove_duplicate_evidence"] = f"""{_HEAD}{dedupe_walks('cut')}
-SELECT query_id, ordinal, removed_count FROM survivors"""
+# Over whole lists, each document or file is walked on its own: no other hits meet.
+ORACLE["remove_duplicate_evidence"] = f"""{_HEAD}
+la AS (SELECT query_id || coalesce(document_id, {_PACKKEY}) AS grp, row_number() OVER (PARTITION BY query_id, coalesce(document_id, {_PACKKEY}) ORDER BY ordinal) AS n,
+  {_KEYED} AS it, query_id, filename, ordinal, {_SC} AS sc FROM cut),
+{walk('wa', 'la', f"y.key = l.it.key OR ({_OWN} AND {near('y', 'l.it')})", 'query_id, filename, ordinal, sc')},
+lb AS (SELECT wa.query_id || wa.filename AS grp, row_number() OVER (PARTITION BY wa.query_id, wa.filename ORDER BY wa.sc DESC, wa.ordinal) AS n, la.it, wa.query_id, wa.ordinal
+  FROM wa JOIN la USING (grp, n) WHERE wa.ok),
+{walk('wb', 'lb', repeats('y', 'l.it'), 'query_id, ordinal')}
+SELECT query_id, ordinal, (SELECT count(*) FROM la WHERE la.query_id = wb.query_id) - count(*) OVER (PARTITION BY query_id) AS removed_count FROM wb WHERE ok"""
 
 _CAP = "CASE tier WHEN 'legal' THEN legal_limit WHEN 'conversation' THEN conversation_limit WHEN 'matter' THEN matter_limit ELSE CASE WHEN least(4, total - legal_limit) > 0 THEN least(4, total - legal_limit) ELSE 3 END END"
 SELECTED = f"""WITH RECURSIVE {MERGED_CTE},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.functions.text import is_blank
 from evidex.operators import ingest as op
 from evidex.sources.documents import BINARY_FILE_SCHEMA, from_binary_files
 
@@ -40,7 +41,7 @@ def write_batch(path: str, batch: DataFrame, batch_id: int) -> None:
     """
     newest = newest_versions(batch)
     chunks = op.chunk_documents(newest)
-    blank = newest.join(chunks.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "version")
+    blank = newest.filter(is_blank("text")).select(*KEY, "version")
     rows = chunks.select(*KEY, "version", "chunk_index", "chunk_id", "point_id", "text", "start_offset", "end_offset")
     rows.unionByName(blank, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -54,10 +55,12 @@ def maintain_index(documents: DataFrame, path: str, checkpoint: str):
 
 
 def current_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index as of now: the chunks of every document's newest batch.
+    """The index as of now: the chunks of every document's newest version, whichever batch brought it.
 
-    Finding the newest batch reads only the key columns; texts are joined on it.
+    Of a version that came twice, the later batch counts.  Finding the newest reads only the
+    key columns; texts are joined on it.
     """
     rows = spark.read.parquet(path)
-    newest = rows.groupBy(*KEY).agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, [*KEY, "batch_id"]).filter(F.col("chunk_index").isNotNull()).drop("batch_id")
+    newest = rows.groupBy(*KEY).agg(F.max(F.struct("version", "batch_id")).alias("_n"))
+    newest = newest.select(*KEY, "_n.version", "_n.batch_id")
+    return rows.join(newest, [*KEY, "version", "batch_id"]).filter(F.col("chunk_index").isNotNull()).drop("batch_id")

@@ -93,9 +93,6 @@ STATE = "times array<bigint>, newest bigint"
 
 def _decide_batch(limit: int, window_us: int, delay_us: int):
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         times, newest = state.get if state.exists else ([], None)
         accepted = Accepted(limit, window_us, times)
@@ -105,8 +102,6 @@ def _decide_batch(limit: int, window_us: int, delay_us: int):
             verdicts.append("late" if late else "allow" if accepted.allow(now) else "deny")
             newest = now if newest is None else max(newest, now)
         state.update((list(accepted.times), int(newest)))
-        expires = (newest + window_us) // 1000 + 1
-        state.setTimeoutTimestamp(int(max(expires, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "decision": verdicts})
 
     return run
@@ -115,18 +110,24 @@ def _decide_batch(limit: int, window_us: int, delay_us: int):
 def limit_stream(hits: DataFrame, limit: int, window_seconds: int = WINDOW_SECONDS, delay_seconds: int | None = None) -> DataFrame:
     """Streaming form over event time: ``key, event_id, decision``.
 
-    State is at most ``limit`` times per key and expires a window after the key's last hit.
-    A hit older than the key's newest by more than the delay is marked ``late`` and not
-    counted; rows behind the watermark itself are dropped by Spark and show in its metrics.
+    State is at most ``limit + 1`` numbers per key.  Every hit is answered: one older than the
+    key's newest by more than the delay is marked ``late`` and not counted.  Spark's watermark
+    is not used, as it drops late rows and a dropped hit has no answer; so a key's numbers
+    stay.  :func:`late_hits` is the side output.
     """
     delay_seconds = delay_seconds or window_seconds
     window_us, delay_us = window_seconds * 1_000_000, delay_seconds * 1_000_000
     rows = hits.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return (
-        rows.withWatermark("ts", f"{delay_seconds} seconds").withColumn("us", _micros(F.col("ts")))
+        rows.withColumn("us", _micros(F.col("ts")))
         .groupBy("key").applyInPandasWithState(
             _decide_batch(limit, window_us, delay_us),
-            f"key {kinds['key']}, event_id {kinds['event_id']}, decision string", STATE, "append", "EventTimeTimeout",
+            f"key {kinds['key']}, event_id {kinds['event_id']}, decision string", STATE, "append", "NoTimeout",
         )
     )
+
+
+def late_hits(decided: DataFrame) -> DataFrame:
+    """The hits of a decided stream that came too late to count."""
+    return decided.filter("decision = 'late'").drop("decision")

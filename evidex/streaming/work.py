@@ -23,12 +23,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The Parquet files of one table in a folder as a stream; the schema comes from the files present."""
+    """One table as a stream, whether it is a single Parquet file or a folder of part files.
+
+    A stream takes a plain path for a folder; written as a glob, it may be either.
+    """
     schema: StructType = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
 
 
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

@@ -152,3 +152,10 @@ def test_private_hits_give_way_to_the_corpus(rows):
                  "query_id bigint, question string, needs_authority boolean, document_id string, document_task boolean")
     kept = retrieve.suppress_unrelated_private(rows(data, schema), asked).collect()
     assert [x["source_type"] for x in kept] == ["legal"]
+
+
+def test_duplicate_windows_far_apart_are_found(rows):
+    text = "The same long line is said here and again further down in this very document, word for word."
+    data = [("d", i, i * 1000, i * 1000 + 100, text if i in (0, 3) else f"window {i} says something else entirely here") for i in range(5)]
+    chunks = rows(data + [("e", 0, 0, 100, text)], "document_id string, chunk_index int, start_offset int, end_offset int, text string")
+    assert [(p["left_index"], p["right_index"], p["jaccard"]) for p in r.duplicate_pairs(chunks).collect()] == [(0, 3, 1.0)]

@@ -1,9 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidex.operators import ingest as op
+from evidex.plans.streams import QUERIES
 from evidex.streaming import ingest, limiter, work
 
 START = datetime(2024, 1, 1)
@@ -79,3 +81,44 @@ def test_index_batches_are_idempotent(spark, rows, tmp_path):
     got = sorted((r["document_id"], r["version"], r["chunk_index"]) for r in ingest.current_index(spark, path).collect())
     assert got == [("d1", 3, 0), ("d1", 3, 1)]
     assert got == [("d1", 3, r["chunk_index"]) for r in op.chunk_documents(second.filter("document_id = 'd1'")).orderBy("chunk_index").collect()]
+
+
+def test_an_older_version_that_comes_later_does_not_win(spark, rows, tmp_path):
+    path = str(tmp_path / "index")
+    schema = "document_id string, user_id string, version bigint, text string"
+    ingest.write_batch(path, rows([("d1", "u", 3, "third"), ("d2", "u", 2, " ")], schema), 0)
+    ingest.write_batch(path, rows([("d1", "u", 1, "first"), ("d2", "u", 1, "old")], schema), 1)
+    assert [(r["document_id"], r["version"], r["text"]) for r in ingest.current_index(spark, path).collect()] == [("d1", 3, "third")]
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """The smallest tables rewritten as folders of part files, beside the given single files."""
+    folder = tmp_path_factory.mktemp("parts")
+    for name in ("documents", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_index", "stream_event_log"])
+def test_streams_read_tables_of_part_files(spark, parts, name):
+    want = sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    assert want and sorted(map(str, QUERIES[name](spark, parts).collect())) == want
+
+
+def test_every_hit_of_a_stream_is_answered(spark, rows, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    first = [("a", i, at(1000 + i)) for i in range(3)] + [("b", 9, at(100_000))]
+    second = [("a", 10, at(10)), ("a", 11, at(1001)), ("c", 12, at(5))]
+    source = str(tmp_path / "hits")
+    for batch in (first, second):
+        rows(batch, HITS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(HITS).option("maxFilesPerTrigger", 1).parquet(source)
+    decided = work.run_to_files(limiter.limit_stream(stream, 2, 60), str(tmp_path / "out"))
+    got = {r["event_id"]: r["decision"] for r in decided.collect()}
+    assert got == {0: "allow", 1: "allow", 2: "deny", 9: "allow", 10: "late", 11: "deny", 12: "allow"}
+    assert [r["event_id"] for r in limiter.late_hits(decided).collect()] == [10]
+
+
+def test_stream_limiter_reads_part_files(spark, parts):
+    assert QUERIES["stream_limit_hits"](spark, parts).count() == 1000
