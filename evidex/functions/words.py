@@ -2,97 +2,60 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidex.functions.fold import let
 from evidex.functions.text import as_col
 from evidex.rules.answers import KNOWN_HALVES, WHOLE_WORDS
 
 MAX_PASSES = 4
-_WHOLE = frozenset(WHOLE_WORDS)
-_HALVES = frozenset(KNOWN_HALVES)
-
-
-def _is_whole(word: str) -> bool:
-    return word.lower() in _WHOLE and not (len(word) == 1 and word.isupper())
-
-
-def _pieces(text: str) -> list[str]:
-    """Words, blanks and the rest; trailing punctuation is its own piece."""
-    out = []
-    for piece in re.split(r"(\s+)", text):
-        word = re.fullmatch(r"([A-Za-z]+)([^A-Za-z]+)", piece) if not piece.isspace() else None
-        out.extend(word.groups() if word else [piece])
-    return out
 
+# A word stands between blanks and may carry marks behind it.
+LETTER, CAPITAL, SMALL = r"\p{L}", r"\p{Lu}", r"\p{Ll}"
+_BEGIN, _END = r"(?<!\S)", r"(?=[^\p{L}\s]*+(?:\s|$))"
 
-def _next_word(pieces: list[str], at: int) -> str | None:
-    """The word after the one at ``at`` when a single blank separates them."""
-    if at + 2 < len(pieces) and pieces[at + 1] == " " and pieces[at + 2].isalpha():
-        return pieces[at + 2]
-    return None
 
+def _word(kind: str, least: int, most: int | str = "") -> str:
+    """A word of so many letters that can be part of a split one: no whole word, unless a single capital."""
+    single = f"(?={CAPITAL}(?!{LETTER}))"
+    whole = f"(?!(?i:{'|'.join(WHOLE_WORDS)})(?!{LETTER}))"
+    return f"(?:{single}|{whole}){kind}{{{least},{most}}}{_END}"
 
-def _crumbs(pieces: list[str], at: int) -> list[str]:
-    """The words from ``at`` on that may be crumbs of one word."""
-    run = [pieces[at]]
-    while (word := _next_word(pieces, at + 2 * (len(run) - 1))) is not None:
-        n = len(run)
-        if _is_whole(word):
-            return run + [word] if word.lower() == "on" and n >= 2 and all(len(w) <= 4 for w in run) else run
-        if (n == 1 and _is_whole(run[0])) or len(word) > 4 or (len(word) == 4 and n >= 2):
-            return run
-        if len(word) == 1:
-            spelled = n == 2 and len(run[0]) == 1 and run[0].isupper() and len(run[1]) >= 3
-            return run + [word] if n >= 3 or spelled else run
-        run.append(word)
-    return run
 
+def _pattern() -> str:
+    """What is one word: three crumbs or more, or two halves.
 
-def _joins(left: str, right: str) -> bool:
-    if _is_whole(left) or _is_whole(right):
-        return False
-    a, b = len(left), len(right)
-    return (
-        (left.lower(), right.lower()) in _HALVES
-        or (a <= 2 and b <= 3)
-        or (3 <= a <= 5 and b <= 2 and right.islower())
-        or (a == 1 and left.isupper() and right.islower() and 3 <= b <= 4)
-    )
+    Crumbs have at most four letters, and at most one of them, the first or the second, has
+    four.  A row of crumbs may end in "on", or in a single letter when it is long enough or
+    when a capital and three letters lead ("A nswe r").  Two words are halves when they are
+    known ones, when both are tiny, when a short word meets a lower-case ending of two
+    letters, or when a capital meets three or four lower-case letters.
+    """
+    crumb, letter, on = _word(LETTER, 2, 3), _word(LETTER, 1, 1), f"(?i:on){_END}"
+    lead = f"(?:{_word(LETTER, 1, 3)} {_word(LETTER, 2, 4)}|{_word(LETTER, 4, 4)} {crumb})"
+    row = f"{lead}(?>(?: {crumb})++(?: {on}| {letter})?+| {on})"
+    spelled = f"{_word(CAPITAL, 1, 1)} {_word(LETTER, 3, 4)} {letter}"
+    known = "|".join(f"(?=(?i:{a} {b})(?!{LETTER})){_word(LETTER, 1)} {_word(LETTER, 1)}" for a, b in KNOWN_HALVES)
+    tiny = f"{_word(LETTER, 1, 2)} {_word(LETTER, 1, 3)}"
+    ending = f"{_word(LETTER, 3, 5)} {_word(SMALL, 1, 2)}"
+    capital = f"{_word(CAPITAL, 1, 1)} {_word(SMALL, 3, 4)}"
+    return f"{_BEGIN}(?:{row}|{spelled}|{known}|{tiny}|{ending}|{capital})"
 
 
-def _one_pass(text: str) -> str:
-    pieces, out, at = _pieces(text), [], 0
-    while at < len(pieces):
-        take = 1
-        if pieces[at].isalpha():
-            run, follower = _crumbs(pieces, at), _next_word(pieces, at)
-            if len(run) >= 3 and all(len(w) <= 4 for w in run) and sum(len(w) <= 3 for w in run) >= len(run) - 1:
-                take = len(run)
-            elif follower is not None and _joins(pieces[at], follower):
-                take = 2
-        out.append("".join(pieces[at:at + 2 * take - 1:2]))
-        at += 2 * take - 1
-    return "".join(out)
+def _one_pass(text: Column, pattern: str) -> Column:
+    """Every match loses its blanks."""
+    def joined(found: Column) -> Column:
+        rest = F.split(text, pattern, -1)
+        parts = F.zip_with(rest, found, lambda r, f: F.concat(r, F.coalesce(F.replace(f, F.lit(" "), F.lit("")), F.lit(""))))
+        return F.when(F.size(found) == 0, text).otherwise(F.array_join(parts, ""))
 
-
-def repair(text: str) -> str:
-    """Passes repeat until nothing changes, at most four times."""
-    for _ in range(MAX_PASSES):
-        better = _one_pass(text)
-        if better == text:
-            break
-        text = better
-    return text
-
-
-def _repair_series(texts: pd.Series) -> pd.Series:
-    return texts.map(repair, na_action="ignore")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), joined)
 
 
 def repair_fragmented_words(text: Column | str) -> Column:
-    """Order-dependent joining inside one text: a vectorised Python step over the column."""
-    return F.pandas_udf(_repair_series, "string")(as_col(text))
+    """Split words joined; a pass over repaired text may find more, four passes are made."""
+    pattern, repaired = _pattern(), as_col(text)
+    for _ in range(MAX_PASSES):
+        repaired = let(repaired, lambda t: _one_pass(t, pattern))
+    return repaired

@@ -22,8 +22,7 @@ def script(text: Column | str) -> Column:
 
 def _lexicon() -> dict[str, tuple[str, float, float]]:
     """word -> (english class, urdu weight, punjabi weight)."""
-    urdu = {w: k for k, words in r.ROMAN_URDU.items() for w in words.split()}
-    punjabi = {w: k for k, words in r.ROMAN_PUNJABI.items() for w in words.split()}
+    urdu, punjabi = r.ROMAN_URDU, r.ROMAN_PUNJABI
     out = {}
     for word in {*r.ENGLISH_CONTENT, *r.ENGLISH_FUNCTION, *urdu, *punjabi, *r.LEGAL_TERMS}:
         kind = (

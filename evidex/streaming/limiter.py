@@ -9,9 +9,9 @@ accepted times.  The streaming form keeps the same list as state per key.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +21,21 @@ WINDOW_SECONDS = 60
 SLICE_WINDOWS = 60
 
 
-class Accepted:
-    """Accepted times of one key inside the window."""
+def verdicts(times: list[int], limit: int, window_us: int, recent: list[int] | None = None) -> tuple[list[bool], list[int]]:
+    """Decisions on hits in time order, and the last accepted times, oldest first.
 
-    def __init__(self, limit: int, window_us: int, times=()):
-        self.limit, self.window_us, self.times = limit, window_us, deque(times)
-
-    def allow(self, now: int) -> bool:
-        while self.times and self.times[0] < now - self.window_us:
-            self.times.popleft()
-        if len(self.times) >= self.limit:
-            return False
-        self.times.append(now)
-        return True
+    Only the ``limit`` latest accepted times matter: a hit is allowed when the oldest of them
+    has left the window.  They sit in a ring whose place ``at`` holds the oldest.
+    """
+    never = -(1 << 62)
+    recent = recent or []
+    ring, at, allowed = [never] * (limit - len(recent)) + list(recent), 0, []
+    for now in times:
+        free = limit > 0 and ring[at] < now - window_us
+        if free:
+            ring[at], at = now, (at + 1) % limit
+        allowed.append(free)
+    return allowed, [t for t in ring[at:] + ring[:at] if t != never]
 
 
 def _micros(ts: Column) -> Column:
@@ -42,14 +44,14 @@ def _micros(ts: Column) -> Column:
 
 def _decide(limit: int, window_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        last, recent = None, []
         for rows in batches:
-            verdicts = []
-            for key, first, now in zip(rows["key"], rows["run_start"], rows["us"]):
-                if (key, first) != current:
-                    current, state = (key, first), Accepted(limit, window_us)
-                verdicts.append(state.allow(now))
-            yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "allowed": verdicts})
+            allowed = []
+            for run_key, part in rows.groupby(["key", "run_start"], sort=False, dropna=False):
+                decided, recent = verdicts(part["us"].tolist(), limit, window_us, recent if run_key == last else [])
+                allowed += decided
+                last = run_key
+            yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "allowed": allowed})
 
     return run
 
@@ -94,15 +96,14 @@ STATE = "times array<bigint>, newest bigint"
 def _decide_batch(limit: int, window_us: int, delay_us: int):
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        times, newest = state.get if state.exists else ([], None)
-        accepted = Accepted(limit, window_us, times)
-        verdicts = []
-        for now in rows["us"]:
-            late = newest is not None and now < newest - delay_us
-            verdicts.append("late" if late else "allow" if accepted.allow(now) else "deny")
-            newest = now if newest is None else max(newest, now)
-        state.update((list(accepted.times), int(newest)))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "decision": verdicts})
+        recent, newest = state.get if state.exists else ([], None)
+        times = rows["us"].to_numpy()
+        late = times < (newest - delay_us) if newest is not None else times < times[0]
+        allowed, recent = verdicts(times[~late].tolist(), limit, window_us, list(recent))
+        decision = np.full(len(times), "late", object)
+        decision[~late] = np.where(allowed, "allow", "deny")
+        state.update((recent, int(times[-1] if newest is None else max(newest, times[-1]))))
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "decision": decision})
 
     return run
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidex.functions.words import repair
+from evidex.functions.words import repair_fragmented_words
 from evidex.operators import answers as a
 from evidex.operators import contracts as c
 from evidex.operators import logs as lg
@@ -60,8 +60,8 @@ def test_display_cleanup(value):
     assert value(a.clean_for_display, "It is so.\n\nSources:\n- [Source 1]\n- [Source 2]") == "It is so."
 
 
-def test_word_repair():
-    text = repair("A nswe r: … Close rel ati ve s of a murder victi m ha ve the right to file a petition")
+def test_word_repair(value):
+    text = value(repair_fragmented_words, "A nswe r: … Close rel ati ve s of a murder victi m ha ve the right to file a petition")
     assert all(word in text for word in ("Answer", "relatives", "victim", "have", "to file a petition"))
 
 
