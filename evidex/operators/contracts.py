@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -275,48 +277,96 @@ def playbook_summary(findings: DataFrame) -> DataFrame:
 # --- redlines -------------------------------------------------------------------------------
 
 SPANS = "array<struct<op:string,text:string>>"
-_TOKENS = re.compile(r"\S+|\s+")
-
-
-def _opcodes(left: list[str], right: list[str]) -> list[tuple[str, int, int, int, int]]:
-    return difflib.SequenceMatcher(a=left, b=right, autojunk=False).get_opcodes()
-
-
-def word_spans(left: str, right: str) -> list[dict]:
-    """Word-level alignment of two texts."""
-    a, b = _TOKENS.findall(left), _TOKENS.findall(right)
-    spans = []
-    for tag, i, j, k, n in _opcodes(a, b):
-        if tag == "equal":
-            spans.append(("equal", a[i:j]))
-        else:
-            spans += [("delete", a[i:j]), ("insert", b[k:n])]
-    return [{"op": op, "text": "".join(tokens)} for op, tokens in spans if tokens]
-
-
-def _pair_hunks(left: list[str], right: list[str]) -> Iterator[dict]:
-    """Changed paragraph ranges in order, each with its word spans."""
-    if len(left) <= 1 and len(right) <= 1:
-        old, new = "".join(left), "".join(right)
-        yield {"label": "Document", "left": old, "right": new, "spans": word_spans(old, new)}
-        return
-    changes = [c for c in _opcodes(left, right) if c[0] != "equal"]
-    for number, (_, i, j, k, n) in enumerate(changes, 1):
-        old, new = "\n\n".join(left[i:j]), "\n\n".join(right[k:n])
-        yield {"label": f"Change {number}", "left": old, "right": new, "spans": word_spans(old, new)}
-
-
-HUNK = f"pair_id string, hunk_index bigint, label string, left string, right string, spans {SPANS}"
-
-
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pairs in batches:
-        rows = [
-            {"pair_id": pair_id, "hunk_index": at, **hunk}
-            for pair_id, left, right in zip(pairs["pair_id"], pairs["left"], pairs["right"])
-            for at, hunk in enumerate(_pair_hunks(list(left), list(right)))
-        ]
-        yield pd.DataFrame(rows, columns=["pair_id", "hunk_index", "label", "left", "right", "spans"])
+SIDES = "array<struct<left:array<string>,right:array<string>>>"
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Places of a longest rising run through ``values``."""
+    tops: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(values)
+    for i, v in enumerate(values):
+        k = bisect_left(tops, v)
+        before[i] = at[k - 1] if k else -1
+        tops[k:k + 1], at[k:k + 1] = [v], [i]
+    run, i = [], at[-1] if at else -1
+    while i >= 0:
+        run.append(i)
+        i = before[i]
+    return run[::-1]
+
+
+def _anchors(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places that stay together: what occurs once on either side, in an order both share."""
+    said, heard = Counter(left), Counter(right)
+    here = {t: i for i, t in enumerate(left) if said[t] == 1}
+    there = {t: i for i, t in enumerate(right) if heard[t] == 1}
+    shared = [(i, there[t]) for t, i in here.items() if t in there]
+    return [shared[i] for i in _rising([j for _, j in shared])]
+
+
+def _gaps(left: list[str], right: list[str]) -> Iterator[tuple[bool, list[str], list[str]]]:
+    """The two lists cut into equal and different stretches, in order.
+
+    Equal ends are taken off, anchors split what is left, and each part between anchors is
+    treated the same way; a part without anchors differs as a whole.
+    """
+    todo = [(0, len(left), 0, len(right), False)]
+    while todo:
+        i, j, k, n, same = todo.pop()
+        if same or i == j or k == n:
+            if i < j or k < n:
+                yield same, left[i:j], right[k:n]
+            continue
+        head = 0
+        while head < min(j - i, n - k) and left[i + head] == right[k + head]:
+            head += 1
+        tail = 0
+        while tail < min(j - i, n - k) - head and left[j - 1 - tail] == right[n - 1 - tail]:
+            tail += 1
+        parts = [(i, i + head, k, k + head, True)]
+        inner = (i + head, j - tail, k + head, n - tail)
+        anchors = _anchors(left[inner[0]:inner[1]], right[inner[2]:inner[3]]) if inner[0] < inner[1] and inner[2] < inner[3] else []
+        if anchors:
+            a, b = inner[0], inner[2]
+            for x, y in anchors:
+                x, y = inner[0] + x, inner[2] + y
+                parts += [(a, x, b, y, False), (x, x + 1, y, y + 1, True)]
+                a, b = x + 1, y + 1
+            parts.append((a, inner[1], b, inner[3], False))
+        elif inner[0] < inner[1] or inner[2] < inner[3]:
+            if inner[0] < inner[1] and inner[2] < inner[3]:
+                # nothing to hold on to: both sides as they are, one after the other
+                parts += [(inner[0], inner[1], inner[2], inner[2], False), (inner[1], inner[1], inner[2], inner[3], False)]
+            else:
+                parts.append((*inner, False))
+        parts.append((j - tail, j, n - tail, n, True))
+        todo += reversed(parts)
+
+
+def _merged(left: list[str], right: list[str]) -> Iterator[tuple[bool, list[str], list[str]]]:
+    """Neighbouring stretches of one kind as one."""
+    for same, group in groupby(_gaps(left, right), key=lambda g: g[0]):
+        parts = list(group)
+        yield same, [t for p in parts for t in p[1]], [t for p in parts for t in p[2]]
+
+
+def _changed_parts(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The stretches of paragraphs in which two documents differ."""
+    return pd.Series([
+        [{"left": old, "right": new} for same, old, new in _merged(list(a), list(b)) if not same] for a, b in zip(left, right)
+    ])
+
+
+def _word_changes(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Words and blanks of two texts as equal, deleted and inserted spans."""
+    out = []
+    for a, b in zip(left, right):
+        spans = []
+        for same, old, new in _merged(re.findall(r"\s+|\S+", a or ""), re.findall(r"\s+|\S+", b or "")):
+            spans += [("equal", old)] if same else [("delete", old), ("insert", new)]
+        out.append([{"op": op, "text": "".join(words)} for op, words in spans if words])
+    return pd.Series(out)
 
 
 def paragraphs(text: Column) -> Column:
@@ -343,7 +393,9 @@ def document_hunks(pairs: DataFrame) -> DataFrame:
     """Redline of ``pairs(pair_id, left_text, right_text)``.
 
     Pairs whose paragraphs agree never leave the JVM: they give one ``Document`` hunk of
-    equal text.  Only changed pairs are aligned, each on its own.
+    equal text.  Of the others only the paragraphs between common ones go on, each stretch a
+    row of its own, and their words are aligned there.  The time grows with the text, up to
+    the sorting of words that occur once.
     """
     split = _paragraph_pairs(pairs)
     same = F.col("left") == F.col("right")
@@ -352,8 +404,18 @@ def document_hunks(pairs: DataFrame) -> DataFrame:
         F.col("_l").alias("left"), F.col("_r").alias("right"),
         F.filter(F.array(F.struct(F.lit("equal").alias("op"), F.col("_l").alias("text"))), lambda s: s["text"] != "").alias("spans"),
     )
-    changed = split.filter(~same).select("pair_id", "left", "right").mapInPandas(_align, HUNK)
-    return changed.unionByName(equal)
+    single = (F.size("left") <= 1) & (F.size("right") <= 1)
+    whole = F.array(F.struct("left", "right")).cast(SIDES)
+    parts = split.filter(~same & single).select("pair_id", F.lit(True).alias("_single"), whole.alias("_parts")).unionByName(
+        split.filter(~same & ~single).select("pair_id", F.lit(False).alias("_single"), F.pandas_udf(_changed_parts, SIDES)("left", "right").alias("_parts"))
+    )
+    joined = lambda c: F.array_join(F.col(f"_part.{c}"), "\n\n").alias(c)
+    hunks = parts.select("pair_id", "_single", F.posexplode("_parts").alias("hunk_index", "_part")).select(
+        "pair_id", F.col("hunk_index").cast("bigint").alias("hunk_index"),
+        F.when(F.col("_single"), "Document").otherwise(F.concat(F.lit("Change "), F.col("hunk_index") + 1)).alias("label"),
+        joined("left"), joined("right"),
+    )
+    return hunks.withColumn("spans", F.pandas_udf(_word_changes, SPANS)("left", "right")).unionByName(equal)
 
 
 def unchanged_pairs(pairs: DataFrame) -> DataFrame:
@@ -361,18 +423,13 @@ def unchanged_pairs(pairs: DataFrame) -> DataFrame:
     return _paragraph_pairs(pairs).select("pair_id", (F.col("left") == F.col("right")).alias("unchanged"))
 
 
-def _spans_series(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([word_spans(a or "", b or "") for a, b in zip(left, right)])
-
-
 def playbook_hunks(findings: DataFrame) -> DataFrame:
     """Actionable findings with the word changes from the current to the suggested language."""
-    diff = F.pandas_udf(_spans_series, SPANS)
     current = tx.strip(F.coalesce(F.nullif("quote", F.lit("")), F.col("value"), F.lit("")))
     return (
         findings.filter(F.col("verdict").isin("missing", "off_playbook", "fallback", "unclear") & ~tx.is_blank("suggested_language"))
         .withColumn("left", current).withColumn("right", tx.strip("suggested_language"))
-        .withColumn("spans", diff("left", "right"))
+        .withColumn("spans", F.pandas_udf(_word_changes, SPANS)("left", "right"))
         .select("doc_id", "key", "label", "left", "right", "spans")
     )
 

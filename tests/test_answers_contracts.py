@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,18 @@ def test_playbook(rows):
     assert (got["indemnity"], got["assignment"], got["dispute_resolution"], got["parties"]) == ("not_applicable", "off_playbook", "fallback", "unclear")
 
 
+def test_redlines_rebuild_both_texts():
+    rng = random.Random(11)
+    for _ in range(300):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 14))]
+        b = [t for t in a if rng.random() < 0.7] + [rng.choice("xyza") for _ in range(rng.randint(0, 3))]
+        cuts = list(c._merged(a, b))
+        assert [t for _, old, _ in cuts for t in old] == a and [t for _, _, new in cuts for t in new] == b
+        assert all(old == new for same, old, new in cuts if same) and all(x[0] != y[0] for x, y in zip(cuts, cuts[1:]))
+    long = [str(i) for i in range(4000)]
+    assert [x[0] for x in c._merged(long, long[:2000] + ["new"] + long[2000:])] == [True, False, True]
+
+
 def test_redline(rows):
     left = "One stays.\n\nLiability is unlimited here.\n\nThree stays."
     pairs = rows([("p", left, left.replace("unlimited", "capped")), ("same", left, left.replace("One  ", "One "))],
