@@ -268,6 +268,14 @@ def verify_index(df: DataFrame, dim: int) -> DataFrame:
     )
 
 
+# Payload fields taken over as they are.
+PAYLOAD_TEXTS = (
+    "heading", "law_name", "document_type", "category", "sub_category", "practice_area", "summary", "parent_chunk_id",
+    "validation_status", "chunk_role", "section",
+)
+PAYLOAD_NUMBERS = ("page_number", "start_offset", "end_offset", "paragraph_index")
+
+
 def normalize_payload(points: DataFrame, source_type: str = "legal") -> DataFrame:
     """Raw points (JSON ``payload``) to the chunk schema, invalid points dropped."""
     p = F.try_parse_json("payload")
@@ -285,22 +293,33 @@ def normalize_payload(points: DataFrame, source_type: str = "legal") -> DataFram
     )
     scope = get("scope")
     inferred = F.when(scope.isin("conversation", "matter"), scope).otherwise(F.lit(source_type))
-    year = F.coalesce(truthy("publication_year"), get("source.publication_year"), get("year"))
+    year = F.coalesce(truthy("publication_year"), get("source.publication_year"), get("year")).try_cast("bigint")
+    none = F.array().cast("array<string>")
+    listed = lambda path: F.coalesce(get(path, "array<string>"), none).alias(path)
+    score = F.col("score").cast("double") if "score" in points.columns else F.lit(None).cast("double")
     return points.filter(~dropped).select(
+        F.coalesce(get("chunk_id"), F.col("point_id")).alias("id"),
         F.coalesce(get("chunk_id"), F.col("point_id")).alias("chunk_id"),
+        F.coalesce(score, F.lit(0.0)).alias("score"),
         normalize_document_id(get("document_id")).alias("document_id"),
         get("chunk_index", "bigint").alias("chunk_index"),
         F.coalesce(get("text"), get("chunk_text"), F.lit("")).alias("text"),
         F.coalesce(truthy("filename"), get("source.filename")).alias("filename"),
         get("title").alias("title"),
         get("court").alias("court"),
-        year.try_cast("bigint").alias("year"),
+        year.alias("year"),
+        year.alias("publication_year"),
         F.coalesce(truthy("jurisdiction"), get("province")).alias("jurisdiction"),
         scope.alias("scope"),
         F.lit(source_type).alias("source"),
         inferred.alias("source_type"),
+        get("user_id").alias("user_id"),
         get("matter_id").alias("matter_id"),
         get("conversation_id").alias("conversation_id"),
+        *[get(c).alias(c) for c in PAYLOAD_TEXTS],
+        listed("sections"), listed("keywords"),
+        get("embedded", "boolean").alias("embedded"),
+        *[get(c, "bigint").alias(c) for c in PAYLOAD_NUMBERS],
     )
 
 

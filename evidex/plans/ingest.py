@@ -192,12 +192,18 @@ PAYLOAD = """concat('{"document_id":"', CASE WHEN doc_id % 2 = 0 THEN upper(md5(
  CASE WHEN doc_id % 6 = 0 THEN ',"publication_year":2001' ELSE ',"year":1999' END,
  CASE WHEN doc_id % 7 = 0 THEN ',"province":"north"' ELSE ',"jurisdiction":"south"' END,
  CASE WHEN doc_id % 8 = 1 THEN ',"scope":"matter","matter_id":"m1"' WHEN doc_id % 8 = 2 THEN ',"scope":"conversation","conversation_id":"c1"' ELSE '' END,
+ CASE WHEN doc_id % 3 = 1 THEN concat(',"heading":"Part ', doc_id % 5, '","law_name":"Relief Act","document_type":"statute","category":"civil","sub_category":"land"') ELSE '' END,
+ CASE WHEN doc_id % 5 = 2 THEN ',"practice_area":"property","summary":"in short","sections":["54-C","302"],"keywords":["bail"]' ELSE '' END,
+ CASE WHEN doc_id % 7 = 3 THEN concat(',"parent_chunk_id":"c', doc_id - 1, '","validation_status":"orphan_heading","chunk_role":"child","section":"7-A"') ELSE '' END,
+ CASE WHEN doc_id % 2 = 1 THEN concat(',"page_number":', doc_id % 40, ',"start_offset":', doc_id * 10, ',"end_offset":', doc_id * 10 + 9, ',"paragraph_index":', doc_id % 6) ELSE '' END,
+ CASE WHEN doc_id % 9 = 4 THEN concat(',"user_id":"u', doc_id % 37, '"') ELSE '' END,
  '}')"""
 
 
 def normalized_payloads(spark, d):
     points = t.load(spark, d, "documents").select(
-        F.expr("concat('p', doc_id)").alias("point_id"), F.expr(PAYLOAD).alias("payload")
+        F.expr("concat('p', doc_id)").alias("point_id"), F.expr(PAYLOAD).alias("payload"),
+        F.expr("CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 8 AS DOUBLE) / 8 END").alias("score"),
     )
     return op.normalize_payload(points)
 
@@ -325,8 +331,13 @@ SELECT count(*) AS points, min(len(v)) AS min_vector_size, max(len(v)) AS max_ve
   SELECT vec_id, label, CASE WHEN vec_id % 9 = 0 THEN embedding[1:60] WHEN vec_id % 31 = 0 THEN NULL ELSE embedding END AS v
   FROM embeddings)""",
     "normalize_payload": f"""
-WITH p AS (SELECT 'p' || doc_id AS point_id, CAST({PAYLOAD} AS JSON) AS j FROM documents)
-SELECT coalesce(j->>'$.chunk_id', point_id) AS chunk_id,
+WITH p AS (SELECT 'p' || doc_id AS point_id, CAST({PAYLOAD} AS JSON) AS j, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 8 AS DOUBLE) / 8 END AS sc FROM documents)
+SELECT coalesce(j->>'$.chunk_id', point_id) AS chunk_id, coalesce(j->>'$.chunk_id', point_id) AS id, coalesce(sc, 0.0) AS score,
+  {', '.join(f"j->>'$.{c}' AS {c}" for c in op.PAYLOAD_TEXTS)},
+  {', '.join(f"CAST(j->>'$.{c}' AS BIGINT) AS {c}" for c in op.PAYLOAD_NUMBERS)},
+  coalesce(CAST(j->'$.sections' AS VARCHAR[]), []) AS sections, coalesce(CAST(j->'$.keywords' AS VARCHAR[]), []) AS keywords,
+  CAST(j->>'$.embedded' AS BOOLEAN) AS embedded, j->>'$.user_id' AS user_id,
+  CAST(coalesce(j->>'$.publication_year', j->>'$.source.publication_year', j->>'$.year') AS BIGINT) AS publication_year,
   CASE WHEN length(j->>'$.document_id') = 32 THEN CAST(CAST(lower(j->>'$.document_id') AS UUID) AS VARCHAR)
        ELSE lower(j->>'$.document_id') END AS document_id,
   CAST(j->>'$.chunk_index' AS BIGINT) AS chunk_index,
