@@ -23,8 +23,15 @@ from evidex.streaming import eventlog, ingest, limiter, work
 
 
 def scanned_files(spark, d):
-    """Every file of the folder as a document row; only text files carry text."""
-    return read_documents(spark, d).select("name", "mime", F.length("text").cast("bigint").alias("characters"), "bytes")
+    """The documents written by Spark as one text file each, and read back as files."""
+    path = work.shared_dir(spark, "files")
+    docs = t.load(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file"), "text")
+    docs.write.partitionBy("file").text(path)
+    found = read_documents(spark, path).select(
+        F.regexp_extract("path", "file=([^/]+)/", 1).alias("name"), "mime", F.md5("text").alias("text_md5"),
+        F.length("text").cast("bigint").alias("characters"), "bytes",
+    )
+    return found.filter("name <> ''")  # not the writer's own marks
 
 
 def ingested(spark, d):
@@ -137,6 +144,9 @@ _V = f"""v AS (SELECT * FROM (SELECT *, max(version) OVER (PARTITION BY document
 vs AS (SELECT document_id, version, text AS doc_text, unnest(range(0, CAST(length(text) AS BIGINT), 1000)) AS s FROM v WHERE text <> ''),
 vw AS (SELECT document_id, version, s, substring(doc_text, s + 1, 1200) AS raw FROM vs)"""
 ORACLE = {
+    "scan_files": """
+SELECT 'd' || doc_id AS name, 'text/plain' AS mime, md5(text || chr(10)) AS text_md5, CAST(length(text) + 1 AS BIGINT) AS characters,
+  CAST(strlen(text) + 1 AS BIGINT) AS bytes FROM documents""",
     "stream_ingest": with_ctes(CHUNKS_CTE) + r"""
 , gate AS (SELECT document_id FROM docs WHERE filename <> '' AND byte_size <= 26214400
    AND regexp_extract(filename, '([^/]+)/*$', 1) NOT IN ('', '.', '..')

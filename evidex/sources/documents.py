@@ -32,7 +32,7 @@ def from_binary_files(files: DataFrame) -> DataFrame:
     """Batch or streaming ``binaryFile`` rows to ``path,name,mime,text,bytes``."""
     suffix = file_suffix("path")
     mime = F.coalesce(F.element_at(const_map(MIME_BY_SUFFIX), suffix), F.lit("application/octet-stream"))
-    readable = F.startswith(mime, F.lit("text/")) | suffix.isin(*TEXT_SUFFIXES)
+    readable = _readable(suffix)
     return files.select(
         "path",
         base_name("path").alias("name"),
@@ -42,11 +42,24 @@ def from_binary_files(files: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    return from_binary_files(files)
+def _readable(suffix: Column) -> Column:
+    return suffix.isin(*TEXT_SUFFIXES, *[s for s, mime in MIME_BY_SUFFIX.items() if mime.startswith("text/")])
+
+
+def _any_case(suffix: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path`` as a document row.
+
+    Only files with a text suffix are opened, however large the others are: those are listed
+    without their content.
+    """
+    def files(glob: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+
+    texts = sorted({*TEXT_SUFFIXES, *(s for s, mime in MIME_BY_SUFFIX.items() if mime.startswith("text/"))})
+    opened = files("*{" + ",".join(map(_any_case, texts)) + "}")
+    closed = files("*").select("path", "modificationTime", "length").filter(~_readable(file_suffix("path")))
+    return from_binary_files(opened).unionByName(from_binary_files(closed.withColumn("content", F.lit(None).cast("binary"))))
