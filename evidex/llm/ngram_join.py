@@ -14,7 +14,7 @@ sets are one class.  Two sets of sizes a and b with similarity 0.8 or more diffe
 * **Stars.** Of each bucket of equal blocks, every set is compared with the one of the
   smallest document; that joins large groups of copies without listing their pairs.
 * **The rest.** Buckets that still hold several components give the pairs between different
-  components whose sizes and 256-bit parity sketches allow a link.  A bucket of more than
+  components whose sizes and parity sketches allow a link.  A bucket of more than
   ``CROWD`` components is first split by a second agreeing block, which every linked pair has.
 * **Verify.** Candidates are compared on their whole shingle sets.
 
@@ -29,6 +29,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ RATIO = 1.25
 CROWD = 32
 WORD_CACHE = 500_000
 SEEN = 200_000
+SENT = 1_000_000  # ids (16 bytes each) sent to every task at most; more are joined by a shuffle
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -81,7 +83,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     total = int(counts.sum())
-    hashes = np.fromiter((_known[w] for ws in words for w in ws), np.uint64, total)
+    hashes = np.fromiter(map(_known.__getitem__, chain.from_iterable(words)), np.uint64, total)
     rolled = np.zeros(max(0, total - WORDS + 1), np.uint64)
     for k in range(WORDS):
         rolled = _mix(rolled * _A + hashes[k : total - WORDS + 1 + k]) if len(rolled) else rolled
@@ -148,45 +150,44 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """256 parities as four numbers; their Hamming distance is at most the symmetric difference."""
-    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """1024 parities as sixteen numbers; their Hamming distance is at most the symmetric difference."""
+    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for run in chunks(batch.column("text").to_pylist()) for s in shingle_sets(run)]
-        marks = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, 4), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()),
-             *(pa.array(marks[:, k]) for k in range(4))],
-            ["doc_id", "n", "node", "k0", "k1", "k2", "k3"],
-        )
+ROWS = "key bigint, node bigint, doc bigint, n bigint, w array<bigint>"
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with size and sketch for every document, and its bucket keys with neither."""
+    names, seen = ["key", "node", "doc", "n", "w"], set()
     for batch in batches:
-        ids, start = batch.column("doc_id").to_pylist(), 0
+        ids, start = batch.column("doc_id"), 0
         for run in chunks(batch.column("text").to_pylist()):
-            found, nodes, docs = [], [], []
-            for doc, s in zip(ids[start : start + len(run)], shingle_sets(run)):
-                node = class_id(s)
+            sets = shingle_sets(run)
+            docs, start = ids.slice(start, len(run)), start + len(run)
+            nodes = np.array([class_id(s) for s in sets], np.int64)
+            marks = pa.array(np.concatenate([sketch(s) for s in sets]))
+            spread = _mix(docs.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
+            bounds = pa.array(np.arange(len(sets) + 1) * 16, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spread), pa.array(nodes), docs, pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(bounds, marks)], names
+            )
+            found, at = [], []
+            for i, node in enumerate(nodes.tolist()):
                 if node in seen:  # a copy in this task adds nothing
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                found.append(signatures(s))
-                nodes.append(node)
-                docs.append(doc)
-            start += len(run)
-            if found:
-                sizes = np.array([len(f) for f in found])
+                found.append(signatures(sets[i]))
+                at.append(i)
+            sizes = [len(f) for f in found]
+            if sum(sizes):
+                own = np.repeat(at, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
-                     pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(docs)), sizes)))],
-                    ["key", "node", "doc"],
+                    [pa.array(np.concatenate(found)), pa.array(nodes[own]), docs.take(pa.array(own)), pa.nulls(len(own), pa.int64()),
+                     pa.nulls(len(own), pa.list_(pa.int64()))], names,
                 )
 
 
@@ -212,23 +213,32 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of classes that link, by their whole shingle sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
+    """The pairs (``a``, ``b``) of classes that link: those their sketches allow, by their whole shingle sets."""
+    x, y = classes.select(F.col("node").alias("a"), "n", "w"), classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("w").alias("v"))
+    apart = F.aggregate(F.zip_with("w", "v", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+    likely = staged(pairs.join(x, "a").join(y, "b").where((5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")) & (9 * apart <= F.col("n") + F.col("m"))).select("a", "b"), "likely")
+    nodes = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b"))).distinct()
     wanted = staged(nodes.join(classes, "node").select("node", F.col("doc").alias("doc_id")), "wanted")
-    sets = staged(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "sets").dropDuplicates(["node"])
-    both = (
-        pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    )
+    few = wanted.count() <= SENT
+    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node bigint, shingles binary")
+    sets = staged(sets, "sets").dropDuplicates(["node"])
+    both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     return staged(both.mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
 def _may_link() -> Column:
-    """Sizes and parity sketches of ``x`` and ``y`` allow similarity 0.8."""
+    """Sizes and 256 of the parities of ``x`` and ``y`` allow similarity 0.8."""
     n, m = F.col("x.n"), F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(4)), F.lit(0))
     return (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m)
 
 
+def _fold(k: int) -> Column:
+    """The 1024 parities folded to 256."""
+    a, b, c, d = (F.get("w", F.lit(k + 4 * i)) for i in range(4))
+    return a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d)
+
+
 def _between(members: DataFrame) -> DataFrame:
     """Pairs of different components that share a key."""
     return members.alias("x").join(members.alias("y"), "key").where(_may_link()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -237,23 +247,22 @@ def _between(members: DataFrame) -> DataFrame:
 def join(documents: DataFrame, text: str = "text") -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``) of every row of ``documents``."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
-    info = staged(docs.mapInArrow(_info, "doc_id bigint, n bigint, node bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint"), "info")
-    classes = staged(
-        info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), *[F.max(f"k{k}").alias(f"k{k}") for k in range(4)]),
-        "classes",
-    )
-    keys = docs.mapInArrow(_keys, "key bigint, node bigint, doc bigint").repartition("key")
+    rows = docs.mapInArrow(_rows, ROWS).repartition("key")
     least, most = (F.expr(f"{f}(node) OVER (PARTITION BY key)").alias(f) for f in ("min", "max"))
     first = F.expr("min_by(node, doc) OVER (PARTITION BY key)").alias("first")
-    shared = keys.select("key", "node", "doc", least, most).where("min <> max").select("key", "node", first)
-    members = staged(shared.dropDuplicates(["key", "node"]), "members")
+    useful = rows.select("*", least, most).where("n IS NOT NULL OR min <> max").select(*rows.columns, first)
+    useful = staged(useful, "rows")
+    info = useful.where("n IS NOT NULL").select("doc", "n", "node", "w")
+    members = useful.where("n IS NULL").select("key", "node", "first").dropDuplicates(["key", "node"])
+    classes = info.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.max("w").alias("w"))
+    classes = staged(classes.select("node", "doc", "n", "w", *(_fold(k).alias(f"k{k}") for k in range(4))), "classes")
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("shared")).where("shared > 1")
     stars = staged(stars.select(F.col("first").alias("a"), F.col("node").alias("b")), "stars")
     links = verified(stars, classes, docs)
     labels = components(links)
     joined = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     crowds = joined.groupBy("key", "label").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    open_keys = staged(joined.join(crowds, "key").join(classes, "node"), "open")
+    open_keys = staged(joined.join(crowds, "key").join(classes.drop("w", "doc"), "node"), "open")
     crowded = open_keys.where(F.col("crowd") > CROWD).drop("crowd")
     other = crowded.select(F.col("key").alias("key_2"), F.col("node"))
     split = crowded.join(other, "node").where("key < key_2").withColumn("key", F.xxhash64("key", "key_2")).drop("key_2")
@@ -267,7 +276,7 @@ def join(documents: DataFrame, text: str = "text") -> DataFrame:
     named = final.join(smallest, "label").select("node", "component_id")
     return (
         info.join(named, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     )
 
 
