@@ -86,14 +86,26 @@ def legal_metadata(filters: dict[str, str] | None) -> Column:
 def visible_to(rows: DataFrame, grants: DataFrame, rule=document_visibility) -> DataFrame:
     """Batch form: each grant ``(query_id,user_id,matter_id,conversation_id)`` with the rows it sees.
 
-    The join is an equi-join on the owner; the scope branches stay a residual
-    predicate on it, so no owner's rows meet another owner's grants.
+    Rows and grants meet on the owner and a key of the scope, so no grant meets rows of its
+    owner that it does not see.  A row of a conversation can be seen through its matter and
+    through the conversation; of the two the matter counts.
     """
+    through_matter = rule is document_visibility
+    key = lambda kind, value: F.concat(F.lit(kind), value)
+    of_row = F.when(F.col("scope") == "user", F.array(F.lit("u"))).when(
+        F.col("scope") == "matter", F.array(key("m:", F.col("matter_id")))
+    ).when(F.col("scope") == "conversation", F.array(
+        *([key("l:", F.col("matter_id"))] if through_matter else []), key("c:", F.col("conversation_id"))
+    ))
+    opens = [F.lit("u"), key("m:", F.col("matter_id")), key("c:", F.col("conversation_id"))]
+    of_grant = F.array(*opens, *([key("l:", F.col("matter_id"))] if through_matter else []))
+    keyed = rows.withColumn("_key", F.explode(F.filter(of_row, lambda k: k.isNotNull())))
     g = grants.select(
-        "query_id",
-        F.col("user_id").alias("g_user"),
-        F.col("matter_id").alias("g_matter"),
-        F.col("conversation_id").alias("g_conversation"),
+        "query_id", F.col("user_id").alias("g_user"), F.col("matter_id").alias("g_matter"),
+        F.explode(F.filter(of_grant, lambda k: k.isNotNull())).alias("_opens"),
     )
-    condition = rule(F.col("g_user"), F.col("g_matter"), F.col("g_conversation"))
-    return rows.join(g, condition).drop("g_user", "g_matter", "g_conversation")
+    seen = keyed.join(g, (F.col("user_id") == F.col("g_user")) & (F.col("_key") == F.col("_opens")))
+    if through_matter:
+        both = F.startswith("_key", F.lit("c:")) & F.coalesce(F.col("matter_id") == F.col("g_matter"), F.lit(False))
+        seen = seen.filter(~both)
+    return seen.drop("g_user", "g_matter", "_opens", "_key")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from evidex.functions import text as tx
 from evidex.functions.authority import authority_rank, classify_authority
 from evidex.functions.text import contains_any
+from evidex.functions.slices import positions
 from evidex.rules import evidence as r
 
 _CITED = rf"(?i){tx.BOUNDARY_BEFORE}(?:section|article|u/s)[{tx.SPACE}]+([0-9A-Za-z\-]+)"
@@ -238,6 +239,9 @@ def simple_strength(hits: DataFrame, modes: DataFrame) -> DataFrame:
     return m.select(*modes.columns, verdict.alias("strength"))
 
 
+STRENGTH_STEPS = 500  # buckets of support a query's items are numbered in
+
+
 def evidence_items(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """Every hit with authority, support strength, role and its place in the bundle."""
     text, concepts = F.col("_t"), F.col("_concepts")
@@ -255,12 +259,9 @@ def evidence_items(hits: DataFrame, questions: DataFrame) -> DataFrame:
         .when(F.col("relevance") >= 0.25, "weak")
         .otherwise("retrieved")
     )
-    place = F.row_number().over(
-        Window.partitionBy("query_id").orderBy(
-            F.desc(F.bround("support_strength", 12)), F.desc("authority_rank"), F.desc("relevance"), "ordinal"
-        )
-    )
-    return (
+    strength = F.bround("support_strength", 12)
+    order = [F.desc(strength), F.desc("authority_rank"), F.desc("relevance"), F.asc("ordinal")]
+    items = (
         _with_question(hits, questions)
         .join(questions.select("query_id", "needs_authority", "document_mode"), "query_id")
         .withColumn("relevance", score())
@@ -268,9 +269,9 @@ def evidence_items(hits: DataFrame, questions: DataFrame) -> DataFrame:
         .withColumn("authority_rank", authority_rank("authority_type"))
         .withColumn("support_strength", support)
         .withColumn("role", role)
-        .withColumn("position", place.cast("bigint"))
-        .select(*hits.columns, "authority_type", "authority_rank", "relevance", "support_strength", "role", "position")
+        .select(*hits.columns, "authority_type", "authority_rank", "relevance", "support_strength", "role")
     )
+    return positions(items, ["query_id"], F.floor(strength * STRENGTH_STEPS).cast("bigint"), order)
 
 
 def bundle_metadata(items: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
 from evidex.functions.fold import let, unique_values
+from evidex.functions.slices import positions
 from evidex.functions.identity import canonical_doc_id, chunk_key, normalize_document_id, resource_key
 from evidex.operators.ingest import preview
 from evidex.operators.rank import (
@@ -15,14 +16,23 @@ from evidex.operators.rank import (
 )
 
 EXCERPT_LIMIT = 800
+NUMBER_BUCKET, SCORE_STEPS = 1024, 500
 
 
 def number_sources(hits: DataFrame) -> DataFrame:
-    """Sources numbered by position (or score), with excerpt and rounded relevance."""
-    order = [F.col("position")] if "position" in hits.columns else hit_order()
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return hits.select(
-        "*", number.cast("bigint").alias("number"),
+    """Sources numbered by position (or score), with excerpt and rounded relevance.
+
+    Numbers are given inside buckets of the position (or score), so a long list is numbered by
+    many tasks.
+    """
+    rows = hits.withColumnRenamed("position", "_position")
+    if "position" in hits.columns:
+        numbered = positions(rows, ["query_id"], F.floor(F.col("_position") / NUMBER_BUCKET).cast("bigint"), [F.asc("_position")], newest_first=False)
+    else:
+        numbered = positions(rows, ["query_id"], F.floor(hit_score() * SCORE_STEPS).cast("bigint"), hit_order())
+    numbered = numbered.withColumnRenamed("position", "number").withColumnRenamed("_position", "position")
+    return numbered.select(
+        *hits.columns, F.col("number").cast("bigint").alias("number"),
         preview("text", EXCERPT_LIMIT).alias("excerpt"),
         F.bround(hit_score(), 4).alias("relevance"),
     ).withColumn("source_id", F.concat(F.lit("source-"), F.col("number").cast("string")))
@@ -50,22 +60,16 @@ def display_sources(sources: DataFrame, used: DataFrame) -> DataFrame:
 
     ``used(query_id, sources_used array<bigint>)``.
     """
-    everything = Window.partitionBy("query_id")
-    ranked = F.row_number().over(everything.orderBy(F.desc("relevance"), "number"))
-    top = F.max("relevance").over(everything)
-    close = F.greatest(top * F.lit(DISPLAY_RATIO), top - F.lit(DISPLAY_GAP))
     cited = F.coalesce(F.array_contains("sources_used", F.col("number")), F.lit(False))
-    return (
-        sources.join(used.select("query_id", "sources_used"), "query_id", "left")
-        .withColumn("_cited", cited)
-        .withColumns({"_any": F.bool_or("_cited").over(everything), "_n": ranked, "_top": top, "_close": close})
-        .filter(
-            F.when(F.col("_any"), F.col("_cited"))
-            .when(F.col("_top") <= 0, F.col("_n") <= DISPLAY_FALLBACK)
-            .otherwise((F.col("relevance") >= F.col("_close")) & (F.col("_n") <= DISPLAY_MAX))
-        )
-        .select(*sources.columns)
+    marked = sources.join(used.select("query_id", "sources_used"), "query_id", "left").withColumn("_cited", cited)
+    whole = marked.groupBy("query_id").agg(F.bool_or("_cited").alias("_any"), F.max("relevance").alias("_top"))
+    rows = marked.join(whole, "query_id")
+    close = F.greatest(F.col("_top") * F.lit(DISPLAY_RATIO), F.col("_top") - F.lit(DISPLAY_GAP))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "number"))
+    best = rows.filter(~F.col("_any")).withColumn("_n", place).filter(F.col("_n") <= DISPLAY_MAX).filter(
+        F.when(F.col("_top") <= 0, F.col("_n") <= DISPLAY_FALLBACK).otherwise(F.col("relevance") >= close)
     )
+    return rows.filter("_any AND _cited").select(*sources.columns).unionByName(best.select(*sources.columns))
 
 
 def mentions_section(section: Column) -> Column:
@@ -91,19 +95,17 @@ def resource_sources(sources: DataFrame, hints: DataFrame) -> DataFrame:
         .join(hints.select("query_id", F.col("section").alias("_hint")), "query_id", "left")
         .withColumn("_doc", F.coalesce(normalize_document_id("document_id"), F.nullif("filename", F.lit("")), F.col("source_id")))
         .withColumn("_match", F.coalesce(mentions_section(F.col("_hint")), F.lit(False)))
-        .withColumn("_any", F.bool_or("_match").over(Window.partitionBy("query_id")))
-        .filter(F.col("_match") | ~F.col("_any"))
     )
+    named = pool.groupBy("query_id").agg(F.bool_or("_match").alias("_any"))
+    pool = pool.join(named, "query_id").filter(F.col("_match") | ~F.col("_any"))
     docs = pool.groupBy("query_id", "_doc").agg(F.max("relevance").alias("_best"), F.min("number").alias("_first"))
     w = Window.partitionBy("query_id")
     close = F.when(F.col("_top") <= 0, 0.0).otherwise(
         F.greatest(F.col("_top") * F.lit(RESOURCE_RATIO), F.col("_top") - F.lit(RESOURCE_GAP))
     )
-    kept = (
-        docs.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_best"), "_first")))
-        .withColumn("_top", F.max("_best").over(w))
-        .filter((F.col("_best") >= close) & (F.col("_rank") <= RESOURCE_MAX))
-    )
+    best = docs.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_best"), "_first"))).filter(F.col("_rank") <= RESOURCE_MAX)
+    top = docs.groupBy("query_id").agg(F.max("_best").alias("_top"))
+    kept = best.join(top, "query_id").filter(F.col("_best") >= close)
     place = F.row_number().over(w.orderBy("_rank", F.desc("relevance"), "number"))
     return (
         pool.join(kept.select("query_id", "_doc", "_rank"), ["query_id", "_doc"])
@@ -149,7 +151,6 @@ def build_resources(sources: DataFrame) -> DataFrame:
     )
     best = F.get(F.col("kept"), F.lit(0))["row"]
     doc = canonical_doc_id(best["document_id"], best["chunk_id"])
-    top = F.max("relevance").over(Window.partitionBy("query_id"))
     rows = distinct.select(
         "query_id", F.coalesce(F.concat(F.lit("resource-"), doc), F.concat(F.lit("resource-"), F.col("_key"))).alias("resource_id"),
         doc.alias("document_id"),
@@ -159,7 +160,8 @@ def build_resources(sources: DataFrame) -> DataFrame:
         merge_passages(texts).alias("excerpt"), F.size("kept").cast("bigint").alias("passages"),
         best["relevance"].alias("relevance"),
     )
-    return rows.withColumn("relevance_percent", relevance_percent(F.col("relevance"), top))
+    top = rows.groupBy("query_id").agg(F.max("relevance").alias("_top"))
+    return rows.join(top, "query_id").withColumn("relevance_percent", relevance_percent(F.col("relevance"), F.col("_top"))).drop("_top")
 
 
 def relevance_percent(value: Column, top: Column) -> Column:

@@ -24,20 +24,19 @@ def keyword_rescue(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFra
     """Chunks whose keyword list holds a spelling of the section the query cites.
 
     ``queries(query_id, section)``; each spelling contributes up to eight chunks in
-    id order, earlier spellings first.  The per-spelling cut is a rank filter, so
-    Spark trims each task's rows before the shuffle even for a keyword on a third
-    of the corpus.
+    id order, earlier spellings first.  The cut does not depend on the query, so every
+    keyword is cut once, before any query meets it: a rank filter Spark applies in each task
+    before the shuffle, even for a keyword on a third of the corpus.
     """
     variants = queries.select(
         "query_id", F.posexplode(tx.section_variants("section")).alias("_v", "_kw")
     )
     tagged = chunks.select("chunk_id", "score", F.explode(F.array_distinct("keywords")).alias("_kw"))
-    in_variant = F.row_number().over(Window.partitionBy("query_id", "_v").orderBy("chunk_id"))
+    in_keyword = F.row_number().over(Window.partitionBy("_kw").orderBy("chunk_id"))
+    tagged = tagged.withColumn("_n", in_keyword).filter(F.col("_n") <= min(limit, KEYWORD_PER_VARIANT))
     overall = F.row_number().over(Window.partitionBy("query_id").orderBy("_v", "chunk_id"))
     return (
         tagged.join(variants, "_kw")
-        .withColumn("_n", in_variant)
-        .filter(F.col("_n") <= min(limit, KEYWORD_PER_VARIANT))
         .groupBy("query_id", "chunk_id")
         .agg(F.min("_v").alias("_v"), F.max("score").alias("score"))
         .withColumn("rank", overall.cast("bigint"))
@@ -158,11 +157,15 @@ def enrich_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def expand_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Short or incomplete children get their parent's text in front."""
+    """Short or incomplete children get their parent's text in front.
+
+    The ids the hits name are found first, and only those chunks move.
+    """
+    named = hits.select(F.col("parent_chunk_id").alias("_pid")).filter("_pid IS NOT NULL").distinct()
     parents = chunks.select(
         F.col("chunk_id").alias("_pid"),
         tx.strip(F.coalesce(F.nullif("chunk_text", F.lit("")), F.col("text"), F.lit(""))).alias("_parent"),
-    )
+    ).join(named, "_pid", "left_semi")
     child = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     incomplete = (F.length(child) < SHORT_CHILD) | F.coalesce(
         F.col("validation_status").isin(*INCOMPLETE_STATUS), F.lit(False)

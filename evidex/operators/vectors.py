@@ -60,25 +60,26 @@ def _best(frame: pd.DataFrame, limits: dict) -> pd.DataFrame:
 
 
 def _batch_candidates(scores: np.ndarray, ids: np.ndarray, limits: np.ndarray) -> pd.DataFrame:
-    """Rows that can be among the best of this batch, ties at the cut included."""
-    parts = []
-    for q in np.flatnonzero(limits > 0):
-        column = scores[:, q]
-        seen = np.flatnonzero(column > -np.inf)
-        if seen.size > limits[q]:
-            cut = np.partition(column[seen], -limits[q])[-limits[q]]
-            seen = seen[column[seen] >= cut]
-        if seen.size:
-            parts.append(pd.DataFrame({"q": q, "chunk_id": ids[seen], "score": column[seen]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"q": [], "chunk_id": [], "score": []})
+    """Rows that can be among the best of this batch, ties at the cut included.
+
+    Queries of one limit are cut together, along the rows of the score matrix.
+    """
+    cut = np.full(scores.shape[1], np.inf)
+    for limit in np.unique(limits[limits > 0]):
+        same = np.flatnonzero(limits == limit)
+        cut[same] = np.partition(scores[:, same], len(ids) - limit, axis=0)[len(ids) - limit] if limit < len(ids) else -np.inf
+    row, q = np.nonzero((scores >= cut) & (scores > -np.inf))
+    return pd.DataFrame({"q": q, "chunk_id": ids[row], "score": scores[row, q]})
+
+
+def _fitting(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    """Rows whose vectors have the queries' size; the others are those ``validate_vectors`` lists."""
+    return batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), size), False))
 
 
 def _matrix(batch: pa.RecordBatch, size: int) -> np.ndarray:
     """The vectors of an Arrow batch as one matrix, without a Python object per row."""
-    column = batch.column("embedding")
-    if pc.any(pc.not_equal(pc.list_value_length(column), size)).as_py():
-        raise ValueError(f"stored vectors must have {size} numbers; see validate_vectors")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
 def _scan(block: QueryBlock, tiers: list[Tier]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,6 +87,7 @@ def _scan(block: QueryBlock, tiers: list[Tier]) -> Callable[[Iterator[pa.RecordB
         kept: dict[str, pd.DataFrame] = {}
         limits = {t.name: t.limit(block.attrs).astype(int) for t in tiers}
         for batch in batches:
+            batch = _fitting(batch, block.matrix.shape[1])
             if not len(batch):
                 continue
             scores = np.round(_unit(_matrix(batch, block.matrix.shape[1])) @ block.matrix.T, SCORE_DIGITS)
@@ -154,9 +156,11 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, predicate=None) -
 # --- scope masks ---------------------------------------------------------------
 
 def _equal(rows: pd.DataFrame, queries: pd.DataFrame, column: str) -> np.ndarray:
-    left, right = rows[column].to_numpy(dtype=object), queries[column].to_numpy(dtype=object)
-    same = left[:, None] == right[None, :]
-    return same & pd.notna(left)[:, None] & pd.notna(right)[None, :]
+    """Where a row's value is a query's; values are compared as whole numbers that stand for them."""
+    values = [*rows[column].to_numpy(dtype=object), *queries[column].to_numpy(dtype=object)]
+    codes, _ = pd.factorize(np.array(values, dtype=object))
+    left, right = codes[: len(rows)].astype(np.int32), codes[len(rows):].astype(np.int32)
+    return (left[:, None] == right[None, :]) & (left >= 0)[:, None]
 
 
 def _scoped(rows: pd.DataFrame, queries: pd.DataFrame, scope: str, column: str) -> np.ndarray:
