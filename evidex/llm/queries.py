@@ -85,7 +85,98 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
+# --- oracle SQL ------------------------------------------------------------------
+
+
+def _components(nodes: str, links: str) -> str:
+    """Least node reachable by ``links(a, b)``, by walking them."""
+    return f"""
+        walk AS (
+            SELECT id AS start, id AS here FROM {nodes}
+            UNION
+            SELECT w.start, CASE WHEN l.a = w.here THEN l.b ELSE l.a END FROM walk w JOIN {links} l ON w.here = l.a OR w.here = l.b
+        ), reach AS (SELECT start, min(here) AS label FROM walk GROUP BY start)"""
+
+
+_SHINGLES = """
+        docs AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h, n) AS id, n FROM (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS h, count(*) AS n FROM sets GROUP BY doc_id)),
+        named AS (SELECT DISTINCT id, n FROM classes),
+        own AS (SELECT doc_id AS id, s FROM sets JOIN (SELECT DISTINCT id FROM classes) k ON k.id = sets.doc_id),
+        links AS (
+            SELECT p.a, p.b FROM (SELECT x.id AS a, y.id AS b, count(*) AS k FROM own x JOIN own y ON x.s = y.s AND x.id < y.id GROUP BY ALL) p
+            JOIN named m ON m.id = p.a JOIN named o ON o.id = p.b WHERE 100 * k >= 80 * (m.n + o.n - k)
+        )"""
+
+
+def _spans_sql(kind: str) -> str:
+    """Located matches of one kind: gaps and matches by turns, lengths summed."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INT) ELSE CAST(d AS INT) * 2 % 10 + CAST(d AS INT) // 5 END)) % 10 = 0"
+    packed = "replace(h, ' ', '')"
+    mod97 = (
+        f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substring({packed}, 5) || left({packed}, 4), ''), lambda c: CASE WHEN c >= 'A' THEN 100 + ascii(c) - 55 ELSE ascii(c) - 48 END)), "
+        "lambda a, c: CASE WHEN c >= 100 THEN (a * 100 + c - 100) % 97 ELSE (a * 10 + c) % 97 END) = 1"
+    )
+    valid = {
+        "email": "true", "ip": "len(list_filter(string_split(h, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 3) AS INT) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15", "iban": mod97,
+        "ssn": "regexp_matches(lower(right(g, 48) || ' ' || left(after, 48)), '\\b(?:ssn|social|security|tax|insurance)')",
+    }
+    p = patterns[kind].replace("'", "''")
+    order = list(patterns).index(kind)
+    return f"""
+            SELECT doc_id, {order} AS o, '{kind}' AS kind, s, s + length(h) AS e FROM (
+                SELECT doc_id, h, g, after, coalesce(sum(length(g) + length(h)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(g) AS s FROM (
+                    SELECT doc_id, r, unnest(hits) AS h, unnest(gaps[1:len(hits)]) AS g, unnest(gaps[2:]) AS after, unnest(range(len(hits))) AS i
+                    FROM (SELECT doc_id, r, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM texts))) WHERE {valid[kind]}"""
+
+
+_ANY = "### (?:System|User|Assistant|Other):|###\\||</turn>"
+_ESCAPE = "regexp_replace({}, '(\\\\*)(" + _ANY + ")', '\\1\\1\\\\\\2', 'g')"
+
 ORACLE: dict[str, str] = {
+    "op3_ngram_join": f"""WITH RECURSIVE {_SHINGLES},{_components('(SELECT DISTINCT id FROM classes)', 'links')}
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(label, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN classes c USING (doc_id) LEFT JOIN reach r ON r.start = c.id""",
+    "op4_pii": f"""WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+        spans AS ({' UNION ALL '.join(map(_spans_sql, pii.KINDS))}),
+        listed AS (
+            SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o < 4) AS base FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN listed l USING (doc_id)""",
+    "op5_embedding_dedup": f"""WITH RECURSIVE v AS (
+            SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95),{_components('v', 'links')},
+        degree AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(reach.label, vec_id) AS component_id, coalesce(reach.label, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN degree ON degree.id = vec_id LEFT JOIN reach ON start = vec_id""",
+    "op6_chat": rf"""WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(n, r)
+        ), f AS (
+            SELECT *, CASE role WHEN 'system' THEN '### System:' WHEN 'user' THEN '### User:' WHEN 'assistant' THEN '### Assistant:'
+                ELSE '### Other:' || {_ESCAPE.format('role')} || '###|' END || {_ESCAPE.format('text')} || '</turn>' AS shown FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length(shown)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id""",
     "op10_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
