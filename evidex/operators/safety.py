@@ -208,11 +208,29 @@ def redact_json(payload: Column | str) -> Column:
     return F.when(suspect, redact(F.when(suspect, p))).otherwise(p)
 
 
+def escaped_length(text: Column) -> Column:
+    """Characters of a JSON text written with ASCII only: six for another character, twelve beyond the first plane."""
+    return F.length(text) + F.regexp_count(text, F.lit(r"[^\x00-\x7F]")) * 5 + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]")) * 6
+
+
+def escaped(text: Column) -> Column:
+    """JSON text with every character beyond ASCII as ``\\uXXXX``."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        pair = F.concat(unit(F.floor((n - 0x10000) / 0x400) + 0xD800), unit((n - 0x10000) % 0x400 + 0xDC00))
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
 def truncate_payload(payload: Column | str, max_bytes: int) -> Column:
-    """JSON longer than the limit becomes a marker with a preview."""
+    """JSON longer than the limit, as written with ASCII only, becomes a marker with a preview of that form."""
     p = tx.as_col(payload)
-    marker = F.to_json(F.struct(F.lit(True).alias("_truncated"), F.substring(p, 1, max_bytes).alias("preview")))
-    return F.when(F.octet_length(p) <= max_bytes, p).otherwise(marker)
+    preview = F.substring(escaped(F.substring(p, 1, max_bytes)), 1, max_bytes)
+    marker = F.to_json(F.struct(F.lit(True).alias("_truncated"), preview.alias("preview")))
+    return F.when(escaped_length(p) <= max_bytes, p).otherwise(marker)
 
 
 def safety_report(screened: DataFrame, *by: str) -> DataFrame:

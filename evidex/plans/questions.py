@@ -336,5 +336,7 @@ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{"k": [1, {"password": "[REDAC
   WHEN event_id % 4 = 1 THEN '{"refresh-token": "[REDACTED]", "n": ' || event_id || '}' ELSE props END AS payload FROM events""",
     "truncate_payloads": """
 WITH p AS (SELECT conv_id, turn, '{"text": "' || replace(replace(text, '"', ''), chr(10), ' ') || '"}' AS x FROM conversations)
-SELECT conv_id, turn, md5(CASE WHEN strlen(x) <= 200 THEN x ELSE '{"_truncated":true,"preview":"' || replace(replace(substring(x, 1, 200), '\\', '\\\\'), '"', '\\"') || '"}' END) AS payload_md5 FROM p""",
+, e AS (SELECT *, array_to_string(list_transform(string_split(x, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c))
+   ELSE printf('\\u%04x', (unicode(c) - 65536) // 1024 + 55296) || printf('\\u%04x', (unicode(c) - 65536) % 1024 + 56320) END), '') AS y FROM p)
+SELECT conv_id, turn, md5(CASE WHEN length(y) <= 200 THEN x ELSE '{"_truncated":true,"preview":"' || replace(replace(substring(y, 1, 200), '\\', '\\\\'), '"', '\\"') || '"}' END) AS payload_md5 FROM e""",
 }
