@@ -134,7 +134,7 @@ def test_expected_totals_meet_the_targets(mixed, floor, total):
     got = {d: sum(r["n_tokens"] * r["rate"] * r["shares"][d] for r in rows) for d in targets}
     everything = sum(got.values())
     assert total is None or abs(everything - total) < 0.001 * total
-    assert all(abs(got[d] / everything - t) < 1e-3 for d, t in targets.items())
+    assert all(abs(got[d] / everything - t) < 2e-3 for d, t in targets.items())
     assert all(abs(sum(r["shares"].values()) - 1) < 1e-9 for r in rows)
     assert all(int(r["rate"]) <= r["copies"] <= r["rate"] + 1 for r in rows)
 
