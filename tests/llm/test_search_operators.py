@@ -209,14 +209,15 @@ def test_features_are_the_windows_of_each_word():
     (toxicity, "op2_toxicity", "toxic", 4, 2), (quality, "op8_quality", "quality", 3, 1),
 ])
 def test_held_out_accuracy(spark, operator, query, label, folds, held):
-    rows = queries.QUERIES[query](spark, "/root/testdata/sf0.01").collect()
-    truth = {r["doc_id"]: r[label] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= operator.THRESHOLD) for r in rows)
+    folder = "/root/testdata/sf0.1"  # the small tables hold some forty toxic labels, too few to learn from
+    rows = queries.QUERIES[query](spark, folder).collect()
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(rows) == 10_000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= operator.THRESHOLD) for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == held) for r in rows)
     out = [(r["predicted"], truth[r["doc_id"]], r["score"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert sum(p == t for p, t, _ in out) >= 0.85 * len(out)
+    assert sum(p == t for p, t, _ in out) >= 0.9 * len(out)
     ones, zeros = [s for _, t, s in out if t == 1], [s for _, t, s in out if t == 0]
-    assert np.mean([o > z for o in ones for z in zeros]) > 0.85
+    assert np.mean([o > z for o in ones for z in zeros]) > 0.9
 
 
 @pytest.mark.parametrize("operator", [toxicity, quality])
