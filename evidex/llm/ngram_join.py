@@ -44,7 +44,7 @@ from evidex.llm.subword import chunks
 WORDS = 5
 SMALL = 64
 RATIO = 1.25
-CROWD = 32
+CROWD = 2_048
 WORD_CACHE = 500_000
 SEEN = 200_000
 SENT = 1_000_000  # ids (16 bytes each) sent to every task at most; more are joined by a shuffle
