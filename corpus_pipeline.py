@@ -13,7 +13,7 @@ from evidex.llm import mixing, ngram_join, packing, pii, toxicity
 from evidex.llm.common import staged, table
 from evidex.llm.queries import SHARES
 
-TOXIC = 0.5
+TOXIC = toxicity.THRESHOLD
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

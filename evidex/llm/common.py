@@ -13,7 +13,7 @@ def work_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="evidex-llm-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -284,8 +284,13 @@ def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``documents`` that carry the smallest doc_id of their component, each doc_id once.
 
     Rows without doc_id stay; of rows with the same doc_id, those with equal text are one row.
+    Texts are shuffled only where a doc_id repeats, or where the ids that stay are too many to
+    send to every task.
     """
     found = join(documents, text)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    ids = documents.join(staged(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id", text])
-    return ids.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
+    kept = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    few = kept.count() <= SENT
+    stay = documents.join(F.broadcast(kept) if few else kept, "doc_id")
+    again = stay.where("_rows > 1").dropDuplicates(["doc_id", text])
+    whole = stay.where("_rows = 1").unionByName(again).drop("_rows").unionByName(documents.where("doc_id IS NULL"))
+    return whole.select(*documents.columns)
