@@ -32,7 +32,9 @@ from evidex.llm.common import staged, whole_text
 BUCKETS = 2048
 EVIDENCE = 12.0
 STEPS = 60
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
+STAGED = 6  # steps after which the rates are written, so that a step repeats few others
+SLACK = 1.1  # room above the least total: documents of a wanted domain also carry others
 HUNDREDTHS = 100
 
 
@@ -94,44 +96,53 @@ def posteriors(docs: DataFrame, model: list[list[float]], domains: list[str], te
     )
 
 
-def _rate(steps: list[list[float]], start: float, floor: float) -> Column:
-    """The rate after the given steps of projected descent."""
-    rate = F.lit(start)
+def _rate(steps: list[list[float]], floor: float) -> Column:
+    """The rate after the given steps of projected descent from the rate there is."""
     if not steps:
-        return F.greatest(rate, F.lit(floor))
+        return F.col("rate")
     table = F.transform(F.split(F.lit(";".join(",".join(repr(g) for g in s) for s in steps)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
 
     def move(rate: Column, step: Column) -> Column:
         slope = F.aggregate(F.zip_with("_share", step, lambda p, g: p * g / HUNDREDTHS), F.lit(0.0), lambda a, x: a + x)
         return F.greatest(rate - slope, F.lit(floor))
 
-    return F.aggregate(table, F.greatest(rate, F.lit(floor)), move)
+    return F.aggregate(table, F.col("rate"), move)
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float], floor: float = 0.0, total: float | None = None) -> DataFrame:
     """(``_share``, ``rate``): one row per posterior.
 
     ``total`` is the number of tokens wanted; None takes the least total at which every
-    domain reaches its share without going below its present size.
+    domain reaches its share without going below its present size, and a tenth more.  The
+    descent ends when the totals meet the targets or no longer move.
     """
     domains, k = list(targets), len(targets)
-    groups = staged(scored.groupBy("_share").agg(F.sum("n_tokens").alias("t")), "mix-groups")
+    start = F.lit(max(1.0, floor)).alias("rate")
+    groups = staged(scored.groupBy("_share").agg(F.sum("n_tokens").alias("t")).select("*", start), "mix-groups")
     part = lambda i: F.get("_share", F.lit(i)) / HUNDREDTHS
-    sums = lambda rate: [v or 0.0 for v in groups.agg(*[F.sum(F.col("t") * rate * part(i)) for i in range(k)]).first()]
+
+    def sums(rate: Column) -> list[float]:
+        return [v or 0.0 for v in groups.agg(*[F.sum(F.col("t") * rate * part(i)) for i in range(k)]).first()]
+
     have = sums(F.lit(1.0))
     weight = sum(targets.values())
     share = [targets[d] / weight for d in domains]
     if total is None:
-        total = max((h / s for h, s in zip(have, share) if s > 0), default=0.0)
+        total = SLACK * max((h / s for h, s in zip(have, share) if s > 0), default=0.0)
     want = [s * total for s in share]
     steps: list[list[float]] = []
+    before = [math.inf] * k
     for _ in range(STEPS):
-        now = sums(_rate(steps, 1.0, floor))
+        now = sums(_rate(steps, floor))
         gap = [(n - w) / h if h > 0 else 0.0 for n, w, h in zip(now, want, have)]
-        if max(map(abs, gap), default=0.0) <= TOLERANCE:
+        if all(abs(g) <= TOLERANCE or abs(g - b) <= TOLERANCE for g, b in zip(gap, before)):
             break
         steps.append(gap)
-    return groups.select("_share", _rate(steps, 1.0, floor).alias("rate"))
+        before = gap
+        if len(steps) == STAGED:
+            groups = staged(groups.withColumn("rate", _rate(steps, floor)), "mix-groups")
+            steps = []
+    return groups.select("_share", _rate(steps, floor).alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], floor: float = 0.0, total: float | None = None,
