@@ -153,4 +153,12 @@ SELECT s.query_id, coalesce(d, 0) AS documents_retained, coalesce(c, 0) AS chunk
 FROM (SELECT query_id, count(*) AS total FROM shown GROUP BY 1) s LEFT JOIN (
   SELECT query_id, count(DISTINCT coalesce(doc, 'anon' || o)) AS d, count(*) AS c, max(removed_count) AS r, count(*) FILTER (truncated) AS tr, sum(packed_tokens) AS tok
   FROM packed GROUP BY 1) p USING (query_id)"""
+ORACLE["invariant_budget"] = f"""{PACKED}
+SELECT * FROM (SELECT u.query_id, kind, used, CASE kind WHEN 'conversation' THEN conversation_budget WHEN 'matter' THEN matter_budget
+    WHEN 'web' THEN web_budget ELSE legal_budget END AS budget
+  FROM (SELECT p.query_id, CASE slot WHEN 2 THEN 'conversation' WHEN 3 THEN 'matter' WHEN 4 THEN 'web' ELSE 'legal' END AS kind, CAST(sum(packed_tokens) AS BIGINT) AS used
+    FROM packed p JOIN lp ON lp.grp = p.query_id AND lp.ordinal = p.ordinal GROUP BY ALL) u JOIN budgets USING (query_id)) WHERE used > budget"""
+ORACLE["invariant_resources"] = f"""{SELECTED}
+SELECT query_id, document_id, count(DISTINCT 'doc:' || document_id) AS resources FROM shown WHERE document_id IS NOT NULL
+GROUP BY ALL HAVING count(DISTINCT 'doc:' || document_id) > 1"""
 QUERIES: dict = {}

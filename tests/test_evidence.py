@@ -159,3 +159,17 @@ def test_duplicate_windows_far_apart_are_found(rows):
     data = [("d", i, i * 1000, i * 1000 + 100, text if i in (0, 3) else f"window {i} says something else entirely here") for i in range(5)]
     chunks = rows(data + [("e", 0, 0, 100, text)], "document_id string, chunk_index int, start_offset int, end_offset int, text string")
     assert [(p["left_index"], p["right_index"], p["jaccard"]) for p in r.duplicate_pairs(chunks).collect()] == [(0, 3, 1.0)]
+
+
+def test_invariants_find_seeded_violations(rows):
+    from evidex.operators import evaluate as ev
+
+    packed = rows([(1, "legal", 60), (1, None, 50), (1, "web", 5), (2, "matter", 9)], "query_id int, source_type string, packed_tokens bigint")
+    budgets = rows([(i, 100, 10, 10, 10) for i in (1, 2)], "query_id int, legal_budget bigint, conversation_budget bigint, matter_budget bigint, web_budget bigint")
+    assert [tuple(x) for x in ev.over_budget(packed, budgets).collect()] == [(1, "legal", 110, 100)]
+    resources = rows([(1, "d"), (1, "d"), (1, "e"), (2, "d"), (2, None), (2, None)], "query_id int, document_id string")
+    assert [tuple(x) for x in ev.split_resources(resources).collect()] == [(1, "d", 2)]
+    guarded = rows([("k", False, "partial", "As held in PLD 2099 SC 999."), ("l", True, "partial", "PLD 2099 SC 999.")],
+                   "conv string, document_mode boolean, grounding_status string, answer string")
+    claims = rows([("k", "unsupported", "PLD 2099 SC 999"), ("l", "unsupported", "PLD 2099 SC 999")], "conv string, status string, claim string")
+    assert [tuple(x) for x in ev.invented_citations(guarded, claims, ["conv"]).collect()] == [("k", "PLD 2099 SC 999")]
