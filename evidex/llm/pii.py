@@ -3,7 +3,9 @@
 Everything is a projection of SQL functions beside the scan: no shuffle and no Python.
 Positions come from the lengths of what lies between the matches of a pattern.  The
 patterns are possessive and anchored at the start of a run, so a long run of digits or
-letters costs one pass and no recursion, with the matches of the plain patterns.
+letters costs one pass and no recursion, with the matches of the plain patterns.  An IBAN is
+looked for at every head (country and check digits): the pattern takes the run behind the
+head, and the part of it that ends between groups and passes mod 97 is the value.
 
 Defined results: a null or empty text has no spans and an empty list; repeated rows are
 answered each; columns of the input other than those named pass through untouched.
@@ -18,6 +20,7 @@ from evidex.llm.common import whole_text
 
 CONTEXT = 48  # code points looked at on either side
 ACCEPT = 0.5
+HEAD = 4  # characters of an IBAN's country and check digits
 BLOCK = 256  # matches whose lengths are summed together
 
 # The kinds in the order of the result.
@@ -40,7 +43,7 @@ KINDS = {
         "+", 0.8, "phone|call|tel|mobile|fax|anruf|llama",
     ),
     "iban": (
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
         None, 0.9, "iban|account|bank|konto|compte|cuenta",
     ),
     "ssn": (
@@ -48,6 +51,13 @@ KINDS = {
         "-", 0.3, "ssn|social|security|tax|insurance",
     ),
 }
+# Characters of an IBAN by country, from the registry.
+IBAN_SIZES = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+    "MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 "
+    "TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
 BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double,value:string>>"
 
@@ -77,6 +87,25 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(turned, F.lit(0).cast("bigint"), lambda a, c: step(a, c).cast("bigint")) == 1
 
 
+def _iban(run: Column) -> Column:
+    """The part of ``run`` from its start to the end of a group that is an IBAN, or null.
+
+    The part of the country's length goes before the longest one; where the country is not
+    in the registry any part will do, the longest first.
+    """
+    packed = lambda p: F.length(F.regexp_replace(p, " ", ""))
+    at = F.position(run.substr(1, 2), F.lit(IBAN_SIZES))
+    usual = F.when(at > 0, F.lit(IBAN_SIZES).substr(at + 2, F.lit(2)).cast("int"))
+    parts = F.transform(
+        F.array(F.split(run, " ")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_join(F.slice(w, F.lit(1), k), " "))
+    )[0]
+    fits = F.filter(parts, lambda p: p.rlike("^[A-Z0-9 ]+$") & packed(p).between(15, 34))
+    ordered = F.transform(F.array(fits), lambda f: F.concat(
+        F.filter(f, lambda p: packed(p) == usual), F.when(usual.isNull() | (F.size(f) == 0), F.reverse(f)).otherwise(F.slice(f, -1, 1))
+    ))[0]
+    return F.get(F.filter(ordered, _mod97), F.lit(0))
+
+
 def _octets(value: Column) -> Column:
     """Four numbers of at most 255, however many zeros lead them."""
     return F.forall(
@@ -93,7 +122,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
-        return _mod97(value)
+        return value.isNotNull()
     return F.lit(True)
 
 
@@ -118,21 +147,26 @@ def _spans(text: Column, kind: str) -> Column:
     pattern, needs, score, words = KINDS[kind]
     none = F.array().cast(SPAN)
 
+    value = _iban if kind == "iban" else lambda h: h
+    width = (lambda h: F.lit(HEAD)) if kind == "iban" else F.length  # of what lies between two gaps
+
     def located(hits: Column) -> Column:
         return F.transform(
-            F.array(F.split(text, pattern, -1)),
-            lambda gaps: F.transform(
-                F.array(_starts(F.transform(hits, lambda h, i: (F.length(gaps[i]) + F.length(h)).cast("bigint")))),
+            F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.transform(hits, value).alias("values"))),
+            lambda x: F.transform(
+                F.array(_starts(F.transform(hits, lambda h, i: (F.length(x["gaps"][i]) + width(h)).cast("bigint")))),
                 lambda before: F.filter(
-                    F.transform(hits, lambda h, i: F.struct(
+                    F.transform(x["values"], lambda v, i: F.struct(
                         F.lit(kind).alias("kind"),
-                        (before[i] + F.length(gaps[i])).cast("bigint").alias("start"),
-                        (before[i] + F.length(gaps[i]) + F.length(h)).cast("bigint").alias("end"),
+                        (before[i] + F.length(x["gaps"][i])).cast("bigint").alias("start"),
+                        (before[i] + F.length(x["gaps"][i]) + F.length(v)).cast("bigint").alias("end"),
                         F.when(
-                            F.lower(F.concat_ws(" ", F.right(gaps[i], F.lit(CONTEXT)), F.left(gaps[i + 1], F.lit(CONTEXT)))).rlike(rf"\b(?:{words})"),
+                            F.lower(F.concat_ws(
+                                " ", F.right(x["gaps"][i], F.lit(CONTEXT)), x["gaps"][i + 1].substr(F.length(v) - width(hits[i]) + 1, F.lit(CONTEXT))
+                            )).rlike(rf"\b(?:{words})"),
                             F.lit(min(1.0, score + 0.3)),
                         ).otherwise(F.lit(score)).alias("score"),
-                        h.alias("value"),
+                        v.alias("value"),
                     )),
                     lambda s: (s["score"] >= ACCEPT) & _valid(kind, s["value"]),
                 ),
@@ -140,7 +174,7 @@ def _spans(text: Column, kind: str) -> Column:
         )[0]
 
     possible = text.contains(needs) if needs else text.rlike("[0-9]{2}" if kind == "iban" else "[0-9][0-9 -]{11}")
-    hits = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hits = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban")))).otherwise(F.array().cast("array<string>"))
     return F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, located(h)).otherwise(none))[0]
 
 

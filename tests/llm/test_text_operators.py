@@ -58,6 +58,21 @@ def test_pii_checksums_and_context(spark):
     assert kinds == {1: ["iban"], 2: [], 3: ["ssn"], 4: []}
 
 
+def test_ibans_before_words_and_numbers(spark):
+    flat, spaced, unlisted = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "ZZ33 1234 5678 9012 345"
+    texts = [
+        f"{flat} Konto", f"{flat} AND MORE CAPITALS", f"{flat} 1234 5678 9012 3456 7890", f"{spaced} Konto", f"é {spaced} AND 77", f"{flat} GB82 WEST 1234 5698 7654 32 OK",
+        f"REF AB12 {flat}", f"{unlisted} TO PAY", f"{flat}x", f"x{flat}", "DE88370400440532013000 Konto", f"{flat}", "AB12 " * 500 + flat,
+    ]
+    want = [[flat], [flat], [flat], [spaced], [spaced], [flat, "GB82 WEST 1234 5698 7654 32"], [flat], [unlisted], [], [], [], [flat], [flat]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.find(docs).collect():
+        spans = [s for s in row["pii"] if s["kind"] == "iban"]
+        assert [s["value"] for s in spans] == want[row["doc_id"]], row["text"]
+        assert all(row["text"][s["start"]:s["end"]] == s["value"] for s in spans)
+    assert [r["text"] for r in pii.redact(docs.where("doc_id = 1")).collect()] == ["[IBAN] AND MORE CAPITALS"]
+
+
 def test_redaction_keeps_rows_columns_and_nulls(spark):
     docs = spark.createDataFrame([(1, "to a@b.co now", "kept"), (1, "to a@b.co now", "kept"), (None, None, None), (2, "", "x")], "doc_id long, text string, pii string")
     out = pii.redact(docs)
