@@ -7,6 +7,9 @@ letters costs one pass and no recursion, with the matches of the plain patterns.
 looked for at every head (country and check digits): the pattern takes the run behind the
 head, and the part of it that ends between groups and passes mod 97 is the value.
 
+Words count within ``CONTEXT`` code points of a span, whatever lies between.  Where only a
+word makes a match a span, the matches of a list share it: each within that reach of the next.
+
 Defined results: a null or empty text has no spans and an empty list; repeated rows are
 answered each; columns of the input other than those named pass through untouched.
 """
@@ -18,9 +21,10 @@ from pyspark.sql import functions as F
 
 from evidex.llm.common import whole_text
 
-CONTEXT = 48  # code points looked at on either side
+CONTEXT = 48  # code points of the text looked at on either side, other matches among them
 ACCEPT = 0.5
-HEAD = 4  # characters of an IBAN's country and check digits
+HEAD = 4  # characters of an IBAN's country and check digits; no match is shorter
+LONGEST = 64  # characters of the run behind the head, spaces counted
 BLOCK = 256  # matches whose lengths are summed together
 
 # The kinds in the order of the result.
@@ -143,6 +147,32 @@ def _starts(sizes: Column) -> Column:
     )[0]
 
 
+def _before(heads: Column, gaps: Column) -> Column:
+    """The last ``CONTEXT`` code points of the text before each match, across the matches before it."""
+    pieces = F.transform(heads, lambda h, i: F.right(F.concat(F.right(gaps[i], F.lit(CONTEXT)), h), F.lit(CONTEXT)))
+    near = lambda p, i: F.slice(p, F.greatest(i - CONTEXT // HEAD, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT // HEAD)))
+    return F.transform(F.array(pieces), lambda p: F.transform(
+        heads, lambda _, i: F.right(F.concat(F.array_join(near(p, i), ""), F.right(gaps[i], F.lit(CONTEXT))), F.lit(CONTEXT))
+    ))[0]
+
+
+def _after(heads: Column, gaps: Column, reach: int) -> Column:
+    """The first ``reach`` code points of the text after each match, across the matches after it."""
+    pieces = F.transform(heads, lambda h, i: F.left(F.concat(h, F.left(gaps[i + 1], F.lit(reach))), F.lit(reach)))
+    return F.transform(F.array(pieces), lambda p: F.transform(
+        heads, lambda _, i: F.left(F.concat(F.left(gaps[i + 1], F.lit(reach)), F.array_join(F.slice(p, i + 2, F.lit(reach // HEAD)), "")), F.lit(reach))
+    ))[0]
+
+
+def _shared(near: Column, gaps: Column) -> Column:
+    """``near`` for every match from which steps of at most ``CONTEXT`` code points between matches lead to one that has it."""
+    marks = F.array_join(F.transform(near, lambda c, i: F.concat(
+        F.when((i > 0) & (F.length(gaps[i]) > CONTEXT), F.lit("|")).otherwise(F.lit("")), F.when(c, F.lit("c")).otherwise(F.lit("n"))
+    )), "")
+    lists = F.transform(F.split(marks, "[|]"), lambda m: F.when(m.contains("c"), F.translate(m, "n", "c")).otherwise(m))
+    return F.transform(F.split(F.array_join(lists, ""), ""), lambda c: c == "c")
+
+
 def _spans(text: Column, kind: str) -> Column:
     pattern, needs, score, words = KINDS[kind]
     none = F.array().cast(SPAN)
@@ -154,18 +184,16 @@ def _spans(text: Column, kind: str) -> Column:
         return F.transform(
             F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.transform(hits, value).alias("values"))),
             lambda x: F.transform(
-                F.array(_starts(F.transform(hits, lambda h, i: (F.length(x["gaps"][i]) + width(h)).cast("bigint")))),
-                lambda before: F.filter(
+                F.array(F.struct(
+                    _starts(F.transform(hits, lambda h, i: (F.length(x["gaps"][i]) + width(h)).cast("bigint"))).alias("before"),
+                    said(hits, x["gaps"], x["values"]).alias("said"),
+                )),
+                lambda y: F.filter(
                     F.transform(x["values"], lambda v, i: F.struct(
                         F.lit(kind).alias("kind"),
-                        (before[i] + F.length(x["gaps"][i])).cast("bigint").alias("start"),
-                        (before[i] + F.length(x["gaps"][i]) + F.length(v)).cast("bigint").alias("end"),
-                        F.when(
-                            F.lower(F.concat_ws(
-                                " ", F.right(x["gaps"][i], F.lit(CONTEXT)), x["gaps"][i + 1].substr(F.length(v) - width(hits[i]) + 1, F.lit(CONTEXT))
-                            )).rlike(rf"\b(?:{words})"),
-                            F.lit(min(1.0, score + 0.3)),
-                        ).otherwise(F.lit(score)).alias("score"),
+                        (y["before"][i] + F.length(x["gaps"][i])).cast("bigint").alias("start"),
+                        (y["before"][i] + F.length(x["gaps"][i]) + F.length(v)).cast("bigint").alias("end"),
+                        F.when(y["said"][i], F.lit(min(1.0, score + 0.3))).otherwise(F.lit(score)).alias("score"),
                         v.alias("value"),
                     )),
                     lambda s: (s["score"] >= ACCEPT) & _valid(kind, s["value"]),
@@ -173,6 +201,15 @@ def _spans(text: Column, kind: str) -> Column:
             )[0],
         )[0]
 
+    def said(hits: Column, gaps: Column, values: Column) -> Column:
+        """Whether a word of the kind is near each match; where that decides, a list shares it."""
+        heads = F.transform(hits, lambda h: F.left(h, F.lit(HEAD))) if kind == "iban" else hits
+        sides = F.struct(_before(heads, gaps).alias("l"), _after(heads, gaps, CONTEXT + (LONGEST if kind == "iban" else 0)).alias("r"))
+        near = F.transform(F.array(sides), lambda c: F.transform(values, lambda v, i: F.coalesce(
+            F.lower(F.concat_ws(" ", c["l"][i], c["r"][i].substr(F.length(v) - width(hits[i]) + 1, F.lit(CONTEXT)))).rlike(rf"\b(?:{words})"), F.lit(False)
+        )))[0]
+        return near if score >= ACCEPT else F.transform(F.array(near), lambda n: _shared(n, gaps))[0]
+
     possible = text.contains(needs) if needs else text.rlike("[0-9]{2}" if kind == "iban" else "[0-9][0-9 -]{11}")
     hits = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban")))).otherwise(F.array().cast("array<string>"))
     return F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, located(h)).otherwise(none))[0]

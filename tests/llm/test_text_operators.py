@@ -73,6 +73,32 @@ def test_ibans_before_words_and_numbers(spark):
     assert [r["text"] for r in pii.redact(docs.where("doc_id = 1")).collect()] == ["[IBAN] AND MORE CAPITALS"]
 
 
+def test_context_reaches_across_matches(spark):
+    many = [f"{100 + i}-{10 + i}-{1000 + i}" for i in range(60)]
+    texts = [
+        "Social security numbers: 123-45-6789, 234-56-7890, 345-67-8901", "123-45-6789, 234-56-7890, 345-67-8901 are tax numbers",
+        "SSN\n" + "\n".join(many), "\n".join(many) + "\nssn", "parts 123-45-6789, 234-56-7890, 345-67-8901",
+        "ssn 123-45-6789" + " " * 49 + "234-56-7890", "234-56-7890" + "é" * 49 + " 123-45-6789, 234-56-7890 ssn",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r["doc_id"]: [s["value"] for s in r["pii"] if s["kind"] == "ssn"] for r in pii.find(docs).collect()}
+    three = ["123-45-6789", "234-56-7890", "345-67-8901"]
+    assert kinds == {0: three, 1: three, 2: many, 3: many, 4: [], 5: three[:1], 6: three[:2]}
+    assert pii.redact(docs.where("doc_id = 0")).first()["text"] == "Social security numbers: [SSN], [SSN], [SSN]"
+
+
+def test_context_is_the_text_around_a_span(spark):
+    rng = random.Random(4)
+    words = ["mail", "ip", "iban", "bank", "ssn", "x", "é🤦", " ", ",", "1.2.3.4", "a@b.co", "+49 30 1234567", "DE89370400440532013000", "AB12 DE89 3704 0044 0532 0130 00"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    for row in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        for s in row["pii"]:
+            text, (_, _, score, said) = row["text"], pii.KINDS[s["kind"]]
+            around = text[max(0, s["start"] - 48):s["start"]] + " " + text[s["end"]:s["end"] + 48]
+            assert text[s["start"]:s["end"]] == s["value"]
+            assert s["score"] == (min(1.0, score + 0.3) if re.search(rf"\b(?:{said})", around.lower(), re.A) else score), (s, text)
+
+
 def test_redaction_keeps_rows_columns_and_nulls(spark):
     docs = spark.createDataFrame([(1, "to a@b.co now", "kept"), (1, "to a@b.co now", "kept"), (None, None, None), (2, "", "x")], "doc_id long, text string, pii string")
     out = pii.redact(docs)
