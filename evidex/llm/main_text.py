@@ -4,8 +4,9 @@ A page becomes a tree.  What is no content by its tag, role or name (menus, head
 sidebars, notices, adverts, forms, scripts, reader comments) is cut first, unless it holds the
 article itself.  Every block of text passes points for its length and commas to its ancestors,
 fewer with every step up; a container's points are discounted by the share of its text that is
-inside links.  The best container is kept, widened to the article element around it, with the
-siblings that score well beside it.  Its blocks, in page order, are the text.
+inside links.  The best container is kept, widened to the article and main elements around it.
+Without a main element all that is not cut beside and around it stays too, but for menus.  The
+blocks, in page order, are the text.
 
 Pages are independent: a projection over Arrow batches, without a shuffle.
 
@@ -58,6 +59,8 @@ TITLES = re.compile(
     r"\s*(?:\d+\s+)?(?:reader\s+)?(?:comments?|responses|replies|leave a (?:reply|comment)|related(?: \w+)?|advertisement|share this|"
     r"you may also like|subscribe)(?:\s*\(\d+\))?\s*:?\s*", re.I,
 )
+MENU = 0.5  # share of links of a block beside the article that is a menu
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
@@ -222,7 +225,32 @@ def _best(nodes: list[Node]) -> Node:
     held = [n for n in nodes if not n.cut and n.size and n.tag in BONUS]
     if not held:
         return nodes[0]
-    return max(held, key=lambda n: (n.points + BONUS[n.tag]) * (1 - _density(n)))
+    return max(held, key=_score)
+
+
+def _score(node: Node) -> float:
+    return (node.points + BONUS.get(node.tag, 0.0)) * (1 - _density(node))
+
+
+def _cut_beside(best: Node) -> None:
+    """Cut the menus beside ``best`` and beside what is around it; the rest of the page stays."""
+    here = best
+    while here.parent is not None:
+        run: list[int] = []
+        around = here.parent.children
+        for i, child in enumerate([*around, None]):
+            if isinstance(child, str) or child is not None and child is not here and child.tag in INLINE:
+                run.append(i)
+                continue
+            held = [around[j] for j in run]
+            size = sum(len(" ".join(c.split())) if isinstance(c, str) else c.size for c in held)
+            if sum(c.linked for c in held if isinstance(c, Node)) > MENU * size:
+                for j in run:
+                    around[j] = ""
+            run = []
+            if child is not None and child is not here and not child.cut:
+                child.cut = child.tag not in HEADINGS and not child.holds and _density(child) > MENU
+        here = here.parent
 
 
 def main_text(html: str | None) -> str:
@@ -240,16 +268,11 @@ def main_text(html: str | None) -> str:
             node.cut = True
     best = _best(nodes)
     best = next((a for a in _above(best) if a.tag == "article"), best)
-    tops = [best]
-    if best.parent is not None and best.tag not in ("body", "main"):
-        score = lambda n: (n.points + BONUS.get(n.tag, 0.0)) * (1 - _density(n))
-        least = max(3.0, 0.2 * score(best))
-        plain = lambda n: n.tag == "p" and n.size > 80 and _density(n) < 0.25
-        tops = [
-            c for c in best.parent.children
-            if c is best or isinstance(c, Node) and not c.cut and c.size and c.tag not in INLINE and (c.tag != "body" and score(c) >= least or plain(c))
-        ]
-    return "\n\n".join(_blocks(tops))
+    best = next((a for a in _above(best) if a.tag == "main" or a.attrs.get("role") == "main"), best)
+    if best.tag == "main" or best.attrs.get("role") == "main":
+        return "\n\n".join(_blocks([best]))
+    _cut_beside(best)
+    return "\n\n".join(_blocks([nodes[0]]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -231,6 +231,22 @@ def test_main_text_of_a_page():
     assert main_text(PAGE) == "\n\n".join(["Title, here", "First para, with link text and <b> é.", "One item", "Two items", "Second line."])
 
 
+P = "This is a paragraph of plain prose with several words, a comma and more that follows. "
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+@pytest.mark.parametrize("around", ["<main>{}</main>", "{}", "<div>{}</div>", "<div role=main>{}</div>"])
+def test_pages_without_an_article_keep_what_is_beside_the_best_block(n, around):
+    beside = "<h1>Title</h1><p>By me</p><div>{}</div><h2>After</h2><pre>x = 1</pre><ul><li>one<li>two</ul><table><tr><td>cell</table><p>End.</p>"
+    menu = "<div><a href=a>Home</a> <a href=b>News</a></div>" if "main" not in around else ""
+    page = "<body>" + around.format(menu + beside.format(f"<p>{P}</p>" * n)) + "<footer>f</footer></body>"
+    assert main_text(page).split("\n\n") == ["Title", "By me", *[P.strip()] * n, "After", "x = 1", "one", "two", "cell", "End."]
+
+
+def test_a_title_beside_wrappers_of_the_best_block():
+    assert main_text(f"<body><a href=x>Home</a> | <a href=y>Top</a><h1>T</h1><div><div><div><p>{P * 3}</p></div></div></div></body>") == f"T\n\n{P.strip()}" + f" {P.strip()}" * 2
+
+
 def test_main_text_of_plain_and_broken_pages():
     assert main_text("just text") == "just text"
     assert main_text("<div>a</div><div>b</div>") == "a\n\nb"
