@@ -2,11 +2,12 @@
 
 A page becomes a tree.  What is no content by its tag, role or name (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, reader comments) is cut first, unless it holds the
-article itself.  Every block of text passes points for its length and commas to its ancestors,
+article itself; for its name, its heading or as a form only where it holds a small part of the
+page's paragraphs, else it loses points.  Every block of text passes points for its length and commas to its ancestors,
 fewer with every step up; a container's points are discounted by the share of its text that is
 inside links.  The best container is kept, widened to the article and main elements around it.
-Without a main element all that is not cut beside and around it stays too, but for menus.  The
-blocks, in page order, are the text.
+Without a main element all that is not cut beside and around it stays too, but for menus and
+doubtful names that score low.  The blocks, in page order, are the text.
 
 Pages are independent: a projection over Arrow batches, without a shuffle.
 
@@ -59,17 +60,36 @@ TITLES = re.compile(
     r"\s*(?:\d+\s+)?(?:reader\s+)?(?:comments?|responses|replies|leave a (?:reply|comment)|related(?: \w+)?|advertisement|share this|"
     r"you may also like|subscribe)(?:\s*\(\d+\))?\s*:?\s*", re.I,
 )
+# Headings that sections of an article have as well.
+MAYBE = re.compile(r"\s*(?:\d+\s+)?(?:comments?|responses|replies|related work)\s*:?\s*", re.I)
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
+# An element goes for its name, heading or form tag if it holds less than this share of the page's paragraphs:
+# SURE for what readers wrote; UNSURE for other names, or MUCH where its paragraphs are shorter than SOME.
+SURE, UNSURE, MUCH, SOME = 0.9, 0.1, 0.3, 200
+PENALTY = 0.5  # on the points of an element that was kept in spite of its name
+LONG = 80  # loose text from here on is a paragraph in any block
 MENU = 0.5  # share of links of a block beside the article that is a menu
+TITLED = 25  # characters a link: from here on a list of links names sources
+SOURCES = re.compile(
+    r"\s*(?:\d+\.?\s+)?(?:references|sources|bibliography|(?:foot)?notes|citations|works cited|further reading|literature|external links|see also|"
+    r"quellen|literatur|einzelnachweise|weblinks|références|liens externes|bibliographie|fuentes|referencias|bibliografía|enlaces externos)\s*:?\s*", re.I,
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "cut", "points", "size", "linked", "links", "commas", "holds")
+    __slots__ = ("tag", "attrs", "parent", "children", "cut", "points", "size", "linked", "links", "commas", "holds", "prose", "doubted", "listed",
+                 "inner", "prior", "last")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.cut, self.points, self.size, self.linked, self.links, self.commas, self.holds = False, 0.0, 0, 0, 0, 0, False
+        self.prose, self.doubted, self.listed = 0, False, False
+        self.inner = parent is not None and (parent.inner or parent.tag in ("article", "main"))
+        self.prior, self.last = parent.last if parent is not None else None, None
+        if parent is not None:
+            parent.last = self
 
 
 class Tree(HTMLParser):
@@ -119,19 +139,40 @@ def _names(node: Node) -> set[str]:
 
 
 def _is_boilerplate(node: Node) -> bool:
+    """What goes whatever it holds: by tag, hidden, or by role."""
     attrs = node.attrs
     if node.tag in HOLDERS:
-        return node.tag == "article" and bool(_names(node) & {"comment", "comments", "ad", "advert", "related", "promo"})
-    if node.tag in NO_CONTENT or node.tag == "header":
+        return False
+    if node.tag in NO_CONTENT - {"form"} or node.tag == "header":
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    return attrs.get("role", "").lower() in ROLES or bool(_names(node) & NAMES)
+    return attrs.get("role", "").lower() in ROLES - {"form"}
+
+
+def _first(node: Node) -> Node | None:
+    first = next((c for c in node.children if isinstance(c, Node) or c.strip()), None)
+    return first if isinstance(first, Node) else None
+
+
+def _doubt(node: Node) -> float:
+    """The share of the page's paragraphs below which an element goes for its name or heading; 0 if neither says so."""
+    if node.tag in HOLDERS:
+        return 0.0
+    names = _names(node) & NAMES
+    if names & READERS:
+        return SURE
+    first = _first(node) if node.tag in ("section", "div") else None
+    title = _text([first]) if first is not None and first.tag in ("h2", "h3", "h4", "h5", "h6") else ""
+    if TITLES.fullmatch(title):
+        return UNSURE if MAYBE.fullmatch(title) else SURE
+    return UNSURE if names or node.tag == "form" or node.attrs.get("role", "").lower() == "form" else 0.0
 
 
 def _measure(nodes: list[Node]) -> None:
     """Text sizes, commas and links below every node that is not cut, from the leaves up."""
     for node in reversed(nodes):
+        node.size, node.linked, node.links, node.commas = 0, 0, 0, 0
         if node.cut:
             continue
         for child in node.children:
@@ -148,20 +189,48 @@ def _measure(nodes: list[Node]) -> None:
             node.linked, node.links = node.size, node.links + 1
 
 
+def _prose(nodes: list[Node]) -> None:
+    """Text outside links in the paragraphs below every node; on a page without paragraphs, all text outside links."""
+    for node in reversed(nodes):
+        node.prose = 0
+        if node.cut:
+            continue
+        loose = 0
+        for child in node.children:
+            if isinstance(child, str):
+                loose += len(" ".join(child.split()))
+            elif not child.cut:
+                node.prose += child.prose
+                loose += child.size - child.linked if child.tag in INLINE else 0
+        if node.tag not in INLINE and (node.tag in ("p", "pre", "blockquote") or loose >= LONG):
+            node.prose += loose
+    if not nodes[0].prose:
+        for node in nodes:
+            node.prose = 0 if node.cut else node.size - node.linked
+
+
+def _pass_down(nodes: list[Node]) -> None:
+    for node in nodes[1:]:
+        node.cut = node.cut or node.parent.cut
+
+
 def _cut(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         node.holds = node.tag in ("article", "main", "h1") or any(c.holds for c in node.children if isinstance(c, Node) and not c.cut)
         inside = node.tag == "header" and any(a.tag in ("article", "main") for a in _above(node))
-        if _is_boilerplate(node) and not (node.holds and node.tag not in NO_CONTENT - {"form"} and (node.tag != "header" or inside)):
+        if _is_boilerplate(node) and not (node.holds and node.tag not in NO_CONTENT and (node.tag != "header" or inside)):
             node.cut = True
-    for node in nodes[1:]:
-        node.cut = node.cut or node.parent.cut
+    _pass_down(nodes)
+    _measure(nodes)
+    _prose(nodes)
+    total = nodes[0].prose
     for node in nodes:
-        if not node.cut and node.tag in ("section", "div", "aside") and not node.holds:
-            first = next((c for c in node.children if isinstance(c, Node) or c.strip()), None)
-            if isinstance(first, Node) and first.tag in ("h2", "h3", "h4", "h5", "h6") and TITLES.fullmatch(_text([first])):
-                node.cut = True
-        node.cut = node.cut or (node.parent is not None and node.parent.cut)
+        least = 0.0 if node.cut or node.holds else _doubt(node)
+        if least:
+            some = least == UNSURE and node.prose >= SOME and node.prose >= UNSURE * total
+            node.cut = not (some or node.prose and node.prose >= max(least, MUCH) * total)
+            node.doubted = not node.cut
+    _pass_down(nodes)
 
 
 def _above(node: Node) -> Iterator[Node]:
@@ -229,11 +298,40 @@ def _best(nodes: list[Node]) -> Node:
 
 
 def _score(node: Node) -> float:
-    return (node.points + BONUS.get(node.tag, 0.0)) * (1 - _density(node))
+    return (node.points + BONUS.get(node.tag, 0.0)) * (1 - _density(node)) * (PENALTY if node.doubted else 1.0)
+
+
+def _names_sources(node: Node) -> bool:
+    """Whether a list of links belongs to the text: led in as sources, or in running text numbered, long-titled or led in."""
+    if node.tag not in ("ul", "ol"):
+        return False
+    before = node.prior
+    while before is not None and (before.cut or not before.size):
+        before = before.prior
+    lead = _text([before]) if before is not None and (before.tag in HEADINGS or before.tag == "p") else ""
+    if lead and before.tag in HEADINGS and SOURCES.fullmatch(lead):
+        return True
+    if not node.inner and node.parent.prose < node.size:
+        return False
+    led = lead.endswith(":") if before is not None and before.tag == "p" else lead and not TITLES.fullmatch(lead)
+    return bool(node.tag == "ol" or led or node.linked >= TITLED * node.links)
+
+
+def _cut_menus(nodes: list[Node]) -> None:
+    """Menus without a name; a list of sources and what is around it stay."""
+    for node in reversed(nodes[1:]):
+        if node.cut:
+            continue
+        dense = node.tag in ("ul", "ol", "div", "section", "table", "p") and node.links >= 3 and _density(node) > 0.8 and not node.holds
+        node.listed = node.listed or dense and _names_sources(node)
+        node.parent.listed = node.parent.listed or node.listed
+        node.cut = dense and not node.listed
+    _pass_down(nodes)
 
 
 def _cut_beside(best: Node) -> None:
-    """Cut the menus beside ``best`` and beside what is around it; the rest of the page stays."""
+    """Cut the menus beside ``best`` and beside what is around it, and doubtful elements of few points; the rest of the page stays."""
+    least = max(3.0, 0.2 * _score(best))
     here = best
     while here.parent is not None:
         run: list[int] = []
@@ -249,7 +347,8 @@ def _cut_beside(best: Node) -> None:
                     around[j] = ""
             run = []
             if child is not None and child is not here and not child.cut:
-                child.cut = child.tag not in HEADINGS and not child.holds and _density(child) > MENU
+                menu = child.tag not in HEADINGS and not child.listed and not child.holds and _density(child) > MENU
+                child.cut = menu or child.doubted and _score(child) < least
         here = here.parent
 
 
@@ -263,9 +362,7 @@ def main_text(html: str | None) -> str:
     nodes = tree.nodes
     _cut(nodes)
     _measure(nodes)
-    for node in nodes:  # menus without a name
-        if not node.cut and node.tag in ("ul", "ol", "div", "section", "table", "p") and node.links >= 3 and _density(node) > 0.8 and not node.holds:
-            node.cut = True
+    _cut_menus(nodes)
     best = _best(nodes)
     best = next((a for a in _above(best) if a.tag == "article"), best)
     best = next((a for a in _above(best) if a.tag == "main" or a.attrs.get("role") == "main"), best)

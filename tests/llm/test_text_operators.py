@@ -247,6 +247,40 @@ def test_a_title_beside_wrappers_of_the_best_block():
     assert main_text(f"<body><a href=x>Home</a> | <a href=y>Top</a><h1>T</h1><div><div><div><p>{P * 3}</p></div></div></div></body>") == f"T\n\n{P.strip()}" + f" {P.strip()}" * 2
 
 
+@pytest.mark.parametrize("wrap", ["<div class='layout-with-sidebar'>", "<div class='content-widget'>", "<form>", "<div id='comments-layout'>"])
+def test_wrappers_are_not_cut_for_their_name(wrap):
+    close = "</form>" if wrap == "<form>" else "</div>"
+    for n in (1, 30):
+        page = f"<body>{wrap}<h2>T</h2>" + f"<p>{P}</p>" * n + f"<div class=sidebar><p>Ads</p></div>{close}<p>Short.</p></body>"
+        assert main_text(page).split("\n\n") == ["T", *[P.strip()] * n, "Short."]
+
+
+def test_sections_of_an_article_are_not_cut_for_their_name_or_heading():
+    sections = [
+        f"<{tag} {name}><h2>{title}</h2><p>{P * 4}</p></{tag}>" for tag, name, title in (
+            ("section", "id='discussion'", "Discussion"), ("div", "class='social-history'", "History"), ("section", "", "Related work"),
+            ("div", "", "Responses"), ("section", "", "Comments"),
+        )
+    ]
+    page = f"<article><h1>T</h1><p>{P * 4}</p>" + "".join(sections) + "</article>"
+    got = main_text(page)
+    assert all(h in got.split("\n\n") for h in ("Discussion", "History", "Related work", "Responses", "Comments")) and got.count(P.strip()) == 24
+
+
+def test_reader_comments_and_related_links_are_cut():
+    page = f"<article><h1>T</h1><p>{P * 4}</p><section class=comments><h2>Comments</h2><p>{P * 9}</p></section><section><h2>Leave a reply</h2><p>{P * 4}</p></section>"
+    page += f"<div><h2>Related articles</h2><p>{P}</p></div><div class=newsletter><p>Get our news.</p></div><form><label>Name</label></form><ul><li><a>Home</a><li><a>News</a><li><a>Top</a></ul></article>"
+    assert main_text(page) == "T\n\n" + " ".join([P.strip()] * 4)
+
+
+def test_reference_lists_stay():
+    links = "".join(f"<li><a href=x{i}>Source {i}</a></li>" for i in range(4))
+    for lead in (f"<h2>Sources</h2><ul>{links}</ul>", f"<section><h2>References</h2><ol>{links}</ol></section>", f"<p>See:</p><ul>{links}</ul>"):
+        for tag in ("article", "div"):
+            assert main_text(f"<body><{tag}><p>{P * 3}</p>{lead}</{tag}></body>").endswith("Source 0\n\nSource 1\n\nSource 2\n\nSource 3")
+    menu = f"<div><h3>Categories</h3><ul>{links}</ul></div>"
+    assert main_text(f"<body><div><p>{P * 3}</p></div>{menu}</body>") == " ".join([P.strip()] * 3)
+
 def test_main_text_of_plain_and_broken_pages():
     assert main_text("just text") == "just text"
     assert main_text("<div>a</div><div>b</div>") == "a\n\nb"
