@@ -2,11 +2,15 @@
 
 Equal vectors are one class with a count.  Classes are dealt by hash to shards of about
 ``SHARD`` rows; every shard builds a graph (:mod:`evidex.llm.hnsw`), and every class is
-searched in every shard, in blocks of queries.  A block is searched with a beam of ``EF``
-rows and goes on from every row found over the threshold to that row's neighbours; then some
-of its queries are compared with the whole shard, and while less than ``RECALL`` of their
-links were found the beam is doubled, in the end to the whole shard.  Pairs found are
-verified by cosine in double precision, so a link is never wrong; it may be missed.
+searched in every shard, in blocks of queries, with a beam of rows; a search goes on from every
+row found over the threshold to that row's neighbours.  The beam of a shard comes from an audit
+before the search: some queries of every block are compared with all shards, and the beam
+doubles from ``EF``, in the end to the whole shard, until queries find ``RECALL`` of their links.
+That is the mean over queries, each counted once, and it must hold for every class of queries
+(by the binary magnitude of their number of links), in the shard and over all shards: large
+groups do not hide what pairs miss.  More queries are audited until ``LINKED`` of them have links
+or ``SHARD`` or all queries were audited.  Pairs found are verified by cosine in double
+precision, so a link is never wrong; it may be missed.
 
 A block reports the number of links of each query and a spanning forest of the links it
 found, not the pairs: large groups of copies cost a row per vector.  Components are joined
@@ -32,8 +36,10 @@ SHARD = 65_536
 BLOCK = 4_096
 EF = 48
 RECALL = 0.99
-AUDITED = 128  # queries of a block that are compared with the whole shard
+AUDITED = 128  # queries of each block (about) that are compared with all shards at first
+LINKED = 256  # audited queries with links that are enough
 GRAPH = "dim int, shard int, ids binary, held binary, vectors binary, layers binary, sizes array<int>"
+AUDIT = "dim int, shard int, id bigint, truth bigint, found array<bigint>"
 FOUND = "a bigint, b bigint, links bigint"
 
 
@@ -67,36 +73,92 @@ def _forest(query: np.ndarray, row: np.ndarray) -> np.ndarray:
             return np.stack([names, names[label]])
 
 
-def _search(threshold: float, recall: float, ef: int):
+def _read(graph: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, class sizes, unit vectors and layers of a shard."""
+    ids, held = np.frombuffer(graph["ids"], np.int64), np.frombuffer(graph["held"], np.int64)
+    exact = np.frombuffer(graph["vectors"], np.float64).reshape(len(ids), -1)
+    flat, layers = np.frombuffer(graph["layers"], np.int32).reshape(-1, 2 * hnsw.OWN).astype(np.int64), []
+    for size in graph["sizes"]:
+        layers.append(flat[:size])
+        flat = flat[size:]
+    return ids, held, exact, layers
+
+
+def _links(own: np.ndarray, wanted: np.ndarray, ids: np.ndarray, exact: np.ndarray, layers: list[np.ndarray], threshold: float, beam: int):
+    """(query, row) of the links that a search with this beam finds."""
+    query, row = hnsw.pairs_over(exact.astype(np.float32), layers, wanted.astype(np.float32), threshold - 1e-4, min(beam, len(ids)))
+    close = np.concatenate([
+        np.einsum("pd,pd->p", wanted[query[i : i + 65_536]], exact[row[i : i + 65_536]]) >= threshold for i in range(0, len(query), 65_536)
+    ] or [np.zeros(0, bool)])
+    close &= ids[row] != own[query]
+    return query[close], row[close]
+
+
+def _audit(threshold: float, recall: float, ef: int):
+    """The number of links of queries in a shard, and how many each beam from ``ef`` on finds; a query is done at ``recall``."""
+
     def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"dim": [], "shard": [], "id": [], "truth": [], "found": []}, dtype=object)
         if not len(graphs) or not len(queries):
-            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
-        graph = graphs.iloc[0]
-        ids, held = np.frombuffer(graph["ids"], np.int64), np.frombuffer(graph["held"], np.int64)
-        exact = np.frombuffer(graph["vectors"], np.float64).reshape(len(ids), -1)
-        rows = exact.astype(np.float32)
-        flat, layers = np.frombuffer(graph["layers"], np.int32).reshape(-1, 2 * hnsw.OWN).astype(np.int64), []
-        for size in graph["sizes"]:
-            layers.append(flat[:size])
-            flat = flat[size:]
+            return none
+        ids, _, exact, layers = _read(graphs.iloc[0])
         queries = queries.sort_values("id")
         own, wanted = queries["id"].to_numpy(np.int64), _unit(np.stack(queries["v"].to_numpy()))
-        audited = np.unique(np.linspace(0, len(own) - 1, AUDITED).astype(np.int64))
-        truth = wanted[audited] @ exact.T >= threshold
-        truth &= ids[None, :] != own[audited, None]
-        beam = ef
+        truth = np.zeros(len(own), np.int64)
+        for i in range(0, len(own), AUDITED):
+            score = wanted[i : i + AUDITED] @ exact.T
+            at, row = np.nonzero(np.abs(score - threshold) < 1e-9)
+            score[at, row] = np.einsum("pd,pd->p", wanted[at + i], exact[row])
+            truth[i : i + AUDITED] = ((score >= threshold) & (ids[None, :] != own[i : i + AUDITED, None])).sum(1)
+        some = np.flatnonzero(truth)
+        if not len(some):
+            return none
+        own, wanted, truth, beam, found = own[some], wanted[some], truth[some], ef, [np.zeros(len(some), np.int64)]
         while True:
-            beam = min(beam, len(ids))
-            query, row = hnsw.pairs_over(rows, layers, wanted.astype(np.float32), threshold - 1e-4, beam)
-            close = np.concatenate([
-                np.einsum("pd,pd->p", wanted[query[i : i + 65_536]], exact[row[i : i + 65_536]]) >= threshold for i in range(0, len(query), 65_536)
-            ] or [np.zeros(0, bool)])
-            close &= ids[row] != own[query]
-            query, row = query[close], row[close]
-            found = np.isin(query, audited).sum()
-            if beam == len(ids) or found >= recall * truth.sum():
+            few = np.flatnonzero(found[-1] < recall * truth)
+            if not len(few):
                 break
+            now = found[-1].copy()
+            if beam >= len(ids):
+                now[few] = truth[few]
+            else:
+                query, _ = _links(own[few], wanted[few], ids, exact, layers, threshold, beam)
+                now[few] = np.minimum(np.bincount(query, minlength=len(few)), truth[few])
+            found.append(now)
             beam *= 2
+        found = found[1:]
+        return pd.DataFrame({"dim": exact.shape[1], "shard": int(graphs["shard"].iloc[0]), "id": own, "truth": truth, "found": np.stack(found, 1).tolist()})
+
+    return run
+
+
+def _beams(audits: DataFrame, recall: float, ef: int) -> list[tuple[tuple[int, int | None], int]]:
+    """By dim and shard the least beam whose recall is enough in the shard and over all shards; at None that of shards without audited links."""
+    steps = audits.agg(F.max(F.size("found"))).first()[0] or 1
+    each = audits.select("dim", "shard", "id", "truth", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.get("found", F.least(k, F.size("found") - 1))
+    )).alias("step", "hit"))
+
+    def enough(*keys: str) -> dict:
+        queries = each.groupBy(*keys, "id", "step").agg(F.sum("truth").alias("truth"), F.sum("hit").alias("hit"))
+        kinds = queries.groupBy(*keys, F.floor(F.log2("truth")).alias("kind"), "step").agg(F.avg(F.col("hit") / F.col("truth")).alias("recall"))
+        worst = kinds.groupBy(*keys, "step").agg(F.min("recall").alias("recall"))
+        return {tuple(r[k] for k in keys): r["step"] for r in worst.where(F.col("recall") >= recall).groupBy(*keys).agg(F.min("step").alias("step")).collect()}
+
+    whole, own = enough("dim"), enough("dim", "shard")
+    dims = {r["dim"]: r["shards"] for r in audits.groupBy("dim").agg(F.collect_set("shard").alias("shards")).collect()}
+    wide = lambda d, s: ef << max(whole.get((d,), steps), own.get((d, s), steps) if s is not None else 0)
+    return [((d, s), wide(d, s)) for d, held in dims.items() for s in [*held, None]]
+
+
+def _search(threshold: float):
+    def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(graphs) or not len(queries):
+            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
+        ids, held, exact, layers = _read(graphs.iloc[0])
+        queries = queries.sort_values("id")
+        own, wanted = queries["id"].to_numpy(np.int64), _unit(np.stack(queries["v"].to_numpy()))
+        query, row = _links(own, wanted, ids, exact, layers, threshold, int(graphs["beam"].iloc[0]))
         links = np.bincount(query, held[row], len(own)).astype(np.int64)
         with_links = np.flatnonzero(links)
         near, least = _forest(own[query], ids[row])
@@ -122,10 +184,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     part = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int")
     graphs = staged(classes.withColumn("shard", part(shards, 1)).groupBy("dim", "shard").applyInPandas(_graph, GRAPH), "graphs")
-    left = graphs.select("*", numbers(blocks).alias("block"))
-    right = classes.select("id", "v", "dim", part(blocks, 2).alias("block"), numbers(shards).alias("shard"))
     key = ["dim", "shard", "block"]
-    found = staged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search(threshold, recall, ef), FOUND), "found")
+
+    def together(graphs: DataFrame, queries: DataFrame, blocks: int):
+        right = queries.select("id", "v", "dim", part(blocks, 2).alias("block"), numbers(shards).alias("shard"))
+        return graphs.select("*", numbers(blocks).alias("block")).groupBy(*key).cogroup(right.groupBy(*key))
+
+    sample = min(AUDITED, block)
+    while True:
+        some = classes.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(block)) < sample)
+        audits = staged(together(graphs, some, -(-blocks * sample // block)).applyInPandas(_audit(threshold, recall, ef), AUDIT), "audits")
+        if sample >= block or sample * blocks >= SHARD or audits.select("id").distinct().count() >= LINKED:
+            break
+        sample = min(4 * sample, block)
+    beam = F.when(F.lit(False), ef)
+    for (dim, at), wide in _beams(audits, recall, ef):
+        beam = beam.when((F.col("dim") == dim) & (F.lit(True) if at is None else F.col("shard") == at), wide)
+    found = staged(together(graphs.withColumn("beam", beam.otherwise(ef)), classes, blocks).applyInPandas(_search(threshold), FOUND), "found")
     links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     labels = components(found.where("a <> b").select("a", "b"))
     joined = classes.join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")

@@ -144,6 +144,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(got) == len(vectors) + len(ODD)
 
 
+@pytest.mark.parametrize("shard", [5000, 900])
+def test_a_hot_group_does_not_hide_missed_pairs(spark, shard):
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([_vectors(rng, 1, 900, 32, 0.01), _vectors(rng, 300, 2, 32, 0.12), rng.normal(size=(1200, 32))])
+    table = _table(spark, vectors).select("vec_id", "embedding")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table, ef=1, shard=shard, block=600).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum(1) - 1
+    recalls = [got[i] / n for i, n in enumerate(true) if n]
+    pairs = [got[i] / n for i, n in enumerate(true) if 0 < n < 4]
+    assert len(pairs) == 600 and np.mean(pairs) >= 0.98 and np.mean(recalls) >= 0.98
+
+
 def test_equal_vectors_are_counted_without_pairs(spark):
     table = _table(spark, np.ones((500, 4)))
     rows = embedding_dedup.near_duplicates(table).collect()
