@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from evidex.llm import chat, embedding_dedup, main_text, mixing, ngram_join, packing, pii, quality, topk, toxicity
+from evidex.llm import (
+    chat, content_sort, divergence, embedding_dedup, filter_audit, main_text, mixing, ngram_join, packing, pii, quality, topk, toxicity,
+)
 from evidex.llm.common import table
 
 # Token shares by language; languages are the domains of the documents.
@@ -73,6 +75,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_divergence": op12_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 # --- oracle SQL ------------------------------------------------------------------
 
@@ -144,6 +161,7 @@ def _spans_sql(kind: str) -> str:
                     FROM (SELECT doc_id, r, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM texts))) WHERE {valid[kind]}"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ANY = "### (?:System|User|Assistant|Other):|###\\||</turn>"
 _ESCAPE = "regexp_replace({}, '(\\\\*)(" + _ANY + ")', '\\1\\1\\\\\\2', 'g')"
 
@@ -191,4 +209,51 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_exact_dedup": f"""WITH t AS (SELECT doc_id, {_LOWER} AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+            row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY t)""",
+    "op12_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+        said AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        terms AS (SELECT lang, term, count(*) AS n FROM said GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM said GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM terms GROUP BY lang),
+        held AS (SELECT lang, source, sum(c.n) AS n FROM counts c JOIN terms USING (lang, term) GROUP BY ALL),
+        cells AS (
+            SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n,
+                CAST(1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (coalesce(h.n, 0) + v) AS HUGEINT) AS p,
+                CAST(1 + 1000000000 * (t.n + 1)::HUGEINT // (s.n + v) AS HUGEINT) AS q
+            FROM groups g JOIN terms t USING (lang) JOIN size s USING (lang) LEFT JOIN held h USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+        apart AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM cells x JOIN cells y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+        found AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+            UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM cells WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM found)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op13_filter_audit": rf"""WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        lab AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        tests AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+                  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)}} AS f
+            FROM d LEFT JOIN lab USING (doc_id)),
+        failed AS (
+            SELECT part, good, toxic, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END)
+                || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS f FROM tests),
+        orders AS (
+            SELECT '' AS o UNION ALL SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+        steps AS (SELECT o AS filter_order, s AS step, o[s] AS l, left(o, s - 1) AS before FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS s) WHERE length(o) = 5),
+        cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+        seen AS (
+            SELECT part, filter_order, step, l, n, good, toxic, f, contains(f, l) AS fails, regexp_matches(f, '[' || before || '-]') AS gone FROM cells, steps),
+        counted AS (
+            SELECT part, filter_order, step, l,
+                CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (f = l), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost
+            FROM seen GROUP BY ALL)
+        SELECT * EXCLUDE (l), CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM counted""",
 }
