@@ -5,9 +5,10 @@ D forbidden characters, E a copy of a text with a smaller doc_id.
 
 * **Local shards.** Tasks cut Arrow batches into shards of at most ``SHARD`` bytes of text.  A
   shard holds its documents' rows in CSR form over its own words, and their marks for C, D and E.
-* **Dictionary.** The words of all shards get global numbers: ranks inside hash ranges of words,
-  on top of the sizes of the ranges before.  A word is one row for each shard, however often
-  it is said.
+  Its words stand in the order of their hashes.
+* **Dictionary.** Hash ranges of about ``RANGE`` entries gather their words from all shards, a
+  list from each; a word's global number is its rank in its range on top of the sizes of the
+  ranges before.  A word is one entry for each shard, however often it is said.
 * **Matrix.** Every shard meets the global numbers of its words and becomes CSR over the whole
   dictionary.  A row's sum is the document's words, its nonzero count the distinct ones.
 * **Marks.** The least doc_id of each text, by digest, meets the rows of that digest and doc_id;
@@ -27,6 +28,7 @@ import hashlib
 import itertools
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,30 +46,37 @@ MIN_WORDS = 50
 DISTINCT = 65  # percent of the words
 CAPITALS = 5  # percent of the code points
 FORBIDDEN = re.compile(rb"[#$%&*|]")
-SHARD = 12_000_000  # bytes of text
-RANGES = 8  # a shuffle partition
+SHARD = 4_000_000  # bytes of text
+RANGE = 500_000  # entries of a hash range of words, about
 _CAPITALS = bytes(range(65, 91))
 _TRAIL = bytes(range(0x80, 0xC0))  # bytes inside a UTF-8 character
 
 _SHARD = (
-    "docs array<bigint>, sources array<string>, texts array<binary>, marks binary, bounds binary, columns binary, counts binary, words array<string>"
+    "docs array<bigint>, sources array<string>, texts array<binary>, marks binary, bounds binary, columns binary, counts binary, "
+    "words array<string>, hashes binary"
 )
 
 
-def _least(values: np.ndarray, kinds: tuple = (np.uint8, np.uint16, np.uint32, np.int64)) -> np.ndarray:
-    """``values`` in the smallest type that holds them."""
-    top = int(values.max(initial=0))
-    return values.astype(next(k for k in kinds if top <= np.iinfo(k).max))
-
-
 def _packed(values: np.ndarray) -> bytes:
-    small = _least(values)
-    return bytes([small.dtype.itemsize]) + small.tobytes()
+    """Numbers of 32 bits byte by byte: all lowest bytes, then the next; small numbers compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]]
-    return np.frombuffer(data, kind, offset=1).astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _steps_of(columns: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The columns of each row as steps from the one before."""
+    steps = np.diff(columns, prepend=0)
+    first = bounds[:-1][np.diff(bounds) > 0]
+    steps[first] = columns[first]
+    return steps
+
+
+def _columns_of(steps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums = np.append(0, np.cumsum(steps))
+    return sums[1:] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +91,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 points = len(text.translate(None, _TRAIL))
                 marks[i] = C * (100 * capitals > CAPITALS * points) | D * bool(FORBIDDEN.search(text))
                 digests.append(hashlib.sha256(text).digest())
-            rows, cols, times = counted(*(found := words(bounds, data))[:2], len(found[2]))
+            rows, codes, names = words(bounds, data)
+            hashes = np.fromiter(map(zlib.crc32, names.cast(pa.large_binary()).to_pylist()), np.uint32, len(names))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[order] = np.arange(len(names))
+            rows, cols, times = counted(rows, place[codes], len(names))
             row_bounds = np.searchsorted(rows, np.arange(n + 1))
+            lists = [(batch.column("doc_id").slice(start, n), pa.int64()), (batch.column("source").slice(start, n), pa.string()), (pa.array(digests, pa.binary()), pa.binary()), (names.take(pa.array(order)), pa.string())]
+            docs, sources, digests, entries = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(t)) for x, t in lists)
+            blobs = (marks.tobytes(), _packed(row_bounds), _packed(_steps_of(cols, row_bounds)), _packed(times), hashes[order].tobytes())
+            marks, row_bounds, cols, times, hashes = (pa.array([x], pa.binary()) for x in blobs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in (
-                    (batch.column("doc_id").slice(start, n).to_pylist(), pa.list_(pa.int64())), (batch.column("source").slice(start, n).to_pylist(), pa.list_(pa.string())),
-                    (digests, pa.list_(pa.binary())), (marks.tobytes(), pa.binary()), (_packed(row_bounds), pa.binary()), (_packed(cols), pa.binary()), (_packed(times), pa.binary()),
-                )] + [pa.ListArray.from_arrays(pa.array([0, len(found[2])], pa.int32()), found[2].cast(pa.string()))],
-                ["docs", "sources", "texts", "marks", "bounds", "columns", "counts", "words"],
+                [docs, sources, digests, marks, row_bounds, cols, times, entries, hashes],
+                ["docs", "sources", "texts", "marks", "bounds", "columns", "counts", "words", "hashes"],
             )
 
 
@@ -99,24 +114,62 @@ def local_shards(documents: DataFrame, text: str = "text") -> DataFrame:
     return staged(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "shards")
 
 
+def _cells(ranges: int):
+    """Splits the words of a shard by hash range."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                hashes = np.frombuffer(batch.column("hashes")[i].as_py(), np.uint32).astype(np.uint64)
+                owner = ((hashes * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+                held, starts = np.unique(owner, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)), pa.int32()), batch.column("words")[i].values)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("shard")[i], len(held)), pa.array(held), lists], ["shard", "range", "words"])
+
+    return split
+
+
+_RANKS = "shard bigint, range int, size int, ranks array<int>"
+
+
+def _ranks(cells: pa.Table) -> pa.Table:
+    """The rank of every word among those of its range, by UTF-8; shards keep their lists."""
+    lists = cells.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int32)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank), dtype=np.int32)
+    ranks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), pa.int32()), pa.array(rank[coded.indices.to_numpy()]))
+    size = pa.repeat(pa.scalar(len(rank), pa.int32()), len(cells))
+    return pa.table({"shard": cells.column("shard"), "range": cells.column("range"), "size": size, "ranks": ranks})
+
+
 def dictionary(shards: DataFrame) -> DataFrame:
-    """(``shard``, ``place``, ``number``): the global number, from 0 and without gaps, of each word of each shard."""
-    ranges = RANGES * int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    said = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    cut = said.withColumn("range", F.pmod(F.xxhash64("word"), F.lit(ranges)).cast("int"))
-    ranked = cut.withColumn("rank", F.dense_rank().over(Window.partitionBy("range").orderBy("word")))
-    local = staged(ranked.select("shard", "place", "range", "rank"), "words")
-    sizes = local.groupBy("range").agg(F.max("rank").alias("size"))
+    """(``shard``, ``numbers``): the global numbers, from 0 and without gaps, of each shard's words in their order."""
+    entries = shards.agg(F.sum(F.size("words"))).first()[0] or 0
+    ranges = min(1 << 30, entries // RANGE + 1)
+    cells = shards.select("shard", "words", "hashes").mapInArrow(_cells(ranges), "shard bigint, range int, words array<string>")
+    ranks = staged(cells.groupBy("range").applyInArrow(_ranks, _RANKS), "ranks")
     before = F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranks.groupBy("range").agg(F.max("size").cast("bigint").alias("size"))
     offsets = sizes.select("range", F.coalesce(before, F.lit(0)).alias("offset"))
-    return local.join(offsets, "range").select("shard", "place", (F.col("offset") + F.col("rank") - 1).alias("number"))
+    lists = ranks.join(offsets, "range").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "offset", "ranks"))).alias("lists"))
+    number = lambda part: F.transform(part["ranks"], lambda r: part["offset"] + r)
+    return lists.select("shard", F.flatten(F.transform("lists", number)).alias("numbers"))
 
 
 def matrix(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The document-term matrix of ``documents``: CSR shards whose ``words`` are the global numbers of their columns, in order."""
+    """The document-term matrix of ``documents``: CSR shards and the global ``numbers`` of their columns.
+
+    :func:`rows_of` reads a shard.
+    """
     shards = local_shards(documents, text)
-    numbers = dictionary(shards).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number")))["number"].alias("numbers"))
-    return shards.drop("words").join(numbers, "shard", "left")
+    return shards.drop("words", "hashes").join(dictionary(shards), "shard", "left")
+
+
+def rows_of(bounds: bytes, columns: bytes, counts: bytes, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row bounds, global columns and values of a CSR shard."""
+    at = _unpacked(bounds)
+    return at, numbers[_columns_of(_unpacked(columns), at)], _unpacked(counts)
 
 
 _FLAGS = "doc_id bigint, source string, text binary, failed int"
@@ -127,9 +180,9 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
             row = lambda c: batch.column(c)[i]
-            bounds, times = _unpacked(row("bounds").as_py()), _unpacked(row("counts").as_py())
             numbers = row("numbers").values
-            columns = numbers.to_numpy()[_unpacked(row("columns").as_py())] if numbers is not None else np.zeros(0, np.int64)
+            numbers = np.zeros(0, np.int64) if numbers is None else numbers.to_numpy()
+            bounds, columns, times = rows_of(*(row(c).as_py() for c in ("bounds", "columns", "counts")), numbers)
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             total = np.bincount(owner, times, len(bounds) - 1).astype(np.int64)
             # columns are global numbers: a row's different ones are its distinct words

@@ -178,6 +178,7 @@ COUNTS = ["part", "filter_order", "step", "kept", "removed", "redundant", "uniqu
 
 def test_filters_match_a_plain_walk(spark, monkeypatch):
     monkeypatch.setattr(filter_audit, "SHARD", 2_000)
+    monkeypatch.setattr(filter_audit, "RANGE", 30)
     rng = random.Random(4)
     pool = ["Ab", "cd", "EF", "g", "#", "ü", "🤦", "h\x1ci", "j\x85k", "l m"]
     texts = [" \t".join(rng.choice(pool) + rng.choice("abcdefghij" * 3 + "\x0b") for _ in range(rng.choice([0, 3, 49, 50, 51, 120]))) for _ in range(150)]
@@ -200,13 +201,15 @@ def test_filters_of_no_documents(spark):
 
 def test_matrix_numbers_words_without_gaps(spark, monkeypatch):
     monkeypatch.setattr(filter_audit, "SHARD", 60)
+    monkeypatch.setattr(filter_audit, "RANGE", 2)
     texts = ["a b a", "b c", "", "d a", "e " * 40] * 4
     shards = filter_audit.matrix(_docs(spark, list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source")).collect()
     rows = {}
     for shard in shards:
-        bounds, columns, counts = (filter_audit._unpacked(bytes(shard[c])) for c in ("bounds", "columns", "counts"))
+        numbers = np.array(shard["numbers"] or [], np.int64)
+        bounds, columns, counts = filter_audit.rows_of(*(bytes(shard[c]) for c in ("bounds", "columns", "counts")), numbers)
         for i, doc in enumerate(shard["docs"]):
-            rows[doc] = {shard["numbers"][c]: int(n) for c, n in zip(columns[bounds[i] : bounds[i + 1]], counts[bounds[i] : bounds[i + 1]])}
+            rows[doc] = {int(c): int(n) for c, n in zip(columns[bounds[i] : bounds[i + 1]], counts[bounds[i] : bounds[i + 1]])}
     assert {n for r in rows.values() for n in r} == set(range(5))
     names = {}
     for doc, text in enumerate(texts):
