@@ -258,6 +258,30 @@ def _by(x: str) -> str:
 
 
 
+def _stitched(lists: str) -> str:
+    """Windows of ``lists`` joined at the longest stretch that ends one and begins the next; others after a blank line."""
+    return f""", first_said AS (SELECT document_id, list, body, min(place) AS place FROM ({lists}) GROUP BY ALL),
+followed AS (SELECT *, lag(body) OVER (PARTITION BY document_id, list ORDER BY place) AS prior FROM first_said),
+pieces AS (SELECT *, CASE WHEN prior IS NULL THEN 0 WHEN ends_with(prior, body) THEN length(body) WHEN starts_with(body, prior) THEN length(prior)
+  ELSE coalesce(list_max(list_filter(range(24, least(length(prior), length(body), 8000) + 1), lambda k: right(prior, k) = left(body, k))), 0) END AS shared FROM followed),
+stitched AS (SELECT document_id, list, {strip("string_agg(CASE WHEN prior IS NOT NULL AND shared = 0 THEN chr(10) || chr(10) ELSE '' END || substring(body, shared + 1), '' ORDER BY place)")} AS text
+  FROM pieces GROUP BY document_id, list)
+"""
+
+
+# Children of a document alone, behind its parent, and the parent alone; a clean beginning and then length decide.
+LIBRARY_CTE = _stitched(f"""
+  SELECT document_id, 0 AS list, chunk_index AS place, text AS body FROM chunks
+  UNION ALL SELECT document_id, 1, chunk_index, text FROM chunks WHERE doc_id % 5 = 0
+  UNION ALL SELECT document_id, 1, -1, {strip("left(text, 400)")} FROM chunks WHERE chunk_index = 0 AND doc_id % 5 = 0""") + f""",
+options AS (SELECT document_id, list, text, (SELECT count(*) FROM chunks c WHERE c.document_id = s.document_id) + list AS chunk_count FROM stitched s
+  UNION ALL SELECT document_id, 2, {strip("left(text, 400)")}, 1 FROM chunks WHERE chunk_index = 0 AND doc_id % 5 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY
+  regexp_matches(text, '^[\\p{{Lu}}\\p{{Lt}}]|^[''"“‘][\\p{{Lu}}\\p{{Lt}}]') DESC, regexp_matches(text, '^\\p{{Ll}}'), length(text) DESC, list) AS nth FROM options),
+best AS (SELECT document_id, text, chunk_count FROM ranked WHERE nth = 1)
+"""
+
+
 ORACLE = {
     "gate_documents": with_ctes(DOCS_CTE) + f"""
 SELECT document_id, filename, reason IS NULL AS accepted, reason FROM (
@@ -307,6 +331,16 @@ SELECT document_id, chunk_index, CASE WHEN doc_id % 12 = 2 THEN 'moved' || (doc_
     "merge_chunks_by_index": with_ctes(CHUNKS_CTE) + """
 SELECT document_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5,
   count(*) AS chunk_count FROM chunks GROUP BY document_id""",
+    "stitch_documents": with_ctes(CHUNKS_CTE) + _stitched("SELECT document_id, 0 AS list, chunk_index AS place, text AS body FROM chunks") + """
+SELECT document_id, text, (SELECT count(*) FROM chunks c WHERE c.document_id = s.document_id) AS chunk_count FROM stitched s""",
+    "library_document_text": with_ctes(CHUNKS_CTE) + LIBRARY_CTE + "SELECT document_id, text, chunk_count FROM best",
+    "library_document_detail": with_ctes(CHUNKS_CTE) + LIBRARY_CTE + """
+SELECT document_id, source || '-' || doc_id || '.txt' AS filename,
+  CASE WHEN doc_id % 5 = 0 THEN 'Parent title' ELSE source || '-' || doc_id || '.txt' END AS title,
+  source AS law_name, CASE WHEN doc_id % 5 = 0 THEN 'act' ELSE 'statute' END AS document_type,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 40 + 1980 AS BIGINT) END AS year,
+  text, substring(text, 1, 500) AS text_preview, CAST(length(text) AS BIGINT) AS character_count, chunk_count
+FROM best JOIN (SELECT DISTINCT document_id, source, doc_id FROM chunks) USING (document_id)""",
     "library_document_metadata": with_ctes(CHUNKS_CTE) + """
 , merged AS (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS body,
    count(*) AS chunk_count, any_value(source) AS source, any_value(doc_id) AS doc_id FROM chunks GROUP BY document_id)

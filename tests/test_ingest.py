@@ -5,10 +5,6 @@ from evidex.operators import ingest as op
 from evidex.operators import stitch
 from evidex.sources.documents import read_documents
 
-HEAD = "CLOG ON DISCRETION\nBy A. Writer\nThe owner ran a mill of one kilowatt and a poor person of domestic means"
-TAIL = "erson of domestic means asked the board for a new line, and the board refused it in the end."
-
-
 def test_invalid_bytes_are_dropped(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff\xfe ok \xef\xbf\xbd end\xc3")
     (tmp_path / "b.md").write_text("plain")
@@ -40,48 +36,6 @@ def test_overlap_wider_than_step(rows):
     assert got == [text[s:s + 20] for s in range(0, 50, 5)]
 
 
-def test_stitch_puts_the_head_first():
-    text = stitch.stitch([TAIL, HEAD])
-    assert text.startswith("CLOG ON DISCRETION") and text.count("one kilowatt") == 1 and text.endswith("in the end.")
-
-
-def test_stitch_rebuilds_windows():
-    text = " ".join(f"word{i} of the text" for i in range(400))
-    windows = [text[s:s + 1200].strip() for s in range(0, len(text), 1000)]
-    assert stitch.stitch(windows) == text
-    assert stitch.stitch(windows[::-1]) == text
-
-
-def test_join_overlap_agrees_with_brute_force():
-    def brute(left, right):
-        if right in left:
-            return left
-        if left in right:
-            return right
-        reach = min(len(left), len(right), stitch.SEARCH_LIMIT)
-        sizes = range(reach, stitch.MIN_OVERLAP - 1, -1)
-        for n in sizes:
-            if left.endswith(right[:n]):
-                return left + right[n:]
-        tail = left[len(left) - reach:]
-        for n in sizes:
-            if right[:n] in tail:
-                return left[: len(left) - reach + tail.rfind(right[:n])] + right
-        return None
-
-    import random
-
-    rng = random.Random(7)
-    alphabet = "ab "
-    base = "".join(rng.choice(alphabet) for _ in range(400))
-    for _ in range(300):
-        a, b = sorted(rng.sample(range(400), 2))
-        c, d = sorted(rng.sample(range(400), 2))
-        left, right = base[a:b], base[c:d] + rng.choice(["", "x", "yy"])
-        if left and right:
-            assert stitch.join_overlap(left, right) == brute(left, right)
-
-
 def test_children_with_equal_index_are_both_kept(rows):
     schema = ("document_id string, chunk_id string, chunk_index bigint, chunk_text string, text string, content string, "
               "is_parent boolean, chunk_role string, ordinal bigint")
