@@ -237,12 +237,13 @@ def rank_windows(windows: DataFrame, links: DataFrame) -> DataFrame:
             F.coalesce("ptr", "place").alias("root"), F.struct("start", "place").alias("best"),
         )
         now, longest = staged(fresh, "ranks"), windows.groupBy(*LIST).count().agg(F.max("count")).first()[0] or 1
-        for _ in range(0, int(longest).bit_length() + 1, DOUBLINGS):
-            if now.where("ptr IS NOT NULL").isEmpty():
-                return now.select(*LIST, "place", "root", "rank")
+        left = int(longest).bit_length() + 1
+        while not (done := now.where("ptr IS NOT NULL").isEmpty()) and left > 0:
             for _ in range(DOUBLINGS):
                 now = _doubled(now)
-            now = staged(now, "ranks")
+            now, left = staged(now, "ranks"), left - DOUBLINGS
+        if done:
+            return now.select(*LIST, "place", "root", "rank")
         # what still points on goes round in a ring: it opens before its best beginning
         opens = F.col("ptr").isNotNull() & (F.col("best.place") == F.col("place"))
         state = now.select(*LIST, "place", "start", F.when(~opens, F.col("previous")).alias("ptr"))
