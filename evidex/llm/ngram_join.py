@@ -7,14 +7,17 @@ sets are one class.  Two sets of sizes a and b with similarity 0.8 or more diffe
 * **Sketches.** A size band with upper size h allows d = 2h / 9 differences.  The shingles of
   a set are dealt by hash to more than d blocks and XOR-ed inside each: a block whose XOR
   differs holds a difference, so the differing blocks bound the symmetric difference from
-  below and, by the pigeonhole principle, a pair that links agrees on at least two blocks.  A
+  below and, by the pigeonhole principle, a pair that links agrees on blocks; as differences
+  are dealt by hash, on more than a third of them, and on two of the first ``BLOCKS`` up to a
+  chance below 1e-9.  Those are the keys, so a long text has no more of them than a short one.  A
   set takes part in its own band and, if a larger partner can reach it, in the next one.
   Sets up to ``SMALL`` shingles have too few shingles for blocks: there a block is one shingle,
   of the share that any partner must meet (the first fifth by hash order, and two more).
 * **Stars.** Of each bucket of equal blocks, every set is compared with the one of the
   smallest document; that joins large groups of copies without listing their pairs.
 * **The rest.** Buckets that still hold several components give the pairs between different
-  components whose sizes and parity sketches allow a link.  A bucket of more than
+  components whose sizes and parity sketches allow a link.  A sketch has two to four
+  parities a shingle, so that it tells large sets apart as well as small ones.  A bucket of more than
   ``CROWD`` components is first split by a second agreeing block, which every linked pair has.
 * **Verify.** Candidates are compared on their whole shingle sets.
 
@@ -44,7 +47,9 @@ from evidex.llm.subword import chunks
 WORDS = 5
 SMALL = 64
 RATIO = 1.25
+BLOCKS = 64  # blocks of a set that are keys; a linked pair agrees on each with a chance above 0.34
 CROWD = 2_048
+SKETCHED = 256  # shingles of the smallest sketch
 WORD_CACHE = 500_000
 SEEN = 200_000
 SENT = 1_000_000  # ids (16 bytes each) sent to every task at most; more are joined by a shuffle
@@ -141,7 +146,10 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         seed = np.uint64(upper)
         dealt = _mix(shingles ^ _times(seed, _B))
         block = (dealt % np.uint64(blocks(upper))).astype(np.int64)
-        order = np.argsort(block.astype(np.uint16) if blocks(upper) < 65_536 else block, kind="stable")
+        looked = np.flatnonzero(block < BLOCKS)
+        if not len(looked):
+            continue
+        order = looked[np.argsort(block[looked].astype(np.uint16), kind="stable")]
         at = block[order]
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         folded = np.bitwise_xor.reduceat(shingles[order], starts)
@@ -149,9 +157,19 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
+def level(size: int) -> int:
+    """How often the sketch of a set of ``size`` is doubled: it has two to four parities a shingle."""
+    return ((max(1, size) - 1) // SKETCHED).bit_length()
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """1024 parities as sixteen numbers; their Hamming distance is at most the symmetric difference."""
-    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    """512 parities, doubled as often as the level says, as numbers of 64.
+
+    The Hamming distance of two sketches is at most the symmetric difference.  One half XOR the
+    other is the sketch of the level below.
+    """
+    bits = 512 << level(len(shingles))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -167,9 +185,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(run)
             docs, start = ids.slice(start, len(run)), start + len(run)
             nodes = np.array([class_id(s) for s in sets], np.int64)
-            marks = pa.array(np.concatenate([sketch(s) for s in sets]))
+            sketches = [sketch(s) for s in sets]
+            marks = pa.array(np.concatenate(sketches))
             spread = _mix(docs.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
-            bounds = pa.array(np.arange(len(sets) + 1) * 16, pa.int32())
+            bounds = pa.array(np.append(0, np.cumsum([len(m) for m in sketches])), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(spread), pa.array(nodes), docs, pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(bounds, marks)], names
             )
@@ -196,7 +215,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, start = batch.column("node").to_pylist(), 0
         for run in chunks(batch.column("text").to_pylist()):
             sets = shingle_sets(run)
-            rows = [(w, s.tobytes()) for w, s in zip(wanted[start : start + len(run)], sets) if class_id(s) == w]
+            rows = [(c, s.tobytes()) for w, s in zip(wanted[start : start + len(run)], sets) if (c := class_id(s)) == w or w is None]
             start += len(run)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
 
@@ -215,33 +234,36 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) of classes that link: those their sketches allow, by their whole shingle sets."""
     x, y = classes.select(F.col("node").alias("a"), "n", "w"), classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("w").alias("v"))
-    apart = F.aggregate(F.zip_with("w", "v", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
-    likely = staged(pairs.join(x, "a").join(y, "b").where((5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")) & (9 * apart <= F.col("n") + F.col("m"))).select("a", "b"), "likely")
+    likely = staged(pairs.join(x, "a").join(y, "b").where(_may_link(F.col("n"), F.col("w"), F.col("m"), F.col("v"))).select("a", "b"), "likely")
     nodes = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b"))).distinct()
     wanted = staged(nodes.join(classes, "node").select("node", F.col("doc").alias("doc_id")), "wanted")
     few = wanted.count() <= SENT
-    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node bigint, shingles binary")
+    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
+    unnamed = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("node"), "text")
+    sets = found.unionByName(unnamed).mapInArrow(_sets, "node bigint, shingles binary").join(nodes, "node", "left_semi")
     sets = staged(sets, "sets").dropDuplicates(["node"])
     both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     return staged(both.mapInArrow(_linked, "a bigint, b bigint"), "links")
 
 
-def _may_link() -> Column:
-    """Sizes and 256 of the parities of ``x`` and ``y`` allow similarity 0.8."""
-    n, m = F.col("x.n"), F.col("y.n")
-    apart = sum((F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(4)), F.lit(0))
-    return (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m)
+def _halved(sketch: Column) -> Column:
+    """The sketch of the level below."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
 
-def _fold(k: int) -> Column:
-    """The 1024 parities folded to 256."""
-    a, b, c, d = (F.get("w", F.lit(k + 4 * i)) for i in range(4))
-    return a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d)
+def _may_link(n: Column, w: Column, m: Column, v: Column) -> Column:
+    """Sizes and sketches allow similarity 0.8; sizes that do are one level apart at most."""
+    x, y = F.when(F.size(w) > F.size(v), _halved(w)).otherwise(w), F.when(F.size(v) > F.size(w), _halved(v)).otherwise(v)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m)
 
 
 def _between(members: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key."""
-    return members.alias("x").join(members.alias("y"), "key").where(_may_link()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    """Pairs of different components that share a key and whose sketches allow a link."""
+    two = (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
+    may = _may_link(F.col("x.n"), F.col("x.w"), F.col("y.n"), F.col("y.w"))
+    return members.alias("x").join(members.alias("y"), "key").where(two & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def join(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -255,18 +277,18 @@ def join(documents: DataFrame, text: str = "text") -> DataFrame:
     info = useful.where("n IS NOT NULL").select("doc", "n", "node", "w")
     members = useful.where("n IS NULL").select("key", "node", "first").dropDuplicates(["key", "node"])
     classes = info.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.max("w").alias("w"))
-    classes = staged(classes.select("node", "doc", "n", "w", *(_fold(k).alias(f"k{k}") for k in range(4))), "classes")
+    classes = staged(classes, "classes")
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("shared")).where("shared > 1")
     stars = staged(stars.select(F.col("first").alias("a"), F.col("node").alias("b")), "stars")
     links = verified(stars, classes, docs)
     labels = components(links)
     joined = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     crowds = joined.groupBy("key", "label").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    open_keys = staged(joined.join(crowds, "key").join(classes.drop("w", "doc"), "node"), "open")
+    open_keys = staged(joined.join(crowds, "key").join(classes.drop("doc"), "node"), "open")
     crowded = open_keys.where(F.col("crowd") > CROWD).drop("crowd")
     other = crowded.select(F.col("key").alias("key_2"), F.col("node"))
     split = crowded.join(other, "node").where("key < key_2").withColumn("key", F.xxhash64("key", "key_2")).drop("key_2")
-    columns = ["key", "node", "label", "n", "k0", "k1", "k2", "k3"]
+    columns = ["key", "node", "label", "n", "w"]
     pairs = _between(open_keys.where(F.col("crowd") <= CROWD).select(columns)).union(_between(split.select(columns))).distinct()
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(staged(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), classes, docs)

@@ -262,3 +262,60 @@ def test_misspellings_are_caught(spark):
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
     assert scores[0] > 0.5 > scores[1]
     assert [r["doc_id"] for r in toxicity.reject(spark.createDataFrame(new, "doc_id long, text string"), model).collect()] == [1]
+
+
+# --- the Jaccard join on large sets, hot families and rows without id -------------------------
+def _plain_components(texts):
+    """Least row reachable by links of whole shingle sets."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()})
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_large_sets_and_near_copies_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (600, 1200, 3000):
+        base = rng.integers(0, 10**6, n)
+        for change in (0, n // 60, n // 30, n // 20, n // 12):  # from copies to families just short of a link
+            words = base.copy()
+            words[rng.choice(n, change, replace=False)] = rng.integers(10**6, 10**7, change)
+            texts.append(" ".join(map(str, words)))
+    hot = rng.integers(0, 10**6, 300)
+    for _ in range(20):
+        words = hot.copy()
+        words[rng.choice(300, 4, replace=False)] = rng.integers(10**6, 10**7, 4)
+        texts.append(" ".join(map(str, words)))
+    passage = " ".join(map(str, rng.integers(0, 10**6, 60)))
+    texts += [passage + " " + " ".join(map(str, rng.integers(0, 10**6, 400))) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _plain_components(texts)
+
+
+def test_rows_without_id_link_by_their_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:30], "other", *words[31:]]
+    near = [*words[:-1], "other"]
+    rows = [(None, " ".join(words)), (4, " ".join(near)), (None, "alone in the world it stands"), (9, " ".join(words[:-2] + ["x", "y"]))]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["component_id"]) for r in found if r["component_id"] is not None) == [(0, 4), (4, 4), (9, 4)]
+
+
+def test_sketches_fold_to_the_level_below():
+    rng = np.random.default_rng(2)
+    shingles = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
+    whole = ngram_join.sketch(shingles)
+    bits = 64 * len(whole)
+    half = np.bincount((shingles & np.uint64(bits // 2 - 1)).astype(np.int64), minlength=bits // 2) & 1
+    assert (whole[: len(whole) // 2] ^ whole[len(whole) // 2 :]).tolist() == np.packbits(half.astype(np.uint8)).view(np.int64).tolist()
+    assert 2 * len(shingles) <= bits <= 4 * len(shingles)
