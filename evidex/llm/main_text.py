@@ -132,6 +132,13 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A section the parser does not know (``<![foo[``) is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
 
 def _names(node: Node) -> set[str]:
     said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"

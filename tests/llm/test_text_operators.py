@@ -304,3 +304,12 @@ def test_pages_with_nulls_and_clashing_columns(spark):
     rows = extract(pages).collect()
     assert sorted(r["n_chars"] for r in rows)[:2] == [0, 0] and len(rows) == 3
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_broken_pages_end_no_job():
+    assert main_text("<article><p>hello there, reader</p><![foo[bar]]><p>and more of it</p></article>") == "hello there, reader\n\nand more of it"
+    rng = random.Random(6)
+    parts = ["<p>", "</p>", "<![", "<![foo[", "]]>", "<!", "<!--", "-->", "<!doctype", "<?", "<", ">", "</", "<div class=", "'", '"', "&#", "&amp", "&#x110000;", "<script>", "</script>",
+             "<![CDATA[", "text, more ", "<a href=x>", "</a>", "\x00", "🤦", "<article>", "</div>", "[", "]", "<![if !IE]>", "<![endif]>"]
+    for _ in range(5000):
+        assert isinstance(main_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))), str)
