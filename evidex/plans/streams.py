@@ -67,7 +67,7 @@ def limited(spark, d):
 
 def limited_stream(spark, d):
     decided = limiter.limit_stream(_hits(work.table_stream(spark, d, "events")), LIMIT, WINDOW)
-    return work.run_to_files(decided, work.shared_dir(spark, "limiter"))
+    return work.run_to_files(decided, work.shared_dir(spark, "limiter"), timers=True)
 
 
 def logged(spark, d):

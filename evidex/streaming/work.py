@@ -31,11 +31,26 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
 
 
-def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Process everything available into Parquet files and return them."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_stream")
-        .trigger(availableNow=True).start(f"{path}/rows")
-    )
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_to_files(stream: DataFrame, path: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Process everything available into Parquet files and return them.
+
+    ``timers`` says that the stream has timers of the wall clock.  Such a stream always asks for
+    another batch, with or without data, so it would never be done; batches without data are
+    left out for it.  A query keeps the settings it was started with.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(NO_DATA_BATCHES, "true")
+    if timers:
+        conf.set(NO_DATA_BATCHES, "false")
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_stream")
+            .trigger(availableNow=True).start(f"{path}/rows")
+        )
+    finally:
+        conf.set(NO_DATA_BATCHES, before)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -1,6 +1,8 @@
 import random
+import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def test_stream_limiter_agrees_with_batch(spark, rows, tmp_path):
     for part in range(4):
         df.filter(F.floor(F.col("event_id") / 100) == part).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    decided = work.run_to_files(limiter.limit_stream(stream, 2, 60), str(tmp_path / "out"))
+    decided = work.run_to_files(limiter.limit_stream(stream, 2, 60), str(tmp_path / "out"), timers=True)
     got = {x["event_id"]: x["decision"] for x in decided.collect()}
     want = walk(data, 2, 60)
     assert len(got) == len(want)
@@ -114,7 +116,7 @@ def test_every_hit_of_a_stream_is_answered(spark, rows, tmp_path):
     for batch in (first, second):
         rows(batch, HITS).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(HITS).option("maxFilesPerTrigger", 1).parquet(source)
-    decided = work.run_to_files(limiter.limit_stream(stream, 2, 60), str(tmp_path / "out"))
+    decided = work.run_to_files(limiter.limit_stream(stream, 2, 60), str(tmp_path / "out"), timers=True)
     got = {r["event_id"]: r["decision"] for r in decided.collect()}
     assert got == {0: "allow", 1: "allow", 2: "deny", 9: "allow", 10: "late", 11: "deny", 12: "allow"}
     assert [r["event_id"] for r in limiter.late_hits(decided).collect()] == [10]
@@ -122,3 +124,101 @@ def test_every_hit_of_a_stream_is_answered(spark, rows, tmp_path):
 
 def test_stream_limiter_reads_part_files(spark, parts):
     assert QUERIES["stream_limit_hits"](spark, parts).count() == 1000
+
+
+def test_a_key_never_silent_spreads_over_runs(rows):
+    """One hit a second for eleven hours; bursts above the limit now and then."""
+    rng = random.Random(5)
+    data = [("busy", i, START + timedelta(seconds=i)) for i in range(40_000)]
+    bursts = [rng.randrange(40_000) for _ in range(6)]
+    data += [("busy", 50_000 + 100 * b + j, START + timedelta(seconds=at, milliseconds=3 * j)) for b, at in enumerate(bursts) for j in range(40)]
+    df = rows(data, HITS)
+    got = {x["event_id"]: x["allowed"] for x in limiter.limit_hits(df, 70).collect()}
+    assert got == walk(data, 70, 60) and not all(got.values())
+    us = df.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    runs = limiter.limiter_runs(us, 70, 60_000_000).groupBy("run_start").count().collect()
+    assert len(runs) >= 10 and max(r["count"] for r in runs) < 3 * 3600 + 300
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 6])
+def test_runs_cut_by_free_hits_agree_with_a_walk(rows, monkeypatch, limit):
+    """Short slices, equal times, stretches below, at and above the limit."""
+    monkeypatch.setattr(limiter, "SLICE_WINDOWS", 4)
+    rng = random.Random(limit)
+    at, data = 0, []
+    for i in range(1500):
+        at += rng.choice((0, 1, 2) if (i // 150) % 2 else (2, 4, 5, 9))
+        data.append((rng.choice(["hot", "hot", "b"]), i, START + timedelta(seconds=at)))
+    got = {x["event_id"]: x["allowed"] for x in limiter.limit_hits(rows(data, HITS), limit, 10).collect()}
+    assert got == walk(data, limit, 10)
+
+
+class Kept:
+    """The state and timers of one key, without a cluster."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, now, due=None):
+        self.now, self.due = now, due
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.due
+
+
+def test_an_idle_key_is_forgotten_but_not_after_a_standstill():
+    kept, limiting = Kept(), limiter.Limiter(1, 60_000_000, 60_000_000, 1000)
+    limiting.init(kept)
+    hit = lambda us, now: list(limiting.handleInputRows(("a",), iter([pd.DataFrame({"us": [us], "event_id": [us]})]), Clock(now)))[0]["decision"][0]
+    tick = lambda now: list(limiting.handleExpiredTimer(("a",), Clock(now), Clock(now, kept.timers[-1])))
+    assert hit(0, 0) == "allow" and kept.timers == [1000]
+    assert hit(5, 600) == "deny" and kept.timers == [1000]
+    tick(1000)  # seen since: looked at again when its period is over
+    assert kept.value and kept.timers == [1000, 1600]
+    tick(9000)  # the query stood still
+    assert kept.value and kept.timers[-1] == 10_000 and hit(9, 9100) == "deny"
+    tick(10_000)
+    assert kept.timers[-1] == 10_100
+    tick(10_200)
+    assert kept.value is None and hit(10, 10_300) == "allow"
+
+
+def test_the_state_of_an_idle_key_leaves_the_store(spark, rows, tmp_path):
+    source, out = str(tmp_path / "hits"), str(tmp_path / "out")
+    rows([("a", 1, START), ("b", 2, START)], HITS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(HITS).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        limiter.limit_stream(stream, 2, 1, idle_seconds=3).writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/_stream").trigger(processingTime="500 milliseconds").start(f"{out}/rows")
+    )
+    try:
+        state = lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress and query.lastProgress["stateOperators"] else None
+        seen, end = set(), time.time() + 60
+        while time.time() < end and not (0 in seen and max(seen) > 0):
+            if (n := state()) is not None:
+                seen.add(n)
+            time.sleep(0.3)
+        assert 0 in seen and max(seen) > 0
+        assert query.exception() is None
+    finally:
+        query.stop()
