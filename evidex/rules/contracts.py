@@ -86,3 +86,7 @@ REASONS = {
     "other": "Present, but does not match preferred or fallback language.",
     "present": "Term is present.",
 }
+
+# Fixed patterns: reasoning a model puts before its output, and an object in a code fence.
+REASONING = r"(?is)<think>.*?</think>"
+FENCED_OBJECT = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"

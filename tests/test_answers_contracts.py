@@ -96,6 +96,26 @@ def test_parse_outputs(rows):
         ("a", "parties", "A and B"), ("b", "term", "two years")]
 
 
+def test_parse_outputs_of_odd_shapes(rows):
+    texts = {
+        "cut": '{"fields": [{"key": "a"', "none": None, "empty": "", "brace": "a { b", "list": '[{"key": "a"}, {"key": "b"}]',
+        "last": '{"fields": [{"key": " A ", "value": "1"}, 3, {"value": "no key"}, {"key": "a", "value": 2, "confidence": "0.5"}]}',
+        "flat": '{"fields": "none", "x": {"key": "Y", "value": true, "confidence": "high"}, "z": null, "n": [1, "b"]}',
+        "fence": '{broken ```JSON {"k": "v"} ``` {"other": 1}', "open": 'see ```json {"k": ``` but {"k": "w"}',
+        "long": "{" + "x" * 100_000 + "<think>{}</think>",
+    }
+    got = c.parse_outputs(rows(list(texts.items()), "doc_id string, output string")).collect()
+    assert sorted((x["doc_id"], x["key"], x["value"], x["confidence"]) for x in got) == [
+        ("fence", "k", "v", None), ("flat", "n", '[1,"b"]', None), ("flat", "y", "True", None), ("flat", "z", None, None),
+        ("last", "a", "2", 0.5), ("list", "key", "a", None),
+    ]
+
+
+def test_parsing_outputs_needs_no_python(rows):
+    plan = c.parse_outputs(rows([("a", "{}")], "doc_id string, output string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_quotes_are_grounded(rows):
     df = rows([("laws of Pakistan",), ("governed by Delaware law",)], "q string")
     text = F.lit("this agreement is governed by the laws of pakistan.")
