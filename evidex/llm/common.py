@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: list[str] = []  # the folder of a local session without one
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="evidex-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="evidex-llm-"))
+        base = _local[0]
     return base.rstrip("/")
 
 
@@ -28,6 +32,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from every column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import staged, whole_text
+from evidex.llm.common import staged, unused, whole_text
 from evidex.llm.graph import components
 from evidex.llm.subword import chunks
 
@@ -309,10 +309,10 @@ def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
     Texts are shuffled only where a doc_id repeats, or where the ids that stay are too many to
     send to every task.
     """
-    found = join(documents, text)
-    kept = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    found, times = join(documents, text), unused(documents, "_rows")
+    kept = staged(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(times)), "kept")
     few = kept.count() <= SENT
     stay = documents.join(F.broadcast(kept) if few else kept, "doc_id")
-    again = stay.where("_rows > 1").dropDuplicates(["doc_id", text])
-    whole = stay.where("_rows = 1").unionByName(again).drop("_rows").unionByName(documents.where("doc_id IS NULL"))
+    again = stay.where(F.col(times) > 1).dropDuplicates(["doc_id", text])
+    whole = stay.where(F.col(times) == 1).unionByName(again).drop(times).unionByName(documents.where("doc_id IS NULL"))
     return whole.select(*documents.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidex.llm.common import staged, whole_text
+from evidex.llm.common import staged, unused, whole_text
 
 FINE = 128
 PART = 20_000
@@ -81,27 +81,28 @@ def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, length: str =
     if not cuts:
         none = {"bucket": "int", "padded_tokens": "bigint", "batch": "bigint", "place": "int"}
         return docs.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    own = {c: unused(docs, f"_{c}") for c in ("bucket", "salt", "part", "n", "at", "before")}
     held = [sum(b[1] for b in bins if low < b[0] <= high) for low, high in zip([-1, *cuts], cuts)]
-    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_bucket"))
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col(own["bucket"]))
     salt = F.xxhash64("doc_id", F.col(length))
     placed = (
-        docs.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c < F.col(length))))
-        .withColumn("_salt", salt)
-        .withColumn("_part", F.pmod("_salt", pick([-(-h // PART) or 1 for h in held])))
+        docs.withColumn(own["bucket"], F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c < F.col(length))))
+        .withColumn(own["salt"], salt)
+        .withColumn(own["part"], F.pmod(own["salt"], pick([-(-h // PART) or 1 for h in held])))
     )
-    sizes = placed.groupBy("_bucket", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket", "_part").orderBy("_salt", "doc_id")
-    row = F.col("_before") + F.col("_at") - 1
+    sizes = placed.groupBy(own["bucket"], own["part"]).agg(F.count("*").alias(own["n"]))
+    before = Window.partitionBy(own["bucket"]).orderBy(own["part"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(own["bucket"], own["part"], F.coalesce(F.sum(own["n"]).over(before), F.lit(0)).alias(own["before"]))
+    inside = Window.partitionBy(own["bucket"], own["part"]).orderBy(own["salt"], "doc_id")
+    row = F.col(own["before"]) + F.col(own["at"]) - 1
     per_batch = pick([max(1, budget // max(1, c)) for c in cuts])
     return (
-        placed.withColumn("_at", F.row_number().over(inside)).join(offsets, ["_bucket", "_part"])
+        placed.withColumn(own["at"], F.row_number().over(inside)).join(offsets, [own["bucket"], own["part"]])
         .withColumns({
-            "bucket": F.col("_bucket"), "padded_tokens": pick(cuts).cast("bigint"),
+            "bucket": F.col(own["bucket"]), "padded_tokens": pick(cuts).cast("bigint"),
             "batch": F.floor(row / per_batch).cast("bigint"), "place": (row % per_batch).cast("int"),
         })
-        .drop("_bucket", "_salt", "_part", "_at", "_before")
+        .drop(own["bucket"], own["salt"], own["part"], own["at"], own["before"])
     )
 
 

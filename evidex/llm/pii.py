@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import whole_text
+from evidex.llm.common import unused, whole_text
 
 CONTEXT = 48  # code points of the text looked at on either side, other matches among them
 ACCEPT = 0.5
@@ -227,20 +227,21 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Where spans overlap, the one that starts first (then the longer one) is replaced.
     A null text stays null.
     """
-    marked = find(docs.withColumn("_text", whole_text(text)), "_text", "_pii")
-    order = F.array_sort(F.transform(F.col("_pii"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))))
+    body, spans = unused(docs, "_text"), unused(docs, "_pii")
+    marked = find(docs.withColumn(body, whole_text(text)), body, spans)
+    order = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))))
     kept = F.aggregate(
         order, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
             (-s["stop"]).alias("at"),
             F.concat(a["parts"], F.array(
-                F.col("_text").substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
+                F.col(body).substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
                 F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
             )).alias("parts"),
         )),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.col("_text").substr((a["at"] + 1).cast("int"), F.length("_text"))),
+        lambda a: F.concat(F.array_join(a["parts"], ""), F.col(body).substr((a["at"] + 1).cast("int"), F.length(body))),
     )
-    new = F.when(F.size("_pii") > 0, kept).otherwise(F.col(text))
+    new = F.when(F.size(spans) > 0, kept).otherwise(F.col(text))
     return marked.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import staged, whole_text
+from evidex.llm.common import staged, unused, whole_text
 
 CACHE = 300_000
 
@@ -211,13 +211,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], spec: Spec, text: st
     weights, shift = model
     schema = docs.drop(into).withColumn(into, F.lit(0.0)).schema
     names = [f.name for f in schema.fields if f.name != into]
+    body = unused(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, spec)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(body).to_pylist()
             odds = np.concatenate([scorer(c) for c in chunks(texts)]) + shift if texts else np.zeros(0)
             probability = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(probability)], [*names, into])
 
-    return docs.drop(into).withColumn("_text", whole_text(text)).mapInArrow(run, schema)
+    return docs.drop(into).withColumn(body, whole_text(text)).mapInArrow(run, schema)

@@ -10,9 +10,9 @@ Components are floor(1024 * x) as 64-bit integers; scores are exact as long as t
 products stays below 2 ** 63.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no
-part; a query meets vectors of its own length only; ties go to the smaller vec_id; of rows
-with one vec_id the least vector counts; without candidates there are no rows; further
-columns are not read.
+part; a query meets vectors of its own length only; ties go to the smaller vec_id; rows of one
+vec_id are candidates of their own, save for queries of that vec_id, whose finds are ranked
+together; without candidates there are no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(``vec_id``, ``v``) with doubles, one row per vec_id, only whole finite vectors."""
+    """(``vec_id``, ``v``) with doubles, only whole finite vectors."""
     doubles = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return doubles.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return doubles.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -95,13 +95,16 @@ def _meet(k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``): the k best other rows of every query."""
-    scaled = usable(vectors, column).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("bigint")).alias("v"), F.size("v").alias("dim"))
-    table = staged(scaled, "vectors")
+    scaled = usable(vectors, column).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("bigint")).alias("v"))
+    # of equal rows no more than k can be among the best, nor change them as queries
+    distinct = scaled.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    each = distinct.select("vec_id", "v", F.size("v").alias("dim"), F.explode(F.sequence(F.lit(1), "n"))).drop("col")
+    table = staged(each, "vectors")
     queries = table.where(is_query)
     counts = table.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     shards, blocks = -(-counts["n"] // shard) or 1, -(-counts["q"] // block) or 1
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    part = lambda n, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(n)).cast("int")
     left = table.select("*", part(shards, 1).alias("shard"), numbers(blocks).alias("block"))
     right = queries.select("*", part(blocks, 2).alias("block"), numbers(shards).alias("shard"))
     key = ["dim", "shard", "block"]

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from evidex.llm import subword
+from evidex.llm.common import unused
 
 SPEC = subword.Spec(shortest=3, longest=5, words=False, lower=True, dim=8, epochs=10, rate=0.5)
 THRESHOLD = 0.3
@@ -29,5 +30,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], spec: subword.Spec =
 
 def reject(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, spec: subword.Spec = SPEC) -> DataFrame:
     """The documents whose score stays under ``threshold``, with their own columns."""
-    scored = subword.score(docs, model, spec, into="_toxic")
-    return scored.where(scored["_toxic"] < threshold).select(*docs.columns)
+    into = unused(docs, "_toxic")
+    scored = subword.score(docs, model, spec, into=into)
+    return scored.where(scored[into] < threshold).select(*docs.columns)

@@ -3,10 +3,11 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from evidex.llm import pii, toxicity
-from evidex.llm.common import staged
+from evidex.llm.common import staged, work_folder
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -78,3 +79,21 @@ def test_the_mixture_only_repeats(steps):
 def test_packing_places_every_row(steps):
     assert len(steps["packing"]) == len(steps["mixture"])
     assert len({(r["bucket"], r["batch"], r["place"]) for r in steps["packing"]}) == len(steps["packing"])
+
+
+def test_columns_named_as_internal_ones_pass_unchanged(spark):
+    names = ["_text", "_PII", "_toxic", "_rows", "_bucket", "_salt", "_part", "_n", "_at", "_before", "_row"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id < 60").withColumns({n: F.lit("mine") for n in names})
+    for name, stage in cp.STAGES:
+        docs = staged(stage(spark, docs, SF_DIR), name)
+        assert set(names) <= set(docs.columns), name
+        rows = docs.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [("mine",) * len(names)], name
+
+
+def test_a_session_without_a_shared_folder_has_one_of_its_own(spark):
+    class Session:
+        sparkContext = spark.sparkContext
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    assert work_folder(Session) == work_folder(Session)

@@ -192,6 +192,13 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(_table(spark, vectors).limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_of_one_vec_id_are_candidates_of_their_own(spark):
+    data = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [2.0, 1.0]), (7, [0.5, 0.0])] + [(9, [0.25, 1.0])] * 40
+    got = topk.top_k(spark.createDataFrame(data, "vec_id bigint, embedding array<float>"), F.col("vec_id") == 0, k=5, shard=10).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [
+        (1, 5, 2097152), (2, 5, 1048576), (3, 7, 524288), (4, 9, 262144), (5, 9, 262144)]
+
+
 def test_search_stops_before_the_end_of_the_lists():
     rows = np.arange(4000, dtype=np.int64)[:, None] * np.array([[3, 1]])
     lists = np.argsort(rows, axis=0, kind="stable").T.copy()
