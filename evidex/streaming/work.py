@@ -22,6 +22,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/evidex/{name}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and the file system it is in, whichever Spark is set up for."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies right under a folder; none if there is no such folder."""
+    at, fs = _located(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds."""
+    at, fs = _located(spark, path)
+    fs.delete(at, True)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """One table as a stream, whether it is a single Parquet file or a folder of part files.
 

@@ -93,6 +93,72 @@ def test_an_older_version_that_comes_later_does_not_win(spark, rows, tmp_path):
     assert [(r["document_id"], r["version"], r["text"]) for r in ingest.current_index(spark, path).collect()] == [("d1", 3, "third")]
 
 
+def index_files(path, folder):
+    """The bytes of one batch's folder, by bucket."""
+    return sorted((f.parent.name, f.read_bytes()) for f in (path / "rows" / f"folder={folder}").rglob("*.parquet"))
+
+
+SCHEMA = "document_id string, user_id string, version bigint, text string"
+
+
+def test_index_agrees_with_a_dictionary_and_reads_no_superseded_folder(spark, rows, tmp_path):
+    rng = random.Random(3)
+    newest = {}
+    for batch_id in range(9):
+        # Null users, versions out of order, versions that come twice, blank and null texts, an empty batch.
+        batch = {}
+        for _ in range(0 if batch_id == 4 else rng.choice([2, 5, 30])):
+            key = (f"d{rng.randrange(25)}", rng.choice(["u", "w", None]))
+            batch[key] = (rng.randrange(6), rng.choice(["", "  ", None, f"text {batch_id} of {key}", f"long {batch_id} " * 300]))
+        ingest.write_batch(str(tmp_path), rows([(*k, *v) for k, v in batch.items()], SCHEMA), batch_id, buckets=3)
+        for key, (version, text) in batch.items():
+            newest[key] = max(newest.get(key, (-1, -1, None)), (version, batch_id, text), key=lambda x: x[:2])
+        want = rows([(*k, v, t) for k, (v, _, t) in newest.items()], SCHEMA)
+        got = ingest.current_index(spark, str(tmp_path))
+        key = ["document_id", "user_id", "version", "chunk_index", "text", "start_offset"]
+        assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, op.chunk_documents(want).select(*key).collect()))
+        live = ingest.live_folders(spark, str(tmp_path), batch_id)
+        for bucket in {r["bucket"] for r in live}:
+            sizes = [r["documents"] for r in live if r["bucket"] == bucket]
+            assert all(size > sum(sizes[i + 1:]) for i, size in enumerate(sizes))
+        named = {f"folder={r['folder']}/bucket={r['bucket']}" for r in live}
+        assert {"/".join(f.split("/")[-3:-1]) for f in got.inputFiles()} == named
+
+
+def test_a_replayed_batch_writes_the_same_bytes(spark, rows, tmp_path):
+    for batch_id in range(3):
+        data = [(f"d{i}", "u", batch_id, f"text {batch_id} {i} " * 200) for i in range(batch_id, 12)]
+        ingest.write_batch(str(tmp_path), rows(data, SCHEMA), batch_id, buckets=4)
+    want = index_files(tmp_path, 2), ingest.live_folders(spark, str(tmp_path), 2)
+    ingest.write_batch(str(tmp_path), rows(data, SCHEMA), 2, buckets=4)
+    assert want[0] and (index_files(tmp_path, 2), ingest.live_folders(spark, str(tmp_path), 2)) == want
+
+
+def test_a_batch_without_a_complete_manifest_is_not_seen(spark, rows, tmp_path):
+    assert ingest.current_index(spark, str(tmp_path)).collect() == []
+    ingest.write_batch(str(tmp_path), rows([("d", "u", 1, "first")], SCHEMA), 0)
+    ingest.write_batch(str(tmp_path), rows([("d", "u", 2, "second")], SCHEMA), 1)
+    (tmp_path / "manifest" / "batch_id=1" / "_SUCCESS").unlink()
+    assert [r["text"] for r in ingest.current_index(spark, str(tmp_path)).collect()] == ["first"]
+
+
+def test_superseded_folders_go(spark, rows, tmp_path):
+    for batch_id in range(5):
+        ingest.write_batch(str(tmp_path), rows([(f"d{i}", "u", batch_id, f"text {batch_id}") for i in range(20)], SCHEMA), batch_id, buckets=2)
+    (tmp_path / "rows" / "folder=7").mkdir()  # of a batch not yet committed
+    ingest.drop_superseded(spark, str(tmp_path), 2)
+    assert sorted(f.name for f in (tmp_path / "rows").iterdir()) == ["folder=3", "folder=4", "folder=7"]
+    assert sorted(f.name for f in (tmp_path / "manifest").iterdir()) == ["batch_id=3", "batch_id=4"]
+    assert {r["text"] for r in ingest.current_index(spark, str(tmp_path)).collect()} == {"text 4"}
+
+
+def test_a_bucket_with_one_folder_is_read_without_a_shuffle(spark, rows, tmp_path):
+    for batch_id in range(3):
+        ingest.write_batch(str(tmp_path), rows([(f"d{i}", "u", batch_id, "text") for i in range(20)], SCHEMA), batch_id)
+    plan = ingest.current_index(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
     """The smallest tables rewritten as folders of part files, beside the given single files."""
