@@ -5,24 +5,28 @@ Equal vectors are one class with a count.  Classes are dealt by hash to shards o
 searched in every shard, in blocks of queries, with a beam of rows; a search goes on from every
 row found over the threshold to that row's neighbours.  The beam of a shard comes from an audit
 before the search: some queries of every block are compared with all shards, and the beam
-doubles from ``EF``, in the end to the whole shard, until queries find ``RECALL`` of their links.
+doubles from ``EF`` until queries find ``RECALL`` of their links; a beam of a whole shard is a plain
+product with all its vectors, which misses none.
 That is the mean over queries, each counted once, and it must hold for every class of queries
 (by the binary magnitude of their number of links), in the shard and over all shards: large
 groups do not hide what pairs miss.  More queries are audited until ``LINKED`` of them have links
 or ``SHARD`` or all queries were audited.  Pairs found are verified by cosine in double
 precision, so a link is never wrong; it may be missed.
 
-A block reports the number of links of each query and a spanning forest of the links it
-found, not the pairs: large groups of copies cost a row per vector.  Components are joined
-over all forests.
+A block goes through a shard in steps of ``STEP`` queries, each of which keeps the number of links of
+its queries and a spanning forest, not the pairs: a task holds the pairs of one step, and large
+groups of copies cost a row per vector.  Components are joined over all forests.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing; vectors of different lengths do not link; of rows with one vec_id the
-least vector counts; an empty table gives no rows; further columns are not read.
+link with nothing; vectors of different lengths do not link; rows
+without vec_id are left out; rows that share a vec_id are vectors of their own, one row each; an
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +38,7 @@ from evidex.llm.graph import components
 
 SHARD = 65_536
 BLOCK = 4_096
+STEP = 256
 EF = 48
 RECALL = 0.99
 AUDITED = 128  # queries of each block (about) that are compared with all shards at first
@@ -84,14 +89,21 @@ def _read(graph: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np
     return ids, held, exact, layers
 
 
-def _links(own: np.ndarray, wanted: np.ndarray, ids: np.ndarray, exact: np.ndarray, layers: list[np.ndarray], threshold: float, beam: int):
-    """(query, row) of the links that a search with this beam finds."""
-    query, row = hnsw.pairs_over(exact.astype(np.float32), layers, wanted.astype(np.float32), threshold - 1e-4, min(beam, len(ids)))
-    close = np.concatenate([
-        np.einsum("pd,pd->p", wanted[query[i : i + 65_536]], exact[row[i : i + 65_536]]) >= threshold for i in range(0, len(query), 65_536)
-    ] or [np.zeros(0, bool)])
-    close &= ids[row] != own[query]
-    return query[close], row[close]
+def _links(own: np.ndarray, wanted: np.ndarray, ids: np.ndarray, exact: np.ndarray, layers: list[np.ndarray], threshold: float,
+           beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) of the links that a search with this beam finds, ``STEP`` queries at a time."""
+    rows = exact.astype(np.float32)
+    for start in range(0, len(own), STEP):
+        some = wanted[start : start + STEP]
+        if beam >= len(ids):
+            query, row = np.nonzero(some @ exact.T >= threshold - 1e-9)
+        else:
+            query, row = hnsw.pairs_over(rows, layers, some.astype(np.float32), threshold - 1e-4, beam)
+        close = np.concatenate([
+            np.einsum("pd,pd->p", some[query[i : i + 65_536]], exact[row[i : i + 65_536]]) >= threshold for i in range(0, len(query), 65_536)
+        ] or [np.zeros(0, bool)])
+        close &= ids[row] != own[query + start]
+        yield query[close] + start, row[close]
 
 
 def _audit(threshold: float, recall: float, ef: int):
@@ -102,7 +114,7 @@ def _audit(threshold: float, recall: float, ef: int):
         if not len(graphs) or not len(queries):
             return none
         ids, _, exact, layers = _read(graphs.iloc[0])
-        queries = queries.sort_values("id")
+        queries = queries.sort_values(["salt", "id"])
         own, wanted = queries["id"].to_numpy(np.int64), _unit(np.stack(queries["v"].to_numpy()))
         truth = np.zeros(len(own), np.int64)
         for i in range(0, len(own), AUDITED):
@@ -119,12 +131,10 @@ def _audit(threshold: float, recall: float, ef: int):
             if not len(few):
                 break
             now = found[-1].copy()
+            now[few] = sum(np.bincount(query, minlength=len(few)) for query, _ in _links(own[few], wanted[few], ids, exact, layers, threshold, beam))
+            found.append(np.minimum(now, truth))
             if beam >= len(ids):
-                now[few] = truth[few]
-            else:
-                query, _ = _links(own[few], wanted[few], ids, exact, layers, threshold, beam)
-                now[few] = np.minimum(np.bincount(query, minlength=len(few)), truth[few])
-            found.append(now)
+                break
             beam *= 2
         found = found[1:]
         return pd.DataFrame({"dim": exact.shape[1], "shard": int(graphs["shard"].iloc[0]), "id": own, "truth": truth, "found": np.stack(found, 1).tolist()})
@@ -156,12 +166,13 @@ def _search(threshold: float):
         if not len(graphs) or not len(queries):
             return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
         ids, held, exact, layers = _read(graphs.iloc[0])
-        queries = queries.sort_values("id")
+        queries = queries.sort_values(["salt", "id"])
         own, wanted = queries["id"].to_numpy(np.int64), _unit(np.stack(queries["v"].to_numpy()))
-        query, row = _links(own, wanted, ids, exact, layers, threshold, int(graphs["beam"].iloc[0]))
-        links = np.bincount(query, held[row], len(own)).astype(np.int64)
+        links, near, least = np.zeros(len(own), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for query, row in _links(own, wanted, ids, exact, layers, threshold, int(graphs["beam"].iloc[0])):
+            links += np.bincount(query, held[row], len(own)).astype(np.int64)
+            near, least = _forest(np.concatenate([near, own[query]]), np.concatenate([least, ids[row]]))
         with_links = np.flatnonzero(links)
-        near, least = _forest(own[query], ids[row])
         tree = near != least
         return pd.DataFrame({
             "a": np.concatenate([own[with_links], near[tree]]), "b": np.concatenate([own[with_links], least[tree]]),
@@ -173,26 +184,28 @@ def _search(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "embedding", recall: float = RECALL, ef: int = EF,
                     shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """(``vec_id``, ``n_links``, ``component_id``, ``kept``): one row per vec_id."""
+    """(``vec_id``, ``n_links``, ``component_id``, ``kept``): one row per vector."""
     named = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = staged(named.withColumn("v", F.when(whole, F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("held"))
-    classes = staged(classes.select("id", "held", "v", F.size("v").alias("dim"), F.xxhash64("id").alias("salt")), "classes")
+    rows = staged(named.withColumn("v", F.when(whole, F.col("v"))), "vectors")
+    classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("held"))
+    # Classes may share their least vec_id, so they are numbered; what is dealt by hash goes by the vector.
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "least", "held", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("salt"))
+    classes = staged(classes, "classes")
     n = classes.count()
     shards, blocks = -(-n // shard) or 1, -(-n // block) or 1
     numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    part = lambda k, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int")
+    part = lambda k, seed: F.pmod(F.xxhash64("salt", F.lit(seed)), F.lit(k)).cast("int")
     graphs = staged(classes.withColumn("shard", part(shards, 1)).groupBy("dim", "shard").applyInPandas(_graph, GRAPH), "graphs")
     key = ["dim", "shard", "block"]
 
     def together(graphs: DataFrame, queries: DataFrame, blocks: int):
-        right = queries.select("id", "v", "dim", part(blocks, 2).alias("block"), numbers(shards).alias("shard"))
+        right = queries.select("id", "salt", "v", "dim", part(blocks, 2).alias("block"), numbers(shards).alias("shard"))
         return graphs.select("*", numbers(blocks).alias("block")).groupBy(*key).cogroup(right.groupBy(*key))
 
     sample = min(AUDITED, block)
     while True:
-        some = classes.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(block)) < sample)
+        some = classes.where(F.pmod(F.xxhash64("salt", F.lit(3)), F.lit(block)) < sample)
         audits = staged(together(graphs, some, -(-blocks * sample // block)).applyInPandas(_audit(threshold, recall, ef), AUDIT), "audits")
         if sample >= block or sample * blocks >= SHARD or audits.select("id").distinct().count() >= LINKED:
             break
@@ -204,9 +217,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "
     links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     labels = components(found.where("a <> b").select("a", "b"))
     joined = classes.join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    known = joined.select("v", "held", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "id").alias("label"))
-    out = rows.join(known, "v", "left").select(
+    known = joined.select("v", "least", "held", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "id").alias("label"))
+    first = known.groupBy("label").agg(F.min("least").alias("component_id"))
+    out = rows.join(known.join(first, "label"), "v", "left").select(
         "vec_id", F.coalesce(F.col("links") + F.col("held") - 1, F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("label", "vec_id").alias("component_id"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
     )
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -1,9 +1,11 @@
 """Joins, searches and classifiers against brute force, held-out labels and edge cases."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,47 @@ def test_equal_vectors_are_counted_without_pairs(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_rows_of_one_vec_id_are_vectors_of_their_own(spark):
+    east, north = [1.0, 0.0], [0.0, 1.0]
+    data = [(3, east), (3, north), (3, None), (5, [1.0, 0.1]), (7, [0.1, 1.0]), (7, [0.1, 1.0]), (9, [-1.0, 0.0]), (None, east)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [
+        (3, 0, 3, True), (3, 1, 3, True), (3, 2, 3, True), (5, 1, 3, False), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True)]
+
+
+def _as_shard(vectors):
+    """One shard's graph and its vectors as queries, as the tasks get them."""
+    ids = np.arange(len(vectors))
+    queries = pd.DataFrame({"id": ids, "salt": ids, "v": list(vectors), "held": 1, "shard": 0})
+    return embedding_dedup._graph(queries), queries
+
+
+def test_a_beam_of_the_whole_shard_finds_all_links():
+    rng = np.random.default_rng(9)
+    graph, queries = _as_shard(np.concatenate([_vectors(rng, 40, 5), rng.normal(size=(100, 16))]))
+    graph["sizes"] = [[len(queries)]]
+    graph["layers"] = [np.full((len(queries), 2 * hnsw.OWN), -1, np.int32).tobytes()]  # a graph without any link
+    unit = embedding_dedup._unit(np.stack(queries["v"]))
+    true = (unit @ unit.T >= 0.95).sum(1) - 1
+    audit = embedding_dedup._audit(0.95, 1.0, 1)(graph, queries)
+    assert all(f[-1] == t for f, t in zip(audit["found"], audit["truth"])) and len(audit) == (true > 0).sum()
+    assert any(f[0] < t for f, t in zip(audit["found"], audit["truth"]))
+    found = embedding_dedup._search(0.95)(graph.assign(beam=len(queries)), queries)
+    same = found[found["a"] == found["b"]]
+    assert dict(zip(same["a"], same["links"])) == {i: n for i, n in enumerate(true) if n}
+
+
+def test_near_copies_of_a_third_of_a_shard_fit_into_memory():
+    rng = np.random.default_rng(10)
+    graph, queries = _as_shard(np.concatenate([_vectors(rng, 1, 20_000, 8, 0.01), rng.normal(size=(2_000, 8))]))
+    tracemalloc.start()
+    found = embedding_dedup._search(0.95)(graph.assign(beam=48), queries.iloc[:1024])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    links = found[found["a"] == found["b"]].set_index("a")["links"]
+    assert (links >= 0.99 * 19_999).sum() >= 1_000 and peak < 1 << 31
+
+
 def test_graph_finds_the_nearest_rows():
     rng = np.random.default_rng(6)
     rows = rng.normal(size=(3000, 16)).astype(np.float32)
