@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -99,6 +100,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("root", {}, None)
         self.nodes, self.open = [self.root], [self.root]
+        self.endless: set[str] = set()  # beginnings of comments and sections whose end the page has not
 
     def _end(self, tags: tuple[str, ...], parents: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -132,12 +134,31 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def parse_comment(self, i, report=1):
+        """A comment without an end is text; an end that is nowhere is not looked for again."""
+        end = -1 if "<!--" in self.endless else super().parse_comment(i, report)
+        if end < 0:
+            self.endless.add("<!--")
+        return end
+
     def parse_marked_section(self, i, report=1):
         """A section the parser does not know (``<![foo[``) is a comment up to the next ``>``."""
+        kind = self.rawdata[i : i + 6].lower()
         try:
-            return super().parse_marked_section(i, report)
+            end = -1 if kind in self.endless else super().parse_marked_section(i, report)
         except AssertionError:
             return self.rawdata.find(">", i) + 1 or -1
+        if end < 0:
+            self.endless.add(kind)
+        return end
+
+    def read(self, html: str) -> None:
+        """The whole page; nothing after its last ``>`` is markup."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        if html[end:] and not self.cdata_elem:
+            self.handle_data(unescape(html[end:]))
 
 
 def _names(node: Node) -> set[str]:
@@ -364,8 +385,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     nodes = tree.nodes
     _cut(nodes)
     _measure(nodes)

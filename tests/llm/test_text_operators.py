@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -313,3 +314,21 @@ def test_broken_pages_end_no_job():
              "<![CDATA[", "text, more ", "<a href=x>", "</a>", "\x00", "🤦", "<article>", "</div>", "[", "]", "<![if !IE]>", "<![endif]>"]
     for _ in range(5000):
         assert isinstance(main_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))), str)
+
+
+@pytest.mark.parametrize("part", ["<!--", "<!-- x > ", "<![CDATA[", "<![CDATA[ > ", "<![if ", "<!", "<?", "</", "<", "<a ", "<p", "&#", "<p>text, more "])
+def test_unclosed_parts_take_linear_time(part):
+    def seconds(n):
+        began = time.perf_counter()
+        main_text("<article><p>hello there, reader</p>" + part * n)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(200_000 // len(part)) < 5
+
+
+def test_text_after_the_last_tag_stays():
+    assert main_text("<p>hello there, reader</p> and &amp; <b") == "hello there, reader\n\nand & <b"
+    assert main_text("no markup at all &lt; here") == "no markup at all < here"
+    assert main_text("<p>before</p><script>var x = 1; if (x") == "before"
+    assert main_text("<p>before <!-- never > closed") == main_text("<p>before &lt;!-- never > closed")
