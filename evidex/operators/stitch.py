@@ -180,16 +180,23 @@ def _best_links(events: DataFrame) -> DataFrame:
     # a window's beginning stands before its own end, so neither meets the other
     order = Window.partitionBy(*group).orderBy("place", "tail", F.col("cut").desc())
     after, before, all_of = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*group)
-    head, tail = F.when(~F.col("tail"), F.col("place")), F.when(F.col("tail"), F.col("place"))
+    head, tail = F.when(~F.col("tail"), F.col("place")), F.when(F.col("tail"), F.struct("place", (-F.col("cut")).alias("kept")))
     met = events.select(
         *group, "place", "tail", "cut",
         F.coalesce(F.min(head).over(after), F.min(head).over(all_of)).alias("next"),
         F.coalesce(F.max(tail).over(before), F.max(tail).over(all_of)).alias("previous"),
     )
-    ends = met.where("tail AND next IS NOT NULL AND next <> place").groupBy(*LIST, "place").agg(F.max(F.struct("size", (-F.col("cut")).alias("whole"), "next")).alias("b"))
-    heads = met.where("NOT tail AND previous IS NOT NULL AND previous <> place").groupBy(*LIST, "place").agg(F.max(F.struct("size", "previous")).alias("b"))
-    ends = ends.select(*LIST, "place", F.col("b.next").alias("next"), F.col("b.size").alias("size"), (-F.col("b.whole")).alias("cut"))
-    heads = heads.select(*LIST, F.col("place").alias("next"), F.col("b.previous").alias("place"))
+
+    def preferred(rows: DataFrame, other: str, kept: Column) -> DataFrame:
+        # two windows that join without a cut do so, however long the stretch before the cut word
+        pairs = rows.groupBy(*LIST, "place", other).agg(F.max(F.struct((kept == 0).alias("whole"), "size", kept.alias("kept"))).alias("p"))
+        return pairs.groupBy(*LIST, "place").agg(F.max(F.struct("p.size", "p.kept", other)).alias("b"))
+
+    ends = preferred(met.where("tail AND next IS NOT NULL AND next <> place"), "next", -F.col("cut"))
+    before_it = met.where("NOT tail AND previous IS NOT NULL AND previous.place <> place")
+    heads = preferred(before_it.select(*LIST, "place", "size", F.col("previous.place").alias("from"), F.col("previous.kept").alias("whole_of")), "from", F.col("whole_of"))
+    ends = ends.select(*LIST, "place", F.col("b.next").alias("next"), F.col("b.size").alias("size"), (-F.col("b.kept")).alias("cut"))
+    heads = heads.select(*LIST, F.col("place").alias("next"), F.col("b.from").alias("place"))
     return ends.join(heads, [*LIST, "place", "next"])
 
 

@@ -53,6 +53,12 @@ def test_contained_windows_and_cut_words_go(stitched):
     assert stitched["alone"] == "x"
 
 
+def test_repeated_words_join_without_a_cut(spark):
+    left, right = "a small beginning " + "Abcdef " * 6 + "Ab", "Abcdef " * 6 + "goes on"
+    got = stitch.stitched(_lists(spark, {"d": [left, right]})).first()["text"]
+    assert got == left + right[37:]
+
+
 def test_a_header_on_every_window_joins_nothing(stitched):
     assert stitched["shared header"].count("=" * 40) == 6 and stitched["shared header"].count("\n\n") == 5
 
