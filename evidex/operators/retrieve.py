@@ -113,25 +113,39 @@ def exchanges_from_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+LIST_TASKS = 256
+
+
 def list_for_scope(docs: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Per scope: matter documents newest first, then conversation documents not yet listed."""
+    """Per scope: matter documents newest first, then conversation documents not yet listed.
+
+    Scopes with the same owner, matter and conversation have the same list.  Lists are made and
+    numbered once for all of them, so only the last join has as many rows as the result.  The rows
+    of a list are many times the bytes shuffled for them: the number of tasks is set, not derived.
+    """
+    keys = F.collect_set(F.struct("user_id", "matter_id", "conversation_id"))
+    keyed = scopes.groupBy("scope_id").agg(F.sort_array(keys).alias("_keys")).withColumn("_list", F.to_json("_keys"))
+    opened = keyed.groupBy("_list").agg(F.first("_keys").alias("_keys")).select("_list", F.explode("_keys").alias("k")).select("_list", "k.*")
+
     def branch(scope: str, key: str, order: int) -> DataFrame:
-        d = docs.filter(F.col("scope") == scope).select("document_id", "user_id", key, "created_at")
-        s = scopes.filter(F.col(key).isNotNull()).select("scope_id", "user_id", key)
+        d = docs.filter(F.col("scope") == scope).select("document_id", "user_id", key, "created_at").repartition(LIST_TASKS, "user_id", key)
+        s = opened.filter(F.col(key).isNotNull()).select("_list", "user_id", key)
         return d.join(s, ["user_id", key]).select(
-            "scope_id", "document_id", "created_at", F.lit(order).alias("_branch")
+            "_list", "document_id", "created_at", F.lit(order).alias("_branch")
         )
 
     place = F.row_number().over(
-        Window.partitionBy("scope_id").orderBy("_branch", F.desc("created_at"), "document_id")
+        Window.partitionBy("_list").orderBy("_branch", F.desc("created_at"), "document_id")
     )
-    return (
+    listed = (
         branch("matter", "matter_id", 0)
         .unionByName(branch("conversation", "conversation_id", 1))
-        .groupBy("scope_id", "document_id")
+        .repartition(LIST_TASKS, "_list")
+        .groupBy("_list", "document_id")
         .agg(F.min("_branch").alias("_branch"), F.max("created_at").alias("created_at"))
-        .select("scope_id", "document_id", place.cast("bigint").alias("position"))
+        .select("_list", "document_id", place.cast("bigint").alias("position"))
     )
+    return keyed.select("scope_id", "_list").join(listed, "_list").select("scope_id", "document_id", "position")
 
 
 def enrich_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -173,3 +173,23 @@ def test_invariants_find_seeded_violations(rows):
                    "conv string, document_mode boolean, grounding_status string, answer string")
     claims = rows([("k", "unsupported", "PLD 2099 SC 999"), ("l", "unsupported", "PLD 2099 SC 999")], "conv string, status string, claim string")
     assert [tuple(x) for x in ev.invented_citations(guarded, claims, ["conv"]).collect()] == [("k", "PLD 2099 SC 999")]
+
+
+def test_scopes_with_the_same_keys_share_one_numbering(rows):
+    from evidex.operators import retrieve as op
+
+    docs = rows(
+        [("a", "u", "matter", "m", None, 1), ("b", "u", "matter", "m", None, 2), ("a", "u", "conversation", "m", "c", 3), ("d", "u", "conversation", None, "c", 9)],
+        "document_id string, user_id string, scope string, matter_id string, conversation_id string, created_at int",
+    )
+    scopes = rows(
+        [(1, "u", "m", "c"), (2, "u", "m", "c"), (3, "u", None, "c"), (4, "v", "m", "c"), (5, "u", "m", None)],
+        "scope_id int, user_id string, matter_id string, conversation_id string",
+    )
+    listed = op.list_for_scope(docs, scopes)
+    found = sorted(listed.collect(), key=lambda x: x["position"])
+    got = {s: [x["document_id"] for x in found if x["scope_id"] == s] for s in range(1, 6)}
+    assert got == {1: ["a", "b", "d"], 2: ["a", "b", "d"], 3: ["d", "a"], 4: [], 5: ["b", "a"]}
+    # windows number lists, not scopes
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_list" in plan and "windowspecdefinition(scope_id" not in plan
