@@ -22,16 +22,28 @@ from evidex.sources.documents import read_documents
 from evidex.streaming import eventlog, ingest, limiter, work
 
 
+FILE_FOLDERS = 256
+
+
 def scanned_files(spark, d):
-    """The documents written by Spark as one text file each, and read back as files."""
+    """The documents written by Spark as one text file each, headed by its name, and read back as files.
+
+    Files lie in a set number of folders: a folder for each would be a listing for each.  Tasks
+    move their own files into place, not the driver one after the other.
+    """
     path = work.shared_dir(spark, "files")
-    docs = t.load(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file"), "text")
-    docs.write.partitionBy("file").text(path)
-    found = read_documents(spark, path).select(
-        F.regexp_extract("path", "file=([^/]+)/", 1).alias("name"), "mime", F.md5("text").alias("text_md5"),
-        F.length("text").cast("bigint").alias("characters"), "bytes",
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(FILE_FOLDERS))
+    docs = t.load(spark, d, "documents").select(folder.alias("folder"), F.concat_ws("\n", F.coalesce(name, F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
+    written = docs.repartition(FILE_FOLDERS, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    written.text(path)
+    head = F.substring_index("text", "\n", 1)
+    body = F.expr("substring(text, length(head) + 2)")
+    found = read_documents(spark, path).filter(F.endswith("path", F.lit(".txt")))  # not the writer's own marks
+    return found.withColumn("head", head).withColumn("body", body).select(
+        F.nullif("head", F.lit("")).alias("name"), "mime", F.md5("body").alias("text_md5"), F.length("body").cast("bigint").alias("characters"),
+        (F.col("bytes") - F.octet_length("head") - 1).alias("bytes"),
     )
-    return found.filter("name <> ''")  # not the writer's own marks
 
 
 def ingested(spark, d):

@@ -288,3 +288,15 @@ def test_the_state_of_an_idle_key_leaves_the_store(spark, rows, tmp_path):
         assert query.exception() is None
     finally:
         query.stop()
+
+
+def test_scanned_files_lie_in_few_folders(spark, tmp_path):
+    """One file per row, rows of one id too; no folder of its own for each."""
+    from evidex.plans import streams
+
+    data = [(i, f"text {i}\nof é") for i in range(300)] + [(7, "again")]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = streams.scanned_files(spark, str(tmp_path))
+    got = sorted((x["name"], x["characters"], x["bytes"]) for x in found.collect())
+    assert got == sorted((f"d{i}", len(t) + 1, len(t.encode()) + 1) for i, t in data)
+    assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) <= streams.FILE_FOLDERS
