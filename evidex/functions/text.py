@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidex.functions.fold import let
+
 # The characters Unicode treats as white space when trimming.
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -23,6 +25,10 @@ WORD = r"\p{L}\p{N}_"
 # Dash forms that mean "hyphen" in section numbers.
 DASHES = r"\x{ad}\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2212}\-"
 
+# One white-space character, or one of it and the dashes: printable ASCII is turned away before the long class is tried.
+JAVA_SPACE = rf"[[^!-~]&&[{SPACE}]]"
+JAVA_DASH_OR_SPACE = rf"[[^!-,.-~]&&[{SPACE}{DASHES}]]"
+
 BOUNDARY_BEFORE = rf"(?<![{WORD}])"
 BOUNDARY_AFTER = rf"(?![{WORD}])"
 
@@ -66,12 +72,12 @@ def is_blank(c: Column | str) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one blank, ends trimmed."""
-    return F.regexp_replace(strip(c), rf"[{SPACE}]+", " ")
+    return F.regexp_replace(strip(c), rf"{JAVA_SPACE}+", " ")
 
 
 def normalize_hyphens(c: Column | str) -> Column:
     """Dash forms and white-space runs become a single ``-``."""
-    return F.regexp_replace(F.coalesce(as_col(c), F.lit("")), rf"[{SPACE}{DASHES}]+", "-")
+    return F.regexp_replace(F.coalesce(as_col(c), F.lit("")), rf"{JAVA_DASH_OR_SPACE}+", "-")
 
 
 def normalize_section_id(c: Column | str) -> Column:
@@ -128,17 +134,20 @@ def section_needles(c: Column | str) -> Column:
     return F.when(nid == "", F.array().cast("array<string>")).otherwise(distinct)
 
 
-def rerank_tokens(c: Column | str) -> Column:
-    """Words of three or more ASCII letters/digits, plus statute numbers."""
-    text = F.lower(normalize_hyphens(c))
+def rerank_tokens(c: Column | str, normalized: bool = False) -> Column:
+    """Words of three or more ASCII letters/digits, plus statute numbers.
+
+    ``normalized`` texts are lower-cased with hyphens unified already.
+    """
+    text = as_col(c) if normalized else F.lower(normalize_hyphens(c))
     words = F.regexp_extract_all(text, F.lit(r"[a-z0-9]{3,}"), F.lit(0))
     numbers = F.regexp_extract_all(
-        text, F.lit(rf"{BOUNDARY_BEFORE}\d{{1,4}}[a-z]?{BOUNDARY_AFTER}"), F.lit(0)
+        text, F.lit(rf"(?=\d){BOUNDARY_BEFORE}\d{{1,4}}[a-z]?{BOUNDARY_AFTER}"), F.lit(0)
     )
-    hyphenated = F.transform(
-        numbers, lambda n: F.regexp_replace(n, r"^(\d+)([a-z])$", "$1-$2")
-    )
-    return F.array_distinct(F.concat(words, numbers, hyphenated))
+    both = let(numbers, lambda found: F.concat(found, F.transform(
+        found, lambda n: F.regexp_replace(n, r"^(\d+)([a-z])$", "$1-$2")
+    )))
+    return F.array_distinct(F.concat(words, both))
 
 
 def passage_norm(c: Column | str) -> Column:
@@ -153,11 +162,10 @@ def passage_tokens(normalized: Column) -> Column:
 
 
 def jaccard(left_tokens: Column, right_tokens: Column) -> Column:
-    union = F.size(F.array_union(left_tokens, right_tokens))
-    shared = F.size(F.array_intersect(left_tokens, right_tokens))
-    return F.when(
-        (F.size(left_tokens) == 0) | (F.size(right_tokens) == 0), F.lit(0.0)
-    ).otherwise(shared / union)
+    """Share of common tokens; both lists hold distinct tokens, so their union is counted, not built."""
+    both = F.size(left_tokens) + F.size(right_tokens)
+    ratio = let(F.size(F.array_intersect(left_tokens, right_tokens)), lambda shared: shared / (both - shared))
+    return F.when((F.size(left_tokens) == 0) | (F.size(right_tokens) == 0), F.lit(0.0)).otherwise(ratio)
 
 
 def token_pieces(c: Column | str) -> Column:
@@ -166,19 +174,30 @@ def token_pieces(c: Column | str) -> Column:
     )
 
 
+def raw_tokens(pieces: Column) -> Column:
+    """Tokens for a number of pieces: none for none, else at least 1, as 1.35 rounds to 1.
+
+    The number is named once: branches of an expression are not shared, so the text of a number
+    named four times is read four times.
+    """
+    return F.bround(pieces * F.lit(1.35), 0).cast("bigint")
+
+
+def scaled_tokens(raw: Column, factor: float = 1.2) -> Column:
+    """Tokens with the safety factor, never fewer than without."""
+    return F.bround(raw * F.lit(max(factor, 1.0)), 0).cast("bigint")
+
+
 def estimate_tokens(c: Column | str, mode: str = "estimate", factor: float = 1.2) -> Column:
     """Token estimate: ``estimate``, ``whitespace`` or ``scaled`` (safety factor)."""
     text = F.coalesce(as_col(c), F.lit(""))
     if mode == "whitespace":
         return F.regexp_count(text, F.lit(rf"[^{SPACE}]+")).cast("bigint")
-    pieces = token_pieces(text)
-    raw = F.when(pieces == 0, F.lit(0)).otherwise(
-        F.greatest(F.lit(1), F.bround(pieces * F.lit(1.35), 0))
-    ).cast("bigint")
+    raw = raw_tokens(token_pieces(text))
     if mode == "estimate":
         return raw
     if mode == "scaled":
-        return F.greatest(raw, F.bround(raw * F.lit(factor), 0).cast("bigint"))
+        return scaled_tokens(raw, factor)
     raise ValueError(f"unknown token mode: {mode}")
 
 

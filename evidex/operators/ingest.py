@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.fold import let
 from evidex.functions.identity import normalize_document_id, point_id
 
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
@@ -86,9 +87,11 @@ def derive_author(text: Column | str) -> Column:
 
 
 def preview(text: Column | str, limit: int = PREVIEW_LIMIT) -> Column:
-    flat = tx.collapse(text)
-    cut = F.concat(tx.rstrip(F.substring(flat, 1, limit - 1)), F.lit("…"))
-    return F.when(~tx.is_blank(text), F.when(F.length(flat) <= limit, flat).otherwise(cut))
+    def shown(flat: Column) -> Column:
+        cut = F.concat(tx.rstrip(F.substring(flat, 1, limit - 1)), F.lit("…"))
+        return F.when(flat != "", F.when(F.length(flat) <= limit, flat).otherwise(cut))
+
+    return let(tx.collapse(text), shown)
 
 
 def character_count(text: Column | str) -> Column:
@@ -112,9 +115,10 @@ def chunk_documents(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_
 
     def window(i: Column) -> Column:
         raw = F.substring(F.array_join(F.slice(F.col("_blocks"), i + 1, followers), ""), 1, size)
-        body = tx.strip(raw)
-        start = i * step + F.length(raw) - F.length(tx.lstrip(raw))
-        return F.struct(body.alias("text"), start.cast("bigint").alias("start_offset"))
+        # What is left of the front blanks is measured on a text cut once.
+        return let(raw, lambda raw: let(tx.lstrip(raw), lambda body: F.struct(
+            tx.rstrip(body).alias("text"), (i * step + F.length(raw) - F.length(body)).cast("bigint").alias("start_offset"),
+        )))
 
     windows = F.filter(
         F.transform(F.sequence(F.lit(0), F.size("_blocks") - 1), window),

@@ -42,10 +42,8 @@ def tokens_of(n: Column, mode: str) -> Column:
     """Tokens for a number of pieces; pieces add up over parts split at white space."""
     if mode == "whitespace":
         return n.cast("bigint")
-    raw = F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.bround(n * F.lit(1.35), 0))).cast("bigint")
-    if mode == "estimate":
-        return raw
-    return F.greatest(raw, F.bround(raw * F.lit(SAFETY_FACTOR), 0).cast("bigint"))
+    raw = tx.raw_tokens(n)
+    return raw if mode == "estimate" else tx.scaled_tokens(raw, SAFETY_FACTOR)
 
 
 def packing_score() -> Column:

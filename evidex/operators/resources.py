@@ -11,6 +11,7 @@ from evidex.functions.fold import let, unique_values
 from evidex.functions.slices import positions
 from evidex.functions.identity import canonical_doc_id, chunk_key, normalize_document_id, resource_key
 from evidex.operators.ingest import preview
+from evidex.staging import staged
 from evidex.operators.rank import (
     first_of_key, greedy, hit_order, hit_score, near_duplicate, offsets_overlap, source_reference,
 )
@@ -72,17 +73,17 @@ def display_sources(sources: DataFrame, used: DataFrame) -> DataFrame:
     return rows.filter("_any AND _cited").select(*sources.columns).unionByName(best.select(*sources.columns))
 
 
-def mentions_section(section: Column) -> Column:
-    """The source names the section in any spelling."""
+def mentions_section(needles: Column) -> Column:
+    """The source names the section in one of its spellings; a source is read only if there are any."""
     filled = [F.coalesce(F.col(c), F.lit("")) for c in ("text", "excerpt", "section")]
     names = [F.coalesce(F.col(c), F.lit("")) for c in ("law_name", "filename", "document_name", "source_reference")]
     sections = F.concat_ws(" ", F.coalesce("sections", F.array().cast("array<string>")))
     blob = F.lower(tx.normalize_hyphens(F.concat_ws(" ", *filled, sections, *names)))
     forms = let(blob, lambda t: F.struct(t.alias("text"), F.replace(t, F.lit("-"), F.lit("")).alias("bare")))
-    return let(forms, lambda f: F.exists(
-        tx.section_needles(section),
-        lambda n: F.contains(f["text"], n) | F.contains(f["bare"], F.replace(n, F.lit("-"), F.lit(""))),
+    named = let(forms, lambda f: F.exists(
+        needles, lambda n: F.contains(f["text"], n) | F.contains(f["bare"], F.replace(n, F.lit("-"), F.lit(""))),
     ))
+    return F.when(F.size(needles) > 0, named).otherwise(False)
 
 
 def resource_sources(sources: DataFrame, hints: DataFrame) -> DataFrame:
@@ -90,12 +91,22 @@ def resource_sources(sources: DataFrame, hints: DataFrame) -> DataFrame:
 
     ``hints(query_id, section)`` narrows to sources naming the section when any does.
     """
-    pool = (
+    return sources.join(resource_places(sources, hints), ["query_id", "number"]).select(*sources.columns, "position")
+
+
+def resource_places(sources: DataFrame, hints: DataFrame) -> DataFrame:
+    """``query_id, number, position`` of the sources ``resource_sources`` shows.
+
+    What the cuts look at is written once, without texts: they read it several times, and each
+    time the sources would be searched and numbered again.
+    """
+    pool = staged((
         sources.filter(F.coalesce("source_type", F.lit("")) != "web")
-        .join(hints.select("query_id", F.col("section").alias("_hint")), "query_id", "left")
+        .join(hints.select("query_id", tx.section_needles("section").alias("_needles")), "query_id", "left")
         .withColumn("_doc", F.coalesce(normalize_document_id("document_id"), F.nullif("filename", F.lit("")), F.col("source_id")))
-        .withColumn("_match", F.coalesce(mentions_section(F.col("_hint")), F.lit(False)))
-    )
+        .withColumn("_match", F.coalesce(mentions_section(F.col("_needles")), F.lit(False)))
+        .select("query_id", "number", "relevance", "_doc", "_match")
+    ), "resource-pool")
     named = pool.groupBy("query_id").agg(F.bool_or("_match").alias("_any"))
     pool = pool.join(named, "query_id").filter(F.col("_match") | ~F.col("_any"))
     docs = pool.groupBy("query_id", "_doc").agg(F.max("relevance").alias("_best"), F.min("number").alias("_first"))
@@ -109,7 +120,7 @@ def resource_sources(sources: DataFrame, hints: DataFrame) -> DataFrame:
     place = F.row_number().over(w.orderBy("_rank", F.desc("relevance"), "number"))
     return (
         pool.join(kept.select("query_id", "_doc", "_rank"), ["query_id", "_doc"])
-        .withColumn("position", place.cast("bigint")).select(*sources.columns, "position")
+        .select("query_id", "number", place.cast("bigint").alias("position"))
     )
 
 

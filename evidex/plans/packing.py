@@ -192,7 +192,7 @@ def shown(spark, d):
 
 def resource_cut(spark, d):
     hints = questions(spark, d).select("query_id", "section")
-    return l.resource_sources(plain_sources(spark, d), hints).select("query_id", "number", "position")
+    return l.resource_places(plain_sources(spark, d), hints)
 
 
 def answer_sources(spark, d):

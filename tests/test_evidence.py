@@ -193,3 +193,13 @@ def test_scopes_with_the_same_keys_share_one_numbering(rows):
     # windows number lists, not scopes
     plan = listed._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_list" in plan and "windowspecdefinition(scope_id" not in plan
+
+
+def test_resource_places_search_the_sources_once(spark, rows):
+    """The sources are scanned once before their places are written, however often the cuts read those."""
+    from evidex.operators import resources as l
+    from evidex.plans import packing as pp
+
+    places = l.resource_places(pp.plain_sources(spark, "/root/testdata/sf0.001"), rows([(0, "54-C")], "query_id bigint, section string"))
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert "resource-pool" in str(places.inputFiles()) and "Generate" not in plan
