@@ -8,6 +8,8 @@ each text to keep, and the text itself is cut afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,15 +92,30 @@ def _words(text: Column) -> Column:
 def truncate_to_tokens(text: Column | str, limit: Column, mode: str = "scaled") -> Column:
     """Whole sentences that fit, else the longest word prefix that fits, else null."""
     t = tx.as_col(text)
-    sentences, words = _sentences(t), _words(t)
-    n_sentences = _fit(_counts(sentences, mode), limit, mode)["kept"].cast("int")
-    n_words = _fit(_counts(words, mode), limit, mode)["kept"].cast("int")
-    return (
-        F.when((limit <= 0) | (F.coalesce(t, F.lit("")) == ""), None)
-        .when(tokens_of(pieces(t, mode), mode) <= limit, t)
-        .when(n_sentences > 0, tx.strip(F.array_join(F.slice(sentences, 1, n_sentences), " ")))
-        .when(n_words > 0, F.array_join(F.slice(words, 1, n_words), " "))
-    )
+
+    def cut(head: Column) -> Column:
+        def parts(all_parts: Column, shown: Callable[[Column], Column]) -> Column:
+            fit = F.slice(all_parts, 1, F.greatest(_fit(_counts(all_parts, mode), limit, mode)["kept"].cast("int"), F.lit(0)))
+            return let(fit, lambda f: F.when(F.size(f) > 0, shown(F.array_join(f, " "))))
+
+        return (
+            F.when(tokens_of(pieces(head, mode), mode) <= limit, t)
+            .otherwise(F.coalesce(let(_sentences(head), lambda s: parts(s, tx.strip)), let(_words(head), lambda w: parts(w, lambda x: x))))
+        )
+
+    return F.when((limit <= 0) | (F.coalesce(t, F.lit("")) == ""), None).otherwise(let(_head(t, limit), cut))
+
+
+def _head(text: Column, limit: Column) -> Column:
+    """The text up to its first ``limit + 1`` words, trimmed: as every word is at least one token,
+    what follows never decides whether a part fits."""
+    def up_to(body: Column) -> Column:
+        words = F.call_function("split", body, F.lit(rf"{tx.JAVA_SPACE}+"), (F.least(limit, F.lit(2**30)) + 2).cast("int"))
+        return let(words, lambda w: F.when(F.size(w) <= limit + 1, body).otherwise(
+            tx.rstrip(F.substring(body, F.lit(1), F.length(body) - F.length(F.get(w, (limit + 1).cast("int")))))
+        ))
+
+    return let(tx.strip(text), up_to)
 
 
 # --- budgets ------------------------------------------------------------------
