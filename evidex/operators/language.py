@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from itertools import count
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +39,24 @@ def _lexicon() -> dict[str, tuple[str, float, float]]:
     return out
 
 
+@cache
+def _table() -> list[dict | None]:
+    """The lexicon as a table without collisions: a word lies at its CRC-32 modulo the size (a map is searched word by word)."""
+    words = _lexicon()
+    size = next(n for n in count(1 << 12) if len({crc32(w.encode()) % n for w in words}) == len(words))
+    table: list[dict | None] = [None] * size
+    for w, (kind, ur, pa) in words.items():
+        table[crc32(w.encode()) % size] = {"w": w, "kind": kind, "ur": ur, "pa": pa}
+    return table
+
+
 def override(text: Column | str) -> Column:
     """First explicit wish: ``struct<language, style, phrase, rest>``; ``rest`` lacks the phrase."""
     t = tx.as_col(text)
     kind = "struct<language:string,style:string,phrase:string,rest:string>"
     out = F.struct(F.lit(None).alias("language"), F.lit(None).alias("style"), F.lit(None).alias("phrase"), t.alias("rest")).cast(kind)
+    named = t.rlike(f"{_I}(?=[uepا])(?:{'|'.join(r.OVERRIDE_NAMES)})")
+    none = out
     for pattern, language, style in reversed(r.OVERRIDES):
         rest = F.trim(F.regexp_replace(F.regexp_replace(t, _I + pattern, " "), rf"[{tx.SPACE}]+", " "), F.lit(" :,-"))
         found = F.struct(
@@ -46,19 +64,28 @@ def override(text: Column | str) -> Column:
             F.regexp_extract(t, _I + pattern, 0).alias("phrase"), rest.alias("rest"),
         ).cast(kind)
         out = F.when(t.rlike(_I + pattern), found).otherwise(out)
-    return out
+    # Every wish names a language; a text that names none is not searched a dozen times.
+    return F.when(named, out).otherwise(none)
 
 
 def scores(text: Column) -> Column:
     """``struct<en, ur, pa, content>``: lexicon weights summed over the words in order."""
-    cleaned = F.regexp_replace(F.regexp_replace(text, _I + r.CITATION, " "), _I + r.SECTION_REFERENCE, " ")
+    # The letters a reference begins with turn most places away before its alternatives are tried.
+    cleaned = F.regexp_replace(F.regexp_replace(text, _I + "(?=[psmyc])" + r.CITATION, " "), _I + "(?=[sau])" + r.SECTION_REFERENCE, " ")
+    return let(cleaned, _weights)
+
+
+def _weights(cleaned: Column) -> Column:
     words = F.transform(F.regexp_extract_all(cleaned, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
     arabic = F.regexp_extract_all(cleaned, F.lit(f"[{r.ARABIC}]+"), F.lit(0))
-    lexicon = tx.const_map(
-        {w: {"kind": kind, "ur": ur, "pa": pa} for w, (kind, ur, pa) in sorted(_lexicon().items())},
-        "struct<kind:string,ur:double,pa:double>",
-    )
-    known = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), F.element_at(lexicon, w).alias("e")))
+    table = _table()
+    slots = F.from_json(F.lit(json.dumps(table)), "array<struct<w:string,kind:string,ur:double,pa:double>>")
+
+    def entry(w: Column) -> Column:
+        slot = F.get(slots, F.pmod(F.crc32(w), F.lit(len(table))).cast("int"))
+        return F.when(slot["w"] == w, slot)
+
+    known = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), entry(w).alias("e")))
 
     def step(acc: Column, w: Column) -> Column:
         e, kind = w["e"], w["e"]["kind"]
@@ -77,14 +104,18 @@ def scores(text: Column) -> Column:
 
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("en", "ur", "pa", "content")])
     roman = F.aggregate(known, zero, step)
-    n, joined = F.size(arabic), F.array_join(arabic, " ")
-    punjabi = contains_any(joined, r.PUNJABI_MARKERS)
-    return let(roman, lambda w: F.struct(
-        w["en"].alias("en"),
-        (w["ur"] + F.when((n > 0) & ~punjabi, F.lit(2.5) + F.lit(0.9) * n).otherwise(0.0)).alias("ur"),
-        (w["pa"] + F.when((n > 0) & punjabi, F.lit(3.0) + F.lit(0.8) * n).otherwise(0.0)).alias("pa"),
-        w["content"].alias("content"),
-    ))
+    runs = let(arabic, lambda a: F.struct(F.size(a).alias("n"), contains_any(F.array_join(a, " "), r.PUNJABI_MARKERS).alias("punjabi")))
+
+    def both(w: Column, a: Column) -> Column:
+        n, punjabi = a["n"], a["punjabi"]
+        return F.struct(
+            w["en"].alias("en"),
+            (w["ur"] + F.when((n > 0) & ~punjabi, F.lit(2.5) + F.lit(0.9) * n).otherwise(0.0)).alias("ur"),
+            (w["pa"] + F.when((n > 0) & punjabi, F.lit(3.0) + F.lit(0.8) * n).otherwise(0.0)).alias("pa"),
+            w["content"].alias("content"),
+        )
+
+    return let(roman, lambda w: let(runs, lambda a: both(w, a)))
 
 
 def _style(language: Column, kind: Column) -> Column:

@@ -114,3 +114,15 @@ def test_follow_up_takes_the_topic(rows):
 def test_rewriting(value):
     got = value(lambda c: q.rewrite(c, F.lit("plaint")), "bail under  PPC, dafa 497")
     assert got == "bail under Pakistan Penal Code, dafa 497 section 497 cause of action jurisdiction relief prayer"
+
+
+def test_lexicon_table_has_every_word_in_its_place():
+    from zlib import crc32
+
+    from evidex.operators import language as lang
+    from evidex.rules import language as rl
+
+    table, lexicon = lang._table(), lang._lexicon()
+    for word, (kind, ur, pa) in lexicon.items():
+        assert table[crc32(word.encode()) % len(table)] == {"w": word, "kind": kind, "ur": ur, "pa": pa}
+    assert all(any(n[:4] in p for n in rl.OVERRIDE_NAMES) for p, _, _ in rl.OVERRIDES)
