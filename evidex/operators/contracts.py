@@ -349,7 +349,8 @@ def _merged(left: list[str], right: list[str]) -> Iterator[tuple[bool, list[str]
 def _changed_parts(left: pd.Series, right: pd.Series) -> pd.Series:
     """The stretches of paragraphs in which two documents differ."""
     return pd.Series([
-        [{"left": old, "right": new} for same, old, new in _merged(list(a), list(b)) if not same] for a, b in zip(left, right)
+        None if a is None else [{"left": old, "right": new} for same, old, new in _merged(list(a), list(b)) if not same]
+        for a, b in zip(left, right)
     ])
 
 
@@ -387,30 +388,29 @@ def _paragraph_pairs(pairs: DataFrame) -> DataFrame:
 def document_hunks(pairs: DataFrame) -> DataFrame:
     """Redline of ``pairs(pair_id, left_text, right_text)``.
 
-    Pairs whose paragraphs agree never leave the JVM: they give one ``Document`` hunk of
-    equal text.  Of the others only the paragraphs between common ones go on, each stretch a
+    The texts are read and split once.  Pairs whose paragraphs agree give one ``Document`` hunk
+    of equal text, and Python sees nothing of them.  Of the others only the paragraphs between common ones go on, each stretch a
     row of its own, and their words are aligned there.  The time grows with the text, up to
     the sorting of words that occur once.
     """
-    split = _paragraph_pairs(pairs)
     same = F.col("left") == F.col("right")
-    equal = split.filter(same).select(
-        "pair_id", F.lit(0).cast("bigint").alias("hunk_index"), F.lit("Document").alias("label"),
-        F.col("_l").alias("left"), F.col("_r").alias("right"),
-        F.filter(F.array(F.struct(F.lit("equal").alias("op"), F.col("_l").alias("text"))), lambda s: s["text"] != "").alias("spans"),
-    )
     single = (F.size("left") <= 1) & (F.size("right") <= 1)
-    whole = F.array(F.struct("left", "right")).cast(SIDES)
-    parts = split.filter(~same & single).select("pair_id", F.lit(True).alias("_single"), whole.alias("_parts")).unionByName(
-        split.filter(~same & ~single).select("pair_id", F.lit(False).alias("_single"), F.pandas_udf(_changed_parts, SIDES)("left", "right").alias("_parts"))
-    )
+    split = _paragraph_pairs(pairs).withColumn("_kind", F.when(same, "equal").when(single, "single").otherwise("many"))
+    many = F.col("_kind") == "many"
+    side = lambda c: F.when(many, F.col(c))
+    parts = split.withColumn("_changed", F.pandas_udf(_changed_parts, SIDES)(side("left"), side("right")))
+    whole = F.array(F.struct(F.array("_l").alias("left"), F.array("_r").alias("right"))).cast(SIDES)
+    hunks = parts.select("pair_id", "_kind", F.posexplode(F.when(many, F.col("_changed")).otherwise(whole)).alias("hunk_index", "_part"))
     joined = lambda c: F.array_join(F.col(f"_part.{c}"), "\n\n").alias(c)
-    hunks = parts.select("pair_id", "_single", F.posexplode("_parts").alias("hunk_index", "_part")).select(
-        "pair_id", F.col("hunk_index").cast("bigint").alias("hunk_index"),
-        F.when(F.col("_single"), "Document").otherwise(F.concat(F.lit("Change "), F.col("hunk_index") + 1)).alias("label"),
+    hunks = hunks.select(
+        "pair_id", "_kind", F.col("hunk_index").cast("bigint").alias("hunk_index"),
+        F.when(many, F.concat(F.lit("Change "), F.col("hunk_index") + 1)).otherwise("Document").alias("label"),
         joined("left"), joined("right"),
     )
-    return hunks.withColumn("spans", F.pandas_udf(_word_changes, SPANS)("left", "right")).unionByName(equal)
+    differs = F.col("_kind") != "equal"
+    words = F.pandas_udf(_word_changes, SPANS)(F.when(differs, F.col("left")), F.when(differs, F.col("right")))
+    as_it_is = F.filter(F.array(F.struct(F.lit("equal").alias("op"), F.col("left").alias("text"))), lambda s: s["text"] != "")
+    return hunks.withColumn("_words", words).withColumn("spans", F.when(differs, F.col("_words")).otherwise(as_it_is)).drop("_kind", "_words")
 
 
 def unchanged_pairs(pairs: DataFrame) -> DataFrame:

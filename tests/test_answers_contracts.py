@@ -238,3 +238,11 @@ def test_result_page(rows):
     got = w.extract_links(rows([(1, html)], "page_id bigint, html string")).orderBy("position").collect()
     assert [(x["url"], x["title"], x["snippet"]) for x in got] == [("https://a.org/1", "One & two", "First text"), ("https://b.org", "B", "")]
     assert got[1]["score"] == pytest.approx(0.85 - 3 * 0.07)
+
+
+def test_redline_reads_the_pairs_once(spark):
+    from evidex.operators import contracts as c
+    from evidex.plans import contracts as pc
+
+    plan = c.document_hunks(pc.versions(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
