@@ -14,6 +14,7 @@ from evidex.plans.grading import CLASS, _rank
 from evidex.plans.hits import HITS_CTE, QUESTIONS_CTE, case, hits, merged_hits, questions
 from evidex.rules.models import MODELS
 from evidex.sources import tables as t
+from evidex.staging import staged
 
 SP, WD = tx.SPACE, tx.WORD
 
@@ -53,13 +54,13 @@ def shares(spark, d):
 
 
 def selected(spark, d):
-    """Evidence selected for every question, with its position."""
+    """Evidence selected for every question, with its position; written once, a few hits a question."""
     lims = retrieve.tier_limits(questions(spark, d))
-    return r.select_evidence(merged_hits(spark, d), lims)
+    return staged(r.select_evidence(merged_hits(spark, d), lims), "selected")
 
 
-def packed(spark, d):
-    return p.pack_evidence(selected(spark, d), p.budget_shares(requests(spark, d)))
+def packed(spark, d, evidence=None):
+    return p.pack_evidence(evidence or selected(spark, d), p.budget_shares(requests(spark, d)))
 
 
 def packed_evidence(spark, d):
@@ -67,7 +68,8 @@ def packed_evidence(spark, d):
 
 
 def summary(spark, d):
-    return p.packing_summary(selected(spark, d), packed(spark, d))
+    evidence = selected(spark, d)
+    return p.packing_summary(evidence, packed(spark, d, evidence))
 
 
 def truncated(spark, d):
