@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidex.functions import text as tx
+from evidex.functions.fold import let
 from evidex.functions.identity import canonical_doc_id, hit_key
+from evidex.staging import staged
 
 # Weights added to the vector score.
 TIER_BOOST = {"legal": 0.20, "conversation": 0.08, "matter": 0.12, "web": 0.02}
@@ -53,7 +55,7 @@ def rerank(hits: DataFrame, queries: DataFrame) -> DataFrame:
         F.concat_ws(" ", sections), *[F.coalesce(c, F.lit("")) for c in ("law_name", "title", "heading", "summary")],
     )
     rows = hits.join(q, "query_id").withColumn("_blob", F.lower(tx.normalize_hyphens(blob))).withColumn(
-        "_tokens", tx.rerank_tokens("_blob")
+        "_tokens", tx.rerank_tokens("_blob", normalized=True)
     )
     b = F.col("_blob")
     overlap = F.size(F.array_intersect("_qt", "_tokens"))
@@ -134,19 +136,50 @@ def offsets_overlap(ls: Column, le: Column, rs: Column, re: Column) -> Column:
     )
 
 
-def near_duplicate(a: Column, b: Column, a_tokens: Column, b_tokens: Column) -> Column:
-    """Whether two normalised passages are the same passage seen through two windows."""
+PARITY_WORDS = 4
+
+
+def parity(tokens: Column) -> Column:
+    """256 bits of a token set, each the parity of the tokens hashed to it, as four numbers.
+
+    Two sets differ in at least as many tokens as their parities differ in bits, whatever the hash.
+    """
+    zero = F.lit(0).cast("bigint")
+    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
+    start = F.struct(*[zero.alias(f"p{i}") for i in range(PARITY_WORDS)])
+
+    def step(acc: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+        word = F.call_function("shiftrightunsigned", h, F.lit(62))
+        return F.struct(*[
+            F.when(word == i, acc[f"p{i}"].bitwiseXOR(bit)).otherwise(acc[f"p{i}"]).alias(f"p{i}") for i in range(PARITY_WORDS)
+        ])
+
+    return F.aggregate(hashed, start, step)
+
+
+def may_be_near(a_parity: Column, b_parity: Column, a_size: Column, b_size: Column) -> Column:
+    """False only for sets whose Jaccard is below ``NEAR_JACCARD``: those differ in too many tokens."""
+    differ = sum((F.bit_count(a_parity[f"p{i}"].bitwiseXOR(b_parity[f"p{i}"])) for i in range(PARITY_WORDS)), F.lit(0))
+    return differ <= (a_size + b_size) * F.lit((1 - NEAR_JACCARD) / (1 + NEAR_JACCARD)) + F.lit(1e-6)
+
+
+def near_duplicate(a: Column, b: Column, a_tokens: Column, b_tokens: Column, may: Column | None = None) -> Column:
+    """Whether two normalised passages are the same passage seen through two windows.
+
+    ``may`` (of ``may_be_near``) saves comparing the tokens of those that are not.
+    """
     a_short = F.length(a) <= F.length(b)
     shorter = F.when(a_short, a).otherwise(b)
     longer = F.when(a_short, b).otherwise(a)
     prefix = F.substring(shorter, 1, PREFIX_CHARS)
     ratio = tx.jaccard(a_tokens, b_tokens)
+    needed = F.when(F.contains(longer, prefix), NEAR_JACCARD).otherwise(FAR_JACCARD)
     return (
         F.when((a == "") | (b == ""), False)
         .when(a == b, True)
-        .when(F.length(shorter) < SHORT_PASSAGE, F.contains(longer, shorter))
-        .when(F.contains(longer, prefix), ratio >= NEAR_JACCARD)
-        .otherwise(ratio >= FAR_JACCARD)
+        .when(F.least(F.length(a), F.length(b)) < SHORT_PASSAGE, F.contains(longer, shorter))
+        .when(F.lit(True) if may is None else may, ratio >= needed).otherwise(False)
     )
 
 
@@ -214,30 +247,48 @@ def _same_document(x: Column, y: Column) -> Column:
     return by_id | F.coalesce((x["file"] == y["file"]) & (x["file"] != ""), F.lit(False))
 
 
-def _item(hits: DataFrame, key: Column) -> Column:
-    """What the folds look at of a hit, in the order of a sort by score; ``row`` is the hit itself."""
-    norm = tx.passage_norm("text")
-    return F.struct(
-        (-hit_score()).alias("neg"), F.col("ordinal").alias("ordinal"), key.alias("key"),
-        canonical_doc_id("document_id", F.coalesce("chunk_id", "id")).alias("doc"),
-        F.lower(tx.strip("filename")).alias("file"),
-        F.col("start_offset").cast("bigint").alias("s"), F.col("end_offset").cast("bigint").alias("e"),
-        norm.alias("n"), tx.passage_tokens(norm).alias("t"), F.struct(*hits.columns).alias("row"),
-    )
+def _passage(text: Column, many: Column) -> Column:
+    """Normal form and tokens of a text; in long lists also the parity that spares comparing them."""
+    return let(tx.passage_norm(text), lambda n: let(tx.passage_tokens(n), lambda t: F.struct(
+        n.alias("n"), t.alias("t"), F.when(many, parity(t)).alias("p"),
+    )))
+
+
+def _item(at: Callable[[str], Column], key: Column, row: Column, many: Column) -> Column:
+    """What the folds look at of a hit; ``row`` is the hit itself, ``at`` gives its columns."""
+    return let(_passage(at("text"), many), lambda p: F.struct(
+        key.alias("key"), canonical_doc_id(at("document_id"), F.coalesce(at("chunk_id"), at("id"))).alias("doc"),
+        F.lower(tx.strip(at("filename"))).alias("file"),
+        at("start_offset").cast("bigint").alias("s"), at("end_offset").cast("bigint").alias("e"),
+        p["n"].alias("n"), p["t"].alias("t"), p["p"].alias("p"), row.alias("row"),
+    ))
+
+
+def _near(x: Column, y: Column) -> Column:
+    """Near duplicates among items; ``y`` comes before ``x``."""
+    may = F.coalesce(may_be_near(x["p"], y["p"], F.size(x["t"]), F.size(y["t"])), F.lit(True))
+    return near_duplicate(y["n"], x["n"], y["t"], x["t"], may)
 
 
 def _repeats(x: Column, y: Column) -> Column:
-    return _same_document(x, y) & (
-        offsets_overlap(y["s"], y["e"], x["s"], x["e"]) | near_duplicate(y["n"], x["n"], y["t"], x["t"])
-    )
+    return _same_document(x, y) & (offsets_overlap(y["s"], y["e"], x["s"], x["e"]) | _near(x, y))
 
 
 def greedy(items: Column, repeats: Callable[[Column, Column], Column] = _repeats) -> Column:
-    """Items kept in order: one that repeats an already kept item is dropped."""
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda y: repeats(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+    """Items kept in order: one that repeats an already kept item is dropped.
+
+    The fold carries places only: whatever it carries is copied at every step, and hits with
+    their texts and tokens would make that quadratic in bytes.
+    """
+    def fold(all_items: Column) -> Column:
+        def step(kept: Column, i: Column) -> Column:
+            again = F.exists(kept, lambda k: repeats(F.get(all_items, i), F.get(all_items, k)))
+            return F.when(again, kept).otherwise(F.concat(kept, F.array(i)))
+
+        places = F.aggregate(F.transform(all_items, lambda _, i: i), F.array().cast("array<int>"), step)
+        return F.transform(places, lambda i: F.get(all_items, i))
 
-    return F.aggregate(items, F.slice(items, 1, 0), step)
+    return let(items, fold)
 
 
 def first_of_key(items: Column) -> Column:
@@ -267,12 +318,35 @@ def suppress_near_duplicates(hits: DataFrame) -> DataFrame:
     their own, however many hits the query has; a group is no larger than a document has
     windows.  No pairs are emitted and no Python runs.
     """
-    lists = _by_origin(hits).groupBy("query_id", "_origin").agg(F.sort_array(F.collect_list("_item")).alias("items"))
-    return lists.select(F.explode(greedy(F.col("items"))).alias("k")).select("k.row.*")
+    return _suppressed(hits.withColumn("_gone", F.lit(0).cast("bigint"))).select(*hits.columns)
+
+
+def _suppressed(hits: DataFrame) -> DataFrame:
+    order = F.struct((-hit_score()).alias("first"), F.col("ordinal").cast("bigint").alias("then"))
+    return _survivors(hits, _origin(hits), order, F.lit(None).cast("string"), _repeats)
 
 
-def _by_origin(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", _origin(hits).alias("_origin"), _item(hits, F.lit(None).cast("string")).alias("_item"))
+PARITY_FROM = 8
+
+
+def _survivors(hits: DataFrame, group: Column, order: Column, key: Column, repeats: Callable[[Column, Column], Column]) -> DataFrame:
+    """Hits of every group folded in order; ``_gone`` of the first that stays counts those that went, now or before.
+
+    Only the hits move; their normal forms and tokens are made where they are folded, and a hit
+    alone in its group has none made.
+    """
+    row = F.struct(order.alias("order"), key.alias("key"), F.struct(*hits.columns).alias("row"))
+    lists = hits.select("query_id", group.alias("_group"), row.alias("_row")).groupBy("query_id", "_group").agg(
+        F.sort_array(F.collect_list("_row")).alias("items")
+    )
+    many = F.size("items") >= PARITY_FROM
+    folded = greedy(F.transform("items", lambda x: _item(lambda c: x["row"][c], x["key"], x["row"], many)), repeats)
+    kept = F.when(F.size("items") > 1, F.transform(folded, lambda k: k["row"])).otherwise(F.transform("items", lambda x: x["row"]))
+    before = F.aggregate("items", F.size("items").cast("bigint"), lambda n, x: n + x["row"]["_gone"])
+    rows = lists.select(before.alias("_before"), kept.alias("_kept")).select(
+        (F.col("_before") - F.size("_kept")).alias("_less"), F.posexplode("_kept").alias("_at", "k")
+    )
+    return rows.select(*[F.col(f"k.{c}") for c in hits.columns if c != "_gone"], F.when(F.col("_at") == 0, F.col("_less")).otherwise(0).alias("_gone"))
 
 
 PRE_CUT_SALTS = 16
@@ -308,7 +382,10 @@ def select_evidence(hits: DataFrame, limits: DataFrame) -> DataFrame:
         .withColumn("_cap", cap)
     )
     best = cut(cut(rows, "query_id", "_tier", "_salt"), "query_id", "_tier")
-    item = _item(hits, hit_key("document_id", "chunk_id", "chunk_index", "id"))
+    key = hit_key("document_id", "chunk_id", "chunk_index", "id")
+    item = let(_item(F.col, key, F.struct(*hits.columns), F.lit(False)), lambda x: F.struct(
+        (-hit_score()).alias("neg"), F.col("ordinal").alias("ordinal"), *[x[c].alias(c) for c in ("key", "doc", "file", "s", "e", "n", "t", "p", "row")],
+    ))
     tiered = (
         best.groupBy("query_id", "_tier", "_cap", "total_limit").agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select("query_id", "total_limit", order.alias("_order"),
@@ -318,7 +395,7 @@ def select_evidence(hits: DataFrame, limits: DataFrame) -> DataFrame:
     ranked = F.sort_array(F.flatten(F.collect_list(F.transform("kept", lambda k: F.struct(
         k["neg"].alias("neg"), F.col("_order").alias("order"), k["ordinal"].alias("ordinal"), k["key"].alias("key"),
         k["doc"].alias("doc"), k["file"].alias("file"), k["s"].alias("s"), k["e"].alias("e"), k["n"].alias("n"),
-        k["t"].alias("t"), k["row"].alias("row"),
+        k["t"].alias("t"), k["p"].alias("p"), k["row"].alias("row"),
     )))))
     merged = tiered.groupBy("query_id", "total_limit").agg(ranked.alias("items")).withColumn(
         "kept", greedy(first_of_key(F.col("items")))
@@ -341,7 +418,7 @@ def remove_duplicate_evidence(hits: DataFrame) -> DataFrame:
     Key: document and chunk, else document and offsets, else document, index and text.
     Earlier hits win here, then the greedy score pass runs.  The first pass meets hits of one
     document (or, without one, of one key), the second those of one document or file, so both
-    fold per document; the counts are sums over the groups.
+    fold per document; the hits a group loses are counted on one that stays.
     """
     doc, cid = F.nullif(F.col("document_id"), F.lit("")), F.nullif(F.coalesce("chunk_id", "id"), F.lit(""))
     text = F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 240))
@@ -354,15 +431,13 @@ def remove_duplicate_evidence(hits: DataFrame) -> DataFrame:
     )
 
     def repeats(x: Column, y: Column) -> Column:
-        same = F.coalesce(x["own"] == y["own"], F.lit(False))
-        a, b = x["i"], y["i"]
-        return (a["key"] == b["key"]) | (same & near_duplicate(b["n"], a["n"], b["t"], a["t"]))
-
-    in_order = F.sort_array(F.collect_list(F.struct(F.col("ordinal").alias("at"), doc.alias("own"), _item(hits, key).alias("i"))))
-    first = hits.groupBy("query_id", F.coalesce(doc, key).alias("_own")).agg(in_order.alias("items"))
-    unique = first.select(F.explode(greedy(F.col("items"), repeats)).alias("k")).select("k.i.row.*")
-    final = suppress_near_duplicates(unique)
-    before = hits.groupBy("query_id").agg(F.count("*").alias("_before"))
-    after = final.groupBy("query_id").agg(F.count("*").alias("_after"))
-    removed = before.join(after, "query_id").select("query_id", (F.col("_before") - F.col("_after")).alias("removed_count"))
+        own = F.nullif(x["row"]["document_id"], F.lit("")) == F.nullif(y["row"]["document_id"], F.lit(""))
+        return (x["key"] == y["key"]) | (F.coalesce(own, F.lit(False)) & _near(x, y))
+
+    ordinal = F.col("ordinal").cast("bigint")
+    in_order = F.struct(ordinal.alias("first"), ordinal.alias("then"))
+    unique = _survivors(hits.withColumn("_gone", F.lit(0).cast("bigint")), F.coalesce(doc, key), in_order, key, repeats)
+    # Written once: the counts of a query are known when all its groups are folded.
+    final = staged(_suppressed(unique), "unique-evidence")
+    removed = final.groupBy("query_id").agg(F.sum("_gone").alias("removed_count"))
     return final.join(removed, "query_id").select(*hits.columns, "removed_count")

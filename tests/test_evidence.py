@@ -203,3 +203,38 @@ def test_resource_places_search_the_sources_once(spark, rows):
     places = l.resource_places(pp.plain_sources(spark, "/root/testdata/sf0.001"), rows([(0, "54-C")], "query_id bigint, section string"))
     plan = places._jdf.queryExecution().optimizedPlan().toString()
     assert "resource-pool" in str(places.inputFiles()) and "Generate" not in plan
+
+
+def test_parity_never_rejects_a_near_duplicate(rows):
+    """Token sets that reach the limit are never turned away; most that share little are."""
+    base = [f"w{i}" for i in range(200)]
+    sets = [(k, base, base[k:] + [f"x{i}" for i in range(k)]) for k in range(0, 200, 4)]
+    df = rows(sets, "k int, a array<string>, b array<string>")
+    got = df.select("k", tx.jaccard(F.col("a"), F.col("b")).alias("j"), r.may_be_near(
+        r.parity(F.col("a")), r.parity(F.col("b")), F.size("a"), F.size("b")).alias("may")).collect()
+    assert all(x["may"] for x in got if x["j"] >= r.NEAR_JACCARD)
+    assert not any(x["may"] for x in got if x["j"] < 0.4)
+
+
+def test_evidence_is_folded_once(spark):
+    """Removed hits are counted in the fold: the result reads written rows, not the hits again."""
+    from evidex.plans import hits as h
+
+    final = r.remove_duplicate_evidence(h.merged_hits(spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in final._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packing_reads_selected_evidence_once(spark):
+    from evidex.plans import packing as pp
+
+    assert "Generate chunk" not in str(pp.selected(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    assert all("selected" in f for f in pp.selected(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_truncation_reads_the_head_only(value):
+    from evidex.operators import pack as p
+
+    text = "One two three. " + "word " * 50_000
+    assert value(lambda x: p._head(x, F.lit(5).cast("bigint")), text) == "One two three. word word word"
+    assert value(lambda x: p.truncate_to_tokens(x, F.lit(6).cast("bigint")), text) == "One two three."
+    assert value(lambda x: p.truncate_to_tokens(x, F.lit(60).cast("bigint")), "a  b.  c ") == "a  b.  c "
