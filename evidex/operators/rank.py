@@ -183,45 +183,32 @@ def near_duplicate(a: Column, b: Column, a_tokens: Column, b_tokens: Column, may
     )
 
 
-SPAN_BUCKET = 1200
-
-
 def duplicate_pairs(chunks: DataFrame) -> DataFrame:
     """Windows of a document that repeat each other, wherever in it they are.
 
-    Candidates come from equi-joins inside a document that leave no duplicate out: spans that
-    overlap meet in a bucket of offsets; token sets with a Jaccard of at least ``NEAR_JACCARD``
-    meet in a token of the share any partner must hold (the first by hash); passages too short
-    for that are met by every window of their document, which has one such window at most
-    unless it is cut by hand.  Only key columns and candidate texts move.
+    Normal forms and parities are made once for every window and written.  The windows of a
+    document then meet in one join that looks at offsets, lengths and parities of a pair first
+    and compares texts only of pairs these leave open, so no pair is left out and only pairs
+    that repeat each other come out of the join.
     """
-    norm = tx.passage_norm("text")
-    rows = chunks.select(
-        "document_id", "chunk_index", "start_offset", "end_offset", norm.alias("n")
-    ).withColumn("t", tx.passage_tokens(F.col("n")))
-    key = rows.select("document_id", "chunk_index", "start_offset", "end_offset", F.length("n").alias("size"), "t")
-    bucket = lambda c: F.floor(F.col(c) / SPAN_BUCKET).cast("bigint")
-    spans = key.filter("end_offset > start_offset").select(
-        "document_id", "chunk_index", F.explode(F.sequence(bucket("start_offset"), F.floor((F.col("end_offset") - 1) / SPAN_BUCKET).cast("bigint"))).alias("meet")
+    passage = _passage(F.col("text"), F.lit(True))
+    rows = chunks.select("document_id", "chunk_index", "start_offset", "end_offset", passage.alias("p")).select(
+        "document_id", "chunk_index", "start_offset", "end_offset", F.col("p.n").alias("n"),
+        F.length("p.n").alias("size"), F.size("p.t").alias("words"), F.col("p.p").alias("parity"),
+    )
+    rows = staged(rows, "passages")
+    a, b = (rows.select("document_id", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns[1:]]) for x in "ab")
+    left, right = ({c: F.col(f"{x}_{c}") for c in rows.columns[1:]} for x in "ab")
+    tokens = [tx.passage_tokens(side["n"]) for side in (left, right)]
+    offsets = offsets_overlap(*(side[c] for side in (left, right) for c in ("start_offset", "end_offset")))
+    may = may_be_near(left["parity"], right["parity"], left["words"], right["words"])
+    open_pair = (F.least(left["size"], right["size"]) < SHORT_PASSAGE) | may
+    near = open_pair & near_duplicate(left["n"], right["n"], *tokens, may)
+    both = a.join(b, "document_id").filter((left["chunk_index"] < right["chunk_index"]) & (offsets | near))
+    return both.select(
+        "document_id", left["chunk_index"].alias("left_index"), right["chunk_index"].alias("right_index"),
+        tx.jaccard(*tokens).alias("jaccard"),
     )
-    hashed = F.sort_array(F.transform("t", lambda t: F.xxhash64(t)))
-    share = F.size("t") - F.ceil(F.size("t") * NEAR_JACCARD - 1e-9).cast("int") + 1
-    tokens = key.filter(F.size("t") > 0).select("document_id", "chunk_index", F.explode(F.slice(hashed, F.lit(1), share)).alias("meet"))
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        other = right.withColumnRenamed("chunk_index", "_other")
-        on = [c for c in ("document_id", "meet") if c in left.columns]
-        both = left.join(other, on).filter("chunk_index <> _other")
-        return both.select("document_id", F.least("chunk_index", "_other").alias("left_index"), F.greatest("chunk_index", "_other").alias("right_index"))
-
-    short = key.filter((F.col("size") < SHORT_PASSAGE) & (F.col("size") > 0)).select("document_id", "chunk_index")
-    pairs = meet(spans, spans).union(meet(tokens, tokens)).union(meet(short, key.select("document_id", "chunk_index"))).distinct()
-    side = lambda name: rows.select("document_id", *[F.col(c).alias(f"{name}_{c}") for c in rows.columns[1:]])
-    both = pairs.join(side("a").withColumnRenamed("a_chunk_index", "left_index"), ["document_id", "left_index"])
-    both = both.join(side("b").withColumnRenamed("b_chunk_index", "right_index"), ["document_id", "right_index"])
-    offsets = offsets_overlap(*(F.col(f"{x}_{c}") for x in "ab" for c in ("start_offset", "end_offset")))
-    repeats = offsets | near_duplicate(F.col("a_n"), F.col("b_n"), F.col("a_t"), F.col("b_t"))
-    return both.filter(repeats).select("document_id", "left_index", "right_index", tx.jaccard(F.col("a_t"), F.col("b_t")).alias("jaccard"))
 
 
 def hit_order(*extra: str) -> list[Column]:

@@ -161,6 +161,12 @@ def test_duplicate_windows_far_apart_are_found(rows):
     assert [(p["left_index"], p["right_index"], p["jaccard"]) for p in r.duplicate_pairs(chunks).collect()] == [(0, 3, 1.0)]
 
 
+def test_duplicate_windows_meet_in_one_join_without_token_rows(rows):
+    chunks = rows([("d", 0, 0, 10, "a b"), ("d", 1, 5, 15, "a b")], "document_id string, chunk_index int, start_offset int, end_offset int, text string")
+    plan = r.duplicate_pairs(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Generate" not in plan
+
+
 def test_invariants_find_seeded_violations(rows):
     from evidex.operators import evaluate as ev
 
