@@ -12,12 +12,14 @@ sets are one class.  Two sets of sizes a and b with similarity 0.8 or more diffe
   chance below 1e-9.  Those are the keys, so a long text has no more of them than a short one.  A
   set takes part in its own band and, if a larger partner can reach it, in the next one.
   Sets up to ``SMALL`` shingles have too few shingles for blocks: there a block is one shingle,
-  of the share that any partner must meet (the first fifth by hash order, and two more).
+  of the share that any partner must meet (a fifth and two more), the rarest of the table first: a
+  line that many small texts hold is no key of theirs.
 * **Stars.** Of each bucket of equal blocks, every set is compared with the one of the
   smallest document; that joins large groups of copies without listing their pairs.
 * **The rest.** Buckets that still hold several components give the pairs between different
   components whose sizes and parity sketches allow a link.  A sketch has two to four
-  parities a shingle, so that it tells large sets apart as well as small ones.  A bucket of more than
+  parities a shingle, so that it tells large sets apart as well as small ones.  The sketches of a
+  bucket are compared as arrays, about ``PART`` sets with as many others in a task.  A bucket of more than
   ``CROWD`` components is first split by a second agreeing block, which every linked pair has.
 * **Verify.** Candidates are compared on their whole shingle sets.
 
@@ -48,7 +50,9 @@ WORDS = 5
 SMALL = 64
 RATIO = 1.25
 BLOCKS = 64  # blocks of a set that are keys; a linked pair agrees on each with a chance above 0.34
-CROWD = 2_048
+CROWD = 16_384
+PART = 512  # sets of a bucket that are compared with as many others at a time
+FEW = 16  # up to so many sets, a bucket's pairs are made together with those of others
 SKETCHED = 256  # shingles of the smallest sketch
 WORD_CACHE = 500_000
 SEEN = 200_000
@@ -130,13 +134,28 @@ def blocks(upper: int) -> int:
     return apart + 4
 
 
+def common(n: int) -> int:
+    """How many shingles of a small set need not be keys: by any one order of all shingles, two sets that link share two before these."""
+    return -(-4 * n // 5) - 2
+
+
+def singles(shingles: np.ndarray) -> np.ndarray:
+    """The keys of all shingles of a small set."""
+    small = 4 <= len(shingles) <= SMALL
+    return _mix(np.sort(_mix(shingles)) ^ _A).view(np.int64) if small else np.zeros(0, np.int64)
+
+
 def signatures(shingles: np.ndarray) -> np.ndarray:
-    """The bucket keys of a set; two sets that link share at least two."""
+    """Bucket keys of a set, of which two sets that link share at least two; those of single shingles by hash order."""
+    few = singles(shingles)
+    return np.concatenate([few[: len(few) - common(len(few))] if len(few) else few, block_keys(shingles)])
+
+
+def block_keys(shingles: np.ndarray) -> np.ndarray:
+    """The bucket keys of a set that are blocks."""
     n, keys = len(shingles), []
     if n < 4:
         return np.zeros(0, np.int64)  # any difference is too much: only equal sets link
-    if n <= SMALL:
-        keys.append(_mix(np.sort(_mix(shingles))[: n - -(-4 * n // 5) + 2] ^ _A))
     own = int(np.searchsorted(UPPERS, n))
     for band in (own, own + 1):
         upper = int(UPPERS[band])
@@ -177,7 +196,7 @@ ROWS = "key bigint, node bigint, doc bigint, n bigint, w array<bigint>"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row with size and sketch for every document, and its bucket keys with neither."""
+    """One row with size and sketch for every document; one with the single shingles of a small set, without size; bucket keys with neither."""
     names, seen = ["key", "node", "doc", "n", "w"], set()
     for batch in batches:
         ids, start = batch.column("doc_id"), 0
@@ -192,15 +211,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(spread), pa.array(nodes), docs, pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(bounds, marks)], names
             )
-            found, at = [], []
+            found, at, few = [], [], []
             for i, node in enumerate(nodes.tolist()):
                 if node in seen:  # a copy in this task adds nothing
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                found.append(signatures(sets[i]))
+                found.append(block_keys(sets[i]))
                 at.append(i)
+                if len(alone := singles(sets[i])):
+                    few.append((i, alone))
             sizes = [len(f) for f in found]
             if sum(sizes):
                 own = np.repeat(at, sizes)
@@ -208,6 +229,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(np.concatenate(found)), pa.array(nodes[own]), docs.take(pa.array(own)), pa.nulls(len(own), pa.int64()),
                      pa.nulls(len(own), pa.list_(pa.int64()))], names,
                 )
+            if few:
+                own = np.array([i for i, _ in few])
+                bounds = pa.array(np.append(0, np.cumsum([len(alone) for _, alone in few])), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_mix(nodes[own].view(np.uint64)).view(np.int64)), pa.array(nodes[own]), docs.take(pa.array(own)), pa.nulls(len(own), pa.int64()),
+                     pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([alone for _, alone in few])))], names,
+                )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +287,129 @@ def _may_link(n: Column, w: Column, m: Column, v: Column) -> Column:
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The same rows, cut between groups only; they come sorted by ``by``."""
+    left: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        names = np.stack([table[c].to_numpy() for c in by])
+        starts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1
+        if left and any(left[0][c][0] != table[c][0] for c in by):
+            yield pa.concat_tables(left)
+            left = []
+        if len(starts):
+            yield pa.concat_tables([*left, table.slice(0, starts[-1])])
+            left, table = [], table.slice(starts[-1])
+        left.append(table)
+    if left:
+        yield pa.concat_tables(left)
+
+
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, one a row, on the level that has ``size`` numbers."""
+    while words.shape[1] > size:
+        words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+    return words
+
+
+class _Sketched:
+    """Rows with their labels, sizes and sketches."""
+
+    def __init__(self, table: pa.Table):
+        self.label, self.n = table["label"].to_numpy(), table["n"].to_numpy()
+        lists = table["w"].combine_chunks()
+        self.bounds, self.words = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)  # bits are counted without a sign
+        self.size = np.diff(self.bounds)
+        self.low = np.zeros((len(self.size), 8), np.uint64, order="F")
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.low[at] = _folded(self.whole(at, size), 8)
+
+    def whole(self, rows: np.ndarray, size: int) -> np.ndarray:
+        return self.words[self.bounds[rows][:, None] + np.arange(size)]
+
+    def ahead(self, start: int, stop: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a row from ``start`` to ``stop`` and a later one before ``end`` that differ little in 512 parities."""
+        apart = np.zeros((stop - start, end - start), np.int32)
+        for word in self.low.T:
+            apart += np.bitwise_count(word[start:stop, None] ^ word[None, start:end])
+        n = self.n.astype(np.int32)
+        x, y = np.nonzero(9 * apart <= n[start:stop, None] + n[None, start:end])
+        return x[x < y] + start, y[x < y] + start
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs have different labels, and sizes and sketches that allow a link: 512 parities first, then all."""
+        n, m = self.n[x], self.n[y]
+        at = np.flatnonzero((self.label[x] != self.label[y]) & (5 * n >= 4 * m) & (5 * m >= 4 * n))
+        most = (n[at] + m[at]) // 9
+        near = np.bitwise_count(self.low[x[at]] ^ self.low[y[at]]).sum(1, dtype=np.int64) <= most
+        at, most = at[near], most[near]
+        long, wide = self.size[x[at]], self.size[y[at]]
+        kept = []
+        for size, other in {*zip(long.tolist(), wide.tolist())}:
+            some = np.flatnonzero((long == size) & (wide == other))
+            for i in range(0, len(some), step := max(1, (1 << 19) // max(size, other))):
+                part = some[i : i + step]
+                p, q = (_folded(self.whole(r[at[part]], k), min(size, other)) for r, k in ((x, size), (y, other)))
+                kept.append(at[part[np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= most[part]]])
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _pairs(rows: _Sketched, starts: np.ndarray, ends: np.ndarray, part: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group, a limited number at a time; of a ``crossed`` group those of different parts."""
+    few = (ends - starts <= FEW) & ~crossed
+    last = np.repeat(np.where(few, ends, 0), ends - starts)
+    for step in range(1, FEW):
+        at = np.flatnonzero(np.arange(len(last)) + step < last)
+        yield at, at + step
+    for start, end, cross in zip(starts[~few].tolist(), ends[~few].tolist(), crossed[~few].tolist()):
+        for i in range(start, end, 64):
+            x, y = rows.ahead(i, min(i + 64, end), end)
+            other = part[x] != part[y] if cross else slice(None)
+            yield x[other], y[other]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets of a group, which are the parts ``lo`` and ``hi`` of a bucket."""
+    for table in _grouped(batches, ["key", "lo", "hi"]):
+        by, part, node, rows = np.stack([table[c].to_numpy() for c in ("key", "lo", "hi")]), table["part"].to_numpy(), table["node"].to_numpy(), _Sketched(table)
+        starts = np.flatnonzero(np.concatenate([[True], (by[:, 1:] != by[:, :-1]).any(0)]))
+        for x, y in _pairs(rows, starts, np.append(starts[1:], len(node)), part, (by[1] != by[2])[starts]):
+            kept = rows.may_link(x, y)
+            if len(kept):
+                a, b = np.sort(np.stack([node[x[kept]], node[y[kept]]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _between(members: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key and whose sketches allow a link."""
-    two = (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
-    may = _may_link(F.col("x.n"), F.col("x.w"), F.col("y.n"), F.col("y.w"))
-    return members.alias("x").join(members.alias("y"), "key").where(two & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    """Pairs of different components that share a key and whose sketches allow a link.
+
+    A bucket is cut into parts by hash; every part, and every two parts, are a group of their own,
+    so no task has to hold a large bucket.
+    """
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    groups = each.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "label", "node", "n", "w")
+    return groups.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compared, "a bigint, b bigint")
+
+
+def _rarest(small: DataFrame) -> DataFrame:
+    """(``key``, ``node``, ``first``) of small sets: their single shingles but the most common ones of the table.
+
+    Shingles of one set only come first in that order and need no bucket.
+    """
+    each = small.groupBy("node").agg(F.min("doc").alias("doc"), F.any_value("w").alias("w"))
+    keys = each.select("node", "doc", F.size("w").alias("n"), F.explode("w").alias("key"))
+    times = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    shared = F.sort_array(F.collect_list(F.struct("times", "key")))
+    lists = keys.join(times, "key").groupBy("node").agg(F.any_value("doc").alias("doc"), F.any_value("n").alias("n"), shared.alias("shared"))
+    rare = F.slice("shared", F.lit(1), F.greatest(F.size("shared") - F.ceil(4 * F.col("n") / 5).cast("int") + 2, F.lit(0)))
+    kept = staged(lists.select("node", "doc", F.explode(rare["key"]).alias("key")), "singles")
+    firsts = kept.groupBy("key").agg(F.min_by("node", "doc").alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    return kept.join(firsts, "key").select("key", "node", "first")
 
 
 def join(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -272,10 +418,11 @@ def join(documents: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.mapInArrow(_rows, ROWS).repartition("key")
     least, most = (F.expr(f"{f}(node) OVER (PARTITION BY key)").alias(f) for f in ("min", "max"))
     first = F.expr("min_by(node, doc) OVER (PARTITION BY key)").alias("first")
-    useful = rows.select("*", least, most).where("n IS NOT NULL OR min <> max").select(*rows.columns, first)
+    useful = rows.select("*", least, most).where("w IS NOT NULL OR min <> max").select(*rows.columns, first)
     useful = staged(useful, "rows")
     info = useful.where("n IS NOT NULL").select("doc", "n", "node", "w")
-    members = useful.where("n IS NULL").select("key", "node", "first").dropDuplicates(["key", "node"])
+    members = useful.where("w IS NULL").select("key", "node", "first").dropDuplicates(["key", "node"])
+    members = members.union(_rarest(useful.where("n IS NULL AND w IS NOT NULL")))
     classes = info.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.max("w").alias("w"))
     classes = staged(classes, "classes")
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("shared")).where("shared > 1")

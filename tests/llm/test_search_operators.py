@@ -369,3 +369,41 @@ def test_sketches_fold_to_the_level_below():
     half = np.bincount((shingles & np.uint64(bits // 2 - 1)).astype(np.int64), minlength=bits // 2) & 1
     assert (whole[: len(whole) // 2] ^ whole[len(whole) // 2 :]).tolist() == np.packbits(half.astype(np.uint8)).view(np.int64).tolist()
     assert 2 * len(shingles) <= bits <= 4 * len(shingles)
+
+
+def test_a_line_that_many_small_texts_hold_is_no_bucket(spark, monkeypatch):
+    rng = random.Random(12)
+    line = [f"line{i}" for i in range(14)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(14)] + line) for _ in range(200)]
+    texts += [t + " more" for t in texts[:20]]
+    written, staged = {}, ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name: written.setdefault(name, staged(df, name)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got == {i: i - 200 if i >= 200 else i for i in range(len(texts))}
+    assert max([r["count"] for r in written["open"].groupBy("key").count().collect()], default=0) < 20
+
+
+@pytest.mark.parametrize("size", [5, 60])
+def test_sketches_of_a_bucket_are_compared_in_parts(spark, monkeypatch, size):
+    """Every pair of different labels whose sketches allow a link, once; sizes on both sides of a level."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    rows, sets = [], {}
+    for key in (1, 2):
+        base = rng.integers(1, 1 << 62, 262).astype(np.uint64)
+        for i in range(size):
+            shingles = np.unique(np.concatenate([base[int(rng.integers(0, 25)):], rng.integers(1, 1 << 62, 9 * (i % 3)).astype(np.uint64)]))
+            sets[key * 1000 + i] = shingles
+            rows.append((key, key * 1000 + i, i // 2, len(shingles), ngram_join.sketch(shingles).tolist()))
+    members = spark.createDataFrame(rows, "key long, node long, label long, n long, w array<bigint>")
+    assert size == 5 or {len(r[4]) for r in rows} == {8, 16}
+    got = sorted(map(tuple, ngram_join._between(members).collect()))
+
+    def may(a, b):
+        x, y = ngram_join.sketch(sets[a]), ngram_join.sketch(sets[b])
+        x, y = (w[: len(w) // 2] ^ w[len(w) // 2 :] if len(w) > min(len(x), len(y)) else w for w in (x, y))
+        apart, n, m = np.unpackbits((x ^ y).view(np.uint8)).sum(), len(sets[a]), len(sets[b])
+        return a // 1000 == b // 1000 and a % 1000 // 2 != b % 1000 // 2 and 5 * n >= 4 * m and 5 * m >= 4 * n and 9 * apart <= n + m
+
+    assert got == [(a, b) for a in sets for b in sets if a < b and may(a, b)] and got
