@@ -23,24 +23,33 @@ from evidex.streaming import eventlog, ingest, limiter, work
 
 
 FILE_FOLDERS = 256
+FILES_AT_ONCE = 32_768  # the driver lists them twice, at about a kilobyte each
 
 
 def scanned_files(spark, d):
-    """The documents written by Spark as one text file each, headed by its name, and read back as files.
+    """The documents written as one text file each, headed by its name, and read back as files.
 
-    Files lie in a set number of folders: a folder for each would be a listing for each.  Tasks
-    move their own files into place, not the driver one after the other.
+    Files lie in folders of many: a folder for each would be a listing for each.  Spark lists
+    files in the driver, so they are read some folders at a time, by tasks of many files each.
     """
     path = work.shared_dir(spark, "files")
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    folder = F.pmod(F.xxhash64("doc_id"), F.lit(FILE_FOLDERS))
-    docs = t.load(spark, d, "documents").select(folder.alias("folder"), F.concat_ws("\n", F.coalesce(name, F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
-    written = docs.repartition(FILE_FOLDERS, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
-    written.text(path)
+    docs = t.load(spark, d, "documents").select(F.concat_ws("\n", F.coalesce(name, F.lit("")), F.coalesce("text", F.lit(""))).alias("value"))
+    files = work.write_text_files(docs, path)
+    folders = [f"{path}/{n}" for n in work.names(spark, path) if n.startswith("folder=")]
+    rounds, rows = max(1, -(-files // FILES_AT_ONCE)), work.shared_dir(spark, "scanned")
+    for some in (folders[k::rounds] for k in range(min(rounds, len(folders)))):
+        _scanned(read_documents(spark, some)).coalesce(FILE_FOLDERS).write.mode("append").parquet(rows)
+    return spark.read.schema(SCANNED).parquet(rows) if folders else spark.createDataFrame([], SCANNED)
+
+
+SCANNED = "name string, mime string, text_md5 string, characters bigint, bytes bigint"
+
+
+def _scanned(found):
     head = F.substring_index("text", "\n", 1)
     body = F.expr("substring(text, length(head) + 2)")
-    found = read_documents(spark, path).filter(F.endswith("path", F.lit(".txt")))  # not the writer's own marks
-    return found.withColumn("head", head).withColumn("body", body).select(
+    return found.filter(F.endswith("path", F.lit(".txt"))).withColumn("head", head).withColumn("body", body).select(  # not the writer's own marks
         F.nullif("head", F.lit("")).alias("name"), "mime", F.md5("body").alias("text_md5"), F.length("body").cast("bigint").alias("characters"),
         (F.col("bytes") - F.octet_length("head") - 1).alias("bytes"),
     )

@@ -50,8 +50,8 @@ def _any_case(suffix: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below ``path`` as a document row.
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every file below ``path``, one or several, as a document row.
 
     Only files with a text suffix are opened, however large the others are: those are listed
     without their content.

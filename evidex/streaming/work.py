@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -40,6 +46,45 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+FOLDER = 1_024
+
+
+def write_text_files(rows: DataFrame, path: str) -> int:
+    """Each ``value`` as a text file of its own in folders of about ``FOLDER`` files below ``path``; how many.
+
+    Folders are moved into place as a whole.  On a mounted file system tasks write by themselves:
+    Hadoop would start three processes for a file there, which set its permissions.
+    """
+    at, fs = _located(rows.sparkSession, path)
+    if fs.getUri().getScheme() != "file":
+        files = rows.count()
+        folder = F.pmod(F.xxhash64("value"), F.lit(-(-files // FOLDER) or 1)).alias("folder")
+        dealt = rows.select("value", folder).repartition("folder").write.partitionBy("folder").option("maxRecordsPerFile", 1)
+        dealt.option("mapreduce.fileoutputcommitter.algorithm.version", 1).text(path)
+        return files
+    base = fs.makeQualified(at).toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task, files = f"{base}/_attempt-{uuid.uuid4().hex}", TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value in batch["value"]:
+                folder = f"{own}/folder={task}-{files // FOLDER}"
+                if files % FOLDER == 0:
+                    os.makedirs(folder)
+                files += 1
+                with open(f"{folder}/part-{files:08d}.txt", "wb") as out:
+                    out.write(value.as_buffer())
+        for name in os.listdir(own) if files else []:
+            if not os.path.exists(f"{base}/{name}"):  # else another attempt has written it
+                os.rename(f"{own}/{name}", f"{base}/{name}")
+        shutil.rmtree(own, ignore_errors=True)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    os.makedirs(base, exist_ok=True)
+    lines = rows.select(F.concat("value", F.lit("\n")).cast("binary").alias("value"))
+    return lines.mapInArrow(write, "files bigint").agg(F.sum("files")).first()[0] or 0
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """One table as a stream, whether it is a single Parquet file or a folder of part files.
 

@@ -300,3 +300,20 @@ def test_scanned_files_lie_in_few_folders(spark, tmp_path):
     got = sorted((x["name"], x["characters"], x["bytes"]) for x in found.collect())
     assert got == sorted((f"d{i}", len(t) + 1, len(t.encode()) + 1) for i, t in data)
     assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) <= streams.FILE_FOLDERS
+
+
+def test_files_are_listed_some_folders_at_a_time(spark, tmp_path, monkeypatch):
+    """No listing holds all files, and none is missed; rows without id or text, none at all."""
+    from evidex.plans import streams
+
+    data = [(i, f"text {i}\nof é") for i in range(300)] + [(7, "again"), (None, "no id"), (9999, None)]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    read, listed = streams.read_documents, []
+    monkeypatch.setattr(streams, "FILES_AT_ONCE", 100)
+    monkeypatch.setattr(streams.work, "FOLDER", 10)
+    monkeypatch.setattr(streams, "read_documents", lambda s, p: listed.append(read(s, p)) or listed[-1])
+    got = sorted((x["name"] or "", x["characters"], x["bytes"]) for x in streams.scanned_files(spark, str(tmp_path)).collect())
+    assert got == sorted((f"d{i}" if i is not None else "", len(t or "") + 1, len((t or "").encode()) + 1) for i, t in data)
+    assert len(listed) == 4 and max(len(set(f.inputFiles())) for f in listed) < 200
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert streams.scanned_files(spark, f"{tmp_path}/none").count() == 0
