@@ -7,12 +7,15 @@ the nearest ones left), and keeps the ``OWN`` nearest rows that link to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 FAN = 16
 OWN = 16
 BATCH = 1_024
 WIDTH = 4  # rows a beam expands at a time
+TOGETHER = 32  # queries whose pairs are held at a time
 
 
 def layer_sizes(n: int) -> list[int]:
@@ -28,6 +31,13 @@ class Seen:
     def __init__(self, queries: int, rows: int, bound: float):
         self.met, self.bound, self.pairs = np.zeros((queries, rows), bool), bound, []
 
+    def of(self, start: int, stop: int) -> Seen:
+        """What the queries from ``start`` to ``stop`` have met, numbered from 0."""
+        own = Seen(0, 0, self.bound)
+        own.met = self.met[start:stop]
+        own.pairs = [p[:, here] - np.array([[start], [0]]) for p in self.pairs if (here := (p[0] >= start) & (p[0] < stop)).any()]
+        return own
+
     def note(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
         over = np.flatnonzero(score >= self.bound)
         if len(over):
@@ -174,14 +184,21 @@ def flood(rows: np.ndarray, links: np.ndarray, queries: np.ndarray, seen: Seen,
             seen.note(q, r, np.einsum("pd,pd->p", queries[q], rows[r]))
 
 
-def pairs_over(rows: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, bound: float, ef: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the pairs found at or over ``bound``."""
-    found = []
+def each_over(rows: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, bound: float, ef: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) of the pairs found at or over ``bound``, those of ``TOGETHER`` queries at a time."""
     for start in range(0, len(queries), block):
         some = queries[start : start + block]
         seen = Seen(len(some), len(rows), bound)
         beam(rows, layers[0], some, descend(rows, layers, some, 0), ef, seen)
-        flood(rows, layers[0], some, seen)
-        found += [p + np.array([[start], [0]]) for p in seen.pairs]
-    both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        for at in range(0, len(some), TOGETHER):
+            own = seen.of(at, at + TOGETHER)
+            if own.pairs:
+                flood(rows, layers[0], some[at : at + TOGETHER], own)
+                query, row = np.concatenate(own.pairs, 1)
+                yield query + (start + at), row
+
+
+def pairs_over(rows: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, bound: float, ef: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the pairs found at or over ``bound``."""
+    both = np.concatenate([np.zeros((2, 0), np.int64), *map(np.stack, each_over(rows, layers, queries, bound, ef, block))], 1)
     return both[0], both[1]

@@ -407,3 +407,29 @@ def test_sketches_of_a_bucket_are_compared_in_parts(spark, monkeypatch, size):
         return a // 1000 == b // 1000 and a % 1000 // 2 != b % 1000 // 2 and 5 * n >= 4 * m and 5 * m >= 4 * n and 9 * apart <= n + m
 
     assert got == [(a, b) for a in sets for b in sets if a < b and may(a, b)] and got
+
+
+def test_graphs_are_sent_in_small_rows(spark, monkeypatch):
+    """No row of a shard's graph grows with the shard; float and double vectors give the same."""
+    rng = np.random.default_rng(14)
+    vectors = np.concatenate([_vectors(rng, 100, 4), rng.normal(size=(600, 16))]).astype(np.float32)
+    written, staged = {}, embedding_dedup.staged
+    monkeypatch.setattr(embedding_dedup, "staged", lambda df, name: written.setdefault(name, []).append(staged(df, name)) or written[name][-1])
+    wide = _table(spark, vectors, ODD)
+    got = [sorted(map(tuple, embedding_dedup.near_duplicates(t, shard=400, block=100).collect())) for t in (
+        wide, wide.withColumn("embedding", F.col("embedding").cast("array<float>")))]
+    assert got[0] == got[1] and sum(r[1] > 0 for r in got[0]) > 300
+    sizes = [r[0] for g in written["graphs"] for r in g.select(sum(F.length(c) for c in ("ids", "held", "vectors", "layers"))).collect()]
+    assert max(sizes) <= 5_000
+
+
+def test_a_forest_of_pairs_that_come_in_turn():
+    rng = np.random.default_rng(15)
+    names = rng.permutation(500) * 7
+    forest, pairs = embedding_dedup._Forest(names[:300], names[200:]), []
+    for _ in range(20):
+        a, b = rng.choice(names, 15), rng.choice(names, 15)
+        forest.join(forest.place(a), forest.place(b))
+        pairs += zip(a.tolist(), b.tolist())
+    want = _classes(pairs, names.tolist())
+    assert dict(zip(*(x.tolist() for x in forest.edges()))) == {k: v for k, v in want.items() if k != v}
