@@ -53,7 +53,7 @@ def write_text_files(rows: DataFrame, path: str) -> int:
     """Each ``value`` as a text file of its own in folders of about ``FOLDER`` files below ``path``; how many.
 
     Folders are moved into place as a whole.  On a mounted file system tasks write by themselves:
-    Hadoop would start three processes for a file there, which set its permissions.
+    Hadoop without its native library starts processes for the permissions of each file there.
     """
     at, fs = _located(rows.sparkSession, path)
     if fs.getUri().getScheme() != "file":
